@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import count_lt, round6, safe_div
+from costlens.operators.frames import side_by_side
 from costlens.operators.ordered import percentile_values, prefix_sums
 
 
@@ -90,12 +91,7 @@ def precision_at_k(scored: DataFrame, k: int, id_cols: Sequence[str], *, score="
     return top.agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.0)).alias(name))
 
 
-def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    """Combine one-row frames side by side (each is proven to be one row)."""
-    out = dfs[0].withColumn("_one", F.lit(1))
-    for d in dfs[1:]:
-        out = out.join(F.broadcast(d.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+_one_row_join = side_by_side
 
 
 def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_cols: Sequence[str] = ()) -> DataFrame:

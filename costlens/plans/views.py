@@ -34,6 +34,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
         "l_extendedprice",
+        "l_quantity",
+        "l_discount",
+        "l_tax",
         epoch_micros("l_shipdate").alias("time_us"),
         F.col("l_returnflag").alias("segment"),
         (sm / F.lit(1000.0)).alias("score"),
@@ -43,7 +46,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED_SQL = """
 scored AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax,
          epoch_us(l_shipdate) AS time_us, l_returnflag AS segment,
          sm / 1000.0::DOUBLE AS score,
          CASE WHEN ((l_partkey * 7919 + l_orderkey * 104729) % 1000) * 5000 < sm * sm THEN 1 ELSE 0 END AS label
