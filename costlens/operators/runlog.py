@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 def metrics_long(record: DataFrame, run_id: str, experiment: str, kind: str = "metric") -> DataFrame:
     cols = record.columns
     wide = record.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    long = wide.unpivot([], cols, "key", "value")
+    long = wide.unpivot([], [F.col(f"`{c}`") for c in cols], "key", "value")
     return long.select(
         F.lit(run_id).alias("run_id"), F.lit(experiment).alias("experiment"), F.lit(kind).alias("kind"), "key", "value"
     )
