@@ -100,15 +100,39 @@ def prefix_sums(
     return out.drop("_bkt", *[f"_o_{c}" for c in sum_cols])
 
 
+SMALL_GROUPS = 4096
+
+
 def select_ranks(
-    grouped: DataFrame, order_col: str, count_col: str, ks: Sequence[int], n_buckets: int | None = None
+    grouped: DataFrame,
+    order_col: str,
+    count_col: str,
+    ks: Sequence[int],
+    n_buckets: int | None = None,
+    small_limit: int = SMALL_GROUPS,
 ) -> list[dict]:
     """For each 1-based rank k, the row of ``grouped`` (one row per distinct value,
     ``count_col`` rows each) that holds the k-th smallest element, with
-    ``before`` = number of elements with a smaller value."""
+    ``before`` = number of elements with a smaller value.
+
+    When there are at most ``small_limit`` distinct values (checked with a
+    bounded ``limit``), they are ranked on the driver; otherwise the selection
+    is a distributed prefix sum."""
     ks = [int(k) for k in ks]
     if not ks:
         return []
+    if small_limit > 0:
+        few = grouped.select(order_col, count_col).limit(small_limit + 1).collect()
+        if len(few) <= small_limit:
+            few.sort(key=lambda r: r[order_col])
+            out, before, i = [], 0, 0
+            for k in sorted(ks):
+                while i < len(few) and before + few[i][count_col] < k:
+                    before += few[i][count_col]
+                    i += 1
+                if i < len(few):
+                    out.append({"k": k, "value": few[i][order_col], "count": few[i][count_col], "before": before})
+            return sorted(out, key=lambda h: ks.index(h["k"]))
     ps = prefix_sums(grouped, order_col, [count_col], n_buckets=n_buckets)
     cum = F.col(f"cum_{count_col}")
     before = cum - F.col(count_col)
@@ -126,7 +150,9 @@ def select_ranks(
     return out
 
 
-def kth_tuple(df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None = None) -> list:
+def kth_tuple(
+    df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None = None, small_limit: int = SMALL_GROUPS
+) -> list:
     """Values (v0, .., vL) such that exactly ``k`` rows satisfy
     (c0, .., cL) <= (v0, .., vL) lexicographically.
 
@@ -141,7 +167,7 @@ def kth_tuple(df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None
     cur = df
     for c in cols:
         grouped = cur.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        hit = select_ranks(grouped, c, "_n", [k], n_buckets=n_buckets)
+        hit = select_ranks(grouped, c, "_n", [k], n_buckets=n_buckets, small_limit=small_limit)
         if not hit:
             raise ValueError(f"rank {k} exceeds the row count")
         h = hit[0]

@@ -17,16 +17,17 @@ from costlens.session import scratch_path
 from costlens.streaming import jobs
 from costlens.streaming.replay import batch_numbers, write_replay
 
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 1000  # dedup replay (re-delivers a tenth of each batch)
+N_BATCHES = 10  # micro-batches per replayed table
 
 
 def _replay_events(spark, sf, order_col: str = "event_id"):
     ev = events_scored(spark, sf).select("event_id", "ms", "user_id", "value")
     path = scratch_path(spark, "replay")
     if order_col == "event_id":
-        write_replay(ev, "event_id", path, ROWS_PER_BATCH)
+        write_replay(ev, "event_id", path, n_batches=N_BATCHES)
     else:  # shuffled arrival order (late data): order by a hash of the id
-        write_replay(ev.withColumn("_arrival", portable_hash(7, "event_id")), "_arrival", path, ROWS_PER_BATCH)
+        write_replay(ev.withColumn("_arrival", portable_hash(7, "event_id")), "_arrival", path, n_batches=N_BATCHES)
     return path
 
 
@@ -87,10 +88,11 @@ def q_stream_dedup(spark, sf):
     """Every batch re-delivers the first tenth of the next one (at-least-once);
     the stream must emit each event exactly once."""
     ev = events_scored(spark, sf).select("event_id", "ms", "user_id", "value")
-    staged = batch_numbers(ev, ["event_id"], ROWS_PER_BATCH)
+    per = max(1, -(-ev.count() // N_BATCHES))
+    staged = batch_numbers(ev, ["event_id"], per)
     # position within the batch decides re-delivery: the first tenth is also sent with the previous batch
     staged = staged.withColumn("_first", F.col("event_id") - F.min("event_id").over(Window.partitionBy("_batch")))
-    dup = staged.where(F.col("_first") < ROWS_PER_BATCH // 10).where(F.col("_batch") > 0).withColumn("_batch", F.col("_batch") - 1)
+    dup = staged.where(F.col("_first") < per // 10).where(F.col("_batch") > 0).withColumn("_batch", F.col("_batch") - 1)
     allrows = staged.unionByName(dup).drop("_first")
     path = scratch_path(spark, "replay-dup")
     nb = allrows.agg(F.max("_batch")).first()[0]
@@ -114,7 +116,7 @@ def q_stream_score(spark, sf):
     rows = rows.withColumn("ms", F.expr("time_us div 1000"))
     cols = ["rid", "ms", "l_suppkey", *SPEC.features]
     replay = scratch_path(spark, "replay-tx")
-    write_replay(rows.select(*dict.fromkeys(cols)), "ms", replay, ROWS_PER_BATCH)
+    write_replay(rows.select(*dict.fromkeys(cols)), "ms", replay, n_batches=N_BATCHES)
     schema = T.StructType(
         [T.StructField("rid", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("l_suppkey", T.LongType())]
         + [T.StructField(c, T.LongType() if c == "time_us" else T.DoubleType()) for c in SPEC.features]

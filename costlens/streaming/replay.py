@@ -33,13 +33,23 @@ def batch_numbers(df: DataFrame, order_cols: Sequence[str], rows_per_batch: int,
 
 
 def write_replay(
-    df: DataFrame, order_col: str, path: str, rows_per_batch: int = 500, n: int | None = None, fmt: str = "json"
+    df: DataFrame,
+    order_col: str,
+    path: str,
+    rows_per_batch: int | None = 500,
+    n: int | None = None,
+    fmt: str = "json",
+    n_batches: int | None = None,
 ) -> int:
     """Write ordered micro-batch folders ``path/b=00000`` ...; returns the batch count.
 
-    One write per batch (bounded by rows / rows_per_batch) keeps file
-    modification times in batch order for the file source."""
-    staged = batch_numbers(df, [order_col], rows_per_batch, n).persist()
+    ``n_batches`` fixes the number of micro-batches instead of their size (the
+    per-trigger overhead then does not grow with the table).  One write per
+    batch keeps file modification times in batch order for the file source."""
+    if n_batches:
+        total = df.count() if n is None else min(n, df.count())
+        rows_per_batch = max(1, -(-total // int(n_batches)))
+    staged = batch_numbers(df, [order_col], int(rows_per_batch), n).persist()
     try:
         nb = staged.agg(F.max("_batch")).first()[0]
         nb = -1 if nb is None else int(nb)

@@ -45,8 +45,8 @@ def test_grouped_percentiles(spark):
 def test_kth_tuple_exact_boundary(spark):
     rows = [(t, k) for t in range(5) for k in range(10)]  # 10 ties per time value
     df = spark.createDataFrame(rows, "t long, k long")
-    for k in (1, 7, 10, 23, 50):
-        b = ordered.kth_tuple(df, ["t", "k"], k, n_buckets=3)
+    for k, small in [(1, 0), (7, 0), (10, 0), (23, 0), (50, 0), (23, 4096), (7, 4096)]:
+        b = ordered.kth_tuple(df, ["t", "k"], k, n_buckets=3, small_limit=small)
         from costlens.functions import lex_less_equal
 
         assert df.where(lex_less_equal(["t", "k"][: len(b)], b)).count() == k
