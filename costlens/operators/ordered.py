@@ -237,3 +237,11 @@ def percentile_values(df: DataFrame, value_col: str, qs: Sequence[float], n_buck
     """Driver-side list of a few global percentiles (bounded: one value per q)."""
     rows = {r["q"]: r["value"] for r in exact_percentiles(df, value_col, qs, n_buckets=n_buckets).collect()}
     return [rows.get(float(q)) for q in qs]
+
+
+def dense_index(df: DataFrame, id_col: str, out: str = "_idx") -> DataFrame:
+    """0-based position of each row in ``id_col`` order (unique ids): a
+    distributed prefix count, no global sort in one task."""
+    g = df.withColumn("_one", F.lit(1).cast("long"))
+    ps = prefix_sums(g, id_col, ["_one"])
+    return ps.withColumn(out, F.col("cum__one") - 1).drop("_one", "cum__one")

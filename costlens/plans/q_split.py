@@ -161,3 +161,40 @@ def q_validate_contract(spark, sf):
     ev = read_table(spark, sf, "events").select("event_id", "value", F.get_json_object("props", "$.k").alias("k"))
     checked = features.validate_contract(ev, ["value", "k"], ["event_id"])
     return checked.select("event_id", "value", "k", F.array_join("reasons", ",").alias("reasons"), "is_valid")
+
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "time_us"]
+
+
+@register(
+    "select_features",
+    with_sql(
+        SCORED_SQL,
+        body="""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, label,
+  l_extendedprice AS amount, time_us AS time, l_quantity, l_discount, l_tax FROM scored""",
+    ),
+)
+def q_select_features(spark, sf):
+    """B1 + E2: features by name in pipeline order (scaled Amount, Time first)."""
+    spec = features.FeatureSpec(features=tuple(FEATURES), scaled=("l_extendedprice", "time_us"))
+    keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label"]
+    out = features.select_features(scored(spark, sf), spec, keep=keep).select(*keep, *spec.pipeline_order())
+    return out.withColumnRenamed("l_extendedprice", "amount").withColumnRenamed("time_us", "time")
+
+
+@register("filter_class", with_sql(SCORED_SQL, body=f"SELECT {KEYS_SQL}, score FROM scored WHERE label = 1"))
+def q_filter_class(spark, sf):
+    """The positive class only (predicate on the derived label)."""
+    return features.filter_class(scored(spark, sf), 1).select(*KEYS, "score")
+
+
+@register(
+    "select_by_prefix",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+)
+def q_select_by_prefix(spark, sf):
+    """Every column whose name starts with a prefix (timestamps excluded)."""
+    from costlens.sources import read_table
+
+    o = read_table(spark, sf, "orders").drop("o_orderdate")
+    return features.select_by_prefix(o, "o_")

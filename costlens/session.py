@@ -46,10 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     used as is.  Only when it is unset (tests, local runs) a scratch folder is
     created and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir", None)
+        or sc.getCheckpointDir()
+    )
     if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     path = tempfile.mkdtemp(prefix="costlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
