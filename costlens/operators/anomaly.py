@@ -144,7 +144,12 @@ def fit_autoencoder(
     m = np.zeros(p)
     v = np.zeros(p)
     t = 0
+    # partitions hold >= 4 minibatches each, so local Adam steps are meaningful
     data = train_neg.select(features)
+    n = data.count()
+    target = max(1, min(data.sparkSession.sparkContext.defaultParallelism, n // (4 * batch)))
+    have = data.rdd.getNumPartitions()
+    data = data.repartition(target) if have < target else (data.coalesce(target) if have > target else data)
     for epoch in range(epochs):
         state = (theta, m, v, t)
 

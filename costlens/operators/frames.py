@@ -19,3 +19,14 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = attach_one_row(out, r)
     return out
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Iterative learners scan their input many times; if it has fewer
+    partitions than the cluster has cores (e.g. one small file), spread it once.
+    On a large input this is a no-op: file splits already give the parallelism."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from costlens.operators.cost import DEFAULT_COST_FN, DEFAULT_COST_FP, optimize_threshold, threshold_cost_curve
 from costlens.operators.features import FeatureSpec, fit_scaler
+from costlens.operators.frames import ensure_parallelism
 from costlens.operators.metrics import evaluate_basic, rank_metrics
 from costlens.operators.sampling import class_weight
 
@@ -67,7 +68,7 @@ def fit_logistic(train: DataFrame, spec: FeatureSpec, max_iter: int = 1000) -> P
         featuresCol="_features", labelCol="_label", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter,
     )
-    data = train.withColumn("_label", F.col(spec.label).cast("double"))
+    data = ensure_parallelism(train.withColumn("_label", F.col(spec.label).cast("double")))
     return _pipeline(train, spec, lr).fit(data)
 
 
@@ -82,11 +83,11 @@ def fit_boosted_trees(
 ) -> PipelineModel:
     gbt = GBTClassifier(
         featuresCol="_features", labelCol="_label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
-        lossType="logistic", seed=seed, maxBins=64,
+        lossType="logistic", seed=seed, maxBins=32,
     )
     if weight_col:
         gbt.setWeightCol(weight_col)
-    data = train.withColumn("_label", F.col(spec.label).cast("double"))
+    data = ensure_parallelism(train.withColumn("_label", F.col(spec.label).cast("double")))
     return _pipeline(train, spec, gbt).fit(data)
 
 

@@ -96,6 +96,9 @@ def poisson_weights(df: DataFrame, replicates: int, id_col: str, seed: int = 0)
     """Scale variant: each row gets a Poisson(1) weight per replicate by inverse
     CDF of a hash draw — no join, no shuffle; ``explode`` multiplies rows by B
     inside the task and aggregations combine map-side."""
-    r = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    from costlens.operators.frames import ensure_parallelism
+
+    # the per-row work is multiplied by B: spread a few-partition input first
+    r = ensure_parallelism(df).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     u = portable_hash(seed, "replicate", id_col) / F.lit(4294967296.0)
     return r.withColumn("weight", count_le(u, POISSON1_CDF).cast("long"))
