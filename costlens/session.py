@@ -57,8 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     path = tempfile.mkdtemp(prefix="costlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # core confs may be read-only at runtime; the context setting suffices
+        pass
+    sc.setCheckpointDir(path)
     return path
 
 
