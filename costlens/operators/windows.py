@@ -12,6 +12,11 @@ bucket when it lies within w of that bucket's start (the halo).  The window
 then runs per (key, bucket) and only native rows are kept, so the work is
 spread over time buckets and an entity holding a third of all rows is still
 split across many tasks.  Halo copies are at most w / B of the rows.
+
+The bucket length B is sized from the densest key: one aggregation gives each
+key's row count and time span, and B is chosen so that the hottest key puts
+about ``target_rows`` rows in a bucket, clamped to [2w, 20w] (at 2w the halo
+adds at most half the rows).
 """
 
 from __future__ import annotations
@@ -22,6 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def auto_bucket_ms(df: DataFrame, ms_col: str, by: Sequence[str], window_ms: int, target_rows: int = 2_000_000) -> int:
+    w = int(window_ms)
+    stats = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(ms_col) - F.min(ms_col) + 1).alias("span")
+    )
+    hot = stats.orderBy(F.col("n").desc()).limit(1).first()  # one row
+    if hot is None or not hot["n"]:
+        return 20 * w
+    per_ms = hot["n"] / max(1, hot["span"])
+    return int(min(20 * w, max(2 * w, target_rows / per_ms)))
+
+
 def trailing_window(
     df: DataFrame,
     ms_col: str,
@@ -30,16 +47,17 @@ def trailing_window(
     *,
     by: Sequence[str] = (),
     bucket_ms: int | None = None,
+    target_rows: int = 2_000_000,
     count_col: str = "window_count",
     sum_col: str = "window_sum",
 ) -> DataFrame:
     by = list(by)
     w = int(window_ms)
-    b = int(bucket_ms or max(20 * w, 60_000))
+    b = int(bucket_ms or auto_bucket_ms(df, ms_col, by, w, target_rows))
     if b <= w:
         raise ValueError("bucket_ms must exceed the window")
     ms = F.col(ms_col)
-    bucket = F.floor(ms / F.lit(b)).cast("long")
+    bucket = F.expr(f"`{ms_col}` div {b}")
     next_start = (bucket + 1) * F.lit(b)
     copies = F.array(
         F.struct(bucket.alias("_bk"), F.lit(True).alias("_native")),

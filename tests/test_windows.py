@@ -44,3 +44,20 @@ def test_by_key(spark):
     df = spark.createDataFrame(rows, "event_id long, ms long, amount double, user long")
     out = {r["event_id"]: r["window_count"] for r in trailing_window(df, "ms", "amount", 30_000, by=["user"]).collect()}
     assert out == {1: 1, 2: 1, 3: 2}
+
+
+def test_auto_bucket_is_exact_for_a_hot_key(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(m), float(rng.integers(1, 9)), 0 if i % 3 else 1) for i, m in enumerate(np.sort(rng.integers(0, 5_000_000, 3000)))]
+    df = spark.createDataFrame(rows, "event_id long, ms long, amount double, user long")
+    w = Window.partitionBy("user").orderBy("ms").rangeBetween(-29_999, 0)
+    want = {r["event_id"]: (r["c"], r["s"]) for r in df.select(
+        "event_id", F.count(F.lit(1)).over(w).alias("c"), F.sum("amount").over(w).alias("s")).collect()}
+    from costlens.operators.windows import auto_bucket_ms
+
+    b = auto_bucket_ms(df, "ms", ["user"], 30_000, target_rows=50)
+    assert 60_000 <= b < 600_000  # sized from the hot key, inside [2w, 20w)
+    assert auto_bucket_ms(df, "ms", ["user"], 30_000, target_rows=1) == 60_000  # floor at 2w
+    out = trailing_window(df, "ms", "amount", 30_000, by=["user"], target_rows=50)
+    got = {r["event_id"]: (r["window_count"], r["window_sum"]) for r in out.collect()}
+    assert got == want
