@@ -69,14 +69,17 @@ def prefix_sums(
     descending: bool = False,
     n_buckets: int | None = None,
     prefix: str = "cum_",
+    edges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``: inclusive running total of each ``c`` in ``order_col`` order.
 
     ``df`` should hold one row per distinct (by, order value); rows with equal
-    order values would get an arbitrary relative order.
+    order values would get an arbitrary relative order.  ``edges_from`` takes the
+    bucket edges from another (cheaper) frame with the same value distribution;
+    any edges give exact sums, only the bucket balance depends on them.
     """
     by = list(by)
-    edges = range_edges(df, order_col, n_buckets)
+    edges = range_edges(edges_from if edges_from is not None else df, order_col, n_buckets)
     nb = len(edges)
     dfb = bucketize(df, order_col, edges, "_bkt")
     if descending:

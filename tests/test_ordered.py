@@ -71,3 +71,11 @@ def test_portable_hash_matches_duckdb(spark):
     con = duckdb.connect()
     want = dict(con.execute(f"SELECT i, {portable_hash_sql(3, 'i')} FROM range(5) t(i)").fetchall())
     assert got == want
+
+
+def test_prefix_sums_many_buckets_use_jvm_binary_search(spark):
+    # > 1,024 edges switches bucketing from the CASE tree to MLlib's Bucketizer
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).cast("double").alias("v"), F.lit(1).cast("long").alias("w"))
+    out = ordered.prefix_sums(df, "v", ["w"], n_buckets=2000)
+    assert len(ordered.range_edges(df, "v", 2000)) > 1024
+    assert all(r["cum_w"] == int(r["v"]) + 1 for r in out.collect())
