@@ -55,8 +55,8 @@ def _assembled_cols(spec: FeatureSpec) -> list[str]:
     return [f"{c}__z" if c in spec.scaled else c for c in spec.pipeline_order()]
 
 
-def _pipeline(train: DataFrame, spec: FeatureSpec, learner) -> Pipeline:
-    stages = [s for s in [_scaler_stage(train, spec)] if s is not None]
+def _pipeline(train: DataFrame, spec: FeatureSpec, learner, scaler_from: DataFrame | None = None) -> Pipeline:
+    stages = [s for s in [_scaler_stage(scaler_from if scaler_from is not None else train, spec)] if s is not None]
     stages.append(VectorAssembler(inputCols=_assembled_cols(spec), outputCol="_features"))
     stages.append(learner)
     return Pipeline(stages=stages)
@@ -80,7 +80,10 @@ def fit_boosted_trees(
     max_depth: int = 4,
     step_size: float = 0.1,
     seed: int = 0,
+    scaler_from: DataFrame | None = None,
 ) -> PipelineModel:
+    """``scaler_from``: fit the scaler on these rows (the original training rows
+    when ``train`` holds synthetic samples)."""
     gbt = GBTClassifier(
         featuresCol="_features", labelCol="_label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
         lossType="logistic", seed=seed, maxBins=32,
@@ -88,7 +91,7 @@ def fit_boosted_trees(
     if weight_col:
         gbt.setWeightCol(weight_col)
     data = ensure_parallelism(train.withColumn("_label", F.col(spec.label).cast("double")))
-    return _pipeline(train, spec, gbt).fit(data)
+    return _pipeline(train, spec, gbt, scaler_from).fit(data)
 
 
 def train_strategy(strategy: str, train: DataFrame, spec: FeatureSpec, max_iter: int = 200, smote_k: int = 5, seed: int = 0) -> PipelineModel:
@@ -100,8 +103,11 @@ def train_strategy(strategy: str, train: DataFrame, spec: FeatureSpec, max_iter:
     if strategy == "smote":
         from costlens.operators.smote import smote
 
-        aug = smote(train, list(spec.pipeline_order()), spec.label, list(spec.id_cols), k=smote_k, seed=seed)
-        return fit_boosted_trees(aug, spec, max_iter=max_iter, seed=seed)
+        # resampling follows the scaler: neighbours in standardised space, scaler
+        # statistics from the original training rows only
+        params = fit_scaler(train, spec.scaled) if spec.scaled else {}
+        aug = smote(train, list(spec.pipeline_order()), spec.label, list(spec.id_cols), k=smote_k, seed=seed, scale=params)
+        return fit_boosted_trees(aug, spec, max_iter=max_iter, seed=seed, scaler_from=train)
     return fit_boosted_trees(train, spec, max_iter=max_iter, seed=seed)
 
 
