@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from costlens.operators import calibration
+from costlens.plans.q_cost import GRID_SQL
 from costlens.plans.q_split import _RN_SQL, _SPLIT3_SQL, KEYS, KEYS_SQL, split3
 from costlens.plans.registry import register
 from costlens.plans.views import SCORED_SQL, with_sql
 
-_ISO_SQL = with_sql(
+_ISO_CTES = [
     SCORED_SQL,
     _RN_SQL,
     _SPLIT3_SQL,
@@ -25,10 +26,11 @@ _ISO_SQL = with_sql(
     f"test AS (SELECT {KEYS_SQL}, score FROM split3 WHERE part = 'test')",
     """lo AS (SELECT t.*, k.x AS lo_x, k.y AS lo_y FROM test t ASOF LEFT JOIN knots k ON t.score >= k.x)""",
     """hl AS (SELECT l.*, k.x AS hi_x, k.y AS hi_y FROM lo l ASOF LEFT JOIN knots k ON l.score <= k.x)""",
-    body=f"""SELECT {KEYS_SQL}, score, round(CASE WHEN lo_x IS NULL THEN hi_y WHEN hi_x IS NULL THEN lo_y
+    f"""iso AS (SELECT {KEYS_SQL}, score, round(CASE WHEN lo_x IS NULL THEN hi_y WHEN hi_x IS NULL THEN lo_y
   WHEN lo_x = hi_x THEN lo_y ELSE lo_y + (hi_y - lo_y) * (score - lo_x) / (hi_x - lo_x) END, 6) AS isotonic_score
-FROM hl""",
-)
+FROM hl)""",
+]
+_ISO_SQL = with_sql(*_ISO_CTES, body="SELECT * FROM iso")
 
 
 @register("isotonic", _ISO_SQL)
@@ -56,3 +58,28 @@ def q_calibration_comparison(spark, sf):
     calib = s.where(F.col("part") == "calib")
     test = s.where(F.col("part") == "test").select("label", "score")
     return calibration.calibration_comparison(calibration.calibrated_scores(test, calib))
+
+
+_CMP_SQL = with_sql(
+    *_ISO_CTES,
+    GRID_SQL,
+    """meth AS (SELECT 'score' AS method, label, score AS s FROM iso
+          UNION ALL SELECT 'isotonic_score' AS method, label, isotonic_score AS s FROM iso)""",
+    """cc AS (SELECT mt.method, g.threshold,
+            sum(CASE WHEN mt.label = 1 AND mt.s < g.threshold THEN 1 ELSE 0 END) AS fn,
+            sum(CASE WHEN mt.label = 0 AND mt.s >= g.threshold THEN 1 ELSE 0 END) AS fp
+          FROM meth mt CROSS JOIN grid g GROUP BY mt.method, g.threshold)""",
+    """best AS (SELECT * FROM (SELECT method, threshold, fn * 500.0::DOUBLE + fp * 5.0::DOUBLE AS cost,
+            row_number() OVER (PARTITION BY method ORDER BY fn * 500.0::DOUBLE + fp * 5.0::DOUBLE, threshold) AS rn FROM cc) t
+          WHERE rn = 1)""",
+    "brier AS (SELECT method, round(avg(power(s - label, 2)), 6) AS brier_score FROM meth GROUP BY method)",
+    body="""SELECT b.method, b.brier_score, best.threshold AS optimal_threshold, best.cost AS optimal_cost
+FROM brier b JOIN best ON b.method = best.method""",
+)
+
+
+@register("calibration_raw_vs_isotonic", _CMP_SQL)
+def q_calibration_raw_vs_isotonic(spark, sf):
+    """L3 for the raw and isotonic scores (isotonic rounded to 1e-6 in both engines)."""
+    iso = q_isotonic(spark, sf)
+    return calibration.calibration_comparison(iso, methods=("score", "isotonic_score"))
