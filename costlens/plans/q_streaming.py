@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.functions import portable_hash
+from costlens.functions import portable_hash, portable_hash_sql
 from costlens.plans.registry import register
 from costlens.plans.views import EVENTS_SQL, events_scored, with_sql
 from costlens.session import scratch_path
@@ -26,8 +26,9 @@ def _replay_events(spark, sf, order_col: str = "event_id"):
     path = scratch_path(spark, "replay")
     if order_col == "event_id":
         write_replay(ev, "event_id", path, n_batches=N_BATCHES)
-    else:  # shuffled arrival order (late data): order by a hash of the id
-        write_replay(ev.withColumn("_arrival", portable_hash(7, "event_id")), "_arrival", path, n_batches=N_BATCHES)
+    else:  # shuffled arrival order (late data): a hash of the id, ties broken by the id
+        arrival = portable_hash(7, "event_id") * F.lit(2147483648) + F.col("event_id")
+        write_replay(ev.withColumn("_arrival", arrival), "_arrival", path, n_batches=N_BATCHES)
     return path
 
 
@@ -65,12 +66,33 @@ def q_stream_hopping_window(spark, sf):
     return res.select("window_start_ms", "window_end_ms", "n", F.round("amount", 6).alias("amount"))
 
 
-@register("stream_late_data")
+_LATE_SQL = with_sql(
+    EVENTS_SQL,
+    f"""arr AS (SELECT event_id, ms, user_id, value,
+          row_number() OVER (ORDER BY {portable_hash_sql(7, 'event_id')} * 2147483648 + event_id) - 1 AS pos,
+          count(*) OVER () AS n FROM events_scored)""",
+    f"b AS (SELECT *, pos // ((n + {N_BATCHES} - 1) // {N_BATCHES}) AS batch FROM arr)",
+    "bm AS (SELECT batch, max(ms) AS mx FROM b GROUP BY batch)",
+    """wm AS (SELECT b1.batch, max(b2.mx) - 3600000 AS wm FROM bm b1 LEFT JOIN bm b2 ON b2.batch < b1.batch GROUP BY b1.batch)""",
+    """t AS (SELECT b.*, wm.wm IS NOT NULL AND b.ms < wm.wm AS late FROM b JOIN wm ON b.batch = wm.batch)""",
+    body="""SELECT x.event_id, x.ms, x.late,
+  CASE WHEN x.late THEN NULL ELSE count(y.event_id) END AS window_count,
+  CASE WHEN x.late THEN NULL ELSE round(sum(y.value), 6) END AS window_sum
+FROM t x LEFT JOIN t y ON NOT x.late AND NOT y.late AND y.user_id = x.user_id AND y.batch <= x.batch
+  AND y.ms > x.ms - 3600000 AND y.ms <= x.ms
+GROUP BY x.event_id, x.ms, x.late""",
+)
+
+
+@register("stream_late_data", _LATE_SQL)
 def q_stream_late_data(spark, sf):
-    """Arrival order shuffled by a hash of the id.  Spark drops rows behind the
-    watermark before the stateful operator; they are accounted for afterwards
-    (replayed input anti-joined with the sink) and returned with late = true,
-    so every event appears once (rows-only check: the late set depends on batching)."""
+    """Arrival order shuffled by a hash of the id (fixed micro-batches).  A row
+    behind the watermark (max event time of earlier batches minus the 1 h
+    delay) is returned with late = true and no window values; rows the engine
+    drops before the stateful function are recovered by anti-joining the
+    replayed input with the sink, so every event appears once.  On-time rows
+    count the on-time rows of their user that arrived no later and fall in
+    (t - 1 h, t]."""
     out, ck = _dirs(spark, "s3")
     replay = _replay_events(spark, sf, "hash")
     res = jobs.trailing_window_job(spark, replay, out, ck, "user_id", 3_600_000, "1 hour")
