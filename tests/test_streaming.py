@@ -34,3 +34,36 @@ def test_dedup_stream(spark):
     ev.where("event_id >= 150").coalesce(1).write.json(f"{path}/b=00001")
     out = jobs.dedup_job(spark, path, scratch_path(spark, "t-dout"), scratch_path(spark, "t-dck"), "1 hour")
     assert out.count() == 300 and out.select("event_id").distinct().count() == 300
+
+
+def test_stream_scores_equal_batch_scores(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from costlens.operators import models
+    from costlens.operators.features import FeatureSpec
+
+    rng = np.random.default_rng(0)
+    n = 400
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] + rng.normal(0, 0.5, n) > 1).astype(int)
+    rows = [(i, 1_700_000_000_000 + i * 1000, i % 5, int(y[i]), *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "rid long, ms long, key long, label int, a double, b double, c double")
+    spec = FeatureSpec(features=("a", "b", "c"), scaled=("a",), label="label")
+    meta = models.train_production(df.where("rid < 300"), df.where("rid >= 300"), spec, str(tmp_path / "m"), max_iter=5)
+    model, meta = models.load_production(spark, str(tmp_path / "m"))
+    batch = {r["rid"]: r["fraud_probability"] for r in models.score_batch(model, meta, df, ["rid"]).collect()}
+    replay = scratch_path(spark, "t-tx")
+    write_replay(df.drop("label"), "ms", replay, n_batches=4)
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("key", T.LongType())]
+                          + [T.StructField(c, T.DoubleType()) for c in ("a", "b", "c")])
+    out = jobs.score_stream_job(
+        spark, replay, schema, model, meta, scratch_path(spark, "t-so"), scratch_path(spark, "t-sc"),
+        key_col="key", time_ms_col="ms", amount_col="a", id_col="rid", keep=["rid"], window_ms=10_000, delay="1 minute",
+    )
+    got = {r["rid"]: r["fraud_probability"] for r in out.collect()}
+    assert set(got) == set(batch)
+    assert max(abs(got[k] - batch[k]) for k in got) < 1e-12
+    # per-key (t - 10 s, t] window; a key's events are 5 s apart -> itself and the previous one
+    w = {r["rid"]: r["window_count"] for r in out.collect()}
+    assert all(w[i] == (1 if i < 5 else 2) for i in range(n))
