@@ -30,3 +30,19 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder, computed once.
+
+    ``checkpoint()`` alone evaluates its input twice (once to count, once to
+    write); persisting around it makes the write read the cached blocks.  The
+    result no longer depends on its lineage, so it survives executor loss."""
+    from costlens.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

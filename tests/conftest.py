@@ -15,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("costlens-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
