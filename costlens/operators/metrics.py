@@ -91,15 +91,12 @@ def precision_at_k(scored: DataFrame, k: int, id_cols: Sequence[str], *, score="
     return top.agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.0)).alias(name))
 
 
-_one_row_join = side_by_side
-
-
 def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_cols: Sequence[str] = ()) -> DataFrame:
     """The 13-metric record of one operating point."""
     c = confusion(scored, threshold)
     r = rank_metrics(scored)
     p = precision_at_k(scored, k, id_cols)
-    row = _one_row_join(c, r, p)
+    row = side_by_side(c, r, p)
     rc = rate_columns()
     return row.select(
         F.lit(float(threshold)).alias("threshold"),
@@ -122,7 +119,7 @@ def evaluate_basic(scored: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     r = rank_metrics(scored, by=by)
     if by:
         return r.join(c, by)
-    return _one_row_join(r, c)
+    return side_by_side(r, c)
 
 
 def reliability_curve(scored: DataFrame, n_bins: int = 10, *, score="score", label="label") -> DataFrame:

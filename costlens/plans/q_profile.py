@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.operators import metrics, profile, runlog
