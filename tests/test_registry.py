@@ -34,3 +34,19 @@ def test_query_matches_oracle(spark, name):
     want = sorted(tuple(round(r[i], 9) if isinstance(r[i], float) else r[i] for i in idx) for r in res.fetchall())
     assert sorted(df.columns) == sorted(cols)
     assert got == want
+
+
+def test_flagship_value_at_sf001(spark):
+    r = E.queries()["optimal_threshold"](spark, "/root/testdata/sf0.01").first()
+    assert (r["optimal_threshold"], r["optimal_cost"]) == (0.19, 268950.0)
+
+
+@pytest.mark.parametrize("sf,want", [("0.001", (349, 79, 56)), ("0.01", (3707, 732, 50)), ("0.1", (36578, 7266, 199))])
+def test_view_positive_counts(spark, sf, want):
+    from pyspark.sql import functions as F
+
+    from costlens.plans.views import events_scored, matrix, scored
+
+    d = f"/root/testdata/sf{sf}"
+    got = tuple(v(spark, d).agg(F.sum("label")).first()[0] for v in (scored, events_scored, matrix))
+    assert got == want
