@@ -70,3 +70,29 @@ def q_tree_shap(spark, sf):
 def q_shap_importance(spark, sf):
     long, _ = _shap(spark, sf)
     return profile.mean_abs_by_feature(long, "contribution", top=10)
+
+
+@register("anomaly_metrics")
+def q_anomaly_metrics(spark, sf):
+    """Reconstruction error as the score: pr_auc, roc_auc and mean error per class,
+    for the linear (PCA) and the ReLU autoencoder detectors."""
+    from costlens.operators.metrics import rank_metrics
+
+    neg, test = _matrix_parts(spark, sf)
+    mean, basis = anomaly.fit_pca(neg, "features", k=8)
+    theta = anomaly.fit_autoencoder(neg, "features", epochs=AE_EPOCHS)
+    out = None
+    for name, scored in (
+        ("pca", anomaly.pca_error(test, "features", mean, basis)),
+        ("relu_autoencoder", anomaly.autoencoder_error(test, "features", theta)),
+    ):
+        s = scored.select("label", F.col("error").alias("score"))
+        means = s.agg(
+            F.round(F.avg(F.when(F.col("label") == 1, F.col("score"))), 6).alias("mean_error_pos"),
+            F.round(F.avg(F.when(F.col("label") == 0, F.col("score"))), 6).alias("mean_error_neg"),
+        )
+        from costlens.operators.frames import attach_one_row
+
+        row = attach_one_row(rank_metrics(s), means).select(F.lit(name).alias("detector"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -118,3 +118,19 @@ def q_smote(spark, sf):
     )
     out = smote(part, ["x_size", "x_price"], "label", ["id"], k=5, seed=0, id_col="id")
     return out.where(F.col("_s").isNotNull()).select(F.col("_s").alias("sample_id"), "x_size", "x_price")
+
+
+@register("baseline_comparison")
+def q_baseline_comparison(spark, sf):
+    """Logistic regression vs boosted trees: pr_auc, roc_auc, f1_at_0.5 on the test part."""
+    from costlens.operators.metrics import evaluate_basic
+
+    train, test = parts(spark, sf)
+    out = None
+    for name, m in (
+        ("logistic", models.fit_logistic(train, SPEC)),
+        ("boosted_trees", models.fit_boosted_trees(train, SPEC, max_iter=GBT_ROUNDS)),
+    ):
+        row = evaluate_basic(models.score(m, test).select("label", "score")).select(F.lit(name).alias("model"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
