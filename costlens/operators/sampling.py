@@ -19,11 +19,14 @@ from costlens.functions import count_le, lex_less_equal, portable_hash
 from costlens.operators.ordered import kth_tuple
 
 
-def smallest_by_hash(df: DataFrame, m: int, id_cols: Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly ``min(m, n)`` rows: those with the smallest portable hash (ties by id)."""
+def smallest_by_hash(
+    df: DataFrame, m: int, id_cols: Sequence[str], seed: int = 0, hash_cols: Sequence[str] | None = None
+) -> DataFrame:
+    """Exactly ``min(m, n)`` rows: those with the smallest portable hash of
+    ``hash_cols`` (default: the id columns), ties broken by the id columns."""
     if m <= 0:
         return df.limit(0)
-    h = df.withColumn("_h", portable_hash(seed, *id_cols))
+    h = df.withColumn("_h", portable_hash(seed, *(hash_cols or id_cols)))
     cols = ["_h", *id_cols]
     n = h.count()
     if m >= n:
@@ -38,12 +41,15 @@ def _class_counts(df: DataFrame, label: str) -> tuple[int, int]:
     return p, int(r["n"]) - p
 
 
-def undersample_majority(df: DataFrame, id_cols: Sequence[str], label: str = "label", ratio: int = 20, seed: int = 0) -> DataFrame:
+def undersample_majority(
+    df: DataFrame, id_cols: Sequence[str], label: str = "label", ratio: int = 20, seed: int = 0,
+    hash_cols: Sequence[str] | None = None,
+) -> DataFrame:
     """All positives + min(ratio * n_pos, n_neg) negatives without replacement."""
     n_pos, n_neg = _class_counts(df, label)
     m = min(ratio * n_pos, n_neg)
     pos = df.filter(F.col(label) == 1)
-    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed)
+    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed, hash_cols)
     return pos.unionByName(neg)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from costlens.operators import calibration
 from costlens.plans.q_cost import GRID_SQL
 from costlens.plans.q_split import _RN_SQL, _SPLIT3_SQL, KEYS, KEYS_SQL, split3
+from costlens.functions import portable_hash_sql
 from costlens.plans.registry import register
 from costlens.plans.views import SCORED_SQL, with_sql
 
@@ -83,3 +84,35 @@ def q_calibration_raw_vs_isotonic(spark, sf):
     """L3 for the raw and isotonic scores (isotonic rounded to 1e-6 in both engines)."""
     iso = q_isotonic(spark, sf)
     return calibration.calibration_comparison(iso, methods=("score", "isotonic_score"))
+
+
+_INT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "time_us"]
+_UNDER_HASH = portable_hash_sql(0, *_INT_KEYS)
+_REL_SQL = with_sql(
+    *_ISO_CTES,
+    """ic AS (SELECT CAST(sum(label) AS BIGINT) AS p, count(*) - CAST(sum(label) AS BIGINT) AS q FROM iso)""",
+    f"""neg AS (SELECT *, row_number() OVER (ORDER BY {_UNDER_HASH}, {KEYS_SQL}) AS rn FROM iso WHERE label <> 1)""",
+    """plot AS (SELECT label, score, isotonic_score FROM iso WHERE label = 1
+      UNION ALL SELECT label, score, isotonic_score FROM neg WHERE rn <= (SELECT least(20 * p, q) FROM ic))""",
+    """long AS (SELECT 'score' AS method, label, score AS s FROM plot
+      UNION ALL SELECT 'isotonic_score' AS method, label, isotonic_score AS s FROM plot)""",
+    """e AS (SELECT method, quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM long GROUP BY method)""",
+    body="""SELECT l.method, CAST(len(list_filter(e.q, lambda x: x < l.s)) AS INTEGER) AS bin,
+  sum(l.label) / count(*) AS prob_true, round(avg(l.s), 6) AS prob_pred, count(*) AS n
+FROM long l JOIN e ON l.method = e.method GROUP BY l.method, 2""",
+)
+
+
+@register("reliability_raw_vs_isotonic", _REL_SQL)
+def q_reliability_raw_vs_isotonic(spark, sf):
+    """Reliability curves (10 quantile bins) of the raw and isotonic test scores on
+    the fraud-oversampled plotting subset: all positives + 20x negatives."""
+    from costlens.operators import metrics, sampling
+
+    iso = q_isotonic(spark, sf)
+    plot = sampling.undersample_majority(iso, KEYS[:-1], ratio=20, seed=0, hash_cols=_INT_KEYS)
+    out = None
+    for method in ("score", "isotonic_score"):
+        curve = metrics.reliability_curve(plot, 10, score=method).select(F.lit(method).alias("method"), "*")
+        out = curve if out is None else out.unionByName(curve)
+    return out
