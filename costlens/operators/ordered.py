@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from costlens.functions import count_le
 from costlens.session import shuffle_partitions
 
-_CASE_TREE_LIMIT = 1024
+_CASE_TREE_LIMIT = 128  # above this, the JVM binary search (Bucketizer) beats a huge generated CASE tree
 
 
 def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
