@@ -29,7 +29,7 @@ def batch_sink(path: str):
 
 
 def sink_to(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    run_available(stream.writeStream.outputMode(mode).foreachBatch(batch_sink(out)), checkpoint)
+    run_available(stream.writeStream.outputMode(mode).foreachBatch(batch_sink(out)), checkpoint, spark=stream.sparkSession)
 
 
 def read_sink(spark: SparkSession, out: str) -> DataFrame:

@@ -77,7 +77,9 @@ def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
-def run_available(query_builder, checkpoint: str, timeout_s: float = 600.0, state_partitions: int | None = None):
+def run_available(
+    query_builder, checkpoint: str, timeout_s: float = 600.0, state_partitions: int | None = None, spark=None
+):
     """Start a writeStream builder with ``availableNow`` and wait for it to finish.
 
     Stateful operators keep one state store per shuffle partition for the whole
@@ -85,9 +87,10 @@ def run_available(query_builder, checkpoint: str, timeout_s: float = 600.0, stat
     count is fixed at the first start from ``spark.sql.shuffle.partitions``.
     It is set here to ``state_partitions`` (default: the cluster's core count)
     just for the start, then the session value is restored."""
-    from pyspark.sql import SparkSession
+    if spark is None:
+        from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+        spark = SparkSession.getActiveSession()
     n = int(state_partitions or spark.sparkContext.defaultParallelism)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
