@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import round6
+from costlens.session import ship_package
 
 
 # ------------------------------------------------------------------ linear --
@@ -43,6 +44,7 @@ def fit_pca(train_neg: DataFrame, features: str, k: int = 8) -> tuple[np.ndarray
 
 
 def pca_error(df: DataFrame, features: str, mean: np.ndarray, basis: np.ndarray, out: str = "error") -> DataFrame:
+    ship_package(df.sparkSession)
     m, p = mean.copy(), basis.copy()
 
     @F.pandas_udf("double")
@@ -137,6 +139,7 @@ def fit_autoencoder(
     bottleneck: int = 8,
 ) -> np.ndarray:
     """Returns the flattened parameter vector."""
+    ship_package(train_neg.sparkSession)
     first = train_neg.select(F.size(features).alias("d")).first()
     d = int(first["d"])
     theta = init_params(d, seed, hidden, bottleneck)
@@ -180,6 +183,7 @@ def fit_autoencoder(
 
 
 def autoencoder_error(df: DataFrame, features: str, theta: np.ndarray, out: str = "error", hidden: int = 20, bottleneck: int = 8) -> DataFrame:
+    ship_package(df.sparkSession)
     th = theta.copy()
 
     @F.pandas_udf("double")

@@ -28,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.session import scratch_path
+from costlens.session import scratch_path, ship_package
 
 
 def tree_table(spark: SparkSession, model: GBTClassificationModel) -> tuple[list[dict], list[float]]:
@@ -103,6 +103,7 @@ def shap_matrix(x: np.ndarray, terms) -> tuple[np.ndarray, float]:
 def tree_shap(model: PipelineModel, df: DataFrame, keys: Sequence[str], feature_names: Sequence[str]) -> tuple[DataFrame, float]:
     """Long SHAP table for the rows of ``df`` (keys kept) and the base value."""
     spark = df.sparkSession
+    ship_package(spark)
     gbt = model.stages[-1]
     nodes, weights = tree_table(spark, gbt)
     terms = leaf_terms(nodes, weights)

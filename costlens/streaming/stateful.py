@@ -87,6 +87,9 @@ def stream_trailing_window(
     """events: streaming frame with (event_id long, ms long, amount double, key_col)
     and an event-time watermark.  Output: one row per event (BASE_SCHEMA plus the
     ``passthrough`` columns with their input types)."""
+    from costlens.session import ship_package
+
+    ship_package(events.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = BASE_SCHEMA + "".join(f", `{c}` {types[c]}" for c in passthrough)
     return events.groupBy(key_col).applyInPandasWithState(
