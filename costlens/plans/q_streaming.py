@@ -147,6 +147,7 @@ def q_stream_score(spark, sf):
     res = jobs.score_stream_job(
         spark, replay, schema, model, meta, out, ck, key_col="l_suppkey", time_ms_col="ms", amount_col="l_extendedprice",
         id_col="rid", keep=["rid", "l_suppkey", "ms"], window_ms=30 * 86_400_000, delay="1 day",
+        rejected_out=scratch_path(spark, "s4-rejected"),
     )
     return res.select("rid", "l_suppkey", "window_count", F.round("window_sum", 6).alias("window_sum"),
                       F.round("fraud_probability", 6).alias("fraud_probability"), "is_fraud", "threshold")

@@ -109,14 +109,22 @@ def score_stream_job(
     keep: Sequence[str],
     window_ms: int,
     delay: str,
+    rejected_out: str | None = None,
 ) -> DataFrame:
     """Decode -> validate -> trailing-window features per entity -> score with
-    the saved production model -> flag -> idempotent sink, in one query."""
+    the saved production model -> flag -> idempotent sink, in one query.
+
+    Rows that break the feature contract are not scored; with ``rejected_out``
+    they go, with their ``reasons``, to their own sink (a second, stateless
+    query over the same source), so no event is silently lost."""
     from costlens.operators.features import validate_contract
 
     raw = read_stream(spark, replay_path, schema, "json")
     feats = list(meta["feature_columns"])
     checked = validate_contract(raw, feats, [c for c in raw.columns if c not in feats])
+    if rejected_out:
+        bad = checked.where("NOT is_valid").drop("is_valid").withColumn("reasons", F.array_join("reasons", ","))
+        sink_to(bad, rejected_out, f"{checkpoint}-rejected")
     ok = checked.where("is_valid").drop("reasons", "is_valid")
     ev = (
         ok.withColumn("event_id", F.col(id_col))

@@ -67,3 +67,36 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     # per-key (t - 10 s, t] window; a key's events are 5 s apart -> itself and the previous one
     w = {r["rid"]: r["window_count"] for r in out.collect()}
     assert all(w[i] == (1 if i < 5 else 2) for i in range(n))
+
+
+def test_stream_scoring_reports_rejected_rows(spark, tmp_path):
+    import json
+
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from costlens.operators import models
+    from costlens.operators.features import FeatureSpec
+
+    rng = np.random.default_rng(1)
+    rows = [(i, 1_700_000_000_000 + i * 1000, i % 3, int(rng.random() < 0.3), float(rng.normal()), float(rng.normal()))
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "rid long, ms long, key long, label int, a double, b double")
+    spec = FeatureSpec(features=("a", "b"), label="label")
+    models.train_production(df.where("rid < 80"), df.where("rid >= 80"), spec, str(tmp_path / "m"), max_iter=3)
+    model, meta = models.load_production(spark, str(tmp_path / "m"))
+    replay = scratch_path(spark, "t-rej")
+    good = [{"rid": r[0], "ms": r[1], "key": r[2], "a": r[4], "b": r[5]} for r in rows[:50]]
+    bad = [{"rid": 1000, "ms": rows[49][1] + 1, "key": 0, "a": None, "b": 1.0}]
+    spark.createDataFrame([(json.dumps(x),) for x in good + bad], "value string").coalesce(1).write.text(f"{replay}/b=00000")
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("key", T.LongType()),
+                           T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    rej = scratch_path(spark, "t-rej-out")
+    out = jobs.score_stream_job(
+        spark, replay, schema, model, meta, scratch_path(spark, "t-rej-o"), scratch_path(spark, "t-rej-c"),
+        key_col="key", time_ms_col="ms", amount_col="b", id_col="rid", keep=["rid"], window_ms=10_000, delay="1 minute",
+        rejected_out=rej,
+    )
+    assert out.count() == 50
+    r = spark.read.parquet(rej).collect()
+    assert [(x["rid"], x["reasons"]) for x in r] == [(1000, "a")]
