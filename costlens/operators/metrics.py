@@ -51,12 +51,28 @@ def rates(scored: DataFrame, threshold: float = 0.5, *, by: Sequence[str] = ())
     return c.select(*by, F.lit(float(threshold)).alias("threshold"), *rate_columns())
 
 
+def score_counts(scored: DataFrame, *, by: Sequence[str] = (), score="score", label="label") -> DataFrame:
+    """(by..., score, pos, cnt): rows collapsed to distinct scores (map-side combine)."""
+    return scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
+
+
+def confusion_from_counts(g: DataFrame, threshold: float, *, by: Sequence[str] = (), score="score") -> DataFrame:
+    """Confusion counts from the distinct-score frame (shares its shuffle with the rank metrics)."""
+    flag = F.col(score) >= F.lit(float(threshold))
+    neg = F.col("cnt") - F.col("pos")
+    zero = F.lit(0).cast("long")
+    return g.groupBy(*by).agg(
+        F.sum(F.when(flag, F.col("pos")).otherwise(zero)).alias("true_positives"),
+        F.sum(F.when(~flag, neg).otherwise(zero)).alias("true_negatives"),
+        F.sum(F.when(flag, neg).otherwise(zero)).alias("false_positives"),
+        F.sum(F.when(~flag, F.col("pos")).otherwise(zero)).alias("false_negatives"),
+    )
+
+
 def rank_metrics(scored: DataFrame, *, by: Sequence[str] = (), score="score", label="label") -> DataFrame:
     """(by..., pr_auc, roc_auc) — AP as a step sum, AUC with half credit for ties."""
     by = list(by)
-    g = scored.groupBy(*by, score).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt")
-    )
+    g = score_counts(scored, by=by, score=score, label=label)
     ps = prefix_sums(g, score, ["pos", "cnt"], by=by, descending=True)
     neg = F.col("cnt") - F.col("pos")
     cum_neg = F.col("cum_cnt") - F.col("cum_pos")
@@ -93,7 +109,7 @@ def precision_at_k(scored: DataFrame, k: int, id_cols: Sequence[str], *, score="
 
 def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_cols: Sequence[str] = ()) -> DataFrame:
     """The 13-metric record of one operating point."""
-    c = confusion(scored, threshold)
+    c = confusion_from_counts(score_counts(scored), threshold)
     r = rank_metrics(scored)
     p = precision_at_k(scored, k, id_cols)
     row = side_by_side(c, r, p)
@@ -115,7 +131,7 @@ def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_co
 def evaluate_basic(scored: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """pr_auc, roc_auc, f1_at_0.5 — the model-comparison triple."""
     by = list(by)
-    c = confusion(scored, 0.5, by=by).select(*by, rate_columns()[2].alias("f1_at_0.5"))
+    c = confusion_from_counts(score_counts(scored, by=by), 0.5, by=by).select(*by, rate_columns()[2].alias("f1_at_0.5"))
     r = rank_metrics(scored, by=by)
     if by:
         return r.join(c, by)
