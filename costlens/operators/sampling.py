@@ -20,15 +20,17 @@ from costlens.operators.ordered import kth_tuple
 
 
 def smallest_by_hash(
-    df: DataFrame, m: int, id_cols: Sequence[str], seed: int = 0, hash_cols: Sequence[str] | None = None
+    df: DataFrame, m: int, id_cols: Sequence[str], seed: int = 0, hash_cols: Sequence[str] | None = None,
+    n: int | None = None,
 ) -> DataFrame:
     """Exactly ``min(m, n)`` rows: those with the smallest portable hash of
-    ``hash_cols`` (default: the id columns), ties broken by the id columns."""
+    ``hash_cols`` (default: the id columns), ties broken by the id columns.
+    ``n`` (the row count of ``df``) saves a pass when the caller knows it."""
     if m <= 0:
         return df.limit(0)
     h = df.withColumn("_h", portable_hash(seed, *(hash_cols or id_cols)))
     cols = ["_h", *id_cols]
-    n = h.count()
+    n = h.count() if n is None else n
     if m >= n:
         return df
     boundary = kth_tuple(h, cols, m)
@@ -49,7 +51,7 @@ def undersample_majority(
     n_pos, n_neg = _class_counts(df, label)
     m = min(ratio * n_pos, n_neg)
     pos = df.filter(F.col(label) == 1)
-    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed, hash_cols)
+    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed, hash_cols, n=n_neg)
     return pos.unionByName(neg)
 
 
@@ -58,7 +60,7 @@ def capped_sample(df: DataFrame, id_cols: Sequence[str], label: str = "label", c
     n_pos, n_neg = _class_counts(df, label)
     m = max(0, min(cap - n_pos, n_neg))
     pos = df.filter(F.col(label) == 1)
-    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed)
+    neg = smallest_by_hash(df.filter(F.col(label) != 1), m, id_cols, seed, n=n_neg)
     return pos.unionByName(neg)
 
 
