@@ -69,8 +69,21 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     )
 
 
+def kafka_available(spark: SparkSession) -> bool:
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider")
+        return True
+    except Exception:
+        return False
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """Broker source from the earliest offset (needs the Kafka connector jar)."""
+    if not kafka_available(spark):
+        raise RuntimeError(
+            "the Kafka connector (spark-sql-kafka) is not on the classpath; add it with --packages/--jars, "
+            "or replay files with write_replay + read_stream"
+        )
     return (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
         .option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("payload"))

@@ -100,3 +100,14 @@ def test_stream_scoring_reports_rejected_rows(spark, tmp_path):
     assert out.count() == 50
     r = spark.read.parquet(rej).collect()
     assert [(x["rid"], x["reasons"]) for x in r] == [(1000, "a")]
+
+
+def test_kafka_source_is_gated(spark):
+    import pytest
+
+    from costlens.streaming.replay import kafka_available, read_kafka
+
+    if kafka_available(spark):
+        pytest.skip("connector present")
+    with pytest.raises(RuntimeError):
+        read_kafka(spark, "localhost:9092", "transactions")
