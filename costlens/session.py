@@ -79,26 +79,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return 8
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``costlens`` importable in executor Python workers (pandas UDFs,
-    ``mapInPandas``, ``applyInPandasWithState``) when it was not submitted with
-    ``--py-files``: the package is zipped once per application and added with
-    ``addPyFile``.  Local mode shares the driver's environment and skips this."""
-    sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_costlens_shipped", False):
-        return
+def package_zip(target_dir: str) -> str:
+    """Zip the ``costlens`` sources into ``target_dir`` (for ``addPyFile``)."""
     import zipfile
 
     import costlens
 
     pkg = os.path.dirname(os.path.abspath(costlens.__file__))
-    # a code artifact for distribution (not data): built next to the driver process
-    target = os.path.join(tempfile.mkdtemp(prefix="costlens-code-"), "costlens.zip")
+    target = os.path.join(target_dir, "costlens.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(target)
+    return target
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``costlens`` importable in executor Python workers (pandas UDFs,
+    ``mapInPandas``, ``applyInPandasWithState``) when it was not submitted with
+    ``--py-files``: the package is zipped once per application and added with
+    ``addPyFile``.  Local mode shares the driver's environment and skips this."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_costlens_shipped", False):
+        return
+    # a code artifact for distribution (not data): built next to the driver process
+    sc.addPyFile(package_zip(tempfile.mkdtemp(prefix="costlens-code-")))
     sc._costlens_shipped = True
