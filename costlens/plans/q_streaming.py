@@ -76,7 +76,7 @@ _LATE_SQL = with_sql(
     """wm AS (SELECT b1.batch, max(b2.mx) - 3600000 AS wm FROM bm b1 LEFT JOIN bm b2 ON b2.batch < b1.batch GROUP BY b1.batch)""",
     """t AS (SELECT b.*, wm.wm IS NOT NULL AND b.ms < wm.wm AS late FROM b JOIN wm ON b.batch = wm.batch)""",
     body="""SELECT x.event_id, x.ms, x.late,
-  CASE WHEN x.late THEN NULL ELSE count(y.event_id) END AS window_count,
+  CASE WHEN x.late THEN 0 ELSE count(y.event_id) END AS window_count,
   CASE WHEN x.late THEN NULL ELSE round(sum(y.value), 6) END AS window_sum
 FROM t x LEFT JOIN t y ON NOT x.late AND NOT y.late AND y.user_id = x.user_id AND y.batch <= x.batch
   AND y.ms > x.ms - 3600000 AND y.ms <= x.ms
@@ -88,7 +88,8 @@ GROUP BY x.event_id, x.ms, x.late""",
 def q_stream_late_data(spark, sf):
     """Arrival order shuffled by a hash of the id (fixed micro-batches).  A row
     behind the watermark (max event time of earlier batches minus the 1 h
-    delay) is returned with late = true and no window values; rows the engine
+    delay) is returned with late = true, window_count 0 and a null
+    window_sum; rows the engine
     drops before the stateful function are recovered by anti-joining the
     replayed input with the sink, so every event appears once.  On-time rows
     count the on-time rows of their user that arrived no later and fall in
@@ -99,7 +100,7 @@ def q_stream_late_data(spark, sf):
     on_time = res.select("event_id", "ms", "late", "window_count", F.round("window_sum", 6).alias("window_sum"))
     sent = spark.read.schema(jobs.EVENT_SCHEMA).json(replay)
     dropped = sent.join(on_time.select("event_id"), "event_id", "left_anti").select(
-        "event_id", "ms", F.lit(True).alias("late"), F.lit(None).cast("long").alias("window_count"),
+        "event_id", "ms", F.lit(True).alias("late"), F.lit(0).cast("long").alias("window_count"),
         F.lit(None).cast("double").alias("window_sum"),
     )
     return on_time.unionByName(dropped)

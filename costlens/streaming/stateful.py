@@ -7,8 +7,8 @@ event can still see.  Each micro-batch merges the new events into the state
 batch RANGE frame W1 when events arrive in time order.
 
 Late data: an event behind the watermark (time < watermark) is not windowed;
-it is emitted with ``late = true`` and null window values, so it is counted,
-not silently lost.
+it is emitted with ``late = true``, ``window_count = 0`` and a null
+``window_sum``, so it is counted, not silently lost.
 Pairs older than watermark - w are dropped from the state, and keys idle past
 the window time out and free their state, so state per key is bounded by the
 events of one window plus the watermark delay.
@@ -70,7 +70,7 @@ def _window_fn(window_ms: int, passthrough: Sequence[str]):
         parts = [frame(key, on_time, (hi - lo).astype(np.int64), csum[hi] - csum[lo], False)]
         if late_mask.any():
             late = new[late_mask]
-            parts.append(frame(key, late, pd.array([None] * len(late), dtype="Int64"), np.full(len(late), np.nan), True))
+            parts.append(frame(key, late, np.zeros(len(late), dtype=np.int64), np.full(len(late), np.nan), True))
         # every later on-time event has t >= watermark, so older pairs can go
         keep = ms_sorted > (wm - w) if wm > 0 else np.ones(len(ms_sorted), dtype=bool)
         state.update((ms_sorted[keep].tolist(), amt_sorted[keep].tolist()))
