@@ -50,3 +50,14 @@ def test_view_positive_counts(spark, sf, want):
     d = f"/root/testdata/sf{sf}"
     got = tuple(v(spark, d).agg(F.sum("label")).first()[0] for v in (scored, events_scored, matrix))
     assert got == want
+
+
+@pytest.mark.parametrize("name", FAST + ["stream_late_data", "class_balance", "validate_contract"])
+def test_pandas_dtypes_match_oracle(spark, name):
+    """The driver may hash pandas frames: both engines must give the same dtypes."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    a = E.queries()[name](spark, SF).toPandas()
+    b = con.execute(E.oracle_sql()[name]).df()
+    assert {c: str(a[c].dtype) for c in a.columns} == {c: str(b[c].dtype) for c in b.columns}
