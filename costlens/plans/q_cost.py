@@ -9,7 +9,7 @@ from costlens.plans.views import SCORED_SQL, scored, with_sql
 GRID_SQL = "grid AS (SELECT i AS ti, i * 0.01::DOUBLE AS threshold FROM range(101) t(i))"
 
 
-def _counts_sql(grid_cte: str, by: str = "") -> str:
+def _counts_sql(by: str = "") -> str:
     """Naive oracle: every threshold against every row (cross join)."""
     sel_by = f"s.{by}, " if by else ""
     grp_by = f", s.{by}" if by else ""
@@ -32,7 +32,7 @@ def _list_grid(values) -> str:
 _CURVE_SQL = with_sql(
     SCORED_SQL,
     GRID_SQL,
-    _counts_sql(""),
+    _counts_sql(),
     body="SELECT threshold, tp, fp, fn, tn, fn * 500.0::DOUBLE + fp * 5.0::DOUBLE AS cost FROM counts",
 )
 
@@ -47,7 +47,7 @@ def q_threshold_cost_curve(spark, sf):
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql(""),
+        _counts_sql(),
         body="""SELECT threshold AS optimal_threshold, fn * 500.0::DOUBLE + fp * 5.0::DOUBLE AS optimal_cost
 FROM counts ORDER BY optimal_cost, optimal_threshold LIMIT 1""",
     ),
@@ -79,7 +79,7 @@ _OPT_CTE = """opt AS (SELECT threshold AS t_opt FROM counts ORDER BY fn * 500.0:
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql(""),
+        _counts_sql(),
         _OPT_CTE,
         _list_grid(cost.FIXED_THRESHOLDS).replace("grid AS", "fixed AS"),
         """fc AS (
@@ -106,7 +106,7 @@ def q_fixed_threshold_table(spark, sf):
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql(""),
+        _counts_sql(),
         _OPT_CTE,
         """two AS (
   SELECT
@@ -142,7 +142,7 @@ _SWEEP_SQL = """sweep AS (
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql(""),
+        _counts_sql(),
         _RATIOS_SQL,
         _SWEEP_SQL,
         body="""SELECT cost_ratio, cost_ratio * 5.0::DOUBLE AS cost_fn, 5.0::DOUBLE AS cost_fp,
@@ -158,7 +158,7 @@ def q_cost_ratio_sweep(spark, sf):
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql(""),
+        _counts_sql(),
         _RATIOS_SQL,
         _SWEEP_SQL,
         body="""SELECT cost_ratio, threshold AS optimal_threshold,
@@ -177,7 +177,7 @@ def q_enriched_sensitivity(spark, sf):
     with_sql(
         SCORED_SQL,
         GRID_SQL,
-        _counts_sql("", "segment"),
+        _counts_sql("segment"),
         _RATIOS_SQL,
         body="""SELECT segment, cost_ratio, cost_ratio * 5.0::DOUBLE AS cost_fn, 5.0::DOUBLE AS cost_fp,
   threshold AS optimal_threshold, cost AS optimal_cost
