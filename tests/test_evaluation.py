@@ -79,3 +79,14 @@ def test_reliability_curve_bins(spark):
     rows = metrics.reliability_curve(scored_frame(spark, y, p ** 3), 10).collect()
     assert 1 <= len(rows) <= 10
     assert sum(r["n"] for r in rows) == 2000
+
+
+def test_percentile_report_pins(spark):
+    from costlens.operators import profile
+
+    empty = spark.createDataFrame([], "v double")
+    r = profile.percentile_report(empty, "v", (50, 95)).first()
+    assert (r["count"], r["p50"], r["p95"]) == (0, None, None)
+    vals = [float(x) for x in range(1, 101)]
+    r = profile.percentile_report(spark.createDataFrame([(v,) for v in vals], "v double"), "v", (50, 95)).first()
+    assert (r["count"], r["p50"], r["p95"]) == (100, float(np.percentile(vals, 50)), round(float(np.percentile(vals, 95)), 6))
