@@ -99,6 +99,10 @@ def density_histogram(df: DataFrame, value: str, bins: int = 48, label: str = "l
     the last bin is closed; empty bins are present with density 0."""
     v = F.col(value).cast("double")
     rng = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if rng["lo"] is None:  # no data: no bins
+        return df.sparkSession.createDataFrame(
+            [], f"{label} {df.schema[label].dataType.simpleString()}, bin int, bin_lo double, count long, density double"
+        )
     lo, hi = float(rng["lo"]), float(rng["hi"])
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")

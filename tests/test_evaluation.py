@@ -90,3 +90,15 @@ def test_percentile_report_pins(spark):
     vals = [float(x) for x in range(1, 101)]
     r = profile.percentile_report(spark.createDataFrame([(v,) for v in vals], "v double"), "v", (50, 95)).first()
     assert (r["count"], r["p50"], r["p95"]) == (100, float(np.percentile(vals, 50)), round(float(np.percentile(vals, 95)), 6))
+
+
+def test_density_histogram_edges(spark):
+    from costlens.operators import profile
+
+    empty = spark.createDataFrame([], "label int, x double")
+    assert profile.density_histogram(empty, "x", 4).count() == 0
+    df = spark.createDataFrame([(0, 0.0), (0, 1.0), (1, 4.0), (1, 4.0)], "label int, x double")
+    rows = {(r["label"], r["bin"]): (r["count"], r["density"]) for r in profile.density_histogram(df, "x", 4).collect()}
+    assert len(rows) == 8  # every class x bin, empty bins included
+    assert rows[(1, 3)] == (2, 2 / (2 * 1.0))  # the maximum falls in the closed last bin
+    assert rows[(0, 0)] == (1, 0.5) and rows[(0, 1)] == (1, 0.5) and rows[(0, 2)] == (0, 0.0)
