@@ -140,6 +140,8 @@ def clipped_histogram(df: DataFrame, value: str, bins: int = 50, clip_pct: float
     from costlens.operators.ordered import percentile_values
 
     cap = percentile_values(df, value, [clip_pct / 100.0])[0]
+    if cap is None or cap <= 0:  # no data (or nothing above 0): no bins
+        return df.sparkSession.createDataFrame([], "bin int, n long")
     v = F.col(value).cast("double")
     inside = df.where((v >= 0) & (v <= F.lit(cap)))
     b = F.least(F.floor(v * F.lit(bins / cap)), F.lit(bins - 1)).cast("int")

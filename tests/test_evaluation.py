@@ -102,3 +102,13 @@ def test_density_histogram_edges(spark):
     assert len(rows) == 8  # every class x bin, empty bins included
     assert rows[(1, 3)] == (2, 2 / (2 * 1.0))  # the maximum falls in the closed last bin
     assert rows[(0, 0)] == (1, 0.5) and rows[(0, 1)] == (1, 0.5) and rows[(0, 2)] == (0, 0.0)
+
+
+def test_clipped_histogram_edges(spark):
+    from costlens.operators import profile
+
+    assert profile.clipped_histogram(spark.createDataFrame([], "v double"), "v").count() == 0
+    vals = [float(x) for x in range(1, 1001)]
+    rows = profile.clipped_histogram(spark.createDataFrame([(v,) for v in vals], "v double"), "v", 10, 99.5).collect()
+    cap = np.percentile(vals, 99.5)
+    assert sum(r["n"] for r in rows) == sum(1 for v in vals if v <= cap)
