@@ -44,6 +44,12 @@ def counts_curve(
     agg = scored.groupBy(*by, count_le(score, g).alias("_b")).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_cnt")
     )
+    if not by:
+        # a zero-count row changes no sum but makes every threshold present even for empty input
+        zero = scored.sparkSession.range(1).select(
+            F.lit(0).alias("_b"), F.lit(0).cast("long").alias("_pos"), F.lit(0).cast("long").alias("_cnt")
+        )
+        agg = agg.unionByName(zero)
     exploded = agg.select(
         *by,
         "_b",
