@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one block stay near ``limit`` bytes (a single longer text is its own block)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
         begin = total = 0
         for i, size in enumerate(sizes):
             if i > begin and total + (size or 0) > limit:

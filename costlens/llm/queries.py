@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import exact_dedup
+from costlens.llm import exact_dedup, simple8b, token_counts
 from costlens.llm.common import read
 
 
@@ -15,8 +15,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.encoded_corpus(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_simple8b": op10_simple8b,
 }
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": exact_dedup.ORACLE,
