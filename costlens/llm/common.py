@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,36 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             yield batch.slice(begin)
 
 
+#: Bits of the prefilter's bitmap (1 MB): fixed, whatever the number of ids.
+MAP_BITS = 1 << 23
+
+
+def prefilter(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) whose ``doc_id`` may be among ``ids``, so that the exact semi join after it
+    shuffles few texts.  The bitmap has a fixed size; with very many ids it passes more rows, never fewer."""
+    spark = docs.sparkSession
+    on_workers(spark)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits")
+    )
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    found = words.toPandas()  # at most MAP_BITS / 64 rows
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bitmap = spark.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.uint64)
+            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            out = batch.filter(pa.array(hit.astype(bool)))
+            if out.num_rows:
+                yield out.select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
+
+
 def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all their columns) whose ``doc_id`` is among ``kept``; rows with a null id stay."""
     ids = kept.select(F.col("doc_id").alias("_kept_id"))

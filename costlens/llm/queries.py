@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import exact_dedup, simple8b, token_counts
+from costlens.llm import exact_dedup, jaccard_join, simple8b, token_counts
 from costlens.llm.common import read
 
 
@@ -25,15 +25,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.ngram_components(read(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encoded_corpus(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simple8b": op10_simple8b,
 }
 ORACLES: dict[str, str] = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
