@@ -32,53 +32,55 @@ from costlens.session import scratch_path
 WIDTHS = [(60 // n, n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)]
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-#: Pieces whose ids a task remembers (a bound on its memory; beyond it the library is asked again).
-MEMO_WORDS = 1_500_000
+#: Words, and pieces of words, whose ids a worker remembers (bounds on its memory; beyond them it starts anew).
+MEMO_WORDS = 500_000
+MEMO_PIECES = 800_000
 _U = np.uint64
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Ids (below 2**64) as 64-bit words, greedily the selector with most ids first.
 
-    The greedy choice at every position is computed at once; the chain of positions actually used is then followed."""
+    The greedy choice at every position is computed at once, from sliding maxima of the ids' bit lengths; the chain of
+    positions actually used is then followed."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    ids = ids.astype(np.uint64)
-    small = ids < _U(1 << 60)
-    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)  # rounding may only add a bit
-    bits[~small] = 99
-    choice = np.full(n, ESCAPE, np.int8)
-    step = np.ones(n, np.int64)
-    left = n - np.arange(n)
-    for s in range(len(WIDTHS) - 1, -1, -1):
+    pad = WIDTHS[0][1]
+    ids = np.concatenate([ids.astype(np.uint64), np.zeros(pad, np.uint64)])
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)  # rounding may only add a bit
+    longest, most = {1: bits[: n + pad]}, bits
+    choice = np.where(bits[:n] <= WIDTHS[-1][0], np.uint8(len(WIDTHS) - 1), np.uint8(ESCAPE))
+    for s in range(len(WIDTHS) - 2, -1, -1):
         width, many = WIDTHS[s]
-        fits = bits <= width
-        if not fits.any():
-            continue
-        # a run of at least min(many, ids left) fitting ids starts here
-        bad = np.concatenate([[0], np.cumsum(~fits)])
-        reach = np.minimum(many, left)
-        ok = bad[np.arange(n) + reach] == bad[:n]
-        choice[ok], step[ok] = s, reach[ok]
-    at, used, jump = 0, [], step.tolist()
+        had = max(k for k in longest if k <= many)
+        most = longest[had]
+        while had < many:  # a window of `had` joined with one that ends at the wider window's end
+            step = min(had, many - had)
+            most = np.maximum(most[: len(most) - step], most[step:])
+            had += step
+        longest[many] = most
+        if len(most) >= n:
+            choice = np.where(most[:n] <= width, np.uint8(s), choice)
+    jump = np.array([m for _, m in WIDTHS] + [0, 1])[choice].tolist()
+    at, used = 0, []
     while at < n:
         used.append(at)
         at += jump[at]
     used = np.asarray(used)
     chosen = choice[used]
-    slot = np.cumsum(np.where(chosen == ESCAPE, 2, 1)) - np.where(chosen == ESCAPE, 2, 1)
-    out = np.zeros(int(slot[-1]) + (2 if chosen[-1] == ESCAPE else 1), np.uint64)
-    for s in np.unique(chosen):
+    takes = np.where(chosen == ESCAPE, 2, 1)
+    slot = np.cumsum(takes) - takes
+    out = np.zeros(int(takes.sum()), np.uint64)
+    for s in np.unique(chosen).tolist():
         mine = np.flatnonzero(chosen == s)
-        first, word = used[mine], np.full(len(mine), _U(int(s)) << _U(60))
+        first, word = used[mine], np.full(len(mine), _U(s << 60))
         if s == ESCAPE:
             out[slot[mine]], out[slot[mine] + 1] = word, ids[first]
             continue
         width, many = WIDTHS[s]
         for j in range(many):
-            has = first + j < n
-            word[has] |= ids[np.minimum(first + j, n - 1)][has] << _U(j * width)
+            word |= ids[first + j] << _U(j * width)
         out[slot[mine]] = word
     return out
 
@@ -112,75 +114,70 @@ def unpack(words: np.ndarray, count: int) -> np.ndarray:
     return out[:count]
 
 
-#: Fixed by the tokenizer file: its splitting pattern, spelled out for the characters of ``_PLAIN`` in lower case.
+#: Fixed by the tokenizer file: its splitting pattern, spelled out for the characters of ``_PLAIN``, in lower case.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f"
 _SYMBOLS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
-_PLAIN = re.compile(rf"[{_LETTERS}0-9{_SYMBOLS}\s]*", re.ASCII)
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_SYMBOLS}]*")
 
 
 class WordIds:
-    """Ids of whole texts through the ids of their pieces.
-
-    The tokenizer lower-cases, folds white space to a blank, splits into pieces and drops blanks, so a text's ids are its
-    pieces' ids in order, and each distinct piece goes to the library once while it is remembered.  A text of plain
-    characters (Latin letters, ASCII) is cut by the tokenizer's pattern; any other text, and one with a special token's
-    mark, is cut at ASCII white space only, which no rule of the tokenizer looks across."""
-
-    def __init__(self, path: str, memo: int = MEMO_WORDS):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.model, self.limit = Tokenizer.from_file(path), memo
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-
-    @staticmethod
-    def pieces(text: str) -> list:
-        low = text.lower()
-        if "<|" not in low and _PLAIN.fullmatch(low):
-            return _PIECES.findall(low)
-        return text.encode().split()
-
-    def learn(self, new: list) -> None:
-        memo, k = self.memo, len(self.memo)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            texts = [p if isinstance(p, str) else p.decode() for p in part]
-            for p, e in zip(part, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = e.ids
-                end = self.used + len(ids)
-                if end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                if k == len(self.begin):
-                    self.begin = np.concatenate([self.begin, np.zeros(k, np.int64)])
-                    self.size = np.concatenate([self.size, np.zeros(k, np.int32)])
-                self.flat[self.used : end] = ids
-                self.begin[k], self.size[k], memo[p] = self.used, len(ids), k
-                self.used, k = end, k + 1
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of each text's ids)"""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.memo) > self.limit:
+    """Ids of whole texts through the ids of their words.
+
+    The tokenizer lower-cases, folds white space to a blank, splits into pieces and drops blanks; no rule of it looks
+    across white space, so a text's ids are its words' ids in order.  A word of plain characters (Latin letters, ASCII)
+    is cut by the tokenizer's own pattern and its new pieces go to the library's model; any other word, and one with a
+    special token's mark, goes to the whole tokenizer.  Words and pieces are remembered as id bytes, up to a bound."""
+
+    def __init__(self, path: str, words: int = MEMO_WORDS, pieces: int = MEMO_PIECES):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        model, to_bytes = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def piece(p: str) -> bytes:
+            spelled = p if p.isascii() else to_bytes.pre_tokenize_str(p)[0][0]
+            return np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+
+        known = _Memo(piece, pieces)
+
+        def word(w: bytes) -> bytes:
+            text = w.decode()
+            low = text.lower()
+            if "<|" not in text and _PLAIN.fullmatch(low):
+                return b"".join(map(known.__getitem__, _PIECES.findall(low)))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        self.words = _Memo(word, words)
+
+    def __call__(self, text: str) -> np.ndarray:
+        data = text.encode()
+        if b"<|" not in data:  # case does not matter then
+            data = data.lower()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
+
+
+class _Memo(dict):
+    """Remembers what ``make`` gave for a key; emptied when it holds ``limit`` keys."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
             self.clear()
-        self.learn(list(set().union(*cut).difference(self.memo)))
-        get = self.memo.__getitem__
-        counts, parts = np.zeros(len(cut), np.int64), []
-        for i, c in enumerate(cut):
-            which = np.fromiter(map(get, c), np.int64, len(c))
-            size = self.size[which].astype(np.int64)
-            total = int(size.sum())
-            counts[i] = total
-            at = np.repeat(self.begin[which] - (np.cumsum(size) - size), size) + np.arange(total)
-            parts.append(self.flat[at])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
+        self[key] = out = self.make(key)
+        return out
+
+
+_loaded: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, which serves many tasks."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
 
 
 FILE = "file int, block long, split boolean, doc_ids array<long>, counts array<int>, first long, total long, words binary"
@@ -196,25 +193,26 @@ def _write(path: str, end: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, file, block = WordIds(path), TaskContext.get().partitionId(), 0
+        encode, file, block = word_ids(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
         held: list[np.ndarray] = []
+        size = 0
 
         def whole() -> tuple:
             ids = np.concatenate(held)
             return (file, block, False, list(docs), [len(h) for h in held], 0, len(ids), pack(ids).astype("<u8").tobytes())
 
         for texts in blocks(batches):
-            ids, counts = encode(texts.column("text").to_pylist())
-            rows, at = [], 0
-            for doc, n in zip(texts.column("doc_id").to_pylist(), counts.tolist(), strict=True):
-                own, at = np.append(ids[at : at + n], np.uint32(end)), at + n
-                if held and sum(map(len, held)) + len(own) > limit:
+            rows = []
+            for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
+                own = np.append(encode(text), np.uint32(end))
+                if held and size + len(own) > limit:
                     rows.append(whole())
-                    docs, held, block = [], [], block + 1
+                    docs, held, size, block = [], [], 0, block + 1
                 if len(own) <= limit:
                     docs.append(doc)
                     held.append(own)
+                    size += len(own)
                     continue
                 for i in range(0, len(own), limit):
                     part = own[i : i + limit]

@@ -81,18 +81,16 @@ def brute_ids(texts):
 
 @given(st.lists(st.text(st.characters(codec="utf-8") | st.sampled_from("ab 's.,!?éñ́\t\nİſΣ<|1")), max_size=8))
 @settings(max_examples=150, deadline=None)
-def test_pieces_give_the_ids_of_the_whole_text(texts):
-    global _encode
-    try:
-        encode = _encode
-    except NameError:
-        encode = _encode = simple8b.WordIds(WORD)
-        encode.library = encode.model
-    ids, counts = encode(texts)
-    at = 0
-    for t, n in zip(texts, counts, strict=True):
-        assert ids[at : at + n].tolist() == encode.model.encode(t, add_special_tokens=False).ids
-        at += n
+def test_words_give_the_ids_of_the_whole_text(texts):
+    encode = simple8b.word_ids(WORD)
+    for t in texts:
+        assert encode(t).tolist() == encode.library.encode(t, add_special_tokens=False).ids
+
+
+def test_full_memos_start_anew():
+    encode = simple8b.WordIds(WORD, words=5, pieces=3)
+    for t in ODD:
+        assert encode(t or "").tolist() == encode.library.encode(t or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [simple8b.BLOCK_IDS, 50])
