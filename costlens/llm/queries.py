@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import exact_dedup, jaccard_join, simple8b, token_counts
+from costlens.llm import bpe_transducer, exact_dedup, jaccard_join, simple8b, token_counts
 from costlens.llm.common import read
 
 
@@ -29,6 +29,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_components(read(spark, sf_dir, "documents"), 3, 90)
 
 
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    return bpe_transducer.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encoded_corpus(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -36,6 +43,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_bpe_transducer": op8_bpe_transducer,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simple8b": op10_simple8b,
 }

@@ -118,3 +118,90 @@ def test_token_files_keep_repeated_and_null_ids(spark):
     rows = simple8b.encoded_corpus(docs, WORD).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (0, 2), (1, 3), (1, 3)]
     assert sorted(r.start for r in rows)[0] == 0
+
+
+BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def library():
+    import tiktoken
+
+    from costlens.llm import bpe_transducer
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_transducer.read_ranks(BYTES), special_tokens={})
+
+
+LIBRARY = library()
+
+
+def through(texts):
+    from costlens.llm import bpe_transducer as B
+
+    encode, tables = B.coder(BYTES, public_tokenizers.PATTERN)
+    for t in texts:
+        ids = encode(t)
+        assert ids.tolist() == LIBRARY.encode_ordinary(t), t
+        assert "".join(B._stream(tables, ids)) == t
+
+
+@given(st.lists(st.text(st.characters(codec="utf-8") | st.sampled_from("abcdeinrst 's.,!?éñ́\t\n 中文12")), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_transducer_equals_the_library(texts):
+    through(texts)
+
+
+def test_transducer_on_odd_and_long_texts():
+    rng = random.Random(1)
+    long_ = ["".join(rng.choices("abn", k=2000)), "a" * 3000, " " * 999 + "x", "-" * 700, "=+" * 400, "ñandú" * 300, "​" * 200, "ab" * 999, "Aa" * 500]
+    through([t or "" for t in ODD] + long_)
+
+
+def test_small_bounds_change_nothing():
+    from costlens.llm import bpe_transducer as B
+
+    ranks = B.read_ranks(BYTES)
+    t = B.Transducer(ranks, states=3)
+    for text in ("internationalisation", "aaaaaaaaaaaaaaa", "ththththeeee"):
+        assert t.encode(text.encode()) == LIBRARY.encode_ordinary(text)
+
+
+@given(st.lists(st.integers(0, 50255), max_size=60), st.integers(1, 7))
+@settings(max_examples=200, deadline=None)
+def test_streaming_decoder_on_any_ids_in_any_portions(ids, step):
+    from costlens.llm import bpe_transducer as B
+
+    _, tables = B.coder(BYTES, public_tokenizers.PATTERN)
+    decoder = B.StreamDecoder(tables)
+    got = "".join(decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)) + decoder.finish()
+    assert got == b"".join(tables.bytes_of[i] for i in ids).decode("utf-8", "replace")
+
+
+@given(st.binary(max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_utf8_machine(data):
+    from costlens.llm import bpe_transducer as B
+
+    state, out = b"", ""
+    for b in data:
+        text, state = B.utf8_step(state, b)
+        out += text
+    assert out + ("�" if state else "") == data.decode("utf-8", "replace")
+
+
+def test_round_trip_query(spark):
+    import hashlib
+
+    from costlens.llm import bpe_transducer as B
+
+    docs = frame(spark, ODD)
+    rows = {r.doc_id: r for r in B.round_trip(docs, BYTES, public_tokenizers.PATTERN).collect()}
+    assert len(rows) == len(ODD)
+    for i, t in enumerate(ODD):
+        ids = LIBRARY.encode_ordinary(t or "")
+        r = rows[i * 3 - 5]
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    tokens = B.encoded(docs, BYTES, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.text for r in B.decoded(tokens, BYTES, public_tokenizers.PATTERN).collect()} == {i * 3 - 5: t or "" for i, t in enumerate(ODD)}
+    assert B.round_trip(docs.limit(0), BYTES, public_tokenizers.PATTERN).collect() == []
