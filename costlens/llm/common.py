@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.session import scratch_path, ship_package
@@ -107,3 +107,22 @@ def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all their columns) whose ``doc_id`` is not among ``dropped``."""
     ids = dropped.select(F.col("doc_id").alias("_dropped_id"))
     return docs.join(ids, docs["doc_id"].cast("long") == ids["_dropped_id"], "left_anti")
+
+
+#: Labelled rows that a classifier is fitted on at most.
+TRAIN_ROWS = 20_000
+
+
+def held_out(modulus: int, held: int) -> Column:
+    """Whether a row is kept from learning: crc32 of the id as text, modulo ``modulus``, is ``held``; a null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, text, label (0 or 1) of at most ``rows`` labelled documents that are not held out, chosen by a hash of the
+    id.  The chosen labels, bounded by ``rows``, are broadcast, so no text is shuffled."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out(modulus, held))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # a repeated label row counts once
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import bpe_transducer, exact_dedup, jaccard_join, simple8b, token_counts
+from costlens.llm import bpe_transducer, exact_dedup, jaccard_join, quality, simple8b, token_counts, toxicity
 from costlens.llm.common import read
 
 
@@ -25,6 +25,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_components(read(spark, sf_dir, "documents"), 3, 90)
 
@@ -42,6 +52,8 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_exact_dedup": op9_exact_dedup,

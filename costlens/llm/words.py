@@ -20,6 +20,8 @@ _LOWER[65:91] += 32
 _BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: All of ASCII but letters: for words without punctuation and digits.
+NOT_LETTERS = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _BASE = _U(0x9E3779B97F4A7C15)
 _STEP = _U(0xD6E8FEB86659FD93)
 
@@ -51,12 +53,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8) if parts else np.zeros(0, np.uint8), base
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, apart: np.ndarray = _SPACE) -> Words:
+    """``apart``: for every byte, whether it separates words (the line feed must)."""
     data, base = text_bytes(column)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), none, none, none, np.zeros(len(base), np.int64), base)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]  # the last byte is a line feed, so every word ends
     first = np.searchsorted(start, base)
