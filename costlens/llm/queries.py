@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import bpe_transducer, exact_dedup, jaccard_join, quality, simple8b, token_counts, toxicity
+from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, quality, simple8b, token_counts, toxicity
 from costlens.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,

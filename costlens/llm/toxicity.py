@@ -1,8 +1,8 @@
 """Toxicity: a counterfactually regularised linear classifier on word presence.
 
 Training uses a bounded sample of labelled documents (``rows``, 20,000 unless told otherwise).  Spark counts in how many
-toxic and other documents of the sample every word occurs; the ``size`` words that tell most (chi-squared) and all
-identity terms are the features.  In every labelled sentence with an identity term the term is swapped for the others of
+toxic and other documents of the sample every word occurs; the at most ``size`` words that tell most (by a chi-squared of
+``CHI`` or more) and all identity terms are the features.  In every labelled sentence with an identity term the term is swapped for the others of
 its group, which gives pairs of sentences that differ in nothing but the group they mention.  The loss is logistic,
 plus ``l2`` |w|^2, plus ``fair`` times the mean squared change of the margin over those pairs: a mention of a group as
 such cannot raise the score, while real insults beside it still do.
@@ -29,6 +29,8 @@ from costlens.llm.words import NOT_LETTERS, Words, words_of
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 VOCABULARY = 512
+#: Least chi-squared of a feature word: far beyond what chance gives the best of millions of words.
+CHI = 30.0
 #: Terms that name groups of people, by kind; swapped within a kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -184,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int =
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).filter("t + o >= 3")
     gap = F.col("t") * neg - F.col("o") * pos
     held = F.col("t") + F.col("o")
-    chi = gap.cast("double") * gap / (held * (pos + neg - held) + 1)
-    best = counts.withColumn("chi", chi).orderBy(F.desc("chi"), "word").limit(size).select("word").collect()
+    rest = pos + neg - held
+    chi = gap.cast("double") * gap * (pos + neg) / (held * rest * F.lit(float(pos) * neg) + 1)
+    best = counts.withColumn("chi", chi).filter(F.col("chi") >= CHI).orderBy(F.desc("chi"), "word").limit(size).select("word").collect()
     terms, partners = _identity(groups)
     vocabulary = np.union1d(np.array([r["word"] for r in best], np.int64).view(np.uint64), terms)
     number = {h: i for i, h in enumerate(vocabulary.tolist())}
