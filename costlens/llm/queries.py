@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, quality, simple8b, token_counts, toxicity
+from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, quality, simple8b, surrogates, token_counts, toxicity
 from costlens.llm.common import read
 
 
@@ -19,6 +19,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Stands in for the secret that a user of the operator passes.
+SURROGATE_KEY = "registered-query"
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -56,6 +64,7 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_surrogates": op2_surrogates,
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
