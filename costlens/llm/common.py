@@ -67,34 +67,47 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             yield batch.slice(begin)
 
 
-#: Bits of the prefilter's bitmap (1 MB): fixed, whatever the number of ids.
-MAP_BITS = 1 << 23
+#: Bounds on the bits of a bitmap that is sent to all tasks (16 MB at most).
+MAP_LEAST, MAP_MOST = 1 << 16, 1 << 27
+
+
+class Bitmap:
+    """Set of 64-bit codes that errs on one side: it may say yes to others, never no to a member.
+
+    32 bits a code keep wrong answers at 3 %; beyond ``MAP_MOST`` bits they grow in number, so an exact join has to
+    follow.  Built by Spark as 64-bit words, of which the driver sees at most ``MAP_MOST`` / 64."""
+
+    def __init__(self, codes: DataFrame):
+        """``codes``: one long column named code."""
+        many = codes.count()
+        self.bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(0, 32 * many - 1).bit_length()))
+        slot = F.col("code").bitwiseAND(F.lit(self.bits - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        words = codes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        table, found = np.zeros(self.bits // 64, np.int64), words.toPandas()
+        table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.table = codes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each of ``codes`` (64-bit) may be a member."""
+        slot = codes.astype(np.uint64) & np.uint64(self.bits - 1)
+        return ((self.table.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def prefilter(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` (doc_id, text) whose ``doc_id`` may be among ``ids``, so that the exact semi join after it
-    shuffles few texts.  The bitmap has a fixed size; with very many ids it passes more rows, never fewer."""
-    spark = docs.sparkSession
-    on_workers(spark)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits")
-    )
-    table = np.zeros(MAP_BITS // 64, np.int64)
-    found = words.toPandas()  # at most MAP_BITS / 64 rows
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    bitmap = spark.sparkContext.broadcast(table.view(np.uint64))
+    shuffles few texts."""
+    on_workers(docs.sparkSession)
+    code = F.xxhash64("doc_id").alias("code")
+    bitmap = Bitmap(ids.select(code))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
-            at = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            out = batch.filter(pa.array(hit.astype(bool)))
+            out = batch.filter(pa.array(bitmap.has(batch.column("code").to_numpy(zero_copy_only=False))))
             if out.num_rows:
                 yield out.select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return docs.select("doc_id", "text", code).mapInArrow(run, "doc_id long, text string")
 
 
 def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:

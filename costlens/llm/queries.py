@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, quality, simple8b, surrogates, token_counts, toxicity
+from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, quality, simple8b, suffix_dedup, surrogates, token_counts, toxicity
 from costlens.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_surrogates": op2_surrogates,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
