@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, id_text, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import blocks, drop_ids, id_text, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import distinct_by_doc, mix, shingles_of, words_of
 
 _U = np.uint64
@@ -386,3 +386,12 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, region_rows
     out = linked.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Stage form: of every component the document with the smallest id stays, with all its columns.  An id stays if any
+    of its rows does; rows without id stay."""
+    found = ngram_components(docs, k, percent).filter("doc_id is not null")
+    stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).filter("stays = 0").select("doc_id")
+    return drop_ids(docs, saved(gone, "jaccard-gone"))

@@ -29,8 +29,8 @@ from costlens.llm.words import NOT_LETTERS, Words, words_of
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 VOCABULARY = 512
-#: Least chi-squared of a feature word: far beyond what chance gives the best of millions of words.
-CHI = 30.0
+#: Least chi-squared of a feature word (chance gives it to one word in ten thousand).
+CHI = 15.0
 #: Terms that name groups of people, by kind; swapped within a kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
