@@ -4,9 +4,10 @@
 adjacent pair is the encoding of its two tokens' bytes (no merge ever crosses a boundary).  That makes BPE a
 nondeterministic transducer reading bytes left to right: it extends an open token along the vocabulary's prefixes, or
 closes it if the pair with the token before is allowed.  Every prefix of the input has exactly one closed hypothesis.
-The transducer is determinised as bytes arrive: a state is the set of open hypotheses with the tokens on which they do
-not agree yet; tokens on which all agree are emitted.  An open token is no longer than the longest vocabulary entry, so
-the lookahead is bounded by its length.  States and transitions are made when first needed and kept up to a bound.
+The transducer is determinised as bytes arrive: a state is the set of open hypotheses (open token, token before it), a
+transition outputs the token that its byte closes.  A token is emitted when all open hypotheses agree on it; an open
+token is no longer than the longest vocabulary entry, so the lookahead, and what is held back, is bounded by that length
+whatever the length of the piece.  States and transitions are made when first needed and kept up to a bound.
 
 Text is cut into pieces by the tokenizer's pattern; a piece that is itself a token is that token (the library's rule,
 also where merges would not reach it).  Outputs of whole pieces are remembered up to a bound.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from costlens.llm.common import blocks, id_text, on_workers, small_batches
 
 #: Bounds on what a worker remembers; beyond them it starts anew.
 MEMO_STATES = 100_000
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_000_000
 #: Ids that the streaming decoder is fed at once.
 FEED = 1 << 16
 
@@ -42,40 +44,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class State:
-    __slots__ = ("hypotheses", "moves", "rest")
-
-    def __init__(self, hypotheses: tuple):
-        self.hypotheses = hypotheses
-        self.moves: dict[int, tuple] = {}
-        #: what the input's end emits: the pending tokens of the closed hypothesis
-        self.rest = next((p for o, _, p in hypotheses if not o), ())
+#: Low bits of a transition hold the next state, the others the token closed.
+_STATE_BITS = 24
 
 
 class Transducer:
-    """Bytes of one piece to token ids."""
+    """Bytes of one piece to token ids.
+
+    A state is a number; its hypotheses, longest first, are (bytes of the open token, token before it), the last one just
+    closed.  Transitions are numbers by state and byte, so that the tables hold nothing the garbage collector must walk."""
 
     def __init__(self, ranks: dict[bytes, int], states: int = MEMO_STATES):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}  # strictly shorter: can still grow
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
         self.limit = states
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(((b"", -1, ()),))
-        self.states: dict[tuple, State] = {self.start.hypotheses: self.start}
+        start = ((b"", -1),)
+        self.hypotheses = [start]
+        self.number: dict[tuple, int] = {start: 0}
+        self.moves: dict[int, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The merges as defined: again and again the leftmost adjacent pair of lowest rank.  Used on two tokens' bytes."""
+        never, get = 1 << 60, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        rank = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while rank and (low := min(rank)) < never:
+            at = rank.index(low)
+            parts[at : at + 2] = (parts[at] + parts[at + 1],)
+            del rank[at]
+            if at < len(rank):
+                rank[at] = get(parts[at] + parts[at + 1], never)
+            if at:
+                rank[at - 1] = get(parts[at - 1] + parts[at], never)
         return [self.ranks[p] for p in parts]
 
     def allowed(self, last: int, token: int) -> bool:
@@ -83,45 +91,77 @@ class Transducer:
             own = self.own[token] = self.merged(self.bytes_of[token]) == [token]
         if last < 0 or not own:
             return own
-        if (ok := self.pairs.get((last, token))) is None:
+        pair = last << 32 | token
+        if (ok := self.pairs.get(pair)) is None:
             if len(self.pairs) >= 10 * self.limit:
                 self.pairs.clear()
-            ok = self.pairs[last, token] = self.merged(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+            data = self.bytes_of[last] + self.bytes_of[token]
+            joined = self.ranks.get(data, -1)  # a token that merges reach would take the place of the two
+            ok = (joined < 0 or not self.allowed(-1, joined)) and self.merged(data) == [last, token]
+            self.pairs[pair] = ok
         return ok
 
-    def move(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        """(tokens emitted, next state); determinises this transition."""
-        follow = []
-        for opened, last, pending in state.hypotheses:
-            grown = opened + bytes((byte,))
+    def move(self, state: int, byte: int) -> int:
+        """Determinises a transition: the token closed by this byte, and the next state, in one number."""
+        add, closed, follow = bytes((byte,)), -1, []
+        for opened, last in self.hypotheses[state]:
+            grown = opened + add
             if grown in self.prefixes:
-                follow.append((grown, last, pending))
-            token = self.ranks.get(grown)
-            if token is not None and self.allowed(last, token):
-                follow.append((b"", token, (*pending, token)))
-        agreed = 0
-        first = follow[0][2]
-        while agreed < len(first) and all(len(p) > agreed and p[agreed] == first[agreed] for _, _, p in follow):
-            agreed += 1
-        key = tuple(sorted((o, t, p[agreed:]) for o, t, p in follow))
-        if (to := self.states.get(key)) is None:
-            if len(self.states) >= self.limit:
+                follow.append((grown, last))
+            if closed < 0:  # exactly one hypothesis can close here
+                token = self.ranks.get(grown, -1)
+                if token >= 0 and self.allowed(last, token):
+                    closed = token
+        follow.append((b"", closed))
+        key = tuple(follow)
+        if (to := self.number.get(key)) is None:
+            if len(self.number) >= self.limit:
                 self.reset()
-            to = self.states[key] = State(key)
-        state.moves[byte] = out = (first[:agreed], to)
+                state = -1  # its number now means another state
+            to = self.number[key] = len(self.hypotheses)
+            self.hypotheses.append(key)
+        out = closed << _STATE_BITS | to
+        if state >= 0:
+            self.moves[state << 8 | byte] = out
+        return out
+
+    def back(self, closed: list[int], end: int) -> list[int]:
+        """The tokens of the hypothesis that is closed before place ``end``; ``closed[i]``: the one closed by byte i."""
+        out = []
+        while end:
+            token = closed[end - 1]
+            out.append(token)
+            end -= self.length[token]
+        out.reverse()
         return out
 
+    def agreed(self, closed: list[int], state: int) -> list[int]:
+        """Tokens that all open hypotheses have in common, from the beginning."""
+        paths = [self.back(closed, len(closed) - len(opened)) for opened, _ in self.hypotheses[state]]
+        n, least = 0, min(map(len, paths))
+        while n < least and all(p[n] == paths[0][n] for p in paths):
+            n += 1
+        return paths[0][:n]
+
+    def emitted(self, piece: bytes) -> Iterator[int]:
+        """Tokens as soon as no open hypothesis disagrees, looked for every few longest tokens' lengths."""
+        state, closed, some = 0, [], (1 << _STATE_BITS) - 1
+        for byte in piece:
+            out = self.moves.get(state << 8 | byte, -1)
+            if out < 0:
+                out = self.move(state, byte)
+            closed.append(out >> _STATE_BITS)
+            state = out & some
+            if len(closed) > 8 * self.longest:
+                ready = self.agreed(closed, state)
+                yield from ready
+                del closed[: sum(self.length[t] for t in ready)]
+        yield from self.back(closed, len(closed))
+
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        out: list[int] = []
-        state = self.start
-        for byte in piece:
-            emitted, state = state.moves.get(byte) or self.move(state, byte)
-            if emitted:
-                out += emitted
-        out += state.rest
-        return out
+        return list(self.emitted(piece))
 
 
 class Pieces(dict):
@@ -137,13 +177,31 @@ class Pieces(dict):
         return out
 
 
+#: Letters, symbols and white space of texts that the plain form of the common pattern cuts.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_SYMBOLS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_SYMBOLS} \t\n\r\x0b\x0c]*")
+
+
+def plain_form(pattern: str):
+    """``pattern`` with its Unicode classes spelled out for plain texts (the standard engine is twice as fast there);
+    None if it uses others."""
+    classes = (r"[^\s\p{L}\p{N}]", f"[{_SYMBOLS}]"), (r"\p{L}", f"[{_LETTERS}]"), (r"\p{N}", "[0-9]")
+    for long_, short in classes:
+        pattern = pattern.replace(long_, short)
+    return None if r"\p" in pattern else re.compile(pattern).findall
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.cut = regex.compile(pattern).findall
+        self.any, self.plain = regex.compile(pattern).findall, plain_form(pattern)
         self.pieces = Pieces(Transducer(ranks))
 
+    def cut(self, text: str) -> list[str]:
+        return self.plain(text) if self.plain and _PLAIN.fullmatch(text) else self.any(text)
+
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), "<u4")
 

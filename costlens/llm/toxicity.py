@@ -171,7 +171,7 @@ def solve(doc: np.ndarray, feature: np.ndarray, label: np.ndarray, size: int, sw
     return w[:size], float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = VOCABULARY, l2: float = 1e-5, fair: float = 1.0, groups: tuple = IDENTITY, column: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = VOCABULARY, l2: float = 5e-7, fair: float = 1.0, groups: tuple = IDENTITY, column: str = "toxic") -> Model:
     """Learn from the labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
