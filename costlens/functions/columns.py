@@ -104,16 +104,23 @@ def epoch_micros(ts: ColumnOrName) -> Column:
 
 
 def lex_less_equal(cols: Sequence[ColumnOrName], values: Sequence[object]) -> Column:
-    """(c0, c1, ...) <= (v0, v1, ...) in lexicographic order, as plain predicates.
+    """(c0, c1, ...) <= (v0, v1, ...) in lexicographic order with null first, as plain predicates that are never null.
 
     Written out instead of a struct comparison so that each conjunct can be
     pushed to the parquet scan and types need not match a struct literal.
+    A value is a plain one or has a ``lit()`` that gives its column.
     """
     assert len(cols) == len(values) and cols
     c = [col(x) for x in cols]
-    expr = c[-1] <= F.lit(values[-1])
+    v = [x.lit() if hasattr(x, "lit") else F.lit(x) for x in values]
+
+    def less(i: int, strict: bool) -> Column:
+        below = c[i] < v[i] if strict else c[i] <= v[i]
+        return F.coalesce(below, c[i].isNull() & (v[i].isNotNull() if strict else F.lit(True)))
+
+    expr = less(len(c) - 1, False)
     for i in range(len(c) - 2, -1, -1):
-        expr = (c[i] < F.lit(values[i])) | ((c[i] == F.lit(values[i])) & expr)
+        expr = less(i, True) | (c[i].eqNullSafe(v[i]) & expr)
     return expr
 
 

@@ -69,6 +69,10 @@ def confusion_from_counts(g: DataFrame, threshold: float, *, by: Sequence[str] =
     )
 
 
+#: Counts of up to 10^19 rows: their products fit decimal(38, 0) where a long overflows.
+_EXACT = "decimal(19,0)"
+
+
 def rank_metrics(scored: DataFrame, *, by: Sequence[str] = (), score="score", label="label") -> DataFrame:
     """(by..., pr_auc, roc_auc) — AP as a step sum, AUC with half credit for ties."""
     by = list(by)
@@ -80,13 +84,13 @@ def rank_metrics(scored: DataFrame, *, by: Sequence[str] = (), score="score", la
         F.sum("pos").alias("_P"),
         F.sum(neg).alias("_N"),
         F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_cnt")).alias("_ap"),
-        F.sum(F.col("pos") * (2 * cum_neg - neg)).alias("_s"),
+        F.sum(F.col("pos").cast(_EXACT) * (2 * cum_neg - neg)).cast("decimal(38,0)").alias("_s"),
     )
     P, N = F.col("_P"), F.col("_N")
     return agg.select(
         *by,
         F.when(P > 0, round6(F.col("_ap") / P)).alias("pr_auc"),
-        F.when((P > 0) & (N > 0), (2 * N * P - F.col("_s")) / (F.lit(2.0) * P * N)).alias("roc_auc"),
+        F.when((P > 0) & (N > 0), ((2 * N).cast(_EXACT) * P.cast(_EXACT) - F.col("_s")).cast("double") / (F.lit(2.0) * P * N)).alias("roc_auc"),
     )
 
 

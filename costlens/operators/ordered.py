@@ -12,52 +12,75 @@ partition would pull every row into one task; instead:
    offset with a window over that tiny frame;
 4. a window partitioned by bucket adds the offset to the in-bucket running sum.
 
-Every step is partitioned; the only driver traffic is the edge list and, for
-selections, the handful of rows that answer the question.
+Every step is partitioned and the same at every size; the only driver traffic is the
+edge list and, for selections, the handful of rows that answer the question.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costlens.functions import count_le
+from costlens.functions import lex_less_equal
+from costlens.functions.columns import epoch_micros
 from costlens.session import shuffle_partitions
 
-_CASE_TREE_LIMIT = 128  # above this, the JVM binary search (Bucketizer) beats a huge generated CASE tree
-
-
 def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
     if n_buckets:
         return max(1, int(n_buckets))
     return min(65536, max(16, 4 * shuffle_partitions(df.sparkSession)))
 
 
-def range_edges(df: DataFrame, order_col: str, n_buckets: int | None = None) -> list[float]:
-    """Sorted distinct approximate quantile edges of ``order_col`` (as doubles)."""
+def order_key(df: DataFrame, order_col: str) -> Column:
+    """A double that never decreases in the order of ``order_col`` (any orderable atomic type; null first, NaN last).
+
+    It only deals values to range buckets; inside a bucket the column itself orders.  Strings and binaries use the six
+    bytes after the prefix that the smallest and the largest value share."""
+    c, kind = F.col(order_col), df.schema[order_col].dataType.typeName()
+    if kind in ("string", "binary", "varchar", "char"):
+        ends = df.agg(F.hex(F.min(c).cast("binary")).alias("lo"), F.hex(F.max(c).cast("binary")).alias("hi")).first()
+        skip = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""])) // 2
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), skip + 1, 6)), 12, "0")
+        key = F.conv(head, 16, 10).cast("double")
+    elif kind == "timestamp":
+        key = F.unix_micros(c).cast("double")
+    elif kind == "timestamp_ntz":
+        key = epoch_micros(c).cast("double")
+    elif kind == "date":
+        key = F.unix_date(c).cast("double")
+    elif kind == "boolean":
+        key = c.cast("int").cast("double")
+    else:
+        key = c.cast("double")
+    key = F.when(F.isnan(key), F.lit(float("inf"))).otherwise(key)
+    return F.coalesce(key, F.lit(float("-inf")))
+
+
+def range_edges(df: DataFrame, order_col: str, n_buckets: int | None = None, key: Column | None = None) -> list[float]:
+    """Sorted distinct approximate quantile edges of the column's order key."""
     b = _bucket_count(df, n_buckets)
     if b <= 1:
         return []
     qs = [i / b for i in range(1, b)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000).alias("e")).first()
+    key = order_key(df, order_col) if key is None else key
+    finite = df.select(key.alias("k")).filter(F.abs("k") < F.lit(float("inf")))
+    row = finite.agg(F.percentile_approx("k", qs, 10000).alias("e")).first()
     return sorted({float(x) for x in (row["e"] or []) if x is not None})
 
 
-def bucketize(df: DataFrame, order_col: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Range bucket = number of edges <= value (monotone in the value)."""
-    if len(edges) <= _CASE_TREE_LIMIT:
-        return df.withColumn(out, count_le(F.col(order_col).cast("double"), edges))
-    from pyspark.ml.feature import Bucketizer  # binary search in the JVM for long edge lists
+def bucketize(df: DataFrame, key: Column, edges: Sequence[float], out: str) -> DataFrame:
+    """Range bucket = number of edges <= key, by the JVM's binary search; every row keeps a bucket."""
+    if not len(edges):
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
 
     tmp = f"{out}__d"
-    bz = Bucketizer(
-        splits=[float("-inf"), *edges, float("inf")], inputCol=tmp, outputCol=out, handleInvalid="keep"
-    )
-    return bz.transform(df.withColumn(tmp, F.col(order_col).cast("double"))).drop(tmp).withColumn(
-        out, F.col(out).cast("int")
-    )
+    bz = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=tmp, outputCol=out, handleInvalid="error")
+    return bz.transform(df.withColumn(tmp, key)).drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
 def prefix_sums(
@@ -69,6 +92,7 @@ def prefix_sums(
     descending: bool = False,
     n_buckets: int | None = None,
     prefix: str = "cum_",
+    totals_prefix: str = "",
     edges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``: inclusive running total of each ``c`` in ``order_col`` order.
@@ -77,24 +101,29 @@ def prefix_sums(
     order values would get an arbitrary relative order.  ``edges_from`` takes the
     bucket edges from another (cheaper) frame with the same value distribution;
     any edges give exact sums, only the bucket balance depends on them.
+    ``totals_prefix`` also adds each group's totals under that prefix.
     """
     by = list(by)
-    edges = range_edges(edges_from if edges_from is not None else df, order_col, n_buckets)
+    key = order_key(df, order_col)
+    edges = range_edges(edges_from if edges_from is not None else df, order_col, n_buckets, key)
     nb = len(edges)
-    dfb = bucketize(df, order_col, edges, "_bkt")
+    dfb = bucketize(df, key, edges, "_bkt")
     if descending:
         dfb = dfb.withColumn("_bkt", F.lit(nb) - F.col("_bkt"))
     totals = dfb.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    # totals has at most (nb + 1) rows per group: the window over it is tiny.
-    w_tot = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    # totals has at most (nb + 1) rows per group: the windows over it are tiny.
+    w_all = Window.partitionBy(*by)
+    w_tot = w_all.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
-        "_bkt",
+        *[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)],
+        F.col("_bkt").alias("_b"),
         *[F.coalesce(F.sum(f"_t_{c}").over(w_tot), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(w_all).alias(f"{totals_prefix}{c}") for c in sum_cols if totals_prefix],
     )
     if not by:
         offsets = F.broadcast(offsets)  # bounded by the number of buckets
-    joined = dfb.join(offsets, on=[*by, "_bkt"], how="inner")
+    same = [F.col("_bkt") == F.col("_b"), *[F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]]
+    joined = dfb.join(offsets, on=_and(same), how="inner").drop("_b", *[f"_g{i}" for i in range(len(by))])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = joined
@@ -103,39 +132,38 @@ def prefix_sums(
     return out.drop("_bkt", *[f"_o_{c}" for c in sum_cols])
 
 
-SMALL_GROUPS = 4096
+@dataclass(frozen=True)
+class Bound:
+    """A value of a column as text that its type reads back exactly, so that no driver-side type is involved."""
+
+    text: str | None
+    kind: str
+
+    def lit(self) -> Column:
+        if self.text is None:
+            return F.lit(None).cast(self.kind)
+        if self.kind == "timestamp":
+            return F.timestamp_micros(F.lit(int(self.text)))
+        if self.kind == "binary":
+            return F.unhex(F.lit(self.text))
+        return F.lit(self.text).cast(self.kind)
+
+    @staticmethod
+    def text_of(df: DataFrame, name: str) -> Column:
+        kind = df.schema[name].dataType.simpleString()
+        c = F.col(name)
+        return (F.unix_micros(c) if kind == "timestamp" else F.hex(c) if kind == "binary" else c).cast("string")
 
 
 def select_ranks(
-    grouped: DataFrame,
-    order_col: str,
-    count_col: str,
-    ks: Sequence[int],
-    n_buckets: int | None = None,
-    small_limit: int = SMALL_GROUPS,
+    grouped: DataFrame, order_col: str, count_col: str, ks: Sequence[int], n_buckets: int | None = None
 ) -> list[dict]:
-    """For each 1-based rank k, the row of ``grouped`` (one row per distinct value,
-    ``count_col`` rows each) that holds the k-th smallest element, with
-    ``before`` = number of elements with a smaller value.
-
-    When there are at most ``small_limit`` distinct values (checked with a
-    bounded ``limit``), they are ranked on the driver; otherwise the selection
-    is a distributed prefix sum."""
+    """For each 1-based rank k, the value (a :class:`Bound`) of ``grouped`` (one row per distinct value, ``count_col``
+    rows each) that holds the k-th smallest element, its count, and ``before`` = number of elements with a smaller
+    value: a distributed prefix sum of which only the rows that answer come to the driver."""
     ks = [int(k) for k in ks]
     if not ks:
         return []
-    if small_limit > 0:
-        few = grouped.select(order_col, count_col).limit(small_limit + 1).collect()
-        if len(few) <= small_limit:
-            few.sort(key=lambda r: r[order_col])
-            out, before, i = [], 0, 0
-            for k in sorted(ks):
-                while i < len(few) and before + few[i][count_col] < k:
-                    before += few[i][count_col]
-                    i += 1
-                if i < len(few):
-                    out.append({"k": k, "value": few[i][order_col], "count": few[i][count_col], "before": before})
-            return sorted(out, key=lambda h: ks.index(h["k"]))
     ps = prefix_sums(grouped, order_col, [count_col], n_buckets=n_buckets)
     cum = F.col(f"cum_{count_col}")
     before = cum - F.col(count_col)
@@ -143,21 +171,22 @@ def select_ranks(
     for k in ks:
         cond = (before < F.lit(k)) & (cum >= F.lit(k))
         hit = cond if hit is None else hit | cond
-    rows = ps.filter(hit).select(order_col, count_col, before.alias("before")).collect()
+    kind = grouped.schema[order_col].dataType.simpleString()
+    rows = ps.filter(hit).select(
+        Bound.text_of(grouped, order_col).alias("text"), F.col(count_col).alias("count"), before.alias("before")
+    ).collect()
     out = []
     for k in ks:
         for r in rows:
-            if r["before"] < k <= r["before"] + r[count_col]:
-                out.append({"k": k, "value": r[order_col], "count": r[count_col], "before": r["before"]})
+            if r["before"] < k <= r["before"] + r["count"]:
+                out.append({"k": k, "value": Bound(r["text"], kind), "count": r["count"], "before": r["before"]})
                 break
     return out
 
 
-def kth_tuple(
-    df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None = None, small_limit: int = SMALL_GROUPS
-) -> list:
-    """Values (v0, .., vL) such that exactly ``k`` rows satisfy
-    (c0, .., cL) <= (v0, .., vL) lexicographically.
+def boundary(df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None = None) -> tuple[list[Bound], int, int]:
+    """(bounds, left, tied): the rows that are lexicographically at most ``bounds`` (null first) are the first ``k``
+    if ``left`` is 0; otherwise ``tied`` rows equal ``bounds`` in all ``cols`` and ``left`` of them belong to the first k.
 
     Refines level by level: the k-th value of c0, then, only among the rows
     tied on it, the residual rank on c1, and so on.  Each level is an exact
@@ -165,21 +194,58 @@ def kth_tuple(
     value's tie group, and the filter on it is pushed to the scan.
     """
     if k <= 0:
-        return []
-    prefix: list = []
-    cur = df
+        return [], 0, 0
+    bounds: list[Bound] = []
+    cur, tied = df, 0
     for c in cols:
         grouped = cur.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        hit = select_ranks(grouped, c, "_n", [k], n_buckets=n_buckets, small_limit=small_limit)
+        hit = select_ranks(grouped, c, "_n", [k], n_buckets=n_buckets)
         if not hit:
             raise ValueError(f"rank {k} exceeds the row count")
         h = hit[0]
-        prefix.append(h["value"])
-        k -= h["before"]
-        if k == h["count"]:
-            return prefix
-        cur = cur.filter(F.col(c) == F.lit(h["value"]))
-    raise ValueError("tie columns do not form a unique key: cannot place an exact boundary")
+        bounds.append(h["value"])
+        k, tied = k - h["before"], h["count"]
+        if k == tied:
+            return bounds, 0, tied
+        cur = cur.filter(F.col(c).eqNullSafe(h["value"].lit()))
+    return bounds, k, tied
+
+
+def kth_tuple(df: DataFrame, cols: Sequence[str], k: int, n_buckets: int | None = None) -> list[Bound]:
+    """Values (v0, .., vL) such that exactly ``k`` rows satisfy
+    (c0, .., cL) <= (v0, .., vL) lexicographically; ``cols`` must order all rows."""
+    bounds, left, _ = boundary(df, cols, k, n_buckets)
+    if left:
+        raise ValueError("tie columns do not form a unique key: cannot place an exact boundary")
+    return bounds
+
+
+def mark_first(df: DataFrame, cols: Sequence[str], k: int, out: str, n_buckets: int | None = None) -> DataFrame:
+    """``df`` with a boolean ``out`` that is true for exactly ``min(k, rows)`` rows: the first in the order of ``cols``.
+
+    Rows that tie in all of ``cols`` are ordered by a digest of the whole row; of rows equal in every column any are
+    taken.  Without such copies at the boundary this is a narrow predicate against literals."""
+    if k <= 0:
+        return df.withColumn(out, F.lit(False))
+    bounds, left, _ = boundary(df, cols, k, n_buckets)
+    if not left:
+        return df.withColumn(out, lex_less_equal(list(cols)[: len(bounds)], bounds))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.withColumn("_row", F.md5(F.to_json(whole)))
+    order = [*cols, "_row"]
+    bounds, left, tied = boundary(keyed, order, k, n_buckets)
+    names = order[: len(bounds)]
+    if not left:
+        return keyed.withColumn(out, lex_less_equal(names, bounds)).drop("_row")
+    same = _and([F.col(c).eqNullSafe(b.lit()) for c, b in zip(names, bounds)])
+    others = keyed.filter(~same).withColumn(out, lex_less_equal(names, bounds)).drop("_row")
+    # the copies are one row and a number: written out again in chunks over all tasks
+    chunk = 100_000
+    one = keyed.filter(same).limit(1).select(whole.alias("_v"))
+    spread = one.select("_v", F.explode(F.sequence(F.lit(0), F.lit((tied - 1) // chunk))).alias("_c")).repartition("_c")
+    number = F.sequence(F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, F.lit(tied)))
+    copies = spread.select("_v", F.explode(number).alias("_i")).select("_v.*", (F.col("_i") <= left).alias(out))
+    return others.unionByName(copies)
 
 
 def exact_percentiles(
@@ -190,43 +256,29 @@ def exact_percentiles(
     by: Sequence[str] = (),
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolation percentiles (numpy's default), exact, distributed.
+    """Linear-interpolation percentiles (numpy's default), exact, distributed; nulls are left out.
 
-    Returns (by..., q, value).  Rank positions are ``q * (n - 1)``; the two
-    neighbouring order statistics are found by a range join of the prefix-sum
-    frame with the (small) frame of wanted ranks.
+    Returns (by..., q, value); a group without values has no row.  Rank positions are
+    ``q * (n - 1)``; the rows of the prefix-sum frame that hold one of the two neighbouring
+    order statistics say so themselves, from their running count and their group's total.
     """
     by = list(by)
-    counts = df.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    ps = prefix_sums(counts, value_col, ["_n"], by=by, n_buckets=n_buckets)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_tot"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    ranks = (
-        sizes.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_tot", F.explode(qarr).alias("q"))
-        .withColumn("_pos", F.col("q") * (F.col("_tot") - 1))
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_tot") - 1))
-        .withColumn("_frac", F.col("_pos") - F.col("_lo"))
+    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    ps = prefix_sums(counts, value_col, ["_n"], by=by, n_buckets=n_buckets, totals_prefix="tot_")
+    start, end = F.col("cum__n") - F.col("_n"), F.col("cum__n")
+
+    def rank(q: float) -> Column:
+        pos = F.lit(float(q)) * (F.col("tot__n") - 1)
+        lo = F.floor(pos)
+        hi = F.least(lo + 1, F.col("tot__n") - 1)
+        holds = lambda r: F.when((start <= r) & (end > r), F.col(value_col).cast("double"))
+        return F.struct(F.lit(float(q)).alias("q"), (pos - lo).alias("frac"), holds(lo).alias("lo"), holds(hi).alias("hi"))
+
+    held = F.filter(F.array(*[rank(q) for q in qs]), lambda r: r["lo"].isNotNull() | r["hi"].isNotNull())
+    agg = ps.select(*by, F.explode(held).alias("_r")).groupBy(*by, F.col("_r.q").alias("q")).agg(
+        F.max("_r.frac").alias("_f"), F.max("_r.lo").alias("_lo"), F.max("_r.hi").alias("_hi")
     )
-    if not by:
-        ranks = F.broadcast(ranks)  # one row per wanted percentile
-    start = F.col("cum__n") - F.col("_n")
-    cond = [(start <= F.col("_hi")) & (F.col("cum__n") > F.col("_lo"))]
-    cond += [F.col(b) == F.col(f"_g{i}") for i, b in enumerate(by)]
-    j = ps.join(ranks, on=_and(cond), how="inner")
-
-    def covers(r: str) -> Column:
-        return (start <= F.col(r)) & (F.col("cum__n") > F.col(r))
-
-    agg = j.select(
-        *by,
-        "q",
-        "_frac",
-        F.when(covers("_lo"), F.col(value_col)).alias("_vlo"),
-        F.when(covers("_hi"), F.col(value_col)).alias("_vhi"),
-    ).groupBy(*by, "q", "_frac").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"))
-    value = F.col("_vlo").cast("double") + (F.col("_vhi").cast("double") - F.col("_vlo").cast("double")) * F.col("_frac")
-    return agg.select(*by, "q", value.alias("value"))
+    return agg.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
 
 
 def _and(conds: list[Column]) -> Column:

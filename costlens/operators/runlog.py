@@ -1,8 +1,10 @@
-"""Run metrics as a long table (A9): (run_id, experiment, kind, key, value).
+"""Run metrics as a long table (A9): (run_id, experiment, kind, key, value, text).
 
 A metric record (one row, many columns) is unpivoted and appended to a parquet
 dataset partitioned by experiment, so every run of every analysis is queryable
-with plain SQL afterwards.
+with plain SQL afterwards.  A metric has a number in ``value``, a parameter its
+spelling in ``text`` (and in ``value`` too if it is a number), so both kinds
+share one dataset and one schema.
 """
 
 from __future__ import annotations
@@ -13,19 +15,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SCHEMA = "run_id string, experiment string, kind string, key string, value double, text string"
+
+
 def metrics_long(record: DataFrame, run_id: str, experiment: str, kind: str = "metric") -> DataFrame:
     cols = record.columns
     wide = record.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     long = wide.unpivot([], [F.col(f"`{c}`") for c in cols], "key", "value")
     return long.select(
-        F.lit(run_id).alias("run_id"), F.lit(experiment).alias("experiment"), F.lit(kind).alias("kind"), "key", "value"
+        F.lit(run_id).alias("run_id"),
+        F.lit(experiment).alias("experiment"),
+        F.lit(kind).alias("kind"),
+        "key",
+        "value",
+        F.lit(None).cast("string").alias("text"),
     )
 
 
 def params_long(spark, params: Mapping[str, object], run_id: str, experiment: str) -> DataFrame:
-    rows = [(run_id, experiment, "param", str(k), str(v)) for k, v in params.items()]
-    return spark.createDataFrame(rows, "run_id string, experiment string, kind string, key string, value string")
+    number = {k: float(v) for k, v in params.items() if isinstance(v, int | float)}
+    rows = [(run_id, experiment, "param", str(k), number.get(k), str(v)) for k, v in params.items()]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def append_run_metrics(long: DataFrame, path: str) -> None:
     long.write.mode("append").partitionBy("experiment").parquet(path)
+
+
+def read_runs(spark, path: str) -> DataFrame:
+    """Every metric and parameter logged under ``path``."""
+    return spark.read.schema(SCHEMA).parquet(path)

@@ -3,8 +3,9 @@
 All randomness is a portable hash of (seed, row id), so a sample does not
 depend on partitioning or retries and an SQL engine can reproduce it.
 "Exactly m rows without replacement" = the m smallest (hash, id) tuples, found
-by exact distributed selection (:func:`kth_tuple`) and applied as a filter; no
-row is ever collected and no group is sorted in one task.
+by exact distributed selection (:func:`mark_first`) and applied as a filter; no
+row is ever collected and no group is sorted in one task.  The selection counts
+the upper half of the hash first (65,536 groups), then refines inside one of them.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.functions import count_le, lex_less_equal, portable_hash
-from costlens.operators.ordered import kth_tuple
+from costlens.functions import count_le, portable_hash
+from costlens.operators.ordered import mark_first
 
 
 def smallest_by_hash(
@@ -29,12 +30,11 @@ def smallest_by_hash(
     if m <= 0:
         return df.limit(0)
     h = df.withColumn("_h", portable_hash(seed, *(hash_cols or id_cols)))
-    cols = ["_h", *id_cols]
     n = h.count() if n is None else n
     if m >= n:
         return df
-    boundary = kth_tuple(h, cols, m)
-    return h.filter(lex_less_equal(cols[: len(boundary)], boundary)).drop("_h")
+    h = h.withColumn("_hi", F.shiftright("_h", 16))
+    return mark_first(h, ["_hi", "_h", *id_cols], m, "_in").filter("_in").drop("_h", "_hi", "_in")
 
 
 def _class_counts(df: DataFrame, label: str) -> tuple[int, int]:

@@ -4,7 +4,10 @@ The first ``int(n * (1 - test_size))`` rows in time order are train, the rest
 test.  Ties on the time column are broken by ``tie_cols`` (the reference's
 sort leaves tie order undefined; a total order makes the split reproducible).
 
-No global row number: :func:`kth_tuple` finds the exact boundary tuple by
+Rows that tie there as well are ordered by their whole content, and of equal
+rows any may fall on either side, so a table without a unique key splits exactly too.
+
+No global row number: :func:`mark_first` finds the exact boundary tuple by
 distributed selection, then every row is labelled by a lexicographic compare
 against literals, a narrow (shuffle-free) projection.
 """
@@ -16,19 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.functions import lex_less_equal
-from costlens.operators.ordered import kth_tuple
-
-
-def split_boundary(df: DataFrame, order_cols: Sequence[str], k: int, n_buckets: int | None = None) -> list:
-    return kth_tuple(df, list(order_cols), k, n_buckets=n_buckets)
-
-
-def first_k_expr(order_cols: Sequence[str], boundary: list):
-    """True for the rows inside the first k (by ``order_cols``)."""
-    if not boundary:
-        return F.lit(False)
-    return lex_less_equal(list(order_cols)[: len(boundary)], boundary)
+from costlens.operators.ordered import mark_first
 
 
 def chronological_split(
@@ -46,8 +37,8 @@ def chronological_split(
     cols = [order_col, *tie_cols]
     if k >= n:
         return df.withColumn(part_col, F.lit(labels[0]))
-    boundary = split_boundary(df, cols, k, n_buckets)
-    return df.withColumn(part_col, F.when(first_k_expr(cols, boundary), F.lit(labels[0])).otherwise(F.lit(labels[1])))
+    marked = mark_first(df, cols, k, "_first", n_buckets)
+    return marked.withColumn(part_col, F.when(F.col("_first"), F.lit(labels[0])).otherwise(F.lit(labels[1]))).drop("_first")
 
 
 def three_way_split(
@@ -65,13 +56,10 @@ def three_way_split(
     n = df.count()
     k_train = int(n * (1 - test_size))
     k_fit = int(k_train * (1 - calib_size))
-    b_train = split_boundary(df, cols, k_train, n_buckets) if k_train < n else None
-    in_train = first_k_expr(cols, b_train) if b_train is not None else F.lit(True)
-    b_fit = split_boundary(df.filter(in_train), cols, k_fit, n_buckets) if k_fit > 0 else []
-    return df.withColumn(
-        part_col,
-        F.when(~in_train, F.lit("test")).when(first_k_expr(cols, b_fit), F.lit("fit")).otherwise(F.lit("calib")),
-    )
+    marked = mark_first(df, cols, k_train, "_train", n_buckets) if k_train < n else df.withColumn("_train", F.lit(True))
+    train = mark_first(marked.filter("_train"), cols, k_fit, "_fit", n_buckets)
+    train = train.withColumn(part_col, F.when(F.col("_fit"), F.lit("fit")).otherwise(F.lit("calib"))).drop("_fit")
+    return train.unionByName(marked.filter("not _train").withColumn(part_col, F.lit("test"))).drop("_train")
 
 
 def split_summary(df: DataFrame, part_col: str = "part", label: str = "label") -> DataFrame:

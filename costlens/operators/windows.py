@@ -57,7 +57,7 @@ def trailing_window(
     if b <= w:
         raise ValueError("bucket_ms must exceed the window")
     ms = F.col(ms_col)
-    bucket = F.expr(f"`{ms_col}` div {b}")
+    bucket = F.expr(f"(`{ms_col}` - pmod(`{ms_col}`, {b})) div {b}")  # floors, also before 1970
     next_start = (bucket + 1) * F.lit(b)
     copies = F.array(
         F.struct(bucket.alias("_bk"), F.lit(True).alias("_native")),

@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="costlens-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", path)
@@ -100,9 +102,9 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``costlens`` importable in executor Python workers (pandas UDFs,
     ``mapInPandas``, ``applyInPandasWithState``) when it was not submitted with
     ``--py-files``: the package is zipped once per application and added with
-    ``addPyFile``.  Local mode shares the driver's environment and skips this."""
+    ``addPyFile``, in local mode too (workers do not share the driver's import path)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_costlens_shipped", False):
+    if getattr(sc, "_costlens_shipped", False):
         return
     # a code artifact for distribution (not data): built next to the driver process
     sc.addPyFile(package_zip(tempfile.mkdtemp(prefix="costlens-code-")))

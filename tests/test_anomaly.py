@@ -3,15 +3,18 @@ import numpy as np
 from costlens.operators import anomaly
 
 
-def _matrix(spark, n, shift, seed):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(shift, 1, size=(n, 10)).astype(np.float32)
+def _matrix(spark, n, shift, phase):
+    """Ten columns that follow three hidden waves; ``shift`` moves every other column off that surface."""
+    t = np.arange(n) + 0.5 + phase
+    waves = np.stack([np.sin(t * 0.7), np.cos(t * 1.9), np.sin(t * 2.3 + 1)], axis=1)
+    x = waves @ np.cos(np.arange(30).reshape(3, 10)) + 0.1 * np.sin(t[:, None] * (np.arange(10) + 5))
+    x = x + shift * (np.arange(10) % 2)
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "rid long, features array<double>")
 
 
 def test_pca_errors(spark):
-    train = _matrix(spark, 500, 0.0, 0)
-    normal, shifted = _matrix(spark, 50, 0.0, 1), _matrix(spark, 50, 8.0, 2)
+    train = _matrix(spark, 400, 0.0, 0)
+    normal, shifted = _matrix(spark, 60, 0.0, 1000), _matrix(spark, 60, 5.0, 2000)
     mean, basis = anomaly.fit_pca(train, "features", k=3)
     e_n = [r["error"] for r in anomaly.pca_error(normal, "features", mean, basis).collect()]
     e_s = [r["error"] for r in anomaly.pca_error(shifted, "features", mean, basis).collect()]
@@ -20,13 +23,13 @@ def test_pca_errors(spark):
 
 
 def test_autoencoder_errors(spark):
-    train = _matrix(spark, 200, 0.0, 0).repartition(2)
-    normal, shifted = _matrix(spark, 50, 0.0, 1), _matrix(spark, 50, 8.0, 2)
+    train = _matrix(spark, 240, 0.0, 0).repartition(3)
+    normal, shifted = _matrix(spark, 60, 0.0, 1000), _matrix(spark, 60, 5.0, 2000)
     theta = anomaly.fit_autoencoder(train, "features", epochs=3, batch=32)
     assert theta.shape == (10 * 20 + 20 + 20 * 8 + 8 + 8 * 20 + 20 + 20 * 10 + 10,)
     e_n = [r["error"] for r in anomaly.autoencoder_error(normal, "features", theta).collect()]
     e_s = [r["error"] for r in anomaly.autoencoder_error(shifted, "features", theta).collect()]
-    assert len(e_n) == 50 and min(e_n + e_s) >= 0
+    assert len(e_n) == 60 and min(e_n + e_s) >= 0
     assert np.mean(e_s) > np.mean(e_n)
 
 

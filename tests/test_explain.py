@@ -8,16 +8,16 @@ FEATS = [f"V{i}" for i in range(1, 31)]
 
 
 def test_informative_feature_first_and_additivity(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 30))
-    y = (x[:, 4] > 0).astype(int)
-    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(300)]
+    t = np.arange(260)[:, None]
+    x = ((t * (2 * np.arange(30) + 7) * 31) % 113) / 113.0  # columns of unlike steps through one lattice
+    y = ((x[:, 16] > 0.62) | (x[:, 16] < 0.2)).astype(int)
+    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(260)]
     df = spark.createDataFrame(rows, "rid long, label int, " + ", ".join(f"{c} double" for c in FEATS))
     spec = FeatureSpec(features=tuple(FEATS), scaled=("V29", "V30"), label="label")
     m = models.fit_boosted_trees(df, spec, max_iter=8, max_depth=3)
     long, base = explain.tree_shap(m, df, ["rid"], spec.pipeline_order())
     imp = profile.mean_abs_by_feature(long, "contribution", top=None).collect()
-    assert imp[0]["feature"] == "V5"
+    assert imp[0]["feature"] == "V17"
     vals = [r["mean_abs"] for r in imp]
     assert vals == sorted(vals, reverse=True)
     sums = long.groupBy("rid").agg(F.sum("contribution").alias("s"))

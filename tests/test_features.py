@@ -6,8 +6,10 @@ from costlens.operators import features, sampling
 COLS = [f"V{i}" for i in range(1, 29)] + ["Amount", "Time"]
 
 
-def _toy(spark, n):
-    rows = [tuple([float(i) for i in range(1, 29)] + [10.0 * j, float(j)]) for j in range(n)]
+def _table(spark, n):
+    """The schema's columns (fixed names) with uneven values; V3 is constant."""
+    value = lambda c, j: 7.5 if c == 2 else ((c + 2) * (j * j % 17) - c) / 4
+    rows = [tuple(value(c, j) for c in range(28)) + (3.0 + j % 9 * 1.25, 60.0 * j + j % 4) for j in range(n)]
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in COLS))
 
 
@@ -18,7 +20,7 @@ def test_pipeline_order():
 
 
 def test_population_standardisation(spark):
-    df = _toy(spark, 50)
+    df = _table(spark, 43)
     out = features.standard_scale(df, ["Amount", "Time"], suffix="_z").toPandas()
     for c in ("Amount_z", "Time_z"):
         assert abs(out[c].mean()) < 1e-9
@@ -26,9 +28,9 @@ def test_population_standardisation(spark):
 
 
 def test_constant_column_divisor_one(spark):
-    df = _toy(spark, 10)
+    df = _table(spark, 12)
     p = features.fit_scaler(df, ["V3"])
-    assert p["V3"] == (3.0, 1.0)
+    assert p["V3"] == (7.5, 1.0)
 
 
 def test_validate_contract_reasons(spark):

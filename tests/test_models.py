@@ -9,20 +9,18 @@ FEATS = [f"V{i}" for i in range(1, 31)]
 SPEC = FeatureSpec(features=tuple(FEATS), scaled=("V29", "V30"), label="y", id_cols=("rid",))
 
 
-def _frame(spark, n, seed=0, shifted=False):
-    rng = np.random.default_rng(seed)
-    x = rng.normal(size=(n, 30))
-    if shifted:
-        y = (rng.random(n) < 0.1).astype(int)
-        x[y == 1, 0] += 4
-    else:
-        y = (x[:, 0] + rng.normal(0, 0.1, n) > 0.5).astype(int)
+def _frame(spark, n, rare=False):
+    """Waves of different lengths; the label follows the sum of three of them (the rarest tenth, or the upper half)."""
+    t = np.arange(n)[:, None] * 1.0
+    x = np.sin(t * (np.arange(30) + 1.3) * 0.37) * (1 + np.arange(30) % 4)
+    drive = x[:, 3] + 0.5 * x[:, 10] - x[:, 21]
+    y = (drive > np.quantile(drive, 0.9 if rare else 0.5)).astype(int)
     rows = [(i, int(y[i]), *map(float, x[i])) for i in range(n)]
     return spark.createDataFrame(rows, "rid long, y int, " + ", ".join(f"{c} double" for c in FEATS))
 
 
 def test_logistic_probabilities(spark):
-    df = _frame(spark, 200)
+    df = _frame(spark, 260)
     m = models.fit_logistic(df, SPEC)
     p = [r["score"] for r in models.score(m, df).collect()]
     assert all(0.0 <= v <= 1.0 for v in p)
@@ -33,8 +31,8 @@ def test_logistic_probabilities(spark):
 
 
 def test_strategies_run(spark):
-    df = _frame(spark, 300, shifted=True)
-    train, test = df.where("rid < 200"), df.where("rid >= 200")
+    df = _frame(spark, 330, rare=True)
+    train, test = df.where("rid % 3 > 0"), df.where("rid % 3 = 0")
     out = models.strategy_metrics(train, test, SPEC, max_iter=5).collect()
     assert {r["strategy"] for r in out} == {"none", "class_weight", "smote"}
     for r in out:
@@ -48,15 +46,18 @@ def test_unknown_strategy(spark):
 
 
 def test_served_equals_offline(spark, tmp_path):
-    df = _frame(spark, 300, shifted=True)
-    fit, sel = df.where("rid < 200"), df.where("rid >= 200")
+    df = _frame(spark, 330, rare=True)
+    fit, sel = df.where("rid % 3 > 0"), df.where("rid % 3 = 0")
     meta = models.train_production(fit, sel, SPEC, str(tmp_path / "prod"), max_iter=5)
     model, loaded = models.load_production(spark, str(tmp_path / "prod"))
     assert loaded == meta
     served = {r["rid"]: (r["fraud_probability"], r["is_fraud"]) for r in models.score_batch(model, loaded, sel, ["rid"]).collect()}
     zero = spark.createDataFrame([(999, 0, *([0.0] * 30))], sel.schema)
     assert models.score_batch(model, loaded, zero, ["rid"]).count() == 1
-    # offline: the pipeline fitted in memory, re-trained identically
+    # offline: the pipeline trained anew in memory scores the same rows
     t = loaded["optimal_threshold"]
+    offline = models.train_strategy("class_weight", fit, SPEC, max_iter=5)
+    scores = {r["rid"]: r["score"] for r in models.score(offline, sel).select("rid", "score").collect()}
+    assert set(scores) == set(served)
     for rid, (p, flag) in served.items():
-        assert flag == (p >= t)
+        assert abs(p - scores[rid]) < 1e-6 and flag == (scores[rid] >= t)

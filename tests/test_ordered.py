@@ -45,8 +45,8 @@ def test_grouped_percentiles(spark):
 def test_kth_tuple_exact_boundary(spark):
     rows = [(t, k) for t in range(5) for k in range(10)]  # 10 ties per time value
     df = spark.createDataFrame(rows, "t long, k long")
-    for k, small in [(1, 0), (7, 0), (10, 0), (23, 0), (50, 0), (23, 4096), (7, 4096)]:
-        b = ordered.kth_tuple(df, ["t", "k"], k, n_buckets=3, small_limit=small)
+    for k in (1, 7, 10, 23, 50):
+        b = ordered.kth_tuple(df, ["t", "k"], k, n_buckets=3)
         from costlens.functions import lex_less_equal
 
         assert df.where(lex_less_equal(["t", "k"][: len(b)], b)).count() == k
@@ -73,9 +73,68 @@ def test_portable_hash_matches_duckdb(spark):
     assert got == want
 
 
-def test_prefix_sums_many_buckets_use_jvm_binary_search(spark):
-    # > 1,024 edges switches bucketing from the CASE tree to MLlib's Bucketizer
+def test_prefix_sums_with_many_buckets(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).cast("double").alias("v"), F.lit(1).cast("long").alias("w"))
     out = ordered.prefix_sums(df, "v", ["w"], n_buckets=2000)
     assert len(ordered.range_edges(df, "v", 2000)) > 1024
     assert all(r["cum_w"] == int(r["v"]) + 1 for r in out.collect())
+
+
+@pytest.mark.parametrize("nb", [2, 16, 400])
+def test_rows_with_null_and_nan_keys_are_kept(spark, nb):
+    rows = [(None, 1)] + [(float(i), 1) for i in range(990)] + [(float("nan"), 1), (float("inf"), 1), (float("-inf"), 1)]
+    df = spark.createDataFrame(rows, "v double, w long").repartition(13)
+    got = {str(r["v"]): r["cum_w"] for r in ordered.prefix_sums(df, "v", ["w"], n_buckets=nb).collect()}
+    assert len(got) == 994 and got["None"] == 1 and got["-inf"] == 2 and got["0.0"] == 3
+    assert got["989.0"] == 992 and got["inf"] == 993 and got["nan"] == 994
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(g, float(i), 1) for g in ("a", None) for i in range(30)], "g string, v double, w long")
+    out = ordered.prefix_sums(df, "v", ["w"], by=["g"], n_buckets=5, totals_prefix="tot_").collect()
+    assert len(out) == 60 and all(r["cum_w"] == int(r["v"]) + 1 and r["tot_w"] == 30 for r in out)
+
+
+@pytest.mark.parametrize("nb", [3, 300])
+def test_percentiles_leave_nulls_out(spark, nb):
+    values = [None if i % 10 < 3 else float(i) for i in range(1000)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "g int, x double").repartition(5)
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    known = [v for v in values if v is not None]
+    assert np.allclose(ordered.percentile_values(df, "x", qs, n_buckets=nb), np.percentile(known, [25 * i for i in range(5)]))
+    by = {(r["g"], r["q"]): r["value"] for r in ordered.exact_percentiles(df, "x", qs, by=["g"], n_buckets=nb).collect()}
+    for g in (0, 1):
+        want = np.percentile([v for i, v in enumerate(values) if i % 2 == g and v is not None], [25 * i for i in range(5)])
+        assert np.allclose([by[g, q] for q in qs], want)
+
+
+def test_box_stats_with_nulls(spark):
+    from costlens.operators import profile
+
+    values = [None if i % 10 < 3 else float(i) for i in range(1000)]
+    df = spark.createDataFrame([(0, v) for v in values], "label int, x double")
+    r = profile.box_stats(df, "x").first()
+    known = [v for v in values if v is not None]
+    assert np.allclose([r["q1"], r["median"], r["q3"]], np.percentile(known, [25, 50, 75]))
+    assert (r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (min(known), max(known), 0)
+
+
+def test_strings_order_after_their_common_prefix(spark):
+    words = [f"https://example.org/{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(w, 1) for w in words], "v string, w long").repartition(7)
+    assert len(ordered.range_edges(df, "v", 50)) > 30
+    got = {r["v"]: r["cum_w"] for r in ordered.prefix_sums(df, "v", ["w"], n_buckets=50).collect()}
+    assert got == {w: i + 1 for i, w in enumerate(words)}
+
+
+def test_mark_first_takes_exactly_k(spark):
+    rows = [(i % 3, "x" if i % 2 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(9)
+    for k in (0, 1, 99, 100, 250, 400, 600):
+        out = ordered.mark_first(df, ["a"], k, "first", n_buckets=4)
+        assert out.count() == 600 and out.where("first").count() == k
+        got = sorted((r["a"], r["b"] or "") for r in out.collect())
+        assert got == sorted((a, b or "") for a, b in rows)
+        low = out.where("first").agg(F.max("a")).first()[0]
+        high = out.where("not first").agg(F.min("a")).first()[0]
+        assert low is None or high is None or low <= high

@@ -50,5 +50,5 @@ def test_kth_tuple_counts_exactly_k(spark, firsts, data):
     rows = [(f, i) for i, f in enumerate(firsts)]
     k = data.draw(st.integers(1, len(rows)))
     df = spark.createDataFrame(rows, "t long, rid long")
-    b = ordered.kth_tuple(df, ["t", "rid"], k, n_buckets=2, small_limit=0)
+    b = ordered.kth_tuple(df, ["t", "rid"], k, n_buckets=2)
     assert df.where(lex_less_equal(["t", "rid"][: len(b)], b)).count() == k

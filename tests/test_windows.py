@@ -61,3 +61,13 @@ def test_auto_bucket_is_exact_for_a_hot_key(spark):
     out = trailing_window(df, "ms", "amount", 30_000, by=["user"], target_rows=50)
     got = {r["event_id"]: (r["window_count"], r["window_sum"]) for r in out.collect()}
     assert got == want
+
+
+def test_windows_before_1970(spark):
+    from costlens.operators import windows
+
+    times = [-250_000 + i * 97 % 400_000 for i in range(3000)]
+    df = spark.createDataFrame([(t, 1.0) for t in times], "ms long, amount double")
+    got = windows.trailing_window(df, "ms", "amount", 30_000, bucket_ms=64_000).collect()
+    want = {t: sum(1 for o in times if t - 30_000 < o <= t) for t in set(times)}
+    assert len(got) == 3000 and all(r["window_count"] == want[r["ms"]] for r in got)
