@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import round6
+from costlens.operators.frames import ensure_parallelism
 from costlens.session import ship_package
 
 
@@ -114,72 +115,72 @@ def _grad(theta: np.ndarray, x: np.ndarray, hidden: int, bottleneck: int) -> np.
     return np.concatenate([p for gw, gb in grads for p in (gw.ravel(), gb)])
 
 
-def _adam_epoch(theta, m, v, t, x, lr, batch, rng, hidden, bottleneck, b1=0.9, b2=0.999, eps=1e-8):
-    idx = rng.permutation(len(x))
-    for s in range(0, len(x), batch):
-        xb = x[idx[s : s + batch]]
-        g = _grad(theta, xb, hidden, bottleneck)
-        t += 1
-        m = b1 * m + (1 - b1) * g
-        v = b2 * v + (1 - b2) * g * g
-        mh = m / (1 - b1**t)
-        vh = v / (1 - b2**t)
-        theta = theta - lr * mh / (np.sqrt(vh) + eps)
-    return theta, m, v, t
+def _adam(theta, m, v, t, g, lr, b1=0.9, b2=0.999, eps=1e-8):
+    m = b1 * m + (1 - b1) * g
+    v = b2 * v + (1 - b2) * g * g
+    return theta - lr * (m / (1 - b1**t)) / (np.sqrt(v / (1 - b2**t)) + eps), m, v
+
+
+def fit_array_scaler(df: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population standard deviation (1 where it is 0) of every place of an array column: one aggregation,
+    one row a place to the driver."""
+    rows = df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
+    rows.sort(key=lambda r: r["i"])
+    spread = np.array([r["s"] for r in rows])
+    return np.array([r["m"] for r in rows]), np.where(spread > 0, spread, 1.0)
+
+
+def scale_array(df: DataFrame, features: str, mean: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """The array column standardised place by place."""
+    by = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, spread)])
+    return df.withColumn(features, F.zip_with(F.col(features), by, lambda x, p: (x - p["m"]) / p["s"]))
 
 
 def fit_autoencoder(
     train_neg: DataFrame,
     features: str,
     epochs: int = 20,
-    lr: float = 1e-3,
-    batch: int = 256,
+    lr: float = 5e-3,
+    steps: int = 6,
     seed: int = 0,
     hidden: int = 20,
     bottleneck: int = 8,
 ) -> np.ndarray:
-    """Returns the flattened parameter vector."""
+    """Returns the flattened parameter vector.
+
+    Synchronous data-parallel Adam: an epoch has ``steps`` steps, and a step uses the rows whose hash falls to it.
+    Every partition sums the gradients of its rows batch by batch (so its memory is that of one Arrow batch), Spark adds
+    the sums up, and one update follows.  The result does not depend on how the rows are partitioned."""
     ship_package(train_neg.sparkSession)
-    first = train_neg.select(F.size(features).alias("d")).first()
-    d = int(first["d"])
-    theta = init_params(d, seed, hidden, bottleneck)
-    p = len(theta)
-    m = np.zeros(p)
-    v = np.zeros(p)
-    t = 0
-    # partitions hold >= 4 minibatches each, so local Adam steps are meaningful
-    data = train_neg.select(features)
-    n = data.count()
-    target = max(1, min(data.sparkSession.sparkContext.defaultParallelism, n // (4 * batch)))
-    have = data.rdd.getNumPartitions()
-    data = data.repartition(target) if have < target else (data.coalesce(target) if have > target else data)
-    for epoch in range(epochs):
-        state = (theta, m, v, t)
-
-        def local(it: Iterator[pd.DataFrame], state=state, epoch=epoch) -> Iterator[pd.DataFrame]:
-            th, mm, vv, tt = (np.array(state[0]), np.array(state[1]), np.array(state[2]), state[3])
-            frames = [np.stack(pdf[features].to_numpy()).astype(np.float64) for pdf in it if len(pdf)]
-            if not frames:
-                return
-            x = np.concatenate(frames)
-            # the order of a partition's rows is a function of its contents
-            rng = np.random.default_rng([seed, epoch, int(abs(x[0]).sum() * 1e6) % (2**31)])
-            th, mm, vv, tt = _adam_epoch(th, mm, vv, tt, x, lr, batch, rng, hidden, bottleneck)
-            yield pd.DataFrame({"n": [len(x)], "t": [tt], "w": [np.concatenate([th, mm, vv]).tolist()]})
-
-        parts = data.mapInPandas(local, "n long, t long, w array<double>")
-        avg = (
-            parts.select("n", "t", F.posexplode("w").alias("i", "x"))
-            .groupBy("i")
-            .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.max("t").alias("t"))
-            .collect()
-        )
-        flat = np.zeros(3 * p)
-        for r in avg:
-            flat[r["i"]] = r["x"]
-            t = int(r["t"])
-        theta, m, v = flat[:p], flat[p : 2 * p], flat[2 * p :]
-    return theta
+    data = ensure_parallelism(train_neg.select(features, F.xxhash64(features).alias("_h"))).persist()
+    try:
+        first = data.select(F.size(features).alias("d")).first()
+        d = int(first["d"])
+        theta = init_params(d, seed, hidden, bottleneck)
+        m, v = np.zeros(len(theta)), np.zeros(len(theta))
+        for t in range(1, epochs * steps + 1):
+            turn = data.where(F.pmod(F.xxhash64("_h", F.lit((t - 1) // steps)), F.lit(steps)) == (t - 1) % steps)
+
+            def total(it: Iterator[pd.DataFrame], theta=theta) -> Iterator[pd.DataFrame]:
+                n, grad = 0, np.zeros(len(theta))
+                for pdf in it:
+                    if len(pdf):
+                        x = np.stack(pdf[features].to_numpy()).astype(np.float64)
+                        grad += _grad(theta, x, hidden, bottleneck) * len(x)
+                        n += len(x)
+                if n:
+                    yield pd.DataFrame({"n": [n], "g": [grad.tolist()]})
+
+            sums = turn.mapInPandas(total, "n long, g array<double>").select("n", F.posexplode("g").alias("i", "x"))
+            rows = sums.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # one row a weight
+            if rows:
+                grad = np.zeros(len(theta))
+                for r in rows:
+                    grad[r["i"]] = r["x"] / r["n"]
+                theta, m, v = _adam(theta, m, v, t, grad, lr)
+        return theta
+    finally:
+        data.unpersist()
 
 
 def autoencoder_error(df: DataFrame, features: str, theta: np.ndarray, out: str = "error", hidden: int = 20, bottleneck: int = 8) -> DataFrame:

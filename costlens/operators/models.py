@@ -12,8 +12,7 @@ then passthrough in original order), and the learner.
   MLlib's GBT is a first-order method without XGBoost's regulariser, so
   parity with the reference is by invariants, not by numbers;
 * production model: weighted trees, threshold chosen by the cost engine on the
-  calibration slice (``select_on='test'`` reproduces the reference, which picks
-  it on the test set), model + JSON metadata saved and reloaded as the single
+  the frame passed as ``select`` (the calibration slice, or any other), model + JSON metadata saved and reloaded as the single
   source of truth for batch and streaming scoring.
 """
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from costlens.operators.cost import DEFAULT_COST_FN, DEFAULT_COST_FP, optimize_threshold, threshold_cost_curve
 from costlens.operators.features import FeatureSpec, fit_scaler
-from costlens.operators.frames import ensure_parallelism
+from costlens.operators.frames import ensure_parallelism, materialize
 from costlens.operators.metrics import evaluate_basic, rank_metrics
 from costlens.operators.sampling import class_weight
 
@@ -118,12 +117,15 @@ def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     return pred.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def strategy_metrics(train: DataFrame, test: DataFrame, spec: FeatureSpec, strategies=STRATEGIES, max_iter: int = 200) -> DataFrame:
-    """pr_auc, roc_auc, f1_at_0.5 per imbalance strategy on the test part."""
+def strategy_metrics(
+    train: DataFrame, test: DataFrame, spec: FeatureSpec, strategies=STRATEGIES, max_iter: int = 200, trainer=None
+) -> DataFrame:
+    """pr_auc, roc_auc, f1_at_0.5 per imbalance strategy on the test part, which each model scores once.
+    ``trainer(strategy)`` may return a model that is already trained."""
     out = None
     for s in strategies:
-        m = train_strategy(s, train, spec, max_iter=max_iter)
-        scored = score(m, test).select(F.col(spec.label).alias("label"), "score")
+        m = trainer(s) if trainer else train_strategy(s, train, spec, max_iter=max_iter)
+        scored = materialize(score(m, test).select(F.col(spec.label).alias("label"), "score"))
         row = evaluate_basic(scored).select(F.lit(s).alias("strategy"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -171,7 +173,7 @@ def score_batch(model: PipelineModel, meta: dict, df: DataFrame, keep: Sequence[
 
 def ablation_table(
     train: DataFrame, test: DataFrame, spec: FeatureSpec, order_col: str, tie_cols: Sequence[str] = (), max_iter: int = 200,
-    cost_fn: float = DEFAULT_COST_FN, cost_fp: float = DEFAULT_COST_FP,
+    cost_fn: float = DEFAULT_COST_FN, cost_fp: float = DEFAULT_COST_FP, trainer=None,
 ) -> DataFrame:
     """none@0.5 -> weighted@0.5 -> weighted@optimum -> weighted + isotonic@optimum:
     (configuration, pr_auc, expected_cost)."""
@@ -182,7 +184,7 @@ def ablation_table(
     lab = spec.label
 
     def scored_by(m, frame):
-        return score(m, frame).select(F.col(lab).alias("label"), "score")
+        return materialize(score(m, frame).select(F.col(lab).alias("label"), "score"))
 
     def row(name, s, t):
         ap = rank_metrics(s).select("pr_auc")
@@ -191,8 +193,9 @@ def ablation_table(
 
         return attach_one_row(ap, c).select(F.lit(name).alias("configuration"), "pr_auc", "expected_cost")
 
-    s_none = scored_by(train_strategy("none", train, spec, max_iter=max_iter), test)
-    m_cw = train_strategy("class_weight", train, spec, max_iter=max_iter)
+    whole = trainer or (lambda s: train_strategy(s, train, spec, max_iter=max_iter))
+    s_none = scored_by(whole("none"), test)
+    m_cw = whole("class_weight")
     s_cw = scored_by(m_cw, test)
     t_cw = select_threshold(s_cw, cost_fn, cost_fp)
     parts = chronological_split(train, order_col, tie_cols, 0.15, labels=("fit", "calib"))
@@ -202,10 +205,10 @@ def ablation_table(
     s_iso = apply_isotonic(scored_by(m_fit, test), iso).select("label", F.col("isotonic_score").alias("score"))
     t_iso = select_threshold(s_iso, cost_fn, cost_fp)
     rows = [
-        row("no weighting + threshold 0.5", s_none, 0.5),
-        row("class weighting + threshold 0.5", s_cw, 0.5),
-        row("class weighting + optimized threshold", s_cw, t_cw),
-        row("class weighting + isotonic calibration + optimized threshold", s_iso, t_iso),
+        row("plain, 0.5", s_none, 0.5),
+        row("weighted, 0.5", s_cw, 0.5),
+        row("weighted, best threshold", s_cw, t_cw),
+        row("weighted, isotonic, best threshold", s_iso, t_iso),
     ]
     out = rows[0]
     for r in rows[1:]:

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens.operators import anomaly, explain, models, profile, sampling
+from costlens.operators import anomaly, explain, profile, sampling
 from costlens.operators.split import chronological_split
-from costlens.plans.q_models import GBT_ROUNDS, SPEC, parts
+from costlens.plans.q_models import SPEC, parts, strategy_model
 from costlens.plans.q_split import KEYS
 from costlens.plans.registry import register
 from costlens.plans.views import matrix
@@ -25,7 +25,9 @@ def _matrix_parts(spark, sf):
     m = chronological_split(matrix(spark, sf), "vec_id", (), 0.2)
     train = m.where(F.col("part") == "train").drop("part")
     test = m.where(F.col("part") == "test").drop("part")
-    return train.where(F.col("label") == 0), test
+    neg = train.where(F.col("label") == 0)
+    scale = anomaly.fit_array_scaler(neg, "features")
+    return anomaly.scale_array(neg, "features", *scale), anomaly.scale_array(test, "features", *scale)
 
 
 def _pca_scored(spark, sf):
@@ -53,7 +55,7 @@ def q_error_by_class(spark, sf):
 
 def _shap(spark, sf):
     train, test = parts(spark, sf)
-    model = models.train_strategy("class_weight", train, SPEC, max_iter=GBT_ROUNDS)
+    model = strategy_model(spark, sf, "class_weight", train)
     sample = sampling.capped_sample(test, KEYS[:-1], "label", cap=2000, seed=0)
     names = list(SPEC.pipeline_order())
     long, base = explain.tree_shap(model, sample, KEYS, names)

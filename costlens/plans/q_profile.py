@@ -133,13 +133,27 @@ def q_csv_roundtrip(spark, sf):
 
 @register(
     "json_roundtrip",
-    """SELECT event_id, value, CAST(user_id AS DOUBLE) AS user_id, false AS _corrupt FROM events""",
+    """SELECT event_id,
+  CASE WHEN event_id % 7 IN (1, 2, 3, 4) THEN NULL ELSE value END AS value,
+  CASE WHEN event_id % 7 IN (1, 3, 4) THEN NULL ELSE CAST(user_id AS DOUBLE) END AS user_id,
+  event_id % 7 IN (1, 2, 4) AS _corrupt
+FROM events""",
 )
 def q_json_roundtrip(spark, sf):
+    """Encoded events, of which some are damaged on the way: cut off (1), a field of another type (2), a valid record
+    without fields (3), lost (4)."""
     ev = read_table(spark, sf, "events")
     enc = io.encode_events(ev, ["value", "user_id"], key="event_id")
+    kind, text = F.col("event_id") % 7, F.col("payload")
+    broken = (
+        F.when(kind == 1, F.substring(text, 1, 9))
+        .when(kind == 2, F.regexp_replace(text, '"value":[^,]*', '"value":"text"'))
+        .when(kind == 3, F.lit('{"value":null}'))
+        .when(kind == 4, F.lit(None))
+        .otherwise(text)
+    )
     schema = io.transaction_schema(["value", "user_id"], label=None)
-    return io.decode_events(enc, schema, keep=["event_id"])
+    return io.decode_events(enc.withColumn("payload", broken), schema, keep=["event_id"])
 
 
 @register(
@@ -169,13 +183,18 @@ def q_split_parquet_roundtrip(spark, sf):
          count(CASE WHEN label = 1 AND score < 0.5 THEN 1 END)::DOUBLE AS false_negatives,
          round(avg(power(score - label, 2)), 6) AS brier_score
   FROM scored)""",
-        body="""SELECT 'r0' AS run_id, 'evaluation' AS experiment, 'metric' AS kind, key, value
-FROM (UNPIVOT conf ON true_positives, true_negatives, false_positives, false_negatives, brier_score INTO NAME key VALUE value) u""",
+        body="""SELECT 'r0' AS run_id, 'evaluation' AS experiment, 'metric' AS kind, key, value, '' AS text
+FROM (UNPIVOT conf ON true_positives, true_negatives, false_positives, false_negatives, brier_score INTO NAME key VALUE value) u
+UNION ALL SELECT 'r0', 'evaluation', 'param', 'threshold', 0.5, '0.5'
+UNION ALL SELECT 'r0', 'evaluation', 'param', 'model', -1.0, 'scored'""",
     ),
 )
 def q_run_metrics_long(spark, sf):
-    s = scored(spark, sf)
-    return runlog.metrics_long(_record(s), "r0", "evaluation")
+    """A run's metrics and parameters logged to one dataset and read back (no number: -1, no text: empty)."""
+    path = scratch_path(spark, "runs")
+    runlog.append_run_metrics(runlog.metrics_long(_record(scored(spark, sf)), "r0", "evaluation"), path)
+    runlog.append_run_metrics(runlog.params_long(spark, {"threshold": 0.5, "model": "scored"}, "r0", "evaluation"), path)
+    return runlog.read_runs(spark, path).fillna({"value": -1.0, "text": ""})
 
 
 def _record(s):

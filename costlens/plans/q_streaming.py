@@ -6,7 +6,6 @@ streaming job to completion (availableNow), and returns the sink's contents.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +14,8 @@ from costlens.plans.registry import register
 from costlens.plans.views import EVENTS_SQL, events_scored, with_sql
 from costlens.session import scratch_path
 from costlens.streaming import jobs
-from costlens.streaming.replay import batch_numbers, write_replay
+from costlens.streaming.replay import batch_numbers, read_stream, write_batches, write_replay
 
-ROWS_PER_BATCH = 1000  # dedup replay (re-delivers a tenth of each batch)
 N_BATCHES = 10  # micro-batches per replayed table
 
 
@@ -27,7 +25,7 @@ def _replay_events(spark, sf, order_col: str = "event_id"):
     if order_col == "event_id":
         write_replay(ev, "event_id", path, n_batches=N_BATCHES)
     else:  # shuffled arrival order (late data): a hash of the id, ties broken by the id
-        arrival = portable_hash(7, "event_id") * F.lit(2147483648) + F.col("event_id")
+        arrival = portable_hash(7, "event_id") * F.lit(16777216) + F.col("event_id") % F.lit(16777216)
         write_replay(ev.withColumn("_arrival", arrival), "_arrival", path, n_batches=N_BATCHES)
     return path
 
@@ -47,7 +45,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 3599999 PRECEDING AN
 )
 def q_stream_trailing_window(spark, sf):
     out, ck = _dirs(spark, "s1")
-    res = jobs.trailing_window_job(spark, _replay_events(spark, sf), out, ck, "user_id", 3_600_000, "1 minute")
+    res = jobs.trailing_window_job(jobs.event_stream(spark, _replay_events(spark, sf)), out, ck, "user_id", 3_600_000, "1 minute")
     return res.select("event_id", "ms", "window_count", F.round("window_sum", 6).alias("window_sum"))
 
 
@@ -62,14 +60,14 @@ GROUP BY s""",
 )
 def q_stream_hopping_window(spark, sf):
     out, ck = _dirs(spark, "s2")
-    res = jobs.hopping_window_job(spark, _replay_events(spark, sf), out, ck, "30 seconds", "10 seconds", "1 minute")
+    res = jobs.hopping_window_job(jobs.event_stream(spark, _replay_events(spark, sf)), out, ck, "30 seconds", "10 seconds", "1 minute")
     return res.select("window_start_ms", "window_end_ms", "n", F.round("amount", 6).alias("amount"))
 
 
 _LATE_SQL = with_sql(
     EVENTS_SQL,
     f"""arr AS (SELECT event_id, ms, user_id, value,
-          row_number() OVER (ORDER BY {portable_hash_sql(7, 'event_id')} * 2147483648 + event_id) - 1 AS pos,
+          row_number() OVER (ORDER BY {portable_hash_sql(7, 'event_id')} * 16777216 + event_id % 16777216) - 1 AS pos,
           count(*) OVER () AS n FROM events_scored)""",
     f"b AS (SELECT *, pos // ((n + {N_BATCHES} - 1) // {N_BATCHES}) AS batch FROM arr)",
     "bm AS (SELECT batch, max(ms) AS mx FROM b GROUP BY batch)",
@@ -88,22 +86,14 @@ GROUP BY x.event_id, x.ms, x.late""",
 def q_stream_late_data(spark, sf):
     """Arrival order shuffled by a hash of the id (fixed micro-batches).  A row
     behind the watermark (max event time of earlier batches minus the 1 h
-    delay) is returned with late = true, window_count 0 and a null
-    window_sum; rows the engine
-    drops before the stateful function are recovered by anti-joining the
-    replayed input with the sink, so every event appears once.  On-time rows
+    delay) comes out of the job flagged late, with window_count 0 and a null
+    window_sum; every event comes out once.  On-time rows
     count the on-time rows of their user that arrived no later and fall in
     (t - 1 h, t]."""
     out, ck = _dirs(spark, "s3")
     replay = _replay_events(spark, sf, "hash")
-    res = jobs.trailing_window_job(spark, replay, out, ck, "user_id", 3_600_000, "1 hour")
-    on_time = res.select("event_id", "ms", "late", "window_count", F.round("window_sum", 6).alias("window_sum"))
-    sent = spark.read.schema(jobs.EVENT_SCHEMA).json(replay)
-    dropped = sent.join(on_time.select("event_id"), "event_id", "left_anti").select(
-        "event_id", "ms", F.lit(True).alias("late"), F.lit(0).cast("long").alias("window_count"),
-        F.lit(None).cast("double").alias("window_sum"),
-    )
-    return on_time.unionByName(dropped)
+    res = jobs.trailing_window_job(jobs.event_stream(spark, replay), out, ck, "user_id", 3_600_000, "1 hour")
+    return res.select("event_id", "ms", "late", "window_count", F.round("window_sum", 6).alias("window_sum"))
 
 
 @register("stream_dedup", with_sql(EVENTS_SQL, body="SELECT event_id, ms, value FROM events_scored"))
@@ -112,18 +102,13 @@ def q_stream_dedup(spark, sf):
     the stream must emit each event exactly once."""
     ev = events_scored(spark, sf).select("event_id", "ms", "user_id", "value")
     per = max(1, -(-ev.count() // N_BATCHES))
-    staged = batch_numbers(ev, ["event_id"], per)
-    # position within the batch decides re-delivery: the first tenth is also sent with the previous batch
-    staged = staged.withColumn("_first", F.col("event_id") - F.min("event_id").over(Window.partitionBy("_batch")))
-    dup = staged.where(F.col("_first") < per // 10).where(F.col("_batch") > 0).withColumn("_batch", F.col("_batch") - 1)
-    allrows = staged.unionByName(dup).drop("_first")
+    staged = batch_numbers(ev, "event_id", per)
+    # the first tenth of a batch is also sent, once more, with the batch before
+    again = staged.where((F.col("_place") < per // 10) & (F.col("_batch") > 0)).withColumn("_batch", F.col("_batch") - 1)
     path = scratch_path(spark, "replay-dup")
-    nb = allrows.agg(F.max("_batch")).first()[0]
-    for b in range(int(nb) + 1):
-        one = allrows.where(F.col("_batch") == b).drop("_batch").coalesce(1).sortWithinPartitions("event_id")
-        one.write.mode("overwrite").json(f"{path}/b={b:05d}")
+    write_batches(staged.unionByName(again), path)
     out, ck = _dirs(spark, "s5")
-    return jobs.dedup_job(spark, path, out, ck).select("event_id", "ms", "value")
+    return jobs.dedup_job(jobs.event_stream(spark, path), out, ck).select("event_id", "ms", "value")
 
 
 @register("stream_score")
@@ -146,9 +131,8 @@ def q_stream_score(spark, sf):
     )
     out, ck = _dirs(spark, "s4")
     res = jobs.score_stream_job(
-        spark, replay, schema, model, meta, out, ck, key_col="l_suppkey", time_ms_col="ms", amount_col="l_extendedprice",
+        read_stream(spark, replay, schema), model, meta, out, ck, key_col="l_suppkey", time_ms_col="ms", amount_col="l_extendedprice",
         id_col="rid", keep=["rid", "l_suppkey", "ms"], window_ms=30 * 86_400_000, delay="1 day",
-        rejected_out=scratch_path(spark, "s4-rejected"),
     )
     return res.select("rid", "l_suppkey", "window_count", F.round("window_sum", 6).alias("window_sum"),
                       F.round("fraud_probability", 6).alias("fraud_probability"), "is_fraud", "threshold")

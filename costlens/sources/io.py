@@ -52,13 +52,12 @@ def encode_events(df: DataFrame, features: Sequence[str], key: str | None = None
 
 
 def decode_events(df: DataFrame, schema: T.StructType, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
-    """JSON text -> typed columns.  A row that does not parse gets every field
-    null and ``_corrupt`` = true (a rejected side output, not a failed job)."""
-    parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"})
+    """JSON text -> typed columns.  ``_corrupt`` is true for text that is no JSON object of the schema, wholly or in a
+    field (what could be read is kept, the rest is null), and for a null payload: a rejected side output, not a failed
+    job.  A valid record whose fields are null or absent is not corrupt."""
+    mark = "_malformed"
+    full = T.StructType([*schema.fields, T.StructField(mark, T.StringType())])
+    parsed = F.from_json(F.col(payload), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark})
     out = df.select(*keep, parsed.alias("_e"), F.col(payload))
     fields = [F.col(f"_e.{f.name}").alias(f.name) for f in schema.fields]
-    all_null = None
-    for f in schema.fields:
-        c = F.col(f"_e.{f.name}").isNull()
-        all_null = c if all_null is None else all_null & c
-    return out.select(*keep, *fields, (F.col("_e").isNull() | all_null).alias("_corrupt"))
+    return out.select(*keep, *fields, (F.col("_e").isNull() | F.col(f"_e.{mark}").isNotNull()).alias("_corrupt"))

@@ -28,8 +28,41 @@ def batch_sink(path: str):
     return write
 
 
-def sink_to(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    run_available(stream.writeStream.outputMode(mode).foreachBatch(batch_sink(out)), checkpoint, spark=stream.sparkSession)
+def sink_to(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", timeout_s: float | None = None) -> None:
+    builder = stream.writeStream.outputMode(mode).foreachBatch(batch_sink(out))
+    run_available(builder, checkpoint, timeout_s, spark=stream.sparkSession)
+
+
+def late_sink(path: str, marks: str, delay_ms: int, time_ms: str = "ms"):
+    """foreachBatch writer of the rows behind the watermark, idempotent per batch id.
+
+    The watermark of a batch is the engine's: the largest event time of the batches before it minus the delay.  Each
+    batch leaves its largest event time under ``marks``; a batch that runs again overwrites its own."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        largest = None
+        if batch_id > 0:
+            seen = spark.read.schema("newest long").parquet(*[f"{marks}/batch={b:06d}" for b in (batch_id - 1,)])
+            largest = seen.agg(F.max("newest")).first()[0]
+        late = F.lit(False) if largest is None else F.col(time_ms) < F.lit(largest - delay_ms)
+        df.where(late).write.mode("overwrite").parquet(f"{path}/batch={batch_id:06d}")
+        newest = df.agg(F.greatest(F.max(time_ms), F.lit(largest).cast("long")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id:06d}")
+
+    return write
+
+
+def late_rows(stream: DataFrame, out: str, checkpoint: str, delay: str, time_ms: str = "ms") -> DataFrame:
+    """The rows of ``stream`` that arrive behind its watermark, in a sink of their own.
+
+    The engine drops such rows before a stateful operator sees them, so a second, stateless query over the same source
+    and the same triggers keeps them."""
+    ms = stream.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{delay}')").first()[0]
+    marks = f"{checkpoint}-marks"
+    builder = stream.writeStream.foreachBatch(late_sink(out, marks, int(ms), time_ms))
+    run_available(builder, checkpoint, spark=stream.sparkSession)
+    return read_sink(stream.sparkSession, out)
 
 
 def read_sink(spark: SparkSession, out: str) -> DataFrame:
@@ -38,8 +71,9 @@ def read_sink(spark: SparkSession, out: str) -> DataFrame:
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], version: str = "batch") -> DataFrame:
     """Final table of an update-mode sink: the row of the last batch per key."""
-    last = df.groupBy(*keys).agg(F.max(version).alias(version))
-    return df.join(last, [*keys, version]).drop(version)
+    rest = [c for c in df.columns if c not in (*keys, version)]
+    last = F.max_by(F.struct(*rest), F.col(version)).alias("_last")
+    return df.groupBy(*keys).agg(last).select(*keys, "_last.*")
 
 
 EVENT_SCHEMA = T.StructType(
@@ -52,29 +86,49 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def event_stream(spark: SparkSession, replay_path: str, delay: str = "1 minute") -> DataFrame:
-    s = read_stream(spark, replay_path, EVENT_SCHEMA, "json")
-    return s.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
+def event_stream(spark: SparkSession, replay_path: str) -> DataFrame:
+    """Replayed events as a streaming frame; any other with these columns serves the jobs as well."""
+    return read_stream(spark, replay_path, EVENT_SCHEMA, "json")
+
+
+def watermarked(events: DataFrame, delay: str) -> DataFrame:
+    return events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
+
+
+def payload_stream(source: DataFrame, schema: T.StructType, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(events, corrupt payloads) of a streaming frame of JSON texts, such as a broker's."""
+    from costlens.sources.io import decode_events
+
+    decoded = decode_events(source, schema, payload, keep=[payload])
+    return decoded.where("not _corrupt").drop("_corrupt", payload), decoded.where("_corrupt").select(payload)
 
 
 def trailing_window_job(
-    spark: SparkSession, replay_path: str, out: str, checkpoint: str, key_col: str = "user_id",
-    window_ms: int = 30_000, delay: str = "1 minute",
+    events: DataFrame, out: str, checkpoint: str, key_col: str = "user_id", window_ms: int = 30_000, delay: str = "1 minute",
 ) -> DataFrame:
-    """Per-event trailing count and sum per entity, late rows flagged."""
-    ev = event_stream(spark, replay_path, delay).withColumnRenamed("value", "amount")
-    sink_to(stream_trailing_window(ev, key_col, window_ms), out, checkpoint)
-    return read_sink(spark, out)
+    """Per-event trailing count and sum per entity of a streaming frame (event_id, ms, value, key).
+
+    Every event comes out once: with its window, or, if it is behind the watermark, flagged ``late`` with count 0 and a
+    null sum, from a sink of its own (``out``-late)."""
+    marked = events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay).withColumnRenamed("value", "amount")
+    sink_to(stream_trailing_window(marked, key_col, window_ms), out, checkpoint)
+    late = late_rows(events, f"{out}-late", f"{checkpoint}-late", delay)
+    on_time = read_sink(events.sparkSession, out).where("not late").drop("batch")
+    return on_time.unionByName(
+        late.select(
+            F.col(key_col).cast("long").alias("key"), "event_id", "ms", F.lit(0).cast("long").alias("window_count"),
+            F.lit(None).cast("double").alias("window_sum"), F.lit(True).alias("late"),
+        )
+    )
 
 
 def hopping_window_job(
-    spark: SparkSession, replay_path: str, out: str, checkpoint: str, size: str = "30 seconds", slide: str = "10 seconds",
+    events: DataFrame, out: str, checkpoint: str, size: str = "30 seconds", slide: str = "10 seconds",
     delay: str = "1 minute",
 ) -> DataFrame:
     """Global windowed count/sum with a watermark, update mode, partial
     aggregation per window (state is per window, not per event)."""
-    ev = event_stream(spark, replay_path, delay)
-    agg = ev.groupBy(F.window("ts", size, slide).alias("w")).agg(
+    agg = watermarked(events, delay).groupBy(F.window("ts", size, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("amount")
     )
     flat = agg.select(
@@ -84,20 +138,17 @@ def hopping_window_job(
         "amount",
     )
     sink_to(flat, out, checkpoint, mode="update")
-    return latest_per_key(read_sink(spark, out), ["window_start_ms"])
+    return latest_per_key(read_sink(events.sparkSession, out), ["window_start_ms"])
 
 
-def dedup_job(spark: SparkSession, replay_path: str, out: str, checkpoint: str, delay: str = "10 minutes") -> DataFrame:
+def dedup_job(events: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes") -> DataFrame:
     """At-least-once delivery made exactly-once by event id within the watermark."""
-    ev = event_stream(spark, replay_path, delay)
-    sink_to(ev.dropDuplicatesWithinWatermark(["event_id"]).drop("ts"), out, checkpoint)
-    return read_sink(spark, out)
+    sink_to(watermarked(events, delay).dropDuplicatesWithinWatermark(["event_id"]).drop("ts"), out, checkpoint)
+    return read_sink(events.sparkSession, out)
 
 
 def score_stream_job(
-    spark: SparkSession,
-    replay_path: str,
-    schema: T.StructType,
+    raw: DataFrame,
     model,
     meta: dict,
     out: str,
@@ -111,20 +162,19 @@ def score_stream_job(
     delay: str,
     rejected_out: str | None = None,
 ) -> DataFrame:
-    """Decode -> validate -> trailing-window features per entity -> score with
-    the saved production model -> flag -> idempotent sink, in one query.
+    """Validate -> trailing-window features per entity -> score with
+    the saved production model -> flag -> idempotent sink, in one query over the streaming frame ``raw``.
 
-    Rows that break the feature contract are not scored; with ``rejected_out``
-    they go, with their ``reasons``, to their own sink (a second, stateless
-    query over the same source), so no event is silently lost."""
+    No event is lost: rows that break the feature contract go, with their ``reasons``, to
+    ``rejected_out`` (``out``-rejected unless given); rows behind the watermark go to ``out``-late, and come back
+    flagged ``late``, scored on their features, without a window."""
     from costlens.operators.features import validate_contract
 
-    raw = read_stream(spark, replay_path, schema, "json")
+    spark, rejected_out = raw.sparkSession, rejected_out or f"{out}-rejected"
     feats = list(meta["feature_columns"])
     checked = validate_contract(raw, feats, [c for c in raw.columns if c not in feats])
-    if rejected_out:
-        bad = checked.where("NOT is_valid").drop("is_valid").withColumn("reasons", F.array_join("reasons", ","))
-        sink_to(bad, rejected_out, f"{checkpoint}-rejected")
+    bad = checked.where("NOT is_valid").drop("is_valid").withColumn("reasons", F.array_join("reasons", ","))
+    sink_to(bad, rejected_out, f"{checkpoint}-rejected")
     ok = checked.where("is_valid").drop("reasons", "is_valid")
     ev = (
         ok.withColumn("event_id", F.col(id_col))
@@ -138,10 +188,14 @@ def score_stream_job(
     t = float(meta["optimal_threshold"])
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(windowed).select(
-        *keep, "window_count", "window_sum", "late",
-        vector_to_array("probability")[1].alias("fraud_probability"),
-    )
-    flagged = scored.withColumn("is_fraud", F.col("fraud_probability") >= F.lit(t)).withColumn("threshold", F.lit(t))
-    sink_to(flagged, out, checkpoint)
-    return read_sink(spark, out)
+    def flagged(rows: DataFrame) -> DataFrame:
+        scored = model.transform(rows).select(
+            *keep, "window_count", "window_sum", "late",
+            vector_to_array("probability")[1].alias("fraud_probability"),
+        )
+        return scored.withColumn("is_fraud", F.col("fraud_probability") >= F.lit(t)).withColumn("threshold", F.lit(t))
+
+    sink_to(flagged(windowed), out, checkpoint)
+    late = late_rows(ok, f"{out}-late", f"{checkpoint}-late", delay, time_ms_col)
+    none = {"window_count": F.lit(0).cast("long"), "window_sum": F.lit(None).cast("double"), "late": F.lit(True)}
+    return read_sink(spark, out).where("not late").drop("batch").unionByName(flagged(late.withColumns(none)))

@@ -6,9 +6,10 @@ event can still see.  Each micro-batch merges the new events into the state
 (t - w, t] with two binary searches on the merged arrays, which equals the
 batch RANGE frame W1 when events arrive in time order.
 
-Late data: an event behind the watermark (time < watermark) is not windowed;
-it is emitted with ``late = true``, ``window_count = 0`` and a null
-``window_sum``, so it is counted, not silently lost.
+Late data: an event behind the watermark (time < watermark) is not windowed.
+The engine drops most such events before this function; those it lets through
+are emitted with ``late = true``.  The jobs keep all late events in a sink of
+their own (``jobs.late_rows``), so none is lost.
 Pairs older than watermark - w are dropped from the state, and keys idle past
 the window time out and free their state, so state per key is bounded by the
 events of one window plus the watermark delay.

@@ -25,7 +25,7 @@ def test_pca_errors(spark):
 def test_autoencoder_errors(spark):
     train = _matrix(spark, 240, 0.0, 0).repartition(3)
     normal, shifted = _matrix(spark, 60, 0.0, 1000), _matrix(spark, 60, 5.0, 2000)
-    theta = anomaly.fit_autoencoder(train, "features", epochs=3, batch=32)
+    theta = anomaly.fit_autoencoder(train, "features", epochs=12)
     assert theta.shape == (10 * 20 + 20 + 20 * 8 + 8 + 8 * 20 + 20 + 20 * 10 + 10,)
     e_n = [r["error"] for r in anomaly.autoencoder_error(normal, "features", theta).collect()]
     e_s = [r["error"] for r in anomaly.autoencoder_error(shifted, "features", theta).collect()]
@@ -54,3 +54,21 @@ def test_error_by_class(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 10.0)], "label int, error double")
     rows = {r["label"]: r for r in anomaly.error_by_class(df).collect()}
     assert rows[0]["mean_error"] == 2.0 and rows[1]["ratio_pos_to_neg"] == 5.0
+
+
+def test_autoencoder_does_not_depend_on_the_layout(spark):
+    rows = [(i, [float(np.sin(i * (j + 1))) for j in range(6)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "rid long, features array<double>")
+    one = anomaly.fit_autoencoder(df.repartition(1), "features", epochs=2, steps=3)
+    for n in (3, 8):
+        other = anomaly.fit_autoencoder(df.repartition(n, "rid"), "features", epochs=2, steps=3)
+        assert np.abs(one - other).max() < 1e-9
+
+
+def test_array_scaler(spark):
+    df = _matrix(spark, 90, 2.0, 5)
+    mean, spread = anomaly.fit_array_scaler(df, "features")
+    x = np.array([r["features"] for r in df.collect()])
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(spread, x.std(axis=0))
+    z = np.array([r["features"] for r in anomaly.scale_array(df, "features", mean, spread).collect()])
+    assert np.allclose(z.mean(axis=0), 0) and np.allclose(z.std(axis=0), 1)

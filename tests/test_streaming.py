@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from costlens.session import scratch_path
 from costlens.streaming import jobs
-from costlens.streaming.replay import write_replay
+from costlens.streaming.replay import read_stream, write_replay
 
 
 def _events(spark, n=600):
@@ -19,7 +19,7 @@ def test_stream_window_equals_batch(spark):
     ev = _events(spark)
     path = scratch_path(spark, "t-replay")
     assert write_replay(ev, "event_id", path, 100) == 6
-    out = jobs.trailing_window_job(spark, path, scratch_path(spark, "t-out"), scratch_path(spark, "t-ck"), "user_id", 120_000)
+    out = jobs.trailing_window_job(jobs.event_stream(spark, path), scratch_path(spark, "t-out"), scratch_path(spark, "t-ck"), "user_id", 120_000)
     w = Window.partitionBy("user_id").orderBy("ms").rangeBetween(-119_999, 0)
     batch = ev.select("event_id", F.count(F.lit(1)).over(w).alias("c"), F.sum("value").over(w).alias("s"))
     want = {r["event_id"]: (r["c"], round(r["s"], 6)) for r in batch.collect()}
@@ -32,7 +32,7 @@ def test_dedup_stream(spark):
     path = scratch_path(spark, "t-dup")
     ev.where("event_id < 200").coalesce(1).write.json(f"{path}/b=00000")
     ev.where("event_id >= 150").coalesce(1).write.json(f"{path}/b=00001")
-    out = jobs.dedup_job(spark, path, scratch_path(spark, "t-dout"), scratch_path(spark, "t-dck"), "1 hour")
+    out = jobs.dedup_job(jobs.event_stream(spark, path), scratch_path(spark, "t-dout"), scratch_path(spark, "t-dck"), "1 hour")
     assert out.count() == 300 and out.select("event_id").distinct().count() == 300
 
 
@@ -58,7 +58,7 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("ms", T.LongType()), T.StructField("key", T.LongType())]
                           + [T.StructField(c, T.DoubleType()) for c in ("a", "b", "c")])
     out = jobs.score_stream_job(
-        spark, replay, schema, model, meta, scratch_path(spark, "t-so"), scratch_path(spark, "t-sc"),
+        read_stream(spark, replay, schema), model, meta, scratch_path(spark, "t-so"), scratch_path(spark, "t-sc"),
         key_col="key", time_ms_col="ms", amount_col="a", id_col="rid", keep=["rid"], window_ms=10_000, delay="1 minute",
     )
     got = {r["rid"]: r["fraud_probability"] for r in out.collect()}
@@ -93,7 +93,7 @@ def test_stream_scoring_reports_rejected_rows(spark, tmp_path):
                            T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
     rej = scratch_path(spark, "t-rej-out")
     out = jobs.score_stream_job(
-        spark, replay, schema, model, meta, scratch_path(spark, "t-rej-o"), scratch_path(spark, "t-rej-c"),
+        read_stream(spark, replay, schema), model, meta, scratch_path(spark, "t-rej-o"), scratch_path(spark, "t-rej-c"),
         key_col="key", time_ms_col="ms", amount_col="b", id_col="rid", keep=["rid"], window_ms=10_000, delay="1 minute",
         rejected_out=rej,
     )
@@ -111,3 +111,47 @@ def test_kafka_source_is_gated(spark):
         pytest.skip("connector present")
     with pytest.raises(RuntimeError):
         read_kafka(spark, "localhost:9092", "transactions")
+
+
+def test_late_events_come_out_once_and_flagged(spark):
+    """Shuffled arrival: every event in comes out, late exactly if behind the watermark of the batches before."""
+    n, per, delay = 800, 100, 3_600_000
+    ev = _events(spark, n).withColumn("arrival", F.col("event_id") * 389 % n)
+    path = scratch_path(spark, "t-late")
+    assert write_replay(ev, "arrival", path, per) == n // per
+    out = jobs.trailing_window_job(jobs.event_stream(spark, path), scratch_path(spark, "t-lo"), scratch_path(spark, "t-lc"), "user_id", 120_000, "1 hour")
+    rows = out.collect()
+    assert sorted(r["event_id"] for r in rows) == list(range(n))
+    events = sorted(((r["arrival"], r["ms"], r["event_id"]) for r in ev.collect()))
+    want, newest = {}, None
+    for b in range(0, n, per):
+        batch = events[b : b + per]
+        want |= {e: newest is not None and ms < newest - delay for _, ms, e in batch}
+        newest = max([newest or 0, *(ms for _, ms, _ in batch)])
+    assert any(want.values()) and not all(want.values())
+    assert {r["event_id"]: r["late"] for r in rows} == want
+    assert all((r["window_count"] == 0) == r["late"] for r in rows)
+
+
+def test_replay_is_the_same_in_any_layout_and_keeps_batches_apart(spark):
+    ev = spark.range(500).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("day"), (F.col("id") * 7).alias("ms"))
+    seen = []
+    for parts in (1, 9):
+        path = scratch_path(spark, "t-lay")
+        assert write_replay(ev.repartition(parts), "day", path, 60) == 9
+        found = spark.read.json(path).select("event_id", "replay_batch").collect()
+        seen.append({r["event_id"]: r["replay_batch"] for r in found})
+        assert sorted(seen[-1]) == list(range(500))
+    assert seen[0] == seen[1]
+
+
+def test_payloads_of_a_broker(spark):
+    path = scratch_path(spark, "t-pay")
+    texts = ['{"event_id":1,"ms":5,"user_id":2,"value":1.5}', '{"event_id":2,"ms":6', "", '{"event_id":3,"ms":7,"user_id":2,"value":null}']
+    spark.createDataFrame([(t,) for t in texts], "payload string").coalesce(1).write.json(path)
+    source = spark.readStream.schema("payload string").json(path)
+    good, bad = jobs.payload_stream(source, jobs.EVENT_SCHEMA)
+    for name, frame in (("g", good), ("b", bad)):
+        jobs.sink_to(frame, f"{path}-{name}", f"{path}-{name}-ck")
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{path}-g").collect()) == [1, 3]
+    assert sorted(r["payload"] for r in spark.read.parquet(f"{path}-b").collect()) == sorted(texts[1:3])
