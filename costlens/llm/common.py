@@ -49,7 +49,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     and still there after an executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,8 +33,8 @@ WIDTHS = [(60 // n, n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
 #: Words, and pieces of words, whose ids a worker remembers (bounds on its memory; beyond them it starts anew).
-MEMO_WORDS = 500_000
-MEMO_PIECES = 800_000
+MEMO_WORDS = 900_000
+MEMO_PIECES = 600_000
 _U = np.uint64
 
 

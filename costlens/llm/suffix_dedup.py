@@ -315,6 +315,16 @@ def _window_digests(shape: Shape):
     return run
 
 
+def _compared(bitmap: Bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.filter(pa.array(bitmap.has(batch.column("code").to_numpy(zero_copy_only=False))))
+            if out.num_rows:
+                yield out.select(["context_id", "left", "held", "context"])
+
+    return run
+
+
 def _dealt(shape: Shape, splitters: list[bytes], hot: set[bytes]):
     """The bucket of every context; -1 for a lead that spans a splitter."""
     import bisect
@@ -332,10 +342,13 @@ def _dealt(shape: Shape, splitters: list[bytes], hot: set[bytes]):
 
 def repeated_contexts(contexts: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
     """context_id, runs: repeated windows of the distinct contexts (context_id, left, held, context)."""
-    spark = contexts.sparkSession
+    lead = F.substring("context", F.col("left") + 1, F.lit(shape.lead))
+    coded = contexts.withColumn("code", F.xxhash64(lead))
+    # a lead with a single context has nothing to be compared with
+    several = coded.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+    contexts = coded.mapInArrow(_compared(Bitmap(saved(several, "suffix-several"))), "context_id binary, left int, held long, context binary")
     total = contexts.count()
     buckets = max(1, math.ceil(total / bucket_rows))
-    lead = F.substring("context", F.col("left") + 1, F.lit(shape.lead))
     # about eight sampled leads a bucket; every eighth is a splitter
     part = max(1, total // (8 * buckets))
     sample = contexts.filter(F.pmod(F.xxhash64("context_id"), F.lit(part)) == 0).select(lead.alias("lead"))
@@ -408,7 +421,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_rows: int = BUC
     bitmap = Bitmap(saved(shared.select(F.col("key").alias("code")), "suffix-leads"))
     named = F.unhex(F.md5(F.concat(F.concat("left", F.lit(":")).cast("binary"), "context")))
     places = saved(texts.mapInArrow(_contexts(shape, bitmap), CONTEXT).withColumn("context_id", named), "suffix-contexts")
-    distinct = saved(places.groupBy("left", "context", "context_id").agg(F.count("*").alias("held")).select("context_id", "left", "held", "context"), "suffix-distinct")
+    distinct = places.groupBy("left", "context").agg(F.count("*").alias("held")).withColumn("context_id", named)
+    distinct = saved(distinct.select("context_id", "left", "held", "context"), "suffix-distinct")
     runs = repeated_contexts(distinct, shape, bucket_rows)
     whole = distinct.filter("held > 1").select("context_id", F.array(F.lit(0), (F.octet_length("context") - (length - 1)).cast("int")).alias("runs"))
     found = saved(runs.unionByName(whole), "suffix-runs")
