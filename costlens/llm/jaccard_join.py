@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, drop_ids, id_text, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import Bitmap, blocks, drop_ids, id_text, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import distinct_by_doc, mix, shingles_of, words_of
 
 _U = np.uint64
@@ -124,6 +124,18 @@ def _leaf_rows(k: int, small: int, parent: int):
     return run
 
 
+def _maybe_shared(bitmap: Bitmap):
+    """Most leaves are one set's alone: they need not be shuffled to learn that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.filter(pa.array(bitmap.has(batch.column("key").to_numpy())))
+            if out.num_rows:
+                yield out
+
+    return run
+
+
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -346,7 +358,9 @@ def candidate_regions(texts: DataFrame, classes: DataFrame, k: int, percent: int
     parent = math.ceil(Fraction(percent * (small + 1), 100))
     leaf = saved(texts.mapInArrow(_leaf_rows(k, small, parent), "key long, set long, top boolean"), "jaccard-leaves")
     shared = leaf.groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("_last")).filter("pivot <> _last")
-    met = saved(leaf.join(shared.drop("_last"), "key").distinct(), "jaccard-met-leaves")
+    shared = saved(shared.drop("_last"), "jaccard-shared")
+    some = leaf.mapInArrow(_maybe_shared(Bitmap(shared.select(F.col("key").alias("code")))), leaf.schema)
+    met = saved(some.join(shared, "key").distinct(), "jaccard-met-leaves")
     # copies write a set's leaves several times, so its own are counted by one copy's rows
     total = leaf.filter("top").groupBy("set").agg(F.count("*").alias("leaves"))
     held = met.groupBy("set").agg(F.count_if("top").alias("held"))

@@ -68,7 +68,7 @@ def parts(found: DataFrame) -> DataFrame:
     """mention, kind, n (order of the part), type, canon: the entities that a mention is made of."""
     m, kind = F.col("mention"), F.col("kind")
     low = F.lower(m)
-    title = F.regexp_extract(m, rf"^({_TITLE})", 1)
+    title = F.regexp_extract(m, rf"^({_TITLE})\.? ", 1)
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("u")
     words = F.slice(F.split(m, " "), 2, 2)
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
