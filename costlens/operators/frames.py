@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def attach_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn(k, F.lit(1)).join(F.broadcast(row.withColumn(k, F.lit(1))), k).drop(k)
 
 
+def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], limit: int = 10_000) -> DataFrame:
+    """Equi-join with a frame that is usually small (a row a group): computed once, counted, and broadcast if it has at
+    most ``limit`` rows; otherwise Spark joins as it sees fit."""
+    small = materialize(small)
+    return df.join(F.broadcast(small) if small.count() <= limit else small, list(on))
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:

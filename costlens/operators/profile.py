@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import round6
-from costlens.operators.frames import attach_one_row
+from costlens.operators.frames import attach_one_row, join_small
 from costlens.operators.ordered import exact_percentiles
 
 
@@ -84,7 +84,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ("label",), approx:
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     v = df.select(*by, F.col(value).cast("double").alias("_v"))
-    j = v.join(q, by) if by else attach_one_row(v, q)
+    j = join_small(v, q, by) if by else attach_one_row(v, q)
     out = j.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(F.col("_v") <= hi, F.col("_v"))).alias("whisker_high"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.operators import metrics, profile, runlog
@@ -201,3 +202,63 @@ def _record(s):
     from costlens.operators.frames import attach_one_row
 
     return attach_one_row(metrics.confusion(s, 0.5), metrics.brier_score(s))
+
+
+@register(
+    "error_by_class_scores",
+    with_sql(
+        SCORED_SQL,
+        """e AS (SELECT label, power(score - label, 2) AS error FROM scored)""",
+        """r AS (SELECT avg(CASE WHEN label = 1 THEN error END) / avg(CASE WHEN label = 0 THEN error END) AS ratio FROM e)""",
+        body="""SELECT label, round(avg(error), 6) AS mean_error, count(*) AS n,
+  (SELECT round(ratio, 6) FROM r) AS ratio_pos_to_neg FROM e GROUP BY label""",
+    ),
+)
+def q_error_by_class_scores(spark, sf):
+    """G7 over a given error column: the squared distance of score and label."""
+    from costlens.operators.anomaly import error_by_class
+
+    return error_by_class(scored(spark, sf).withColumn("error", F.pow(F.col("score") - F.col("label"), 2)))
+
+
+_CONTRIBUTIONS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register(
+    "mean_abs_contribution",
+    with_sql(
+        SCORED_SQL,
+        "m AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in _CONTRIBUTIONS) + " FROM scored)",
+        "c AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS feature, (s.{c} - m.{c}) * (1 + label) AS x FROM scored s, m" for c in _CONTRIBUTIONS)
+        + ")",
+        body="SELECT feature, round(avg(abs(x)), 6) AS mean_abs FROM c GROUP BY feature",
+    ),
+)
+def q_mean_abs_contribution(spark, sf):
+    """G11 over given contributions: deviations from the mean, doubled for positives."""
+    s = scored(spark, sf)
+    means = s.agg(*[F.avg(c).alias(c) for c in _CONTRIBUTIONS]).first()
+    wide = s.select(*[((F.col(c) - F.lit(means[c])) * (1 + F.col("label"))).alias(c) for c in _CONTRIBUTIONS])
+    return profile.mean_abs_by_feature(profile.long_features(wide, _CONTRIBUTIONS), "value", top=None)
+
+
+@register(
+    "assemble",
+    with_sql(
+        SCORED_SQL,
+        body="""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i AS place,
+  CASE i WHEN 0 THEN l_extendedprice WHEN 1 THEN time_us::DOUBLE WHEN 2 THEN l_quantity WHEN 3 THEN l_discount ELSE l_tax END AS value
+FROM scored, range(5) r(i)""",
+    ),
+)
+def q_assemble(spark, sf):
+    """The learners' matrix column in pipeline order, taken apart again place by place."""
+    from pyspark.ml.functions import vector_to_array
+
+    from costlens.operators import features
+
+    spec = features.FeatureSpec(features=("l_quantity", "l_extendedprice", "l_discount", "l_tax", "time_us"), scaled=("l_extendedprice", "time_us"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = features.assemble(scored(spark, sf), spec.pipeline_order()).select(*keys, vector_to_array("features").alias("v"))
+    return rows.select(*keys, F.posexplode("v").alias("place", "value")).withColumn("place", F.col("place").cast("long"))

@@ -146,9 +146,11 @@ def q_decisions(spark, sf):
 @register(
     "validate_contract",
     with_sql(
-        """v AS (SELECT event_id, TRY_CAST(value AS DOUBLE) AS value,
-                TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)""",
-        body="""SELECT event_id, value, k,
+        """v AS (SELECT event_id,
+                CASE WHEN event_id % 13 = 5 THEN NULL WHEN event_id % 13 = 6 THEN 'NaN'::DOUBLE ELSE value END AS value,
+                CASE WHEN event_id % 11 = 3 THEN NULL ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k
+                FROM events)""",
+        body="""SELECT event_id, CASE WHEN isnan(value) THEN -1.0 ELSE value END AS value, k,
   concat_ws(',', CASE WHEN value IS NULL OR isnan(value) THEN 'value' END,
                  CASE WHEN k IS NULL OR isnan(k) THEN 'k' END) AS reasons,
   (value IS NOT NULL AND NOT isnan(value) AND k IS NOT NULL AND NOT isnan(k)) AS is_valid
@@ -158,9 +160,13 @@ FROM v""",
 def q_validate_contract(spark, sf):
     from costlens.sources import read_table
 
-    ev = read_table(spark, sf, "events").select("event_id", "value", F.get_json_object("props", "$.k").alias("k"))
+    # some events break the contract: no value, NaN, text where a number belongs
+    value = F.when(F.col("event_id") % 13 == 6, F.lit(float("nan"))).when(F.col("event_id") % 13 != 5, F.col("value"))
+    k = F.when(F.col("event_id") % 11 == 3, F.lit("many")).otherwise(F.get_json_object("props", "$.k"))
+    ev = read_table(spark, sf, "events").select("event_id", value.alias("value"), k.alias("k"))
     checked = features.validate_contract(ev, ["value", "k"], ["event_id"])
-    return checked.select("event_id", "value", "k", F.array_join("reasons", ",").alias("reasons"), "is_valid")
+    shown = F.when(F.isnan("value"), F.lit(-1.0)).otherwise(F.col("value")).alias("value")  # NaN has no equal to compare with
+    return checked.select("event_id", shown, "k", F.array_join("reasons", ",").alias("reasons"), "is_valid")
 
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "time_us"]
