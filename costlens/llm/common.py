@@ -67,26 +67,41 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             yield batch.slice(begin)
 
 
-#: Bounds on the bits of a bitmap that is sent to all tasks (16 MB at most).
-MAP_LEAST, MAP_MOST = 1 << 16, 1 << 27
+#: Bounds on the bits of a bitmap that is sent to all tasks (8 MB at most), and of the pieces it is built from.
+MAP_LEAST, MAP_MOST, MAP_PIECE = 1 << 19, 1 << 26, 1 << 19
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set bits of the bitmap's pieces that this partition holds."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        piece, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "place"))
+        for k in np.unique(piece).tolist():
+            own = held.setdefault(k, np.zeros(MAP_PIECE, bool))
+            own[place[piece == k]] = True
+    if held:
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], names=["piece", "bits"])
 
 
 class Bitmap:
     """Set of 64-bit codes that errs on one side: it may say yes to others, never no to a member.
 
     32 bits a code keep wrong answers at 3 %; beyond ``MAP_MOST`` bits they grow in number, so an exact join has to
-    follow.  Built by Spark as 64-bit words, of which the driver sees at most ``MAP_MOST`` / 64."""
+    follow.  Tasks build it piece by piece; the driver sees at most ``MAP_MOST`` bits."""
 
     def __init__(self, codes: DataFrame):
         """``codes``: one long column named code."""
+        on_workers(codes.sparkSession)
         many = codes.count()
         self.bits = min(MAP_MOST, max(MAP_LEAST, 1 << max(0, 32 * many - 1).bit_length()))
         slot = F.col("code").bitwiseAND(F.lit(self.bits - 1))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-        words = codes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-        table, found = np.zeros(self.bits // 64, np.int64), words.toPandas()
-        table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-        self.table = codes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+        dealt = codes.select(F.shiftright(slot, 19).alias("piece"), slot.bitwiseAND(F.lit(MAP_PIECE - 1)).alias("place"))
+        table = np.zeros(self.bits // 64, np.uint64)
+        for row in dealt.repartition("piece").mapInArrow(_pieces, "piece long, bits binary").toLocalIterator():
+            words = np.frombuffer(row["bits"], "<u8")
+            table[row["piece"] * len(words) : (row["piece"] + 1) * len(words)] = words
+        self.table = codes.sparkSession.sparkContext.broadcast(table)
 
     def has(self, codes: np.ndarray) -> np.ndarray:
         """Whether each of ``codes`` (64-bit) may be a member."""
