@@ -154,3 +154,21 @@ def q_baseline_comparison(spark, sf):
         row = evaluate_basic(models.score(m, test).select("label", "score")).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@register(
+    "knn_embeddings",
+    """SELECT id, nbr_id, dist2, rank FROM (
+  SELECT a.vec_id AS id, b.vec_id AS nbr_id,
+    list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS d,
+    round(d, 6) AS dist2,
+    CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS INTEGER) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+) t WHERE rank <= 5""",
+)
+def q_knn_embeddings(spark, sf):
+    """C8's neighbour search in 64 dimensions: the five nearest of every embedding."""
+    from costlens.operators.smote import knn_exact
+    from costlens.plans.views import matrix
+
+    return knn_exact(matrix(spark, sf), "vec_id", "features", k=5).withColumn("dist2", F.round("dist2", 6))
