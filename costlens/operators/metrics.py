@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.functions import count_lt, round6, safe_div
-from costlens.operators.frames import side_by_side
+from costlens.operators.frames import materialize, side_by_side
 from costlens.operators.ordered import percentile_values, prefix_sums
 
 
@@ -75,8 +75,12 @@ _EXACT = "decimal(19,0)"
 
 def rank_metrics(scored: DataFrame, *, by: Sequence[str] = (), score="score", label="label") -> DataFrame:
     """(by..., pr_auc, roc_auc) — AP as a step sum, AUC with half credit for ties."""
+    return rank_from_counts(score_counts(scored, by=by, score=score, label=label), by=by, score=score)
+
+
+def rank_from_counts(g: DataFrame, *, by: Sequence[str] = (), score="score") -> DataFrame:
+    """(by..., pr_auc, roc_auc) from the distinct-score frame."""
     by = list(by)
-    g = score_counts(scored, by=by, score=score, label=label)
     ps = prefix_sums(g, score, ["pos", "cnt"], by=by, descending=True)
     neg = F.col("cnt") - F.col("pos")
     cum_neg = F.col("cum_cnt") - F.col("cum_pos")
@@ -113,8 +117,9 @@ def precision_at_k(scored: DataFrame, k: int, id_cols: Sequence[str], *, score="
 
 def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_cols: Sequence[str] = ()) -> DataFrame:
     """The 13-metric record of one operating point."""
-    c = confusion_from_counts(score_counts(scored), threshold)
-    r = rank_metrics(scored)
+    g = materialize(score_counts(scored))  # one scan and one shuffle of the rows for both
+    c = confusion_from_counts(g, threshold)
+    r = rank_from_counts(g)
     p = precision_at_k(scored, k, id_cols)
     row = side_by_side(c, r, p)
     rc = rate_columns()
@@ -135,8 +140,9 @@ def evaluate_full(scored: DataFrame, threshold: float = 0.5, k: int = 100, id_co
 def evaluate_basic(scored: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """pr_auc, roc_auc, f1_at_0.5 — the model-comparison triple."""
     by = list(by)
-    c = confusion_from_counts(score_counts(scored, by=by), 0.5, by=by).select(*by, rate_columns()[2].alias("f1_at_0.5"))
-    r = rank_metrics(scored, by=by)
+    g = materialize(score_counts(scored, by=by))
+    c = confusion_from_counts(g, 0.5, by=by).select(*by, rate_columns()[2].alias("f1_at_0.5"))
+    r = rank_from_counts(g, by=by)
     if by:
         return r.join(c, by)
     return side_by_side(r, c)
