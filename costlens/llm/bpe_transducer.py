@@ -63,13 +63,17 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
         self.limit = states
+        self.hypotheses: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.moves: dict[int, int] = {}
         self.reset()
 
     def reset(self) -> None:
         start = ((b"", -1),)
-        self.hypotheses = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.moves: dict[int, int] = {}
+        self.hypotheses[:] = [start]
+        self.number.clear()
+        self.number[start] = 0
+        self.moves.clear()
 
     def merged(self, data: bytes) -> list[int]:
         """The merges as defined: again and again the leftmost adjacent pair of lowest rank.  Used on two tokens' bytes."""
@@ -161,7 +165,16 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        return list(self.emitted(piece))
+        if len(piece) > 8 * self.longest:
+            return list(self.emitted(piece))
+        state, closed, some, known = 0, [], (1 << _STATE_BITS) - 1, self.moves.get
+        for byte in piece:  # short enough to emit at its end
+            out = known(state << 8 | byte)
+            if out is None:
+                out = self.move(state, byte)
+            closed.append(out >> _STATE_BITS)
+            state = out & some
+        return self.back(closed, len(closed))
 
 
 class Pieces(dict):
@@ -338,7 +351,7 @@ def _stream(tables: Tables, ids: np.ndarray) -> Iterator[str]:
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tables = coder(path, pattern)
-        decimal = {}
+        decimal = [str(i) for i in range(max(tables.bytes_of) + 1)]
         for block in blocks(batches):
             counts, id_digests, text_digests = [], [], []
             for text in block.column("text").to_pylist():
@@ -346,9 +359,7 @@ def _digests(path: str, pattern: str):
                 named, spelled = hashlib.sha256(), hashlib.sha256()
                 for at in range(0, len(ids), FEED):
                     part = ids[at : at + FEED].tolist()
-                    if len(decimal) < 1 << 16:
-                        decimal.update((i, str(i)) for i in set(part).difference(decimal))
-                    named.update(((b"," if at else b"") + ",".join([decimal.get(i) or str(i) for i in part]).encode()))
+                    named.update(((b"," if at else b"") + ",".join(map(decimal.__getitem__, part)).encode()))
                 for out in _stream(tables, ids):
                     spelled.update(out.encode())
                 counts.append(len(ids))
