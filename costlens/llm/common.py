@@ -98,7 +98,7 @@ class Bitmap:
         slot = F.col("code").bitwiseAND(F.lit(self.bits - 1))
         dealt = codes.select(F.shiftright(slot, 19).alias("piece"), slot.bitwiseAND(F.lit(MAP_PIECE - 1)).alias("place"))
         table = np.zeros(self.bits // 64, np.uint64)
-        for row in dealt.repartition("piece").mapInArrow(_pieces, "piece long, bits binary").toLocalIterator():
+        for row in dealt.repartition("piece").mapInArrow(_pieces, "piece long, bits binary").collect():
             words = np.frombuffer(row["bits"], "<u8")
             table[row["piece"] * len(words) : (row["piece"] + 1) * len(words)] = words
         self.table = codes.sparkSession.sparkContext.broadcast(table)
