@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from costlens.llm.common import blocks, id_text, on_workers, small_batches
+from costlens.llm.common import blocks, id_text, on_workers, remembered, small_batches
 
 #: Bounds on what a worker remembers; beyond them it starts anew.
-MEMO_STATES = 100_000
-MEMO_PIECES = 1_000_000
+MEMO_STATES = 60_000
+MEMO_PIECES = 900_000
 #: Ids that the streaming decoder is fed at once.
 FEED = 1 << 16
 
@@ -293,16 +293,14 @@ class StreamDecoder:
         return "�" if self.moves.state else ""
 
 
-_loaded: dict[tuple[str, str], tuple[Encoder, Tables]] = {}
-
-
 def coder(path: str, pattern: str) -> tuple[Encoder, Tables]:
     """One pair per Python worker, which serves many tasks."""
-    if (path, pattern) not in _loaded:
+
+    def make() -> tuple[Encoder, Tables]:
         ranks = read_ranks(path)
-        encoder = Encoder(ranks, pattern)
-        _loaded[path, pattern] = encoder, Tables({i: b for b, i in ranks.items()})
-    return _loaded[path, pattern]
+        return Encoder(ranks, pattern), Tables({i: b for b, i in ranks.items()})
+
+    return remembered(("byte-level BPE", path, pattern), make)
 
 
 def _token_lists(path: str, pattern: str):

@@ -20,7 +20,25 @@ from costlens.session import scratch_path, ship_package
 
 #: Rows in an Arrow batch that tasks work on, and bytes of text in one numpy block.
 BATCH_ROWS = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+
+#: What this Python worker remembers between tasks: one operator's memo at a time.
+_memos: dict = {}
+
+
+def remembered(key: tuple, make):
+    """``make()`` once per worker for ``key``; another key's memo is dropped first, so a worker that serves several
+    operators holds one of them."""
+    if key not in _memos:
+        _memos.clear()
+        _memos[key] = make()
+    return _memos[key]
+
+
+def forget() -> None:
+    """For tasks that need the worker's memory for themselves."""
+    _memos.clear()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +145,7 @@ def prefilter(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all their columns) whose ``doc_id`` is among ``kept``; rows with a null id stay."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id"))
+    ids = kept.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")  # as many as documents: never broadcast
     return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept_id"]), "left_semi")
 
 

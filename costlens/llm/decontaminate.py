@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, drop_ids, id_text, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import blocks, drop_ids, forget, id_text, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import Words, shingles_of, words_of
 
 SHINGLE = 5
@@ -133,6 +133,7 @@ def _seeds(items: Items):
     """(doc_id, distinct item shingles found) of the documents that share any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for block in blocks(batches):
             number, doc, _ = items.hits(words_of(block.column("text"), _APART))
             if not len(doc):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import Bitmap, blocks, drop_ids, id_text, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import Bitmap, blocks, drop_ids, forget, id_text, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import distinct_by_doc, mix, shingles_of, words_of
 
 _U = np.uint64
@@ -102,6 +102,7 @@ def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _named(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for block in blocks(batches):
             size, name = set_names(*sets_of(block.column("text"), k), block.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -158,13 +159,16 @@ class Pairs:
         self.sets, self.percent = sets, percent
 
     def shared(self, items: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """|items & y| for y in ``others`` (their indices; no set is empty)."""
-        size = self.size[others]
-        total = np.cumsum(size)
-        at = np.repeat(self.first[others] - (total - size), size) + np.arange(total[-1])
-        flat = self.flat[at]
-        hit = items[np.minimum(np.searchsorted(items, flat), len(items) - 1)] == flat
-        return np.add.reduceat(hit.astype(np.int64), total - size)
+        """|items & y| for y in ``others`` (their indices; no set is empty), about a million shingles at a time."""
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.size[others]) >> 20)) + 1
+        out = []
+        for part in np.split(others, cuts):
+            size = self.size[part]
+            total = np.cumsum(size)
+            flat = self.flat[np.repeat(self.first[part] - (total - size), size) + np.arange(total[-1])]
+            hit = items[np.minimum(np.searchsorted(items, flat), len(items) - 1)] == flat
+            out.append(np.add.reduceat(hit.astype(np.int64), total - size))
+        return np.concatenate(out)
 
     def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those whose size alone does not rule a link out."""
@@ -232,6 +236,7 @@ def _regions(percent: int):
     """Sorted rows (region, set, items, active): joins one region after the other as their rows stream in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         now, ids, sets, active = None, [], [], []
 
         def close() -> list[tuple[int, int]]:

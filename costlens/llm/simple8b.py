@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, id_text, on_workers, small_batches
+from costlens.llm.common import blocks, id_text, on_workers, remembered, small_batches
 from costlens.session import scratch_path
 
 #: (bits an id, ids a word) of selectors 0 to 14 - fixed by the format; selector 15 is the escape.
@@ -170,14 +170,9 @@ class _Memo(dict):
         return out
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One per Python worker, which serves many tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return remembered(("word ids", path), lambda: WordIds(path))
 
 
 FILE = "file int, block long, split boolean, doc_ids array<long>, counts array<int>, first long, total long, words binary"

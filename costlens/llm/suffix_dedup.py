@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import Bitmap, blocks, id_text, on_workers, saved, small_batches
+from costlens.llm.common import Bitmap, blocks, forget, id_text, on_workers, saved, small_batches
 from costlens.llm.words import mix
 
 LENGTH = 200
@@ -279,6 +279,7 @@ def _buckets(shape: Shape):
         return _found([rows[i][0] for i in some], [runs[i] for i in some]) if some else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         now, rows = None, []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("bucket", "context_id", "left", "held", "context")]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import TRAIN_ROWS, blocks, held_out, id_text, labelled_sample, on_workers, saved, small_batches
+from costlens.llm.common import TRAIN_ROWS, blocks, forget, held_out, id_text, labelled_sample, on_workers, saved, small_batches
 from costlens.llm.words import NOT_LETTERS, Words, words_of
 
 FOLDS, HELD = 3, 1
@@ -70,6 +70,7 @@ def _present(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label that hold a word, summed up within a block."""
+    forget()
     for block in blocks(batches):
         words = words_of(block.column("text"), NOT_LETTERS)
         label = block.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
