@@ -17,6 +17,7 @@ Defined results: null text counts as empty (only the end id); a null ``doc_id``
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ WIDTHS = [(60 // n, n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
 #: Words, and pieces of words, whose ids a worker remembers (bounds on its memory; beyond them it starts anew).
-MEMO_WORDS = 900_000
-MEMO_PIECES = 600_000
+MEMO_WORDS = 800_000
+MEMO_PIECES = 700_000
 _U = np.uint64
 
 
@@ -114,11 +115,10 @@ def unpack(words: np.ndarray, count: int) -> np.ndarray:
     return out[:count]
 
 
-#: Fixed by the tokenizer file: its splitting pattern, spelled out for the characters of ``_PLAIN``, in lower case.
+#: Fixed by the tokenizer file: its splitting pattern, spelled out for Latin letters and ASCII in lower case.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f"
 _SYMBOLS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
-_PLAIN = re.compile(rf"[{_LETTERS}0-9{_SYMBOLS}]*")
 
 
 class WordIds:
@@ -133,25 +133,27 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        pack_ids = lambda *ids: struct.pack(f"<{len(ids)}I", *ids)
         model, to_bytes = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
         def piece(p: str) -> bytes:
             spelled = p if p.isascii() else to_bytes.pre_tokenize_str(p)[0][0]
-            return np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+            return pack_ids(*[t.id for t in model.tokenize(spelled)])
 
         known = _Memo(piece, pieces)
 
         def word(w: bytes) -> bytes:
             text = w.decode()
             low = text.lower()
-            if "<|" not in text and _PLAIN.fullmatch(low):
-                return b"".join(map(known.__getitem__, _PIECES.findall(low)))
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            cut = _PIECES.findall(low)
+            if sum(map(len, cut)) == len(low) and "<|" not in text:  # all plain: nothing was passed over
+                return b"".join(map(known.__getitem__, cut))
+            return pack_ids(*self.library.encode(text, add_special_tokens=False).ids)
 
         self.words = _Memo(word, words)
 
-    def __call__(self, text: str) -> np.ndarray:
-        data = text.encode()
+    def __call__(self, data: bytes) -> np.ndarray:
+        """Ids of a text in UTF-8."""
         if b"<|" not in data:  # case does not matter then
             data = data.lower()
         return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
@@ -199,7 +201,7 @@ def _write(path: str, end: int, limit: int):
 
         for texts in blocks(batches):
             rows = []
-            for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
+            for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = np.append(encode(text), np.uint32(end))
                 if held and size + len(own) > limit:
                     rows.append(whole())

@@ -84,13 +84,13 @@ def brute_ids(texts):
 def test_words_give_the_ids_of_the_whole_text(texts):
     encode = simple8b.word_ids(WORD)
     for t in texts:
-        assert encode(t).tolist() == encode.library.encode(t, add_special_tokens=False).ids
+        assert encode(t.encode()).tolist() == encode.library.encode(t, add_special_tokens=False).ids
 
 
 def test_full_memos_start_anew():
     encode = simple8b.WordIds(WORD, words=5, pieces=3)
     for t in ODD:
-        assert encode(t or "").tolist() == encode.library.encode(t or "", add_special_tokens=False).ids
+        assert encode((t or "").encode()).tolist() == encode.library.encode(t or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [simple8b.BLOCK_IDS, 50])
