@@ -8,6 +8,7 @@ otherwise."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,10 @@ def remembered(key: tuple, make):
 
 def forget() -> None:
     """For tasks that need the worker's memory for themselves."""
-    _memos.clear()
+    if _memos:
+        _memos.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
