@@ -33,11 +33,17 @@ def sink_to(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
     run_available(builder, checkpoint, timeout_s, spark=stream.sparkSession)
 
 
+def engine_delay(delay: str) -> str:
+    """The delay to give the engine so that a row is late if it is behind the newest event time minus ``delay``: the engine
+    takes rows at its watermark as late too, so its watermark has to be one millisecond older."""
+    return f"{delay} 1 millisecond"
+
+
 def late_sink(path: str, marks: str, delay_ms: int, time_ms: str = "ms"):
     """foreachBatch writer of the rows behind the watermark, idempotent per batch id.
 
-    The watermark of a batch is the engine's: the largest event time of the batches before it minus the delay.  Each
-    batch leaves its largest event time under ``marks``; a batch that runs again overwrites its own."""
+    The watermark of a batch is the engine's: the largest event time of the batches before it minus the delay, never
+    before 1970; rows at it are late as well (``engine_delay``).  Each batch leaves its largest event time under ``marks``; a batch that runs again overwrites its own."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
@@ -45,8 +51,8 @@ def late_sink(path: str, marks: str, delay_ms: int, time_ms: str = "ms"):
         if batch_id > 0:
             seen = spark.read.schema("newest long").parquet(*[f"{marks}/batch={b:06d}" for b in (batch_id - 1,)])
             largest = seen.agg(F.max("newest")).first()[0]
-        late = F.lit(False) if largest is None else F.col(time_ms) < F.lit(largest - delay_ms)
-        df.where(late).write.mode("overwrite").parquet(f"{path}/batch={batch_id:06d}")
+        mark = 0 if largest is None else max(0, largest - delay_ms)
+        df.where(F.col(time_ms) <= F.lit(mark)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:06d}")
         newest = df.agg(F.greatest(F.max(time_ms), F.lit(largest).cast("long")).alias("newest"))
         newest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id:06d}")
 
@@ -58,7 +64,7 @@ def late_rows(stream: DataFrame, out: str, checkpoint: str, delay: str, time_ms:
 
     The engine drops such rows before a stateful operator sees them, so a second, stateless query over the same source
     and the same triggers keeps them."""
-    ms = stream.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{delay}')").first()[0]
+    ms = stream.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{engine_delay(delay)}')").first()[0]
     marks = f"{checkpoint}-marks"
     builder = stream.writeStream.foreachBatch(late_sink(out, marks, int(ms), time_ms))
     run_available(builder, checkpoint, spark=stream.sparkSession)
@@ -110,7 +116,7 @@ def trailing_window_job(
 
     Every event comes out once: with its window, or, if it is behind the watermark, flagged ``late`` with count 0 and a
     null sum, from a sink of its own (``out``-late)."""
-    marked = events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay).withColumnRenamed("value", "amount")
+    marked = watermarked(events, engine_delay(delay)).withColumnRenamed("value", "amount")
     sink_to(stream_trailing_window(marked, key_col, window_ms), out, checkpoint)
     late = late_rows(events, f"{out}-late", f"{checkpoint}-late", delay)
     on_time = read_sink(events.sparkSession, out).where("not late").drop("batch")
@@ -181,7 +187,7 @@ def score_stream_job(
         .withColumn("ms", F.col(time_ms_col))
         .withColumn("amount", F.col(amount_col))
         .withColumn("ts", F.timestamp_millis("ms"))
-        .withWatermark("ts", delay)
+        .withWatermark("ts", engine_delay(delay))
     )
     passthrough = [c for c in dict.fromkeys([*keep, *feats]) if c not in ("event_id", "ms")]
     windowed = stream_trailing_window(ev, key_col, window_ms, passthrough)

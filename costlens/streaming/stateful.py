@@ -6,7 +6,8 @@ event can still see.  Each micro-batch merges the new events into the state
 (t - w, t] with two binary searches on the merged arrays, which equals the
 batch RANGE frame W1 when events arrive in time order.
 
-Late data: an event behind the watermark (time < watermark) is not windowed.
+Late data: an event not after the watermark (time <= watermark, the engine's
+own rule) is not windowed.
 The engine drops most such events before this function; those it lets through
 are emitted with ``late = true``.  The jobs keep all late events in a sink of
 their own (``jobs.late_rows``), so none is lost.
@@ -58,7 +59,7 @@ def _window_fn(window_ms: int, passthrough: Sequence[str]):
         old_ms = np.array(state.get[0], dtype=np.int64) if state.exists else np.zeros(0, dtype=np.int64)
         old_amt = np.array(state.get[1], dtype=np.float64) if state.exists else np.zeros(0)
         wm = state.getCurrentWatermarkMs()
-        late_mask = (new["ms"].to_numpy() < wm) if wm > 0 else np.zeros(len(new), dtype=bool)
+        late_mask = new["ms"].to_numpy() <= wm
         on_time = new[~late_mask]
         ms_all = np.concatenate([old_ms, on_time["ms"].to_numpy(dtype=np.int64)])
         amt_all = np.concatenate([old_amt, on_time["amount"].to_numpy(dtype=np.float64)])
@@ -72,7 +73,7 @@ def _window_fn(window_ms: int, passthrough: Sequence[str]):
         if late_mask.any():
             late = new[late_mask]
             parts.append(frame(key, late, np.zeros(len(late), dtype=np.int64), np.full(len(late), np.nan), True))
-        # every later on-time event has t >= watermark, so older pairs can go
+        # every later on-time event has t > watermark, so older pairs can go
         keep = ms_sorted > (wm - w) if wm > 0 else np.ones(len(ms_sorted), dtype=bool)
         state.update((ms_sorted[keep].tolist(), amt_sorted[keep].tolist()))
         newest = int(ms_sorted[-1]) if len(ms_sorted) else wm

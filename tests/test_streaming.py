@@ -133,6 +133,21 @@ def test_late_events_come_out_once_and_flagged(spark):
     assert all((r["window_count"] == 0) == r["late"] for r in rows)
 
 
+def test_rows_at_an_unchanged_watermark_are_on_time_and_none_is_lost(spark):
+    """Batches of four; from the second one on the watermark stands at ``edge``."""
+    edge = 1_700_000_000_000
+    newest = edge + 3_600_000
+    times = [newest, newest - 5, edge + 9, edge + 1, newest - 1, edge + 2, edge, edge - 1, newest, edge, edge + 1, edge - 1, 0, edge, edge, -5]
+    ev = spark.createDataFrame([(i, ms, 1, 0.5) for i, ms in enumerate(times)], "event_id long, ms long, user_id long, value double")
+    path = scratch_path(spark, "t-edge")
+    assert write_replay(ev, "event_id", path, 4) == 4
+    out = jobs.trailing_window_job(jobs.event_stream(spark, path), scratch_path(spark, "t-eo"), scratch_path(spark, "t-ec"), "user_id", 1000, "1 hour")
+    got = sorted((r["event_id"], r["late"], r["window_count"]) for r in out.collect())
+    assert [g[0] for g in got] == list(range(len(times)))
+    assert {i for i, late, _ in got if late} == {i for i, ms in enumerate(times) if i >= 4 and ms < edge}
+    assert [n for i, _, n in got if times[i] == edge] == [1, 2, 4, 4]
+
+
 def test_replay_is_the_same_in_any_layout_and_keeps_batches_apart(spark):
     ev = spark.range(500).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("day"), (F.col("id") * 7).alias("ms"))
     seen = []
