@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import id_text, keep_ids, saved
+from costlens.llm.common import id_text, saved
 
 #: Entries that a bucket holds before its directory doubles, and the bits a directory can use at most.
 CAPACITY = 4096
@@ -111,16 +111,25 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """Stage form: rows of ``docs`` that stay, all their columns.  Rows that repeat one kept ``doc_id`` are one document:
-    one of them stays."""
-    ids = saved(exact_dedup(docs).filter("kept").select("doc_id"), "dedup-kept")
-    twice = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = keep_ids(docs, ids)
+    """Stage form: rows of ``docs`` that stay, all their columns.  A document is its ``doc_id`` (null or not) and its text:
+    an id with several texts keeps each one that is no copy.  Rows equal in both are one document: the one with the most
+    code points in its original form, then the largest text, stays."""
+    found = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    kept = saved(found.agg(F.count("*").alias("_kept_rows")), "dedup-kept")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    own, sha = docs["doc_id"].cast("long"), F.sha2(normalised(text), 256)
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.drop("_kept_rows").hint("shuffle_hash")  # as many as documents: never broadcast
+        return rows.join(ids, own.eqNullSafe(ids["_kept_id"]) & (sha == ids["_kept_sha"]), how)
+
+    stay, twice = among(docs, kept, "left_semi"), kept.filter("_kept_rows > 1")
     if twice.isEmpty():
-        return kept
-    mark = twice.select(F.col("doc_id").alias("_twice"))
-    same = docs["doc_id"].cast("long").eqNullSafe(mark["_twice"])
-    return kept.join(mark, same, "left_anti").unionByName(kept.join(mark, same, "left_semi").dropDuplicates(["doc_id"]))
+        return stay
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    folded = among(stay, twice, "left_semi").groupBy(own.alias("_own_id"), sha.alias("_own_sha"))
+    folded = folded.agg(F.max_by(row, F.struct(F.char_length(text), text)).alias("_row")).select("_row.*")
+    return among(stay, twice, "left_anti").unionByName(folded)
 
 
 ORACLE = r"""

@@ -77,6 +77,15 @@ def test_exact_dedup_of_repeated_null_ids_and_nothing(spark):
     assert X.exact_dedup(docs.limit(0)).collect() == [] and X.drop_copies(docs.limit(0)).collect() == []
 
 
+def test_drop_copies_tells_documents_by_id_and_text(spark):
+    """Null ids with several texts and ids with several texts keep each text; a copy goes though its id stays elsewhere."""
+    rows = [(None, "one"), (None, "two"), (None, "t w o"), (None, None), (None, "w"), (5, "a"), (5, "b"), (5, "b "), (9, "q"), (9, "w"), (1, "w"), (2, "q")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _kept_id int").repartition(5)
+    got = X.drop_copies(docs)
+    want = [(None, "one", 0), (None, "t w o", 2), (None, None, 3), (5, "a", 5), (5, "b ", 7), (1, "w", 10), (2, "q", 11)]
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 MADE = [
     "write to Anna.Berg+x@Mail.example.com or anna.berg+x@mail.example.com now",
     "call +1 (017) 555-7713 or +1 017 555 7713, card 4539 1488 0343 6467 and 4539148803436467",
