@@ -10,7 +10,9 @@ names keep gender and script.
 
 Distinctness: surrogates of one type are compared with one another and with all originals of that type; of several
 entities with one surrogate only the first keeps it, and what equals an original goes too.  The others are drawn again
-until nothing collides.
+until nothing collides.  Where the values of a length run out (or nothing in a part can change, as in ``__@x.org``)
+surrogates grow: e-mails, domains, secrets and names of the same type by letters after a few attempts, numbers of a fixed
+format only after many.  So a free value always exists, and no corpus is given up.
 
 Text is replaced by cutting it at the mentions and joining the parts with the surrogates between them.  Surrogates
 depend on the mention alone, so the tables joined are keyed by mention and by text digest, and copies are folded before.
@@ -20,6 +22,8 @@ the result, also where ids repeat or are null."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +48,26 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Letters that stand in for letters of a script, and syllables of made-up names - fixed values.
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщыэюя"
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
+#: First and last code point of letters that stand in for those of a further script, at most 256 of each - fixed values.
+#: Letters of scripts not listed become Latin ones, digits and numerals that are not ASCII become ASCII digits.
+_RANGES = {
+    "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x641, 0x64A), "Armenian": (0x561, 0x586), "Georgian": (0x10D0, 0x10F0), "Syriac": (0x712, 0x72C),
+    "Thaana": (0x780, 0x7A5), "Devanagari": (0x905, 0x939), "Bengali": (0x995, 0x9B9), "Gurmukhi": (0xA15, 0xA39), "Gujarati": (0xA95, 0xAB9),
+    "Oriya": (0xB15, 0xB39), "Tamil": (0xB95, 0xBB9), "Telugu": (0xC15, 0xC39), "Kannada": (0xC95, 0xCB9), "Malayalam": (0xD15, 0xD39),
+    "Sinhala": (0xD9A, 0xDC6), "Thai": (0xE01, 0xE2E), "Lao": (0xE94, 0xEAE), "Tibetan": (0xF40, 0xF68), "Myanmar": (0x1000, 0x1021),
+    "Ethiopic": (0x1200, 0x1247), "Cherokee": (0xAB70, 0xABBF), "Khmer": (0x1780, 0x17A2), "Mongolian": (0x1820, 0x1842),
+    "Hiragana": (0x304B, 0x3082), "Katakana": (0x30AB, 0x30E2), "Bopomofo": (0x3105, 0x3129), "Hangul": (0xAC00, 0xACFF), "Han": (0x4E00, 0x4EFF),
+}
+_FURTHER = {script: "".join(c for c in map(chr, range(a, b + 1)) if c.isalpha()) for script, (a, b) in _RANGES.items()}
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi za".split(),
     "cyrillic": "ба бе бо да де ди до га ге ка ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви за".split(),
 }
 _END = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "u"): "l", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "u"): "л"}
-MAX_ROUNDS = 40
+#: Attempts at one length, and at the length of a number whose format is fixed (longer ones leave the format).
+TRIES, FIXED_TRIES = 4, 20
 
 
 def mentions(text: Column) -> Column:
@@ -102,25 +119,48 @@ def _pick(letters: str, b: Column) -> Column:
     return F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
 
 
-def shaped(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Every letter or digit for one of its kind, everything else in place."""
-    small = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
+def shaped(text: Column, stream: Column, hexadecimal: bool = False, ascii_only: bool = True) -> Column:
+    """Every letter or digit for one of its kind, everything else in place (``ascii_only``: the text has no others)."""
+    small = "abcdef" if hexadecimal else _LATIN
+
+    def further(c: Column, b: Column) -> Column:
+        out = F.when(c.rlike(r"\p{L}"), _pick(_LATIN, b)).when(c.rlike(r"\p{N}"), _pick("0123456789", b)).otherwise(c)
+        for script, letters in _FURTHER.items():
+            out = F.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), _pick(letters, b)).otherwise(out)
+        return out
 
     def swap(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
-        return (
+        plain = (
             F.when(c.rlike("[0-9]"), _pick("0123456789", b))
             .when(c.rlike("[a-z]"), _pick(small, b))
             .when(c.rlike("[A-Z]"), _pick(small.upper(), b))
+        )
+        if ascii_only:
+            return plain.otherwise(c)
+        return (
+            plain.when(c.rlike(r"\p{ASCII}"), c)
             .when(c.rlike(r"\p{IsCyrillic}"), F.when(c == F.lower(c), _pick(_CYRILLIC, b)).otherwise(F.upper(_pick(_CYRILLIC, b))))
             .when(c.rlike(r"\p{IsGreek}"), F.when(c == F.lower(c), _pick(_GREEK, b)).otherwise(F.upper(_pick(_GREEK, b))))
             .when(c.rlike(r"\p{IsLatin}"), F.when(c == F.lower(c), _pick("áéíóúàèìòùäëïöü", b)).otherwise(_pick("ÁÉÍÓÚÀÈÌÒÙÄËÏÖÜ", b)))
-            .otherwise(c)
+            .otherwise(further(c, b))
         )
 
     return F.concat_ws("", F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), swap))
 
 
+def _more(stream: Column, letters: str, n: int) -> Column:
+    """``n`` letters, from the end of the stream."""
+    return F.concat(F.lit(""), *[_pick(letters, _byte(stream, F.lit(127 - i))) for i in range(n)])
+
+
+def grown(text: Column, stream: Column, attempt: int, ascii_only: bool = True) -> Column:
+    """``shaped``, and longer by letters from attempt ``TRIES`` on, or at once where nothing can change."""
+    n = attempt // TRIES
+    fixed = ~text.rlike(r"[\p{L}\p{N}]")
+    return F.concat(shaped(text, stream, ascii_only=ascii_only), F.when(fixed, _more(stream, _LATIN, n + 1)).otherwise(_more(stream, _LATIN, n)))
+
+
 def _luhn(digits: Column, doubled_from: int) -> Column:
     """Sum of the digits, every second one from the right doubled; ``doubled_from`` 0: the last one is doubled."""
     array = F.reverse(F.regexp_extract_all(digits, F.lit("."), F.lit(0)))
@@ -131,22 +171,24 @@ def _luhn(digits: Column, doubled_from: int) -> Column:
 def surrogate(key: str, attempt: int) -> Column:
     """The surrogate of (type, canon) at the given attempt."""
     type_, canon, stream = F.col("type"), F.col("canon"), _stream(key, attempt)
-    number = shaped(canon, stream)
-    card = F.concat(F.substring(canon, 1, 1), F.substring(number, F.lit(2), F.length(canon) - 2))
+    extra = attempt // FIXED_TRIES
+    number = F.concat(shaped(canon, stream), _more(stream, "0123456789", extra))
+    card = F.concat(F.substring(canon, 1, 1), F.substring(number, F.lit(2), F.length(number) - 2))
     card = F.when(_luhn(canon, 1) % 10 == 0, F.concat(card, (F.lit(10) - _luhn(card, 0) % 10) % 10)).otherwise(F.concat(card, F.substring(number, -1, 1)))
     country = F.regexp_extract(canon, r"^(\+\d)", 1)
-    phone = F.concat(country, F.substring(number, F.length(country) + 1, F.length(canon)))
-    ip = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+    phone = F.concat(country, F.substring(number, F.length(country) + 1, F.length(number)))
+    ip = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4 + extra)])
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    email = F.concat(shaped(local, stream), F.lit("@"), domain)
-    labels = F.split(canon, r"\.")
-    site = F.concat_ws(".", shaped(F.concat_ws(".", F.slice(labels, F.lit(1), F.size(labels) - 1)), stream), F.element_at(labels, -1))
-    iban = F.concat(F.substring(canon, 1, 2), shaped(F.substring(canon, F.lit(3), F.length(canon)), stream))
+    top = F.substring_index(canon, ".", -1)
+    part = F.when(type_ == "email", local).otherwise(F.substring(canon, F.lit(1), F.length(canon) - F.length(top) - 1))
+    part = grown(part, stream, attempt, ascii_only=False)  # of both types in one, as the plan of it is large
+    email, site = F.concat(part, F.lit("@"), domain), F.concat(part, F.lit("."), top)
+    iban = F.concat(F.substring(canon, 1, 2), shaped(F.substring(canon, F.lit(3), F.length(canon)), stream), _more(stream, "0123456789", extra))
     prefix = F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-])", 1)
-    secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), shaped(canon, stream, True)).otherwise(
-        F.concat(prefix, shaped(F.substring(canon, F.length(prefix) + 1, F.length(canon)), stream))
+    secret = F.when(canon.rlike("^[0-9a-fA-F]+$"), F.concat(shaped(canon, stream, True), _more(stream, "0123456789", extra))).otherwise(
+        F.concat(prefix, grown(F.substring(canon, F.length(prefix) + 1, F.length(canon)), stream, attempt))
     )
-    many = 2 + attempt // 4  # longer names where the short ones run out
+    many = 2 + attempt // TRIES  # longer names where the short ones run out
     name = F.lit("")
     for (script, gender), end in _END.items():
         table = F.array(*map(F.lit, _SYLLABLES[script]))
@@ -164,7 +206,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     is an original."""
     entities = saved(entities.select("type", "canon").distinct(), "surrogate-entities")
     taken, pending = None, entities
-    for attempt in range(MAX_ROUNDS):
+    for attempt in count():  # ends: the values to draw from grow with the attempts, the entities do not
         drawn = saved(pending.select("type", "canon", surrogate(key, attempt).alias("surrogate")), "surrogate-drawn")
         first = drawn.groupBy("type", "surrogate").agg(F.min("canon").alias("canon"))
         originals = entities.select("type", F.col("canon").alias("surrogate"))
@@ -176,7 +218,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = saved(pending.join(taken, ["type", "canon"], "left_anti"), "surrogate-pending")
         if pending.isEmpty():
             return taken
-    raise ValueError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def rendered(made: DataFrame) -> DataFrame:
@@ -191,7 +232,8 @@ def rendered(made: DataFrame) -> DataFrame:
         lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["out"], F.substring(s[0], a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))
         ),
-    )["out"]
+        lambda a: F.concat(a["out"], F.substring(s[0], a["at"], F.length(s[0]))),
+    )
     name = F.concat_ws(" ", F.substring_index(m, " ", 1), F.concat_ws(" ", F.transform(s, lambda w: F.initcap(w))))
     kind = F.col("kind")
     out = (

@@ -158,6 +158,22 @@ def test_many_entities_stay_distinct_and_are_never_originals(spark):
         assert not set(old) & set(new)
 
 
+def test_every_entity_finds_a_free_surrogate(spark):
+    """Nothing that can be swapped, scripts of their own, and every one-character value of a domain taken."""
+    odd = ["...@gmail.com", "__@x.org", "-@x.com", "q@-.net", "李明@公司.cn", "דוד@example.org", "محمد@example.org", "さくら@テスト.jp", "ᚠᚢ@x.org", "½@x.org"]
+    full = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [f"same@{c}.io" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = odd + full + ["sk-" + "_" * 16, "pk_" + "-" * 20]
+    out = {r.doc_id: r for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    new = [out[i].text for i in range(len(texts))]
+    assert all(r.n_entities == 1 for r in out.values())
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert all(re.fullmatch(r"[\w.%+-]+@([\w-]+\.)+\w{2,}", t) for t in new[: len(odd + full)])
+    assert all(t.rpartition(".")[2] == old.rpartition(".")[2] for t, old in zip(new[: len(odd + full)], texts, strict=False))
+    assert re.fullmatch(r"[\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.cn", new[4]) and re.fullmatch(r"[א-ת]{3}@[a-z]{7}\.org", new[5])
+    assert not {*"李明公司דמحᚠᚢ½"} & {*new[4], *new[8], *new[9]} and not {t.partition("@")[2] for t in new[: len(odd + full)]} & {t.partition("@")[2] for t in texts}
+    assert re.fullmatch(r"sk-_{16}[a-z]+", new[-2]) and re.fullmatch(r"pk_-{20}[a-z]+", new[-1])
+
+
 def test_surrogates_of_nothing(spark):
     docs = spark.createDataFrame([(None, "mail a.b@c.example.com"), (None, None)], "doc_id long, text string")
     got = S.pseudonymised(docs, KEY).collect()
