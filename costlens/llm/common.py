@@ -159,6 +159,30 @@ def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].cast("long") == ids["_dropped_id"], "left_anti")
 
 
+#: A key of more than this share of all rows is looked up by broadcast; so there are this many such keys at most.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, many: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``table``'s row that has the same ``key`` (nulls without one).
+
+    ``table`` has one row a key, with ``many``, the number of ``rows`` that hold it (read twice: pass a written table).  Keys
+    of more than one in ``HOT_SHARE`` of those are broadcast; their rows are spread by ``spread`` in the shuffle that brings
+    the others to their key, so no task gets a hot key."""
+    own = [c for c in table.columns if c != key]
+    total = table.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    is_hot = F.col(many) * HOT_SHARE > F.lit(total)
+    hot = table.filter(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*own).alias("_hot"))
+    cold = table.filter(~is_hot).select(F.col(key).alias("_cold_key"), F.struct(*own).alias("_cold"), F.lit(0).alias("_cold_salt"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_hot_key").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
+    rows = rows.join(cold.hint("shuffle_hash"), (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    found = F.coalesce("_hot", "_cold")
+    for c in own:
+        rows = rows.withColumn(c, found[c])
+    return rows.drop("_hot_key", "_hot", "_salt", "_cold_key", "_cold", "_cold_salt")
+
+
 #: Labelled rows that a classifier is fitted on at most.
 TRAIN_ROWS = 20_000
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import bpe_transducer, centroid_clusters, decontaminate, exact_dedup, fill_middle, jaccard_join, quality, simple8b, suffix_dedup, surrogates, token_counts, toxicity
+from costlens.llm import bpe_transducer, centroid_clusters, decontaminate, exact_dedup, fill_middle, jaccard_join, quality, simple8b, suffix_dedup, surrogates, token_counts, toxicity, warc
 from costlens.llm.common import read
 
 
@@ -66,6 +66,10 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.encoded_corpus(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.clusters(read(spark, sf_dir, "embeddings"))
 
@@ -85,12 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simple8b": op10_simple8b,
+    "op11_warc": op11_warc,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_warc": warc.ORACLE,
     "op12_centroid_clusters": centroid_clusters.oracle(),
     "op13_fill_middle": fill_middle.ORACLE,
 }
