@@ -2,14 +2,13 @@
 
 Path-dependent tree SHAP: the value of a feature set S is the tree's output
 with features in S fixed to the row's values and the others integrated out by
-training cover (``rawCount``) at each split.  A tree's output is a sum over
+training cover (the sum of hessians) at each split.  A tree's output is a sum over
 leaves of ``v_leaf * prod(path factors)``, and each leaf term only involves
 the <= depth features on its path, so Shapley values are computed per leaf
 term over those few features (other features are null players) and summed.
 Exact, and cheap for shallow trees.
 
-The trees are read from the saved model's ``data`` table (size of the model,
-not of the data) and captured by the ``mapInPandas`` closure; rows stream
+The model's nodes are captured by the ``mapInPandas`` closure; rows stream
 through in Arrow batches.  Output is long: (keys..., feature, contribution),
 with sum(contribution) + base = the model margin.
 """
@@ -22,50 +21,28 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.session import scratch_path, ship_package
-
-
-def tree_table(spark: SparkSession, model: GBTClassificationModel) -> tuple[list[dict], list[float]]:
-    """Nodes of every tree (via the saved model) and the tree weights."""
-    path = scratch_path(spark, "gbt")
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select(
-        "treeID",
-        F.col("nodeData.id").alias("id"),
-        F.col("nodeData.prediction").alias("prediction"),
-        F.col("nodeData.leftChild").alias("left"),
-        F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
-        F.col("nodeData.rawCount").alias("cover"),
-    ).collect()
-    return [r.asDict() for r in rows], [float(w) for w in model.treeWeights]
-
-
-def leaf_terms(nodes: list[dict], weights: Sequence[float]) -> list[tuple[float, list[tuple[int, float, bool, float]]]]:
-    """Per leaf: (weighted value, [(feature, threshold, goes_left, cover_fraction), ...])."""
-    by_tree: dict[int, dict[int, dict]] = {}
-    for n in nodes:
-        by_tree.setdefault(n["treeID"], {})[n["id"]] = n
+from costlens.operators.trees import TreeEnsemble
+from costlens.session import ship_package
+
+#: A split on the way to a leaf: feature, threshold, the leaf's side, side of missing values, share of the cover.
+Step = tuple[int, float, bool, bool, float]
+
+
+def leaf_terms(model: TreeEnsemble) -> list[tuple[float, list[Step]]]:
+    """Per leaf: its value and the splits that lead to it."""
     terms = []
-    for tid, tree in by_tree.items():
-        w = weights[tid]
+    for tree in model.trees:
 
-        def walk(nid: int, path: list) -> None:
-            node = tree[nid]
-            if node["left"] < 0:
-                terms.append((w * node["prediction"], list(path)))
+        def walk(i: int, path: list) -> None:
+            if tree.feature[i] < 0:
+                terms.append((float(tree.value[i]), path))
                 return
-            f, thr = node["feature"], node["thr"][0]
-            for child, left in ((node["left"], True), (node["right"], False)):
-                frac = tree[child]["cover"] / node["cover"] if node["cover"] else 0.5
-                walk(child, path + [(f, thr, left, frac)])
+            for child, left in ((2 * i + 1, True), (2 * i + 2, False)):
+                share = float(tree.cover[child] / tree.cover[i]) if tree.cover[i] else 0.5
+                walk(child, [*path, (int(tree.feature[i]), float(tree.threshold[i]), left, bool(tree.missing_left[i]), share)])
 
         walk(0, [])
     return terms
@@ -77,12 +54,12 @@ def shap_matrix(x: np.ndarray, terms) -> tuple[np.ndarray, float]:
     phi = np.zeros((n, d))
     base = 0.0
     for v, path in terms:
-        feats = sorted({f for f, _, _, _ in path})
+        feats = sorted({step[0] for step in path})
         s = {f: np.ones(n) for f in feats}
         r = {f: 1.0 for f in feats}
-        for f, thr, left, frac in path:
-            go = (x[:, f] <= thr) if left else (x[:, f] > thr)
-            s[f] = s[f] * go
+        for f, thr, left, missing_left, frac in path:
+            goes_left = np.where(np.isnan(x[:, f]), missing_left, x[:, f] < thr)
+            s[f] = s[f] * (goes_left == left)
             r[f] *= frac
         base += v * math.prod(r.values())
         D = len(feats)
@@ -100,22 +77,19 @@ def shap_matrix(x: np.ndarray, terms) -> tuple[np.ndarray, float]:
     return phi, base
 
 
-def tree_shap(model: PipelineModel, df: DataFrame, keys: Sequence[str], feature_names: Sequence[str]) -> tuple[DataFrame, float]:
+def tree_shap(model: TreeEnsemble, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, float]:
     """Long SHAP table for the rows of ``df`` (keys kept) and the base value."""
-    spark = df.sparkSession
-    ship_package(spark)
-    gbt = model.stages[-1]
-    nodes, weights = tree_table(spark, gbt)
-    terms = leaf_terms(nodes, weights)
-    names = list(feature_names)
+    ship_package(df.sparkSession)
+    terms, names = leaf_terms(model), model.features
     _, base = shap_matrix(np.zeros((1, len(names))), terms)
-    pre = PipelineModel(stages=model.stages[:-1]).transform(df).select(*keys, vector_to_array("_features").alias("_x"))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("_x")
+    pre = df.select(*keys, values)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_x"]])
             phi, _ = shap_matrix(x, terms)
             out = pdf[list(keys)].loc[np.repeat(pdf.index.to_numpy(), len(names))].reset_index(drop=True)
             out["feature"] = np.tile(names, len(pdf))
@@ -124,8 +98,8 @@ def tree_shap(model: PipelineModel, df: DataFrame, keys: Sequence[str], feature_
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema.fields if f.name in keys)
     out = pre.mapInPandas(run, f"{schema}, feature string, contribution double")
-    return out, base
+    return out, base + model.base
 
 
-def margin(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return model.transform(df).select(*keys, vector_to_array("rawPrediction")[1].alias("margin"))
+def margin(model: TreeEnsemble, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return model.margin(df).select(*keys, "margin")

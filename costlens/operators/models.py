@@ -1,38 +1,33 @@
-"""Distributed model fitting and scoring on MLlib.
-
-Pipelines: a scaler stage (population statistics fitted on the training part
-only, applied as literal SQL arithmetic via ``SQLTransformer`` so it is saved
-with the model), a ``VectorAssembler`` in pipeline order (scaled columns first,
-then passthrough in original order), and the learner.
-
-* logistic regression: L2 with C = 1 on the summed loss -> regParam = 1 / n,
-  no standardisation, maxIter 1000 (distributed L-BFGS);
-* boosted trees: ``GBTClassifier`` (histogram-based, data-parallel), 200 trees,
-  depth 4, step 0.1 by default; class weighting through ``weightCol``.
-  MLlib's GBT is a first-order method without XGBoost's regulariser, so
-  parity with the reference is by invariants, not by numbers;
-* production model: weighted trees, threshold chosen by the cost engine on the
-  the frame passed as ``select`` (the calibration slice, or any other), model + JSON metadata saved and reloaded as the single
-  source of truth for batch and streaming scoring.
-"""
+"""Distributed model fitting and scoring.
+
+* logistic regression: L2 with C = 1 on the summed loss -> regParam = 1 / n, no standardisation beyond the feature
+  contract's scaler (population statistics of the training part), maxIter 1000, by MLlib's distributed L-BFGS; kept as
+  plain numbers (:class:`LinearModel`) and scored as column arithmetic;
+* boosted trees: second-order trees of ``operators.trees``, 200 of depth 4, rate 0.1; class weighting through a weight
+  column.  Trees need no scaler: a monotone change of a feature leaves its splits as they are;
+* production model: weighted trees, threshold chosen by the cost engine on the frame passed as ``select`` (the calibration
+  slice, or any other), model and JSON metadata saved and reloaded as the single source of truth for batch and streaming
+  scoring.
+
+A model has ``score(df, out)``, ``save(spark, path)`` and ``load(spark, path)``."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.operators.cost import DEFAULT_COST_FN, DEFAULT_COST_FP, optimize_threshold, threshold_cost_curve
-from costlens.operators.features import FeatureSpec, fit_scaler
-from costlens.operators.frames import ensure_parallelism, materialize
+from costlens.operators.cost import DEFAULT_COST_FN, DEFAULT_COST_FP, expected_cost, optimize_threshold, threshold_cost_curve
+from costlens.operators.features import FeatureSpec, apply_scaler, fit_scaler
+from costlens.operators.frames import attach_one_row, ensure_parallelism, materialize
 from costlens.operators.metrics import evaluate_basic, rank_metrics
 from costlens.operators.sampling import class_weight
+from costlens.operators.trees import TreeEnsemble, fit_trees
 
 STRATEGIES = ("none", "class_weight", "smote")
 
@@ -42,99 +37,106 @@ def expand_array(df: DataFrame, array_col: str, n: int, prefix: str = "f", keep:
     return df.select(*keep, *[F.col(array_col)[i].cast("double").alias(f"{prefix}{i}") for i in range(n)])
 
 
-def _scaler_stage(train: DataFrame, spec: FeatureSpec) -> SQLTransformer | None:
-    if not spec.scaled:
-        return None
-    params = fit_scaler(train, spec.scaled)
-    exprs = ", ".join(f"(`{c}` - {m!r}) / {s!r} AS `{c}__z`" for c, (m, s) in params.items())
-    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
+@dataclass
+class LinearModel:
+    """Logistic regression as numbers: features in order, (mean, divisor) of the scaled ones, coefficients, intercept."""
 
+    features: list[str]
+    coefficients: list[float]
+    intercept: float
+    scale: dict[str, tuple[float, float]] = field(default_factory=dict)
 
-def _assembled_cols(spec: FeatureSpec) -> list[str]:
-    return [f"{c}__z" if c in spec.scaled else c for c in spec.pipeline_order()]
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        """``df`` and the probability of label 1, as column arithmetic; a null feature gives a null."""
+        margin = F.lit(float(self.intercept))
+        for name, c in zip(self.features, self.coefficients):
+            mean, divisor = self.scale.get(name, (0.0, 1.0))
+            margin = margin + F.lit(float(c)) * ((F.col(f"`{name}`") - F.lit(float(mean))) / F.lit(float(divisor)))
+        return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
-def _pipeline(train: DataFrame, spec: FeatureSpec, learner, scaler_from: DataFrame | None = None) -> Pipeline:
-    stages = [s for s in [_scaler_stage(scaler_from if scaler_from is not None else train, spec)] if s is not None]
-    stages.append(VectorAssembler(inputCols=_assembled_cols(spec), outputCol="_features"))
-    stages.append(learner)
-    return Pipeline(stages=stages)
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LinearModel:
+        facts = json.loads(spark.read.text(path).first()["value"])
+        return LinearModel(**facts | {"scale": {k: tuple(v) for k, v in facts["scale"].items()}})
 
 
-def fit_logistic(train: DataFrame, spec: FeatureSpec, max_iter: int = 1000) -> PipelineModel:
+def fit_logistic(train: DataFrame, spec: FeatureSpec, max_iter: int = 1000) -> LinearModel:
     n = train.count()
     lr = LogisticRegression(
         featuresCol="_features", labelCol="_label", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter,
     )
-    data = ensure_parallelism(train.withColumn("_label", F.col(spec.label).cast("double")))
-    return _pipeline(train, spec, lr).fit(data)
+    scale, names = fit_scaler(train, spec.scaled) if spec.scaled else {}, spec.pipeline_order()
+    data = apply_scaler(train.withColumn("_label", F.col(spec.label).cast("double")), scale)
+    fitted = lr.fit(ensure_parallelism(VectorAssembler(inputCols=names, outputCol="_features").transform(data)))
+    return LinearModel(names, [float(c) for c in fitted.coefficients], float(fitted.intercept), scale)
 
 
 def fit_boosted_trees(
-    train: DataFrame,
-    spec: FeatureSpec,
-    weight_col: str | None = None,
-    max_iter: int = 200,
-    max_depth: int = 4,
-    step_size: float = 0.1,
-    seed: int = 0,
-    scaler_from: DataFrame | None = None,
-) -> PipelineModel:
-    """``scaler_from``: fit the scaler on these rows (the original training rows
-    when ``train`` holds synthetic samples)."""
-    gbt = GBTClassifier(
-        featuresCol="_features", labelCol="_label", maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
-        lossType="logistic", seed=seed, maxBins=32,
-    )
-    if weight_col:
-        gbt.setWeightCol(weight_col)
-    data = ensure_parallelism(train.withColumn("_label", F.col(spec.label).cast("double")))
-    return _pipeline(train, spec, gbt, scaler_from).fit(data)
+    train: DataFrame, spec: FeatureSpec, weight_col: str | None = None, max_iter: int = 200, max_depth: int = 4, step_size: float = 0.1
+) -> TreeEnsemble:
+    return fit_trees(train, spec.pipeline_order(), spec.label, weight_col, max_iter, max_depth, step_size)
 
 
-def train_strategy(strategy: str, train: DataFrame, spec: FeatureSpec, max_iter: int = 200, smote_k: int = 5, seed: int = 0) -> PipelineModel:
+def train_strategy(strategy: str, train: DataFrame, spec: FeatureSpec, max_iter: int = 200, smote_k: int = 5, seed: int = 0) -> TreeEnsemble:
     """'none' | 'class_weight' | 'smote' (resampling only ever touches ``train``)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy == "class_weight":
-        return fit_boosted_trees(class_weight(train, spec.label, "_w"), spec, "_w", max_iter=max_iter, seed=seed)
+        return fit_boosted_trees(class_weight(train, spec.label, "_w"), spec, "_w", max_iter=max_iter)
     if strategy == "smote":
         from costlens.operators.smote import smote
 
-        # resampling follows the scaler: neighbours in standardised space, scaler
-        # statistics from the original training rows only
+        # neighbours in standardised space, scaler statistics from the original training rows only
         params = fit_scaler(train, spec.scaled) if spec.scaled else {}
         aug = smote(train, list(spec.pipeline_order()), spec.label, list(spec.id_cols), k=smote_k, seed=seed, scale=params)
-        return fit_boosted_trees(aug, spec, max_iter=max_iter, seed=seed, scaler_from=train)
-    return fit_boosted_trees(train, spec, max_iter=max_iter, seed=seed)
+        return fit_boosted_trees(aug, spec, max_iter=max_iter)
+    return fit_boosted_trees(train, spec, max_iter=max_iter)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
+def score(model: LinearModel | TreeEnsemble, df: DataFrame, out: str = "score") -> DataFrame:
     """Adds the positive-class probability as a double column."""
-    pred = model.transform(df)
-    keep = [c for c in df.columns]
-    return pred.select(*keep, vector_to_array("probability")[1].alias(out))
+    return model.score(df, out)
+
+
+def strategy_rows(scored: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """pr_auc, roc_auc, f1_at_0.5 of every named frame of (label, score)."""
+    out = None
+    for name, frame in scored:
+        row = evaluate_basic(frame).select(F.lit(name).alias("strategy"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def strategy_metrics(
     train: DataFrame, test: DataFrame, spec: FeatureSpec, strategies=STRATEGIES, max_iter: int = 200, trainer=None
 ) -> DataFrame:
-    """pr_auc, roc_auc, f1_at_0.5 per imbalance strategy on the test part, which each model scores once.
+    """The strategies' models compared on the test part, which each model scores once.
     ``trainer(strategy)`` may return a model that is already trained."""
-    out = None
-    for s in strategies:
-        m = trainer(s) if trainer else train_strategy(s, train, spec, max_iter=max_iter)
-        scored = materialize(score(m, test).select(F.col(spec.label).alias("label"), "score"))
-        row = evaluate_basic(scored).select(F.lit(s).alias("strategy"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    train_one = trainer or (lambda s: train_strategy(s, train, spec, max_iter=max_iter))
+    scored = lambda s: materialize(score(train_one(s), test).select(F.col(spec.label).alias("label"), "score"))
+    return strategy_rows([(s, scored(s)) for s in strategies])
 
 
 def select_threshold(scored: DataFrame, cost_fn: float = DEFAULT_COST_FN, cost_fp: float = DEFAULT_COST_FP) -> float:
     return float(optimize_threshold(threshold_cost_curve(scored, cost_fn, cost_fp)).first()["optimal_threshold"])
 
 
+def save_production(
+    model: TreeEnsemble, select: DataFrame, spec: FeatureSpec, path: str, cost_fn: float = DEFAULT_COST_FN, cost_fp: float = DEFAULT_COST_FP
+) -> dict:
+    """Threshold by the cost engine on ``select``; model and metadata saved under ``path`` (overwrite, so retries are safe)."""
+    t = select_threshold(score(model, select).select(F.col(spec.label).alias("label"), "score"), cost_fn, cost_fp)
+    spark = select.sparkSession
+    model.save(spark, f"{path}/model")
+    meta = {"feature_columns": list(spec.features), "optimal_threshold": t, "cost_fn": cost_fn, "cost_fp": cost_fp}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return meta
+
+
 def train_production(
     fit: DataFrame,
     select: DataFrame,
@@ -144,73 +146,59 @@ def train_production(
     cost_fp: float = DEFAULT_COST_FP,
     max_iter: int = 200,
 ) -> dict:
-    """Weighted trees on ``fit``; threshold by the cost engine on ``select``;
-    model and metadata saved under ``path`` (overwrite, so retries are safe)."""
-    model = train_strategy("class_weight", fit, spec, max_iter=max_iter)
-    sel = score(model, select).select(F.col(spec.label).alias("label"), "score")
-    t = select_threshold(sel, cost_fn, cost_fp)
-    model.write().overwrite().save(f"{path}/model")
-    meta = {"feature_columns": list(spec.features), "optimal_threshold": t, "cost_fn": cost_fn, "cost_fp": cost_fp}
-    spark = fit.sparkSession
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    return meta
+    """Weighted trees on ``fit``, saved with their threshold."""
+    return save_production(train_strategy("class_weight", fit, spec, max_iter=max_iter), select, spec, path, cost_fn, cost_fp)
 
 
-def load_production(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    model = PipelineModel.load(f"{path}/model")
-    meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    return model, meta
+def load_production(spark: SparkSession, path: str) -> tuple[TreeEnsemble, dict]:
+    return TreeEnsemble.load(spark, f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()["value"])
 
 
-def score_batch(model: PipelineModel, meta: dict, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """fraud_probability, is_fraud (probability >= threshold, inclusive), threshold."""
-    t = float(meta["optimal_threshold"])
-    s = score(model, df.select(*keep, *[c for c in meta["feature_columns"] if c not in keep]), out="fraud_probability")
-    return s.select(
-        *keep, "fraud_probability", (F.col("fraud_probability") >= F.lit(t)).alias("is_fraud"), F.lit(t).alias("threshold")
-    )
+def flagged(model: LinearModel | TreeEnsemble, meta: dict, df: DataFrame) -> DataFrame:
+    """``df`` with fraud_probability, is_fraud (probability >= threshold, inclusive), threshold."""
+    t = F.lit(float(meta["optimal_threshold"]))
+    return score(model, df, "fraud_probability").withColumn("is_fraud", F.col("fraud_probability") >= t).withColumn("threshold", t)
+
+
+def score_batch(model: LinearModel | TreeEnsemble, meta: dict, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, fraud_probability, is_fraud, threshold of every row."""
+    rows = df.select(*keep, *[c for c in meta["feature_columns"] if c not in keep])
+    return flagged(model, meta, rows).select(*keep, "fraud_probability", "is_fraud", "threshold")
+
+
+def ablation_rows(configurations: Sequence[tuple[str, DataFrame, float | Callable[[DataFrame], float]]], cost_fn: float, cost_fp: float) -> DataFrame:
+    """(configuration, pr_auc, expected_cost) of named frames of (label, score), each at its threshold or at the one that a
+    function chooses from the frame."""
+    out = None
+    for name, frame, threshold in configurations:
+        t = threshold(frame) if callable(threshold) else threshold
+        row = attach_one_row(rank_metrics(frame).select("pr_auc"), expected_cost(frame, t, cost_fn, cost_fp).select("expected_cost"))
+        row = row.select(F.lit(name).alias("configuration"), "pr_auc", "expected_cost")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+ABLATION = ("plain, 0.5", "weighted, 0.5", "weighted, best threshold", "weighted, isotonic, best threshold")
 
 
 def ablation_table(
     train: DataFrame, test: DataFrame, spec: FeatureSpec, order_col: str, tie_cols: Sequence[str] = (), max_iter: int = 200,
     cost_fn: float = DEFAULT_COST_FN, cost_fp: float = DEFAULT_COST_FP, trainer=None,
 ) -> DataFrame:
-    """none@0.5 -> weighted@0.5 -> weighted@optimum -> weighted + isotonic@optimum:
-    (configuration, pr_auc, expected_cost)."""
+    """none@0.5 -> weighted@0.5 -> weighted@optimum -> weighted + isotonic@optimum."""
     from costlens.operators.calibration import apply_isotonic, fit_isotonic
-    from costlens.operators.cost import expected_cost
     from costlens.operators.split import chronological_split
 
-    lab = spec.label
-
     def scored_by(m, frame):
-        return materialize(score(m, frame).select(F.col(lab).alias("label"), "score"))
-
-    def row(name, s, t):
-        ap = rank_metrics(s).select("pr_auc")
-        c = expected_cost(s, t, cost_fn, cost_fp).select("expected_cost")
-        from costlens.operators.frames import attach_one_row
-
-        return attach_one_row(ap, c).select(F.lit(name).alias("configuration"), "pr_auc", "expected_cost")
+        return materialize(score(m, frame).select(F.col(spec.label).alias("label"), "score"))
 
     whole = trainer or (lambda s: train_strategy(s, train, spec, max_iter=max_iter))
-    s_none = scored_by(whole("none"), test)
-    m_cw = whole("class_weight")
-    s_cw = scored_by(m_cw, test)
-    t_cw = select_threshold(s_cw, cost_fn, cost_fp)
+    plain, weighted = scored_by(whole("none"), test), scored_by(whole("class_weight"), test)
     parts = chronological_split(train, order_col, tie_cols, 0.15, labels=("fit", "calib"))
     fit, calib = parts.where(F.col("part") == "fit").drop("part"), parts.where(F.col("part") == "calib").drop("part")
-    m_fit = train_strategy("class_weight", fit, spec, max_iter=max_iter)
-    iso = fit_isotonic(scored_by(m_fit, calib))
-    s_iso = apply_isotonic(scored_by(m_fit, test), iso).select("label", F.col("isotonic_score").alias("score"))
-    t_iso = select_threshold(s_iso, cost_fn, cost_fp)
-    rows = [
-        row("plain, 0.5", s_none, 0.5),
-        row("weighted, 0.5", s_cw, 0.5),
-        row("weighted, best threshold", s_cw, t_cw),
-        row("weighted, isotonic, best threshold", s_iso, t_iso),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    on_fit = train_strategy("class_weight", fit, spec, max_iter=max_iter)
+    iso = fit_isotonic(scored_by(on_fit, calib))
+    isotonic = apply_isotonic(scored_by(on_fit, test), iso).select("label", F.col("isotonic_score").alias("score"))
+    best = lambda frame: select_threshold(frame, cost_fn, cost_fp)
+    frames = ((plain, 0.5), (weighted, 0.5), (weighted, best), (isotonic, best))
+    return ablation_rows([(name, *f) for name, f in zip(ABLATION, frames)], cost_fn, cost_fp)

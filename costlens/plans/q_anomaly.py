@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from costlens.operators import anomaly, explain, profile, sampling
 from costlens.operators.split import chronological_split
-from costlens.plans.q_models import SPEC, parts, strategy_model
+from costlens.plans.q_models import parts, strategy_model
 from costlens.plans.q_split import KEYS
 from costlens.plans.registry import register
 from costlens.plans.views import matrix
@@ -57,9 +57,7 @@ def _shap(spark, sf):
     train, test = parts(spark, sf)
     model = strategy_model(spark, sf, "class_weight", train)
     sample = sampling.capped_sample(test, KEYS[:-1], "label", cap=2000, seed=0)
-    names = list(SPEC.pipeline_order())
-    long, base = explain.tree_shap(model, sample, KEYS, names)
-    return long, base
+    return explain.tree_shap(model, sample, KEYS)
 
 
 @register("tree_shap")

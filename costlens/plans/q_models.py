@@ -1,4 +1,4 @@
-"""Registered model queries (T1-T3, T5, T6, A8, K8) — rows-only checks.
+"""Registered queries of fitted models (T1-T3, T5, T6, K8) — rows-only checks; ``q_given`` checks the same operators on given numbers.
 
 The transaction contract on the scored lineitem view: Amount = l_extendedprice
 and Time = time_us are standardised (fitted on the training part only), the
@@ -32,9 +32,16 @@ GBT_ROUNDS = 200
 _SHARED: dict[tuple, object] = {}
 
 
+def _files(spark, sf: str) -> tuple:
+    """Name, length and time of the files that the view is made of: a table rewritten in place is another one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/lineitem.parquet")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(folder)))
+
+
 def _shared(spark, sf, name, make):
-    """``make()`` once per application, table folder and name."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """``make()`` once per application, files of the table, and name."""
+    key = (spark.sparkContext.applicationId, sf, _files(spark, sf), name)
     if key not in _SHARED:
         _SHARED[key] = make()
     return _SHARED[key]
@@ -172,40 +179,3 @@ def q_knn_embeddings(spark, sf):
     from costlens.plans.views import matrix
 
     return knn_exact(matrix(spark, sf), "vec_id", "features", k=5).withColumn("dist2", F.round("dist2", 6))
-
-
-@register(
-    "saved_model_scores",
-    with_sql(SCORED_SQL, _RN_SQL, _SPLIT2_SQL, body=f"SELECT {KEYS_SQL}, true AS alike, true AS is_probability FROM split WHERE part = 'test'"),
-)
-def q_saved_model_scores(spark, sf):
-    """Every test row scored by the model in memory and by the one saved and loaded again."""
-    from pyspark.ml import PipelineModel
-
-    train, test = parts(spark, sf)
-    fitted, path = models.fit_logistic(train, SPEC), scratch_path(spark, "saved")
-    fitted.save(path)
-    both = models.score(PipelineModel.load(path), models.score(fitted, test, "offline"), "served")
-    return both.select(
-        *KEYS,
-        (F.abs(F.col("offline") - F.col("served")) < 1e-6).alias("alike"),
-        F.col("served").between(0, 1).alias("is_probability"),
-    )
-
-
-@register("shap_adds_up", with_sql(SCORED_SQL, _RN_SQL, _SPLIT2_SQL, f"""t AS (SELECT *, {portable_hash_sql(0, *KEYS[:-1])} AS h FROM split WHERE part = 'test')""", """c AS (
-  SELECT CAST(sum(label) AS BIGINT) AS p, count(*) - CAST(sum(label) AS BIGINT) AS q FROM t)""", f"""neg AS (
-  SELECT *, row_number() OVER (ORDER BY h, {", ".join(KEYS[:-1])}) AS k FROM t WHERE label <> 1)""", body=f"""SELECT {", ".join(KEYS[:-1])}, true AS adds_up FROM t WHERE label = 1
-UNION ALL SELECT {", ".join(KEYS[:-1])}, true FROM neg WHERE k <= (SELECT greatest(0, least(2000 - p, q)) FROM c)"""))
-def q_shap_adds_up(spark, sf):
-    """Of every explained row, contributions and base add up to the model's margin."""
-    from costlens.operators import explain, sampling
-
-    train, test = parts(spark, sf)
-    model = strategy_model(spark, sf, "class_weight", train)
-    keys = KEYS[:-1]
-    sample = sampling.capped_sample(test, keys, "label", cap=2000, seed=0)
-    long, base = explain.tree_shap(model, sample, keys, list(SPEC.pipeline_order()))
-    sums = long.groupBy(*keys).agg(F.sum("contribution").alias("_s"))
-    margins = explain.margin(model, sample, keys).join(sums, keys)
-    return margins.select(*keys, (F.abs(F.col("_s") + F.lit(base) - F.col("margin")) < 1e-6).alias("adds_up"))

@@ -34,7 +34,7 @@ def _load() -> None:
     _LOADED = True
     from costlens.plans import q_cost, q_metrics  # noqa: F401
 
-    for mod in ("q_split", "q_profile", "q_windows", "q_bootstrap", "q_calibration", "q_models", "q_anomaly", "q_streaming"):
+    for mod in ("q_split", "q_profile", "q_windows", "q_bootstrap", "q_calibration", "q_models", "q_given", "q_anomaly", "q_streaming"):
         try:
             __import__(f"costlens.plans.{mod}")
         except ModuleNotFoundError as e:  # modules are added incrementally

@@ -191,15 +191,11 @@ def score_stream_job(
     )
     passthrough = [c for c in dict.fromkeys([*keep, *feats]) if c not in ("event_id", "ms")]
     windowed = stream_trailing_window(ev, key_col, window_ms, passthrough)
-    t = float(meta["optimal_threshold"])
-    from pyspark.ml.functions import vector_to_array
+    from costlens.operators import models
 
     def flagged(rows: DataFrame) -> DataFrame:
-        scored = model.transform(rows).select(
-            *keep, "window_count", "window_sum", "late",
-            vector_to_array("probability")[1].alias("fraud_probability"),
-        )
-        return scored.withColumn("is_fraud", F.col("fraud_probability") >= F.lit(t)).withColumn("threshold", F.lit(t))
+        scored = models.flagged(model, meta, rows)
+        return scored.select(*keep, "window_count", "window_sum", "late", "fraud_probability", "is_fraud", "threshold")
 
     sink_to(flagged(windowed), out, checkpoint)
     late = late_rows(ok, f"{out}-late", f"{checkpoint}-late", delay, time_ms_col)

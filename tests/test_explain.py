@@ -15,7 +15,7 @@ def test_informative_feature_first_and_additivity(spark):
     df = spark.createDataFrame(rows, "rid long, label int, " + ", ".join(f"{c} double" for c in FEATS))
     spec = FeatureSpec(features=tuple(FEATS), scaled=("V29", "V30"), label="label")
     m = models.fit_boosted_trees(df, spec, max_iter=8, max_depth=3)
-    long, base = explain.tree_shap(m, df, ["rid"], spec.pipeline_order())
+    long, base = explain.tree_shap(m, df, ["rid"])
     imp = profile.mean_abs_by_feature(long, "contribution", top=None).collect()
     assert imp[0]["feature"] == "V17"
     vals = [r["mean_abs"] for r in imp]
