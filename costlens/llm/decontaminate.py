@@ -1,21 +1,24 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming index, exact weighted-shingle similarity.
 
-Words are runs of letters and digits in lower case; a shingle is five words (an item of fewer words is one shingle).
-The similarity of a window with an item is the weight of the item's shingles found in the window over the weight of all
-its shingles; a shingle weighs log(1 + N / (1 + documents that hold it)), counted over all N documents.
+Words are runs of letters, marks and digits of any script in lower case; a shingle is five words (an item of fewer words
+is one shingle).  The similarity of a window with an item is the weight of the item's shingles found in the window over
+the weight of all its shingles; a shingle weighs log(1 + N / (1 + documents that hold it)), counted over all N documents.
 
 1. Every document's shingles are looked up among the items'.  A window that shares none has similarity 0, so windows are
    placed where shingles are shared: as many words as the item has, at every start within a fifth of its size from a
    shared shingle's alignment (a window further off lacks more than a fifth of the item).
-2. Every window gets a 64-bit SimHash of its words.  The items' fingerprints are indexed in ``radius + 1`` blocks of
-   bits; two fingerprints within ``radius`` agree in a block, so the index returns all of them.
-3. Candidates within ``radius`` are compared exactly; those at ``least`` similarity or more are matches.
+2. A 64-bit SimHash takes the votes of an item's distinct shingles, each with its weight; a window's is taken over the
+   item's shingles that it holds.  A window of similarity ``least`` lacks a share 1 - least of the weight at most, so it
+   can differ only in bits whose vote is no larger than that share: their number is the item's *radius*, known in advance,
+   and no match lies beyond it.  The Hamming index of radius + 1 blocks returns all windows within it.
+3. Candidates are compared exactly; those at ``least`` similarity or more are matches.
 
-Items are processed in blocks of at most ``ITEM_BLOCK`` that are sent to all tasks, one pass over the documents a block.
+Items are processed in blocks bounded in number and bytes that are sent to all tasks, one pass over the documents a block.
 
 Defined results: items and documents without words match nothing; rows that repeat a document's id are judged each on
 their own and reported once per item with their best window; an item id repeated with several texts is matched by any of
-them; rows with a null id of either kind are passed over (a document without id stays in the stage form)."""
+them; rows with a null id of either kind are passed over in the list of matches.  The stage form decides by the text, so a
+row without id is judged like any other, and of rows that share an id those without an item stay."""
 
 from __future__ import annotations
 
@@ -24,27 +27,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, drop_ids, forget, id_text, on_workers, prefilter, saved, small_batches
-from costlens.llm.words import Words, shingles_of, words_of
+from costlens.llm.common import blocks, forget, id_text, looked_up, on_workers, prefilter, saved, small_batches
+from costlens.llm.words import Words, mix, shingles_of, words_of
 
 SHINGLE = 5
 LEAST = 0.8
-#: A window at 0.8 similarity has some 12 of 64 bits off on average, so few are beyond this.
-RADIUS = 20
-ITEM_BLOCK = 20_000
+#: Items in one block, and bytes of their texts.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
+#: Windows whose votes are added up at once.
+WINDOWS = 8192
+#: What stands between words.
+BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
 _APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _U = np.uint64
 
 
-def fingerprints(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the ``size`` words from every ``start`` on."""
-    votes = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-    upto = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
-    bits = (upto[start + size] - upto[start]) > 0
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
+def signs(hashes: np.ndarray) -> np.ndarray:
+    """+1 or -1 for each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
+
+
+def fingerprints(votes: np.ndarray) -> np.ndarray:
+    """SimHash of 64 columns of votes."""
+    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 class HammingIndex:
@@ -83,7 +91,7 @@ class HammingIndex:
 
 
 class Items:
-    """A block of items: their shingles in one sorted table, sizes and fingerprints."""
+    """A block of items: their shingles in one sorted table, sizes, and, once weighed, fingerprints and radii."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         words = words_of(pa.array([t for _, t in rows], pa.string()), _APART)
@@ -92,9 +100,6 @@ class Items:
         self.ids = np.array([rows[i][0] for i in filled], np.int64)
         self.size = size[filled]
         self.k = np.minimum(self.size, SHINGLE)
-        self.prints = np.array(
-            [fingerprints(words.hashes[words.first[i] : words.first[i + 1]], np.zeros(1, int), int(size[i]))[0] for i in filled], np.uint64
-        )
         number = np.full(len(rows), -1)
         number[filled] = np.arange(len(filled))
         value, item, place = [], [], []
@@ -110,7 +115,23 @@ class Items:
         self.first, self.item, self.place = np.append(at, len(value)), item, place
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.value.astype(np.uint64) & _U((1 << 20) - 1)).astype(np.int64)] = True
-        self.weight = np.ones(len(self.value))
+        by_item = np.argsort(item, kind="stable")
+        self.own = np.repeat(np.arange(len(self.value)), np.diff(self.first))[by_item]  # shingles, item by item
+        self.own_first = np.searchsorted(item[by_item], np.arange(len(self.ids) + 1))
+
+    def shingles(self, i: int) -> np.ndarray:
+        """Numbers of the distinct shingles of item ``i``."""
+        return np.unique(self.own[self.own_first[i] : self.own_first[i + 1]])
+
+    def weigh(self, weight: np.ndarray, least: float) -> None:
+        """Fingerprints of all items, and the bits that a window of similarity ``least`` may have off."""
+        self.weight, self.sign = weight, signs(mix(self.value.astype(np.uint64)))
+        votes, self.whole = np.zeros((len(self.ids), 64)), np.zeros(len(self.ids))
+        for i in range(len(self.ids)):
+            own = self.shingles(i)
+            votes[i], self.whole[i] = weight[own] @ self.sign[own], weight[own].sum()
+        self.prints = fingerprints(votes)
+        self.radius = (np.abs(votes) <= ((1 - least) * self.whole * (1 + 1e-9))[:, None]).sum(axis=1)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -147,56 +168,81 @@ def _seeds(items: Items):
     return run
 
 
-def match(words: Words, doc: int, number: np.ndarray, place: np.ndarray, items: Items, index: HammingIndex, least: float) -> list[tuple]:
+def held_by_windows(starts: np.ndarray, reach: int, spot: np.ndarray, shingle: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """For each window (start s, shingles at s to s + reach), the sum of ``gains`` over its distinct shingles.
+
+    A shingle at ``spot`` counts for the windows in which it is the last one of its kind, which are an interval of starts;
+    the intervals' ends are added up."""
+    order = np.lexsort((spot, shingle))
+    spot, shingle, gains = spot[order], shingle[order], gains[order]
+    following = np.append(spot[1:], 0)
+    following = np.where(np.append(shingle[1:] == shingle[:-1], False), following, np.iinfo(np.int64).max)
+    begin = np.searchsorted(starts, spot - reach, side="left")
+    end = np.searchsorted(starts, np.minimum(spot, following - reach - 1), side="right")
+    used = begin < end
+    steps = np.zeros((len(starts) + 1, gains.shape[1]))
+    np.add.at(steps, begin[used], gains[used])
+    np.add.at(steps, end[used], -gains[used])
+    return np.cumsum(steps[:-1], axis=0)
+
+
+def match(words: Words, doc: int, number: np.ndarray, place: np.ndarray, items: Items, index: list, least: float) -> list[tuple]:
     """(item number, similarity, distance, start, size) of the best window of every matching item in one text."""
     begin, end = int(words.first[doc]), int(words.first[doc + 1])
-    own = words.hashes[begin:end]
     many = items.first[number + 1] - items.first[number]
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.first[number], many)
     item, off = items.item[at], items.place[at]
     hit, spot = np.repeat(number, many), np.repeat(place - begin, many)
+    order = np.argsort(item, kind="stable")
+    item, off, hit, spot = item[order], off[order], hit[order], spot[order]
     found = []
-    for i in np.unique(item).tolist():
-        mine = item == i
+    for i, a in zip(*(x.tolist() for x in np.unique(item, return_index=True)), strict=True):
+        z = int(np.searchsorted(item, i, side="right"))
+        own, at_word = hit[a:z], spot[a:z]
+        if items.weight[np.unique(own)].sum() < least * items.whole[i] * (1 - 1e-9):
+            continue  # the whole text holds too little of the item
         size, k = int(items.size[i]), int(items.k[i])
-        slack = size // 5
-        last = max(0, len(own) - size)
-        aligned = np.unique(spot[mine] - off[mine])
+        slack, last, width = size // 5, max(0, end - begin - size), min(size, end - begin)
+        aligned = np.unique(at_word - off[a:z])
         starts = np.unique(np.clip((aligned[:, None] + np.arange(-slack, slack + 1)).ravel(), 0, last))
-        width = min(size, len(own))
-        low, high = int(starts[0]), int(starts[-1]) + width
-        prints = fingerprints(own[low:high], starts - low, width)
-        query, stored, distance = index.within(prints)
-        near = stored == i
-        shingles, all_weight = hit[mine], items.weight[np.unique(items_shingles(items, i))].sum()
+        at_word, own = np.divmod(np.unique(at_word * len(items.value) + own), len(items.value))
+        gains = items.weight[own][:, None] * np.hstack([items.sign[own], np.ones((len(own), 1))])
         best = None
-        for q, d in zip(query[near].tolist(), distance[near].tolist(), strict=True):
-            s = int(starts[q])
-            inside = (spot[mine] >= s) & (spot[mine] + k <= s + width)
-            similar = float(items.weight[np.unique(shingles[inside])].sum() / all_weight)
-            if similar >= least and (best is None or (-similar, d, s) < best):
-                best = (-similar, d, s)
-        if best:
+        for w in range(0, len(starts), WINDOWS):
+            part = starts[w : w + WINDOWS]
+            near = (at_word >= part[0]) & (at_word <= part[-1] + width - k)
+            sums = held_by_windows(part, width - k, at_word[near], own[near], gains[near])
+            places, distance = _candidates(index, items, i, fingerprints(sums[:, :64]))
+            if not len(places):
+                continue
+            similar = sums[places, 64]
+            top = similar >= similar.max() - 1e-9 * items.whole[i]  # ties but for rounding
+            d, s = min(zip(distance[top].tolist(), part[places[top]].tolist(), strict=True))
+            inside = (at_word >= s) & (at_word <= s + width - k)
+            exact = float(items.weight[np.unique(own[inside])].sum() / items.whole[i])
+            if best is None or (-exact, d, s) < best:
+                best = (-exact, d, s)
+        if best and -best[0] >= least:
             found.append((i, -best[0], best[1], best[2], width))
     return found
 
 
-def items_shingles(items: Items, i: int) -> np.ndarray:
-    """Numbers of the distinct shingles of item ``i``."""
-    if not hasattr(items, "by_item"):
-        shingle = np.repeat(np.arange(len(items.value)), np.diff(items.first))
-        order = np.argsort(items.item, kind="stable")
-        items.by_item = shingle[order], np.searchsorted(items.item[order], np.arange(len(items) + 1))
-    numbers, first = items.by_item
-    return numbers[first[i] : first[i + 1]]
+def _candidates(index: list, items: Items, i: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows within the item's radius, and their distances."""
+    if items.radius[i] >= 64:
+        return np.arange(len(prints)), np.bitwise_count(prints ^ items.prints[i]).astype(np.int64)
+    if index[i] is None:
+        index[i] = HammingIndex(items.prints[i : i + 1], int(items.radius[i]))
+    windows, _, distance = index[i].within(prints)
+    return windows, distance
 
 
 MATCHES = "doc_id long, item_id long, similarity double, distance long, start long, n_words long"
 
 
-def _windows(items: Items, radius: int, least: float):
+def _windows(items: Items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = HammingIndex(items.prints, radius)
+        index: list[HammingIndex | None] = [None] * len(items)
         for block in blocks(batches):
             words = words_of(block.column("text"), _APART)
             number, doc, place = items.hits(words)
@@ -216,15 +262,22 @@ def _windows(items: Items, radius: int, least: float):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, item_block: int = ITEM_BLOCK) -> DataFrame:
+def plain_words(text: Column) -> Column:
+    """Words in lower case, a blank between them; null as empty."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN, " ")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, item_block: int = ITEM_BLOCK) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, similarity, distance (Hamming), start and n_words
     of the best window, in words."""
     spark = docs.sparkSession
     small_batches(spark)
     on_workers(spark)
-    texts = id_text(docs).filter("doc_id is not null")
-    table = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    total, parts = texts.count(), max(1, math.ceil(table.count() / item_block))
+    texts = id_text(docs).filter("doc_id is not null").withColumn("text", plain_words(F.col("text")))
+    table = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("text"))
+    table = table.filter("item_id is not null and text not in ('', ' ')").distinct()
+    many, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total, parts = texts.count(), max(1, math.ceil(many / item_block), math.ceil(size / ITEM_BYTES))
     out = spark.createDataFrame([], MATCHES)
     for part in range(parts):
         rows = table.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
@@ -236,15 +289,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
         found = np.zeros(len(items.value))
         for r in held:  # at most one row for each of this block's shingles
             found[r["number"]] = r["n"]
-        items.weight = np.log1p(total / (1 + found))
+        items.weigh(np.log1p(total / (1 + found)), least)
         seeded = prefilter(texts, seeds.select("doc_id"))
-        out = out.unionByName(seeded.mapInArrow(_windows(items, radius, least), MATCHES))
+        out = out.unionByName(seeded.mapInArrow(_windows(items, least), MATCHES))
     best = F.min(F.struct((-F.col("similarity")).alias("a"), "distance", "start", "n_words")).alias("best")
     one = out.groupBy("doc_id", "item_id").agg(best)
     return one.select("doc_id", "item_id", (-F.col("best.a")).alias("similarity"), "best.distance", "best.start", "best.n_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Stage form: the rows of ``docs``, all their columns, that contain no item."""
-    found = saved(matches(docs, benchmark).select("doc_id").distinct(), "decontaminate-found")
-    return drop_ids(docs, found)
+    """Stage form: the rows of ``docs``, all their columns, whose text contains no item."""
+    key, columns = "_text_key", [F.col(f"`{c}`") for c in docs.columns]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
+    found = matches(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    rows = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    found = saved(found.join(rows.hint("shuffle_hash"), key), "decontaminate-found")
+    return looked_up(keyed, found, key, "_rows", F.xxhash64(*columns)).filter("_rows is null").select(*columns)

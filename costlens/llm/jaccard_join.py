@@ -414,3 +414,29 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stays = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
     gone = found.groupBy("doc_id").agg(stays.alias("stays")).filter("stays = 0").select("doc_id")
     return drop_ids(docs, saved(gone, "jaccard-gone"))
+
+
+def oracle(k: int, percent: int) -> str:
+    """DuckDB SQL of ``ngram_components``: shingle sets, the link test on every pair that shares a shingle, reachability."""
+    space = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END)) AS s
+  FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS MATERIALIZED (SELECT rep, n, unnest(s) AS shingle FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= {percent} * (na + nb - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.a = c.rep
+"""

@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {
-    "op7_jaccard_join": op7_jaccard_join,
+    "op7_jaccard_join": jaccard_join.oracle(3, 90),
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_warc": warc.ORACLE,
     "op12_centroid_clusters": centroid_clusters.oracle(),

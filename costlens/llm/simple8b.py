@@ -16,6 +16,7 @@ Defined results: null text counts as empty (only the end id); a null ``doc_id``
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -121,10 +122,30 @@ _SYMBOLS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
 
 
+#: The rules of a tokenizer file under which a text may be cut into words first - fixed values of the format.
+_CUTTABLE = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuttable(path: str) -> bool:
+    """Whether the file's rules are those that words may be cut by; special tokens must begin with the mark looked for."""
+    with open(path, encoding="utf-8") as f:
+        facts = json.load(f)
+    steps = {"normalizer": (facts["normalizer"] or {}).get("normalizers"), "pre_tokenizer": (facts["pre_tokenizer"] or {}).get("pretokenizers")}
+    marked = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in facts["added_tokens"])
+    return steps == _CUTTABLE and marked and facts["post_processor"] is None and facts["model"]["type"] == "BPE" and not facts["model"]["dropout"]
+
+
 class WordIds:
     """Ids of whole texts through the ids of their words.
 
-    The tokenizer lower-cases, folds white space to a blank, splits into pieces and drops blanks; no rule of it looks
+    That holds for a tokenizer file with the rules of ``_CUTTABLE``; with any other, whole texts go to the library.
+    The former lower-cases, folds white space to a blank, splits into pieces and drops blanks; no rule of it looks
     across white space, so a text's ids are its words' ids in order.  A word of plain characters (Latin letters, ASCII)
     is cut by the tokenizer's own pattern and its new pieces go to the library's model; any other word, and one with a
     special token's mark, goes to the whole tokenizer.  Words and pieces are remembered as id bytes, up to a bound."""
@@ -133,6 +154,9 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.cuttable = cuttable(path)
         pack_ids = lambda *ids: struct.pack(f"<{len(ids)}I", *ids)
         model, to_bytes = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
@@ -154,6 +178,8 @@ class WordIds:
 
     def __call__(self, data: bytes) -> np.ndarray:
         """Ids of a text in UTF-8."""
+        if not self.cuttable:
+            return np.array(self.library.encode(data.decode(), add_special_tokens=False).ids, "<u4")
         if b"<|" not in data:  # case does not matter then
             data = data.lower()
         return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")

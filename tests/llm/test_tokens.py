@@ -205,3 +205,14 @@ def test_round_trip_query(spark):
     tokens = B.encoded(docs, BYTES, public_tokenizers.PATTERN)
     assert {r.doc_id: r.text for r in B.decoded(tokens, BYTES, public_tokenizers.PATTERN).collect()} == {i * 3 - 5: t or "" for i, t in enumerate(ODD)}
     assert B.round_trip(docs.limit(0), BYTES, public_tokenizers.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_files_with_other_rules_equal_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), simple8b.WordIds(path)
+    assert own.cuttable == (name == "word_bpe_49k.json")
+    for text in [t or "" for t in ODD] + ["  two  blanks\n\nand lines ", "CASE matters Here"]:
+        assert own(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
