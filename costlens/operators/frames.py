@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,40 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], limit: int =
     return df.join(F.broadcast(small) if small.count() <= limit else small, list(on))
 
 
+def and_(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+#: A key of more than this share of all rows is looked up by broadcast; so there are this many such keys at most.
+HOT_SHARE = 1000
+
+
+def looked_up(df: DataFrame, table: DataFrame, keys: Sequence[str], many: str) -> DataFrame:
+    """``df`` with the columns of ``table``'s row of the same ``keys`` (nulls match; without one, nulls).
+
+    ``table`` has one row a key and ``many``, the number of ``df``'s rows that hold it (read twice: pass a computed one;
+    not returned).  Keys of more than one in ``HOT_SHARE`` of those are broadcast, and their rows are spread over all tasks
+    in the shuffle that brings the others to their key."""
+    own = [c for c in table.columns if c not in keys and c != many]
+    total = table.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
+    hot = F.col(many) * HOT_SHARE > F.lit(total)
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.select(*[F.col(f"`{k}`").alias(f"_{tag}{i}") for i, k in enumerate(keys)], F.struct(*own).alias(f"_{tag}"), F.lit(0).alias(f"_{tag}_salt"))
+
+    same = lambda tag: [F.col(f"`{k}`").eqNullSafe(F.col(f"_{tag}{i}")) for i, k in enumerate(keys)]
+    out = df.join(F.broadcast(side(table.filter(hot), "hot")), and_(same("hot")), "left")
+    spread = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), F.lit(1 << 20))
+    out = out.withColumn("_salt", F.when(F.col("_hot_salt").isNull(), 0).otherwise(spread).cast("int"))
+    cold = side(table.filter(~hot), "cold").hint("shuffle_hash")
+    out = out.join(cold, and_([*same("cold"), F.col("_salt") == F.col("_cold_salt")]), "left")
+    found = F.coalesce("_hot", "_cold")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[found[c].alias(c) for c in own])
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
