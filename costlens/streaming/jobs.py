@@ -1,29 +1,42 @@
 """Structured Streaming jobs (A10, S1-S5), each run to completion with
-``availableNow`` over a replayed file source and an idempotent sink.
+``availableNow`` over a streaming frame and an idempotent sink.
 
 Sinks use ``foreachBatch``: every micro-batch is written to its own
 ``batch=<id>`` folder with overwrite, so a batch replayed after a failure
 replaces its own output instead of duplicating it (exactly-once with the
 checkpointed source offsets).
-"""
+
+Event time (S1-S4): one query over the source sees every row, and each row comes out of it once.  A batch's *mark* is the
+newest event time of the batches before it minus the delay (none for the first); a row behind it is late.  The mark is
+written with the batch, so rows are dealt by the same mark when a batch runs again or the job is resumed, however the
+triggers cut the stream.
+
+State is a log: a batch's on-time rows are written once, as (key, ms, amount), and a later batch reads the folders that
+may still hold rows within its windows; nothing is rewritten, and folders that no window can reach are removed.  The
+windows of a batch are computed by the batch operator W1 over that and the batch, so a hot key, or no key at all, is
+spread over time buckets like any table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costlens.operators.windows import trailing_window
 from costlens.streaming.replay import read_stream, run_available
-from costlens.streaming.stateful import stream_trailing_window
+
+
+def _folder(root: str, batch: int) -> str:
+    return f"{root}/batch={batch:09d}"
 
 
 def batch_sink(path: str):
     """foreachBatch writer: idempotent per batch id."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id:06d}")
+        df.write.mode("overwrite").parquet(_folder(path, batch_id))
 
     return write
 
@@ -33,42 +46,83 @@ def sink_to(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
     run_available(builder, checkpoint, timeout_s, spark=stream.sparkSession)
 
 
-def engine_delay(delay: str) -> str:
-    """The delay to give the engine so that a row is late if it is behind the newest event time minus ``delay``: the engine
-    takes rows at its watermark as late too, so its watermark has to be one millisecond older."""
-    return f"{delay} 1 millisecond"
+def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> None:
+    """``work(rows, batch id)`` for every micro-batch, its rows computed once."""
 
+    def run(df: DataFrame, batch_id: int) -> None:
+        df.persist()
+        try:
+            work(df, batch_id)
+        finally:
+            df.unpersist()
 
-def late_sink(path: str, marks: str, delay_ms: int, time_ms: str = "ms"):
-    """foreachBatch writer of the rows behind the watermark, idempotent per batch id.
+    run_available(stream.writeStream.foreachBatch(run), checkpoint, spark=stream.sparkSession)
 
-    The watermark of a batch is the engine's: the largest event time of the batches before it minus the delay, never
-    before 1970; rows at it are late as well (``engine_delay``).  Each batch leaves its largest event time under ``marks``; a batch that runs again overwrites its own."""
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        largest = None
-        if batch_id > 0:
-            seen = spark.read.schema("newest long").parquet(*[f"{marks}/batch={b:06d}" for b in (batch_id - 1,)])
-            largest = seen.agg(F.max("newest")).first()[0]
-        mark = 0 if largest is None else max(0, largest - delay_ms)
-        df.where(F.col(time_ms) <= F.lit(mark)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:06d}")
-        newest = df.agg(F.greatest(F.max(time_ms), F.lit(largest).cast("long")).alias("newest"))
-        newest.write.mode("overwrite").parquet(f"{marks}/batch={batch_id:06d}")
+def milliseconds(spark: SparkSession, delay: str) -> int:
+    return int(spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{delay}')").first()[0])
 
-    return write
 
+MARK = "newest long, live array<struct<batch: long, newest: long>>"
+
+
+class Marks:
+    """Of every batch: the newest event time up to it, and which batches' rows later windows may reach."""
+
+    def __init__(self, spark: SparkSession, root: str, delay_ms: int, window_ms: int = 0):
+        self.spark, self.root, self.delay, self.window = spark, root, delay_ms, window_ms
+
+    def before(self, batch: int) -> tuple[int | None, list[tuple[int, int]]]:
+        """(mark, live batches) for the rows of ``batch``."""
+        if batch == 0:
+            return None, []
+        row = self.spark.read.schema(MARK).parquet(_folder(f"{self.root}/marks", batch - 1)).first()
+        return (None if row["newest"] is None else row["newest"] - self.delay), [(x["batch"], x["newest"]) for x in row["live"]]
+
+    def leave(self, batch: int, newest: int | None) -> None:
+        """Write the batch's own; what it no longer lists cannot be reached from the next batch on."""
+        mark, live = self.before(batch)
+        known = [x for x in (newest, None if mark is None else mark + self.delay) if x is not None]
+        upto = max(known, default=None)
+        own = [(batch, newest)] if newest is not None else []
+        kept = [(b, n) for b, n in live + own if n > upto - self.delay - self.window] if upto is not None else []
+        self.spark.createDataFrame([(upto, kept)], MARK).coalesce(1).write.mode("overwrite").parquet(_folder(f"{self.root}/marks", batch))
+
+    def clear(self, batch: int) -> None:
+        """Remove rows that ``batch`` could not reach: no batch that may run again needs them."""
+        if batch < 2:
+            return
+        gone = {b for b, _ in self.before(batch - 1)[1]} - {b for b, _ in self.before(batch)[1]}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for b in gone:
+            path = jvm.org.apache.hadoop.fs.Path(_folder(f"{self.root}/seen", b))
+            path.getFileSystem(conf).delete(path, True)
 
-def late_rows(stream: DataFrame, out: str, checkpoint: str, delay: str, time_ms: str = "ms") -> DataFrame:
-    """The rows of ``stream`` that arrive behind its watermark, in a sink of their own.
 
-    The engine drops such rows before a stateful operator sees them, so a second, stateless query over the same source
-    and the same triggers keeps them."""
-    ms = stream.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{engine_delay(delay)}')").first()[0]
-    marks = f"{checkpoint}-marks"
-    builder = stream.writeStream.foreachBatch(late_sink(out, marks, int(ms), time_ms))
-    run_available(builder, checkpoint, spark=stream.sparkSession)
-    return read_sink(stream.sparkSession, out)
+STATE = ("_key", "_ms", "_amount")
+
+
+def windowed(rows: DataFrame, batch: int, marks: Marks, key: str | None, ms: str, amount: str) -> DataFrame:
+    """``rows`` of a batch with window_count, window_sum and late: on-time rows over the on-time rows that arrived no
+    later; rows that are late or have no time with count 0 and a null sum."""
+    spark, columns = rows.sparkSession, rows.columns
+    mark, live = marks.before(batch)
+    key_col = F.col(f"`{key}`") if key else F.lit(0)
+    time, timed = F.col(f"`{ms}`").cast("long"), F.col(f"`{ms}`").isNotNull()
+    on_time = timed if mark is None else F.coalesce(time >= F.lit(mark), F.lit(False))
+    state = rows.filter(on_time).select(key_col.alias("_key"), time.alias("_ms"), F.col(f"`{amount}`").cast("double").alias("_amount"))
+    state.write.mode("overwrite").parquet(_folder(f"{marks.root}/seen", batch))
+    marks.leave(batch, rows.filter(on_time).agg(F.max(time)).first()[0])
+    old = [_folder(f"{marks.root}/seen", b) for b, _ in live]
+    new = rows.filter(on_time).withColumns({"_key": key_col, "_ms": time, "_amount": F.col(f"`{amount}`").cast("double"), "_new": F.lit(True)})
+    every = new
+    if old:
+        reach = spark.read.schema(state.schema).parquet(*old).filter(F.col("_ms") > F.lit(mark - marks.window))
+        every = new.unionByName(reach, allowMissingColumns=True)
+    out = trailing_window(every, "_ms", "_amount", marks.window, by=["_key"] if key else []).filter("_new")
+    late = rows.filter(~on_time).withColumns({"window_count": F.lit(0).cast("long"), "window_sum": F.lit(None).cast("double"), "late": F.lit(True)})
+    wanted = [F.col(f"`{c}`") for c in (*columns, "window_count", "window_sum", "late")]
+    return out.withColumn("late", F.lit(False)).select(*wanted).unionByName(late.select(*wanted))
 
 
 def read_sink(spark: SparkSession, out: str) -> DataFrame:
@@ -110,41 +164,50 @@ def payload_stream(source: DataFrame, schema: T.StructType, payload: str = "payl
 
 
 def trailing_window_job(
-    events: DataFrame, out: str, checkpoint: str, key_col: str = "user_id", window_ms: int = 30_000, delay: str = "1 minute",
+    events: DataFrame, out: str, checkpoint: str, key_col: str | None = "user_id", window_ms: int = 30_000, delay: str = "1 minute",
 ) -> DataFrame:
-    """Per-event trailing count and sum per entity of a streaming frame (event_id, ms, value, key).
-
-    Every event comes out once: with its window, or, if it is behind the watermark, flagged ``late`` with count 0 and a
-    null sum, from a sink of its own (``out``-late)."""
-    marked = watermarked(events, engine_delay(delay)).withColumnRenamed("value", "amount")
-    sink_to(stream_trailing_window(marked, key_col, window_ms), out, checkpoint)
-    late = late_rows(events, f"{out}-late", f"{checkpoint}-late", delay)
-    on_time = read_sink(events.sparkSession, out).where("not late").drop("batch")
-    return on_time.unionByName(
-        late.select(
-            F.col(key_col).cast("long").alias("key"), "event_id", "ms", F.lit(0).cast("long").alias("window_count"),
-            F.lit(None).cast("double").alias("window_sum"), F.lit(True).alias("late"),
-        )
-    )
+    """Per-event trailing count and sum of a streaming frame (event_id, ms, value, key), by entity or, with no
+    ``key_col``, over all events.
+
+    Every event comes out once: with its window, or, if it is behind the mark or has no time, flagged ``late`` with
+    count 0 and a null sum.  The key may have any type; events with a null key are one entity."""
+    spark = events.sparkSession
+    marks = Marks(spark, f"{checkpoint}-state", milliseconds(spark, delay), window_ms)
+
+    def work(df: DataFrame, batch: int) -> None:
+        rows = windowed(df, batch, marks, key_col, "ms", "value")
+        key = F.col(f"`{key_col}`") if key_col else F.lit(None).cast("long")
+        shown = rows.select(key.alias("key"), "event_id", "ms", "window_count", "window_sum", "late")
+        shown.write.mode("overwrite").parquet(_folder(out, batch))
+        marks.clear(batch)
+
+    each_batch(events, checkpoint, work)
+    return read_sink(spark, out).drop("batch")
 
 
 def hopping_window_job(
     events: DataFrame, out: str, checkpoint: str, size: str = "30 seconds", slide: str = "10 seconds",
     delay: str = "1 minute",
 ) -> DataFrame:
-    """Global windowed count/sum with a watermark, update mode, partial
-    aggregation per window (state is per window, not per event)."""
-    agg = watermarked(events, delay).groupBy(F.window("ts", size, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("amount")
-    )
-    flat = agg.select(
-        F.unix_millis(F.col("w.start")).alias("window_start_ms"),
-        F.unix_millis(F.col("w.end")).alias("window_end_ms"),
-        "n",
-        "amount",
-    )
-    sink_to(flat, out, checkpoint, mode="update")
-    return latest_per_key(read_sink(events.sparkSession, out), ["window_start_ms"])
+    """Global windowed count and sum.  Every batch writes its part of every window; parts add up, so there is no state.
+
+    A window closes when the mark passes its end: parts that come later are not counted but kept, as (window, event), in
+    ``out``-late."""
+    spark = events.sparkSession
+    marks = Marks(spark, f"{checkpoint}-state", milliseconds(spark, delay))
+
+    def work(df: DataFrame, batch: int) -> None:
+        mark, _ = marks.before(batch)
+        marks.leave(batch, df.agg(F.max("ms")).first()[0])
+        rows = df.withColumn("w", F.window(F.timestamp_millis("ms"), size, slide)).filter("w is not null")
+        rows = rows.select(F.unix_millis("w.start").alias("window_start_ms"), F.unix_millis("w.end").alias("window_end_ms"), "event_id", "ms", "value")
+        closed = F.lit(False) if mark is None else F.col("window_end_ms") <= F.lit(mark)
+        parts = rows.filter(~closed).groupBy("window_start_ms", "window_end_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("amount"))
+        parts.write.mode("overwrite").parquet(_folder(out, batch))
+        rows.filter(closed).write.mode("overwrite").parquet(_folder(f"{out}-late", batch))
+
+    each_batch(events, checkpoint, work)
+    return read_sink(spark, out).groupBy("window_start_ms", "window_end_ms").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
 
 
 def dedup_job(events: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes") -> DataFrame:
@@ -171,33 +234,29 @@ def score_stream_job(
     """Validate -> trailing-window features per entity -> score with
     the saved production model -> flag -> idempotent sink, in one query over the streaming frame ``raw``.
 
-    No event is lost: rows that break the feature contract go, with their ``reasons``, to
-    ``rejected_out`` (``out``-rejected unless given); rows behind the watermark go to ``out``-late, and come back
-    flagged ``late``, scored on their features, without a window."""
+    No event is lost: rows that break the feature contract, or have no key, time or amount, go with their ``reasons`` to
+    ``rejected_out`` (``out``-rejected unless given); rows behind the mark come out flagged ``late``, scored on their
+    features, without a window."""
+    from costlens.operators import models
     from costlens.operators.features import validate_contract
 
     spark, rejected_out = raw.sparkSession, rejected_out or f"{out}-rejected"
     feats = list(meta["feature_columns"])
-    checked = validate_contract(raw, feats, [c for c in raw.columns if c not in feats])
-    bad = checked.where("NOT is_valid").drop("is_valid").withColumn("reasons", F.array_join("reasons", ","))
-    sink_to(bad, rejected_out, f"{checkpoint}-rejected")
-    ok = checked.where("is_valid").drop("reasons", "is_valid")
-    ev = (
-        ok.withColumn("event_id", F.col(id_col))
-        .withColumn("ms", F.col(time_ms_col))
-        .withColumn("amount", F.col(amount_col))
-        .withColumn("ts", F.timestamp_millis("ms"))
-        .withWatermark("ts", engine_delay(delay))
-    )
-    passthrough = [c for c in dict.fromkeys([*keep, *feats]) if c not in ("event_id", "ms")]
-    windowed = stream_trailing_window(ev, key_col, window_ms, passthrough)
-    from costlens.operators import models
-
-    def flagged(rows: DataFrame) -> DataFrame:
+    marks = Marks(spark, f"{checkpoint}-state", milliseconds(spark, delay), window_ms)
+    needed = list(dict.fromkeys([key_col, time_ms_col, amount_col]))
+
+    def work(df: DataFrame, batch: int) -> None:
+        checked = validate_contract(df, feats, [c for c in df.columns if c not in feats])
+        absent = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in needed]))
+        checked = checked.withColumn("reasons", F.array_distinct(F.concat("reasons", absent)))
+        valid = F.size("reasons") == 0
+        bad = checked.where(~valid).drop("is_valid").withColumn("reasons", F.array_join("reasons", ","))
+        bad.write.mode("overwrite").parquet(_folder(rejected_out, batch))
+        rows = windowed(checked.where(valid).drop("reasons", "is_valid"), batch, marks, key_col, time_ms_col, amount_col)
         scored = models.flagged(model, meta, rows)
-        return scored.select(*keep, "window_count", "window_sum", "late", "fraud_probability", "is_fraud", "threshold")
+        scored = scored.select(*keep, "window_count", "window_sum", "late", "fraud_probability", "is_fraud", "threshold")
+        scored.write.mode("overwrite").parquet(_folder(out, batch))
+        marks.clear(batch)
 
-    sink_to(flagged(windowed), out, checkpoint)
-    late = late_rows(ok, f"{out}-late", f"{checkpoint}-late", delay, time_ms_col)
-    none = {"window_count": F.lit(0).cast("long"), "window_sum": F.lit(None).cast("double"), "late": F.lit(True)}
-    return read_sink(spark, out).where("not late").drop("batch").unionByName(flagged(late.withColumns(none)))
+    each_batch(raw, checkpoint, work)
+    return read_sink(spark, out).drop("batch")

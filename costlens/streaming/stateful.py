@@ -1,4 +1,6 @@
-"""Stateful trailing-window features on a stream.
+"""Stateful trailing-window features on a stream, as an operator for continuous queries.
+
+The jobs run to completion (``streaming.jobs``) keep their state as a log of batches instead.
 
 Per entity key, the state holds the (ms, amount) pairs that a future on-time
 event can still see.  Each micro-batch merges the new events into the state
@@ -9,8 +11,8 @@ batch RANGE frame W1 when events arrive in time order.
 Late data: an event not after the watermark (time <= watermark, the engine's
 own rule) is not windowed.
 The engine drops most such events before this function; those it lets through
-are emitted with ``late = true``.  The jobs keep all late events in a sink of
-their own (``jobs.late_rows``), so none is lost.
+are emitted with ``late = true``, and so are events without a time.  The key may have any type; events with a null key are
+one entity; a null amount adds nothing.
 Pairs older than watermark - w are dropped from the state, and keys idle past
 the window time out and free their state, so state per key is bounded by the
 events of one window plus the watermark delay.
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-BASE_SCHEMA = "key long, event_id long, ms long, window_count long, window_sum double, late boolean"
+BASE_SCHEMA = "event_id long, ms long, window_count long, window_sum double, late boolean"
 STATE_SCHEMA = "ms array<long>, amount array<double>"
 
 
@@ -36,17 +38,17 @@ def _window_fn(window_ms: int, passthrough: Sequence[str]):
     def frame(key, rows: pd.DataFrame, counts, sums, late: bool) -> pd.DataFrame:
         out = pd.DataFrame(
             {
-                "key": np.full(len(rows), key[0], dtype=np.int64),
-                "event_id": rows["event_id"].to_numpy(dtype=np.int64),
-                "ms": rows["ms"].to_numpy(dtype=np.int64),
+                "key": pd.Series([key[0]] * len(rows), index=rows.index, dtype=object),
+                "event_id": rows["event_id"],
+                "ms": rows["ms"].astype("Int64"),
                 "window_count": counts,
                 "window_sum": sums,
                 "late": np.full(len(rows), late),
             }
         )
         for c in extra:
-            out[c] = rows[c].to_numpy()
-        return out
+            out[c] = rows[c]
+        return out.reset_index(drop=True)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,10 +61,10 @@ def _window_fn(window_ms: int, passthrough: Sequence[str]):
         old_ms = np.array(state.get[0], dtype=np.int64) if state.exists else np.zeros(0, dtype=np.int64)
         old_amt = np.array(state.get[1], dtype=np.float64) if state.exists else np.zeros(0)
         wm = state.getCurrentWatermarkMs()
-        late_mask = new["ms"].to_numpy() <= wm
+        late_mask = (new["ms"].isna() | (new["ms"] <= wm)).to_numpy(dtype=bool)
         on_time = new[~late_mask]
         ms_all = np.concatenate([old_ms, on_time["ms"].to_numpy(dtype=np.int64)])
-        amt_all = np.concatenate([old_amt, on_time["amount"].to_numpy(dtype=np.float64)])
+        amt_all = np.concatenate([old_amt, on_time["amount"].fillna(0.0).to_numpy(dtype=np.float64)])
         order = np.argsort(ms_all, kind="stable")
         ms_sorted, amt_sorted = ms_all[order], amt_all[order]
         csum = np.concatenate([[0.0], np.cumsum(amt_sorted)])
@@ -93,7 +95,7 @@ def stream_trailing_window(
 
     ship_package(events.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = BASE_SCHEMA + "".join(f", `{c}` {types[c]}" for c in passthrough)
+    schema = f"key {types[key_col]}, " + BASE_SCHEMA + "".join(f", `{c}` {types[c]}" for c in passthrough)
     return events.groupBy(key_col).applyInPandasWithState(
         _window_fn(window_ms, passthrough), schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
