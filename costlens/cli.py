@@ -48,14 +48,15 @@ def main(argv: list[str] | None = None) -> int:
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
     if args.log:
-        from costlens.operators.runlog import append_run_metrics, metrics_long
+        from costlens.operators.runlog import commit_run, metrics_long
 
         numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "long", "integer", "float")]
         rec = df.select(*[f"`{c}`" for c in numeric]).limit(2)
         if rec.count() != 1:
             print("--log needs a one-row result", file=sys.stderr)
             return 2
-        append_run_metrics(metrics_long(rec, uuid.uuid4().hex[:12], args.name), args.log)
+        run_id = uuid.uuid4().hex[:12]
+        commit_run([metrics_long(rec, run_id, args.name)], args.log, run_id, args.name)
     df.show(args.show, truncate=False)
     spark.stop()
     return 0

@@ -4,13 +4,8 @@
   explicitly (MLlib projects uncentred vectors); error = mean squared residual
   per row, computed in an Arrow-batched pandas UDF with the small (d x k)
   basis captured in the closure.
-* ReLU autoencoder d -> 20 -> 8 -> 20 -> d (ReLU after the first three layers),
-  Adam, minibatch 256, MSE loss.  Data-parallel training: every epoch each
-  partition runs local minibatch Adam from the current global state in
-  ``mapInPandas`` and emits its parameters and Adam moments with its row
-  count; Spark averages them (posexplode + groupBy, weighted by rows), so only
-  the model (1.6 k parameters for d = 30, 2.6 k for d = 64) reaches the driver.
-  This is local-SGD model averaging; with one partition it is plain Adam.
+* ReLU autoencoder d -> 20 -> 8 -> 20 -> d (ReLU after the first three layers), Adam, MSE loss, trained by synchronous
+  steps over all partitions; only the model (1.6 k parameters for d = 30, 2.6 k for d = 64) reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -26,7 +23,7 @@ from pyspark.sql import functions as F
 
 from costlens.functions import round6
 from costlens.operators.frames import ensure_parallelism
-from costlens.session import ship_package
+from costlens.session import scratch_path, ship_package
 
 
 # ------------------------------------------------------------------ linear --
@@ -136,6 +133,25 @@ def scale_array(df: DataFrame, features: str, mean: np.ndarray, spread: np.ndarr
     return df.withColumn(features, F.zip_with(F.col(features), by, lambda x, p: (x - p["m"]) / p["s"]))
 
 
+def _to_blocks(features: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(features).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                h = batch.column("_h").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, h)], names=["x", "h"])
+
+    return run
+
+
+def _turns(h: np.ndarray, epoch: int, steps: int) -> np.ndarray:
+    """The step of an epoch that each row falls to: a mix of its hash and the epoch's number."""
+    z = h.astype(np.uint64) + np.uint64((epoch + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) % np.uint64(steps)).astype(np.int64)
+
+
 def fit_autoencoder(
     train_neg: DataFrame,
     features: str,
@@ -145,42 +161,48 @@ def fit_autoencoder(
     seed: int = 0,
     hidden: int = 20,
     bottleneck: int = 8,
+    batch_size: int | None = None,
 ) -> np.ndarray:
     """Returns the flattened parameter vector.
 
-    Synchronous data-parallel Adam: an epoch has ``steps`` steps, and a step uses the rows whose hash falls to it.
-    Every partition sums the gradients of its rows batch by batch (so its memory is that of one Arrow batch), Spark adds
-    the sums up, and one update follows.  The result does not depend on how the rows are partitioned."""
-    ship_package(train_neg.sparkSession)
-    data = ensure_parallelism(train_neg.select(features, F.xxhash64(features).alias("_h"))).persist()
+    Synchronous data-parallel Adam: an epoch has ``steps`` steps (or as many as make ``batch_size`` rows each), and a step
+    uses the rows whose hash falls to it in that epoch.  Rows are laid once into blocks of numpy bytes in the shared folder;
+    a step is one pass of tasks over the kept blocks, which pick their rows of the step and add up their gradients, Spark
+    adds the sums up, and one update follows.  A lost task reads its blocks again.  The result does not depend on how the
+    rows are partitioned (to rounding); rows must have arrays of one length without nulls."""
+    spark = train_neg.sparkSession
+    ship_package(spark)
+    path = scratch_path(spark, "autoencoder-blocks")
+    rows = ensure_parallelism(train_neg.select(F.col(features).cast("array<double>").alias(features), F.xxhash64(features).alias("_h")))
+    rows.mapInArrow(_to_blocks(features), "x binary, h binary").write.parquet(path)
+    laid = spark.read.parquet(path).rdd.map(lambda r: (np.frombuffer(r["x"], np.float64), np.frombuffer(r["h"], np.int64)))
+    shaped = laid.map(lambda b: (b[0].reshape(len(b[1]), -1), b[1])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first = data.select(F.size(features).alias("d")).first()
-        d = int(first["d"])
+        n, d = shaped.map(lambda b: b[0].shape).fold((0, 0), lambda a, b: (a[0] + b[0], max(a[1], b[1])))
+        if not n:
+            raise ValueError("the autoencoder needs rows to learn from")
+        steps = max(1, -(-n // batch_size)) if batch_size else steps
         theta = init_params(d, seed, hidden, bottleneck)
         m, v = np.zeros(len(theta)), np.zeros(len(theta))
-        for t in range(1, epochs * steps + 1):
-            turn = data.where(F.pmod(F.xxhash64("_h", F.lit((t - 1) // steps)), F.lit(steps)) == (t - 1) % steps)
-
-            def total(it: Iterator[pd.DataFrame], theta=theta) -> Iterator[pd.DataFrame]:
-                n, grad = 0, np.zeros(len(theta))
-                for pdf in it:
-                    if len(pdf):
-                        x = np.stack(pdf[features].to_numpy()).astype(np.float64)
+        for t in range(epochs * steps):
+            epoch, step = divmod(t, steps)
+
+            def part(blocks: Iterator, theta=theta, epoch=epoch, step=step) -> Iterator:
+                many, grad = 0, np.zeros(len(theta))
+                for x, h in blocks:
+                    x = x[_turns(h, epoch, steps) == step]
+                    if len(x):
                         grad += _grad(theta, x, hidden, bottleneck) * len(x)
-                        n += len(x)
-                if n:
-                    yield pd.DataFrame({"n": [n], "g": [grad.tolist()]})
-
-            sums = turn.mapInPandas(total, "n long, g array<double>").select("n", F.posexplode("g").alias("i", "x"))
-            rows = sums.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # one row a weight
-            if rows:
-                grad = np.zeros(len(theta))
-                for r in rows:
-                    grad[r["i"]] = r["x"] / r["n"]
-                theta, m, v = _adam(theta, m, v, t, grad, lr)
+                        many += len(x)
+                yield many, grad
+
+            parts, add = shaped.mapPartitions(part), lambda a, b: (a[0] + b[0], a[1] + b[1])
+            many, grad = parts.treeReduce(add, 2) if parts.getNumPartitions() > 32 else parts.reduce(add)
+            if many:
+                theta, m, v = _adam(theta, m, v, t + 1, grad / many, lr)
         return theta
     finally:
-        data.unpersist()
+        shaped.unpersist()
 
 
 def autoencoder_error(df: DataFrame, features: str, theta: np.ndarray, out: str = "error", hidden: int = 20, bottleneck: int = 8) -> DataFrame:

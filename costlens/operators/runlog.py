@@ -1,17 +1,25 @@
 """Run metrics as a long table (A9): (run_id, experiment, kind, key, value, text).
 
-A metric record (one row, many columns) is unpivoted and appended to a parquet
-dataset partitioned by experiment, so every run of every analysis is queryable
+A metric record (one row, many columns) is unpivoted, and a run's metrics and
+parameters are committed together, so every run of every analysis is queryable
 with plain SQL afterwards.  A metric has a number in ``value``, a parameter its
 spelling in ``text`` (and in ``value`` too if it is a number), so both kinds
 share one dataset and one schema.
+
+A run is there whole or not at all: its rows go to a folder of their own that no reader looks at, and one renamed file, the
+run's entry, then names that folder.  Committing a run again replaces its entry, so a job that is retried logs its run once,
+and one cut off midway logs nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
+from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,10 +46,37 @@ def params_long(spark, params: Mapping[str, object], run_id: str, experiment: st
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def append_run_metrics(long: DataFrame, path: str) -> None:
-    long.write.mode("append").partitionBy("experiment").parquet(path)
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a new name, then rename it over ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = target.getFileSystem(conf).makeQualified(target)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+
+
+def commit_run(parts: list[DataFrame], path: str, run_id: str, experiment: str) -> None:
+    """Log a run's frames (``metrics_long``, ``params_long``) under ``path``; replaces what the run logged before."""
+    spark, name = parts[0].sparkSession, quote(f"{experiment}/{run_id}", safe="")
+    folder = f"{path}/experiment={quote(experiment, safe='')}/run={quote(run_id, safe='')}-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, parts).coalesce(1).write.parquet(folder)
+    _replace_text(spark, f"{path}/runs/{name}.json", json.dumps({"run_id": run_id, "experiment": experiment, "rows": folder.removeprefix(f"{path}/")}))
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    """Every metric and parameter logged under ``path``."""
-    return spark.read.schema(SCHEMA).parquet(path)
+def read_runs(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
+    """Every metric and parameter of the committed runs under ``path``; ``experiment``: of that one alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    entries = jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
+    if not entries.getFileSystem(conf).exists(entries):
+        return spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema("run_id string, experiment string, rows string").json(f"{path}/runs/*.json")
+    if experiment is not None:
+        rows = rows.filter(F.col("experiment") == experiment)
+    folders = [f"{path}/{r['rows']}" for r in rows.collect()]  # one row a run
+    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)

@@ -72,3 +72,17 @@ def test_array_scaler(spark):
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(spread, x.std(axis=0))
     z = np.array([r["features"] for r in anomaly.scale_array(df, "features", mean, spread).collect()])
     assert np.allclose(z.mean(axis=0), 0) and np.allclose(z.std(axis=0), 1)
+
+
+def test_minibatches_of_a_given_size_and_nothing_to_learn(spark):
+    import pytest
+
+    rows = [(i, [float(np.sin(i * (j + 1))) for j in range(6)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "rid long, features array<double>")
+    assert np.array_equal(
+        anomaly.fit_autoencoder(df.coalesce(1), "features", epochs=2, batch_size=64), anomaly.fit_autoencoder(df.coalesce(1), "features", epochs=2, steps=4)
+    )
+    turns = [anomaly._turns(np.arange(10_000), e, 5) for e in (0, 1)]
+    assert all(np.bincount(t, minlength=5).min() > 1800 for t in turns) and (turns[0] != turns[1]).any()
+    with pytest.raises(ValueError):
+        anomaly.fit_autoencoder(df.limit(0), "features")
