@@ -22,6 +22,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costlens.sources.files import exists, replace_text
 
 SCHEMA = "run_id string, experiment string, kind string, key string, value double, text string"
 
@@ -46,34 +47,17 @@ def params_long(spark, params: Mapping[str, object], run_id: str, experiment: st
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def _replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under a new name, then rename it over ``path``."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target = target.getFileSystem(conf).makeQualified(target)
-    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
-    out = target.getFileSystem(conf).create(draft, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
-
-
 def commit_run(parts: list[DataFrame], path: str, run_id: str, experiment: str) -> None:
     """Log a run's frames (``metrics_long``, ``params_long``) under ``path``; replaces what the run logged before."""
     spark, name = parts[0].sparkSession, quote(f"{experiment}/{run_id}", safe="")
     folder = f"{path}/experiment={quote(experiment, safe='')}/run={quote(run_id, safe='')}-{uuid.uuid4().hex}"
     reduce(DataFrame.unionByName, parts).coalesce(1).write.parquet(folder)
-    _replace_text(spark, f"{path}/runs/{name}.json", json.dumps({"run_id": run_id, "experiment": experiment, "rows": folder.removeprefix(f"{path}/")}))
+    replace_text(spark, f"{path}/runs/{name}.json", json.dumps({"run_id": run_id, "experiment": experiment, "rows": folder.removeprefix(f"{path}/")}))
 
 
 def read_runs(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
     """Every metric and parameter of the committed runs under ``path``; ``experiment``: of that one alone."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    entries = jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
-    if not entries.getFileSystem(conf).exists(entries):
+    if not exists(spark, f"{path}/runs"):
         return spark.createDataFrame([], SCHEMA)
     rows = spark.read.schema("run_id string, experiment string, rows string").json(f"{path}/runs/*.json")
     if experiment is not None:

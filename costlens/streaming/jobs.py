@@ -18,6 +18,7 @@ spread over time buckets like any table."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.operators.windows import trailing_window
+from costlens.sources.files import delete, read_text, replace_text
 from costlens.streaming.replay import read_stream, run_available
 
 
@@ -63,11 +65,8 @@ def milliseconds(spark: SparkSession, delay: str) -> int:
     return int(spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL '{delay}')").first()[0])
 
 
-MARK = "newest long, live array<struct<batch: long, newest: long>>"
-
-
 class Marks:
-    """Of every batch: the newest event time up to it, and which batches' rows later windows may reach."""
+    """Of every batch, a line of JSON: the newest event time up to it, and which batches' rows later windows may reach."""
 
     def __init__(self, spark: SparkSession, root: str, delay_ms: int, window_ms: int = 0):
         self.spark, self.root, self.delay, self.window = spark, root, delay_ms, window_ms
@@ -76,8 +75,11 @@ class Marks:
         """(mark, live batches) for the rows of ``batch``."""
         if batch == 0:
             return None, []
-        row = self.spark.read.schema(MARK).parquet(_folder(f"{self.root}/marks", batch - 1)).first()
-        return (None if row["newest"] is None else row["newest"] - self.delay), [(x["batch"], x["newest"]) for x in row["live"]]
+        row = json.loads(read_text(self.spark, self._path(batch - 1)))
+        return (None if row["newest"] is None else row["newest"] - self.delay), [tuple(x) for x in row["live"]]
+
+    def _path(self, batch: int) -> str:
+        return f"{self.root}/marks/{batch:09d}.json"
 
     def leave(self, batch: int, newest: int | None) -> None:
         """Write the batch's own; what it no longer lists cannot be reached from the next batch on."""
@@ -86,17 +88,15 @@ class Marks:
         upto = max(known, default=None)
         own = [(batch, newest)] if newest is not None else []
         kept = [(b, n) for b, n in live + own if n > upto - self.delay - self.window] if upto is not None else []
-        self.spark.createDataFrame([(upto, kept)], MARK).coalesce(1).write.mode("overwrite").parquet(_folder(f"{self.root}/marks", batch))
+        replace_text(self.spark, self._path(batch), json.dumps({"newest": upto, "live": kept}))
 
     def clear(self, batch: int) -> None:
         """Remove rows that ``batch`` could not reach: no batch that may run again needs them."""
         if batch < 2:
             return
         gone = {b for b, _ in self.before(batch - 1)[1]} - {b for b, _ in self.before(batch)[1]}
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for b in gone:
-            path = jvm.org.apache.hadoop.fs.Path(_folder(f"{self.root}/seen", b))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, _folder(f"{self.root}/seen", b))
 
 
 STATE = ("_key", "_ms", "_amount")

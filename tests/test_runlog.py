@@ -24,7 +24,7 @@ def test_runs_are_read_once_or_not(spark, tmp_path, monkeypatch):
     def lost(*_):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(runlog, "_replace_text", lost)
+    monkeypatch.setattr(runlog, "replace_text", lost)
     for run in ("b", "c"):  # rows are written, the entry is not
         with pytest.raises(RuntimeError):
             runlog.commit_run([runlog.metrics_long(record(9.0), run, "second")], path, run, "second")
