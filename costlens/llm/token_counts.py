@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, id_text, on_workers, small_batches
+from costlens.llm.common import blocks, id_text, looked_up, on_workers, saved, small_batches
 from costlens.session import scratch_path
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -103,6 +103,9 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, over: int
     outlives the call (unset: a fresh one under the checkpoint folder)."""
     cache = cache or scratch_path(docs.sparkSession, "token-counts")
     tokenizer = fill(docs, path, cache)
-    counts = stored(docs, cache, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = digested(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    counts = stored(docs, cache, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_copies"))
+    counts = saved(counts.join(copies.hint("shuffle_hash"), "digest"), "token-counts-held")
+    found = looked_up(rows, counts, "digest", "_copies", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))

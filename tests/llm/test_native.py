@@ -114,7 +114,7 @@ def made(spark):
 def test_surrogates_keep_type_and_format(made):
     assert len(made) == len(MADE)
     words = made[0].text.split()
-    assert words[2] == words[4].lower() == words[2].lower() and re.fullmatch(r"[a-z]{4}\.[a-z]{4}\+[a-z]@[a-z]{4}\.[a-z]{7}\.com", words[2])
+    assert words[4] == words[2].lower() and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{3}\+[a-z]@[A-Z][a-z]{3}\.[a-z]{7}\.com", words[2])
     phone, phone2, card, card2 = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \d{3} \d{3} \d{4}), card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", made[1].text).groups()
     digits = lambda t: re.sub(r"\D", "", t)
     assert digits(phone) == digits(phone2) != "10175557713" and digits(card) == card2 != "4539148803436467"
@@ -179,3 +179,42 @@ def test_surrogates_of_nothing(spark):
     got = S.pseudonymised(docs, KEY).collect()
     assert sorted(r.n_entities for r in got) == [0, 1] and not any("a.b@c" in r.text for r in got)
     assert S.pseudonymised(docs.limit(0), KEY).collect() == []
+
+
+SENTENCE = "Mr John Smith met Dr Ann Miller-Jones. Dr John Smith called; John Smith left. Smith paid. MR SMITH'S car, Ann and Miller-Jones. Smithy johnson."
+
+
+def test_one_person_one_surrogate_in_every_form(spark):
+    frame = spark.createDataFrame([(1, SENTENCE), (2, "Mrs John Smith and Mr Ann Brown"), (3, "John Smith is not known here")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.pseudonymised(frame, "k").collect()}
+    words = out[1].replace(".", "").replace(";", "").replace(",", "").split()
+    john, smith, ann, miller = words[1], words[2], words[5], words[6]
+    want = f"Mr {john} {smith} met Dr {ann} {miller}. Dr {john} {smith} called; {john} {smith} left. {smith} paid. MR {smith.upper()}'S car, {ann} and {miller}. Smithy johnson."
+    assert out[1] == want and len({john, smith, ann, miller, "John", "Smith", "Ann"}) == 7
+    assert john.endswith("n") and out[2] == f"Mrs {john} {smith} and Mr {ann} {out[2].split()[-1]}" and ann.endswith("n")
+    assert out[3] == "John Smith is not known here"
+
+
+def test_formats_that_mean_something_are_kept(spark):
+    import re
+
+    def mod97(iban):
+        turned = iban.replace(" ", "")[4:] + iban[:4]
+        return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+    texts = [
+        "call +49 30 1234567 or +1 212 555 0143 or +358 (09) 555 1234", "at 10.0.0.7 and 192.168.17.200, 172.20.1.9, 127.0.0.1 or 8.8.4.114",
+        "pay DE89 3704 0044 0532 0130 00 or DE00370400440532013000", "John.Doe@Example.com, john.doe@example.com, JOHN.DOE@EXAMPLE.COM",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.pseudonymised(frame, "k").collect()}
+    shape = lambda t: re.sub(r"\d", "0", t)
+    assert shape(out[0]) == shape(texts[0]) and [re.findall(r"\+\d+", t) for t in (out[0], texts[0])] == [["+49", "+1", "+358"]] * 2
+    assert shape(out[1]) == shape(texts[1]) and out[1] != texts[1]
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", out[1])
+    assert ips[0].startswith("10.") and ips[1].startswith("192.168.") and 16 <= int(ips[2].split(".")[1]) <= 31 and ips[2].startswith("172.") and ips[3].startswith("127.")
+    ibans = re.findall(r"DE[\d ]+\d", out[2])
+    assert mod97(ibans[0]) == 1 and mod97(texts[2][4:31]) == 1 and len(ibans[0]) == 27 and ibans[0] != texts[2][4:31]
+    mails = out[3].split(", ")
+    assert mails[0].lower() == mails[1] and mails[2] == mails[1].upper() and mails[0] != mails[1]
+    assert [c.isupper() for c in mails[0]] == [c.isupper() for c in "John.Doe@Example.com"]
