@@ -219,7 +219,7 @@ def _address(canon: Column, stream: Column, attempt: int) -> Column:
     any_ = lambda b: (b % 254 + 1).cast("string")
 
     def part(i: int) -> Column:
-        b, old = _byte(stream, F.lit(i)), parts[i]
+        b, old = _byte(stream, F.lit(i)), F.get(parts, F.lit(i))
         alike = F.when(F.length(old) == 1, (b % 9 + 1).cast("string")).when(F.length(old) == 2, (b % 90 + 10).cast("string")).otherwise((b % 156 + 100).cast("string"))
         new = alike if attempt < TRIES else any_(b)
         if i == 1:
