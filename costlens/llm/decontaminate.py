@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import blocks, forget, id_text, looked_up, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import blocks, forget, id_text, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import Words, mix, shingles_of, words_of
 
 SHINGLE = 5
@@ -303,6 +303,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
     found = matches(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
-    rows = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    found = saved(found.join(rows.hint("shuffle_hash"), key), "decontaminate-found")
-    return looked_up(keyed, found, key, "_rows", F.xxhash64(*columns)).filter("_rows is null").select(*columns)
+    # few texts hold an item: Spark broadcasts them below its threshold, else a shuffle in which skewed keys are split
+    return keyed.join(saved(found, "decontaminate-found"), key, "left_anti").select(*columns)
