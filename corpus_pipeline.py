@@ -5,8 +5,8 @@ Toxic documents go; of documents equal but for white space one stays; of near co
 
 Every stage takes ``(spark, docs, sf_dir)``.  Defined results follow the operators': a null text counts as empty, an
 empty table stays empty, extra columns pass through to the last stage, rows without ``doc_id`` are judged where a stage
-looks at the row alone (toxicity, encoding), go as copies of a text that stays (exact dedup), and stay where it decides by
-id."""
+looks at the text alone (toxicity, decontamination, encoding), go as copies of a text that stays (exact dedup), and stay
+where it decides by id (near copies)."""
 
 from __future__ import annotations
 
