@@ -9,5 +9,4 @@ from costlens.functions.columns import (  # noqa: F401
     portable_hash_sql,
     round6,
     safe_div,
-    uniform01,
 )

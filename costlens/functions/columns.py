@@ -92,11 +92,6 @@ def portable_hash_sql(seed: int | str, *cols: str) -> str:
     return f"('0x' || substr(md5({parts}), 1, 8))::BIGINT"
 
 
-def uniform01(seed: int | Column, *cols: ColumnOrName) -> Column:
-    """A U[0,1) draw from :func:`portable_hash` (hash / 2^32)."""
-    return portable_hash(seed, *cols) / F.lit(4294967296.0)
-
-
 def epoch_micros(ts: ColumnOrName) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of session time zone."""
     c = col(ts)

@@ -18,7 +18,6 @@ edge list and, for selections, the handful of rows that answer the question.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,17 +34,52 @@ def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
     return min(65536, max(16, 4 * shuffle_partitions(df.sparkSession)))
 
 
-def order_key(df: DataFrame, order_col: str) -> Column:
+#: Strings looked at for each bucket, and the characters of one that are looked at.
+LOOKED_AT, LOOKED_CHARS = 16, 1000
+
+
+def _splitters(df: DataFrame, text: Column, n_buckets: int) -> list[str]:
+    """At most ``n_buckets`` hex strings that cut the values of ``text`` (hex) into about equal parts: every sixteenth of the distinct values of a
+    sample chosen by hash (the same in every layout), cut to what tells it from the one before.  They only balance."""
+    values = df.select(F.substring(text, 1, 2 * LOOKED_CHARS).alias("v"), F.xxhash64(text).alias("h")).filter(F.col("v").isNotNull())
+    share = min(1.0, LOOKED_AT * n_buckets / max(1, values.count()))
+    chosen = values.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
+    held = sorted({r["v"] for r in chosen.collect()})
+    out: list[str] = []
+    for i in sorted({i * len(held) // n_buckets for i in range(1, n_buckets)} if held else ()):
+        at, before = held[i], held[i - 1] if i else ""
+        same = next((j for j, (x, y) in enumerate(zip(at, before)) if x != y), min(len(at), len(before)))
+        out.append(at[: same // 2 * 2 + 2])  # whole bytes
+    return [x for x in out if x]
+
+
+def _place(text: Column, splitters: Sequence[str]) -> Column:
+    """How many of the sorted ``splitters`` are at most ``text``: a binary search in one constant array."""
+    if not splitters:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(splitters)), ",")
+
+    def step(s: Column, _) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        low = F.element_at(held, F.least(mid + 1, F.lit(len(splitters)))) <= s["v"]
+        over = s["lo"] >= s["hi"]
+        lo, hi = F.when(~over & low, mid + 1).otherwise(s["lo"]), F.when(~over & ~low, mid).otherwise(s["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"), s["v"].alias("v"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"), text.alias("v"))
+    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
+    return F.when(text.isNotNull(), F.aggregate(steps, start, step, lambda s: s["lo"]))
+
+
+def order_key(df: DataFrame, order_col: str, n_buckets: int | None = None) -> Column:
     """A double that never decreases in the order of ``order_col`` (any orderable atomic type; null first, NaN last).
 
-    It only deals values to range buckets; inside a bucket the column itself orders.  Strings and binaries use the six
-    bytes after the prefix that the smallest and the largest value share."""
+    It only deals values to range buckets; inside a bucket the column itself orders.  A string's or binary's key is its
+    place among splitters taken from the values themselves, whatever prefixes they share."""
     c, kind = F.col(order_col), df.schema[order_col].dataType.typeName()
     if kind in ("string", "binary", "varchar", "char"):
-        ends = df.agg(F.hex(F.min(c).cast("binary")).alias("lo"), F.hex(F.max(c).cast("binary")).alias("hi")).first()
-        skip = len(os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""])) // 2
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), skip + 1, 6)), 12, "0")
-        key = F.conv(head, 16, 10).cast("double")
+        text = F.hex(c.cast("binary"))  # hex orders as the bytes do
+        key = _place(text, _splitters(df, text, _bucket_count(df, n_buckets))).cast("double")
     elif kind == "timestamp":
         key = F.unix_micros(c).cast("double")
     elif kind == "timestamp_ntz":
@@ -66,9 +100,9 @@ def range_edges(df: DataFrame, order_col: str, n_buckets: int | None = None, key
     if b <= 1:
         return []
     qs = [i / b for i in range(1, b)]
-    key = order_key(df, order_col) if key is None else key
+    key = order_key(df, order_col, n_buckets) if key is None else key
     finite = df.select(key.alias("k")).filter(F.abs("k") < F.lit(float("inf")))
-    row = finite.agg(F.percentile_approx("k", qs, 10000).alias("e")).first()
+    row = finite.agg(F.percentile_approx("k", qs, max(10_000, 10 * b)).alias("e")).first()
     return sorted({float(x) for x in (row["e"] or []) if x is not None})
 
 
@@ -104,7 +138,7 @@ def prefix_sums(
     ``totals_prefix`` also adds each group's totals under that prefix.
     """
     by = list(by)
-    key = order_key(df, order_col)
+    key = order_key(df, order_col, n_buckets)
     edges = range_edges(edges_from if edges_from is not None else df, order_col, n_buckets, key)
     nb = len(edges)
     dfb = bucketize(df, key, edges, "_bkt")

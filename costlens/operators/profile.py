@@ -59,7 +59,8 @@ def mean_shift_by_class(long_df: DataFrame, label: str = "label", top: int = 10)
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair in ONE aggregation (co-moments
-    combine map-side), returned long as (a, b, corr) with a < b in column order."""
+    combine map-side), returned long as (a, b, corr) with a < b in column order.  A pair is taken over the rows where
+    neither column is null; with fewer than two such rows, or a constant column, the correlation is null or NaN."""
     pairs = list(combinations(cols, 2))
     agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
@@ -96,8 +97,10 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ("label",), approx:
 
 def density_histogram(df: DataFrame, value: str, bins: int = 48, label: str = "label") -> DataFrame:
     """Equal-width bins over the pooled range; per-class density count / (n_class * width);
-    the last bin is closed; empty bins are present with density 0."""
+    the last bin is closed; empty bins are present with density 0.  Rows whose value is null, NaN or infinite are in no
+    bin, nor in their class's size; rows without a label form a class of their own."""
     v = F.col(value).cast("double")
+    df = df.filter(F.abs(v) < F.lit(float("inf")))  # NaN is greater than any number
     rng = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     if rng["lo"] is None:  # no data: no bins
         return df.sparkSession.createDataFrame(
@@ -109,7 +112,9 @@ def density_histogram(df: DataFrame, value: str, bins: int = 48, label: str = "l
     counts = df.groupBy(F.col(label).alias(label), b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     per_class = counts.groupBy(label).agg(F.sum("count").alias("_nc"))
     grid = per_class.select(label, "_nc", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    full = grid.join(counts, [label, "bin"], "left").fillna(0, ["count"])
+    own = counts.select(F.col(label).alias("_label"), F.col("bin").alias("_bin"), "count")
+    same = grid[label].eqNullSafe(own["_label"]) & (grid["bin"] == own["_bin"])
+    full = grid.join(own, same, "left").drop("_label", "_bin").fillna(0, ["count"])
     return full.select(
         label,
         "bin",

@@ -38,8 +38,8 @@ def smallest_by_hash(
 
 
 def _class_counts(df: DataFrame, label: str) -> tuple[int, int]:
-    r = df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    p = int(r["p"] or 0)
+    r = df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.col(label)).alias("n")).first()
+    p = int(r["p"] or 0)  # rows without a label belong to neither class
     return p, int(r["n"]) - p
 
 
@@ -47,7 +47,7 @@ def undersample_majority(
     df: DataFrame, id_cols: Sequence[str], label: str = "label", ratio: int = 20, seed: int = 0,
     hash_cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All positives + min(ratio * n_pos, n_neg) negatives without replacement."""
+    """All positives + min(ratio * n_pos, n_neg) negatives without replacement; rows without a label are left out."""
     n_pos, n_neg = _class_counts(df, label)
     m = min(ratio * n_pos, n_neg)
     pos = df.filter(F.col(label) == 1)
@@ -56,7 +56,7 @@ def undersample_majority(
 
 
 def capped_sample(df: DataFrame, id_cols: Sequence[str], label: str = "label", cap: int = 2000, seed: int = 0) -> DataFrame:
-    """All positives + min(cap - n_pos, n_neg) negatives (clamped at 0)."""
+    """All positives + min(cap - n_pos, n_neg) negatives (clamped at 0); rows without a label are left out."""
     n_pos, n_neg = _class_counts(df, label)
     m = max(0, min(cap - n_pos, n_neg))
     pos = df.filter(F.col(label) == 1)

@@ -127,6 +127,31 @@ def test_strings_order_after_their_common_prefix(spark):
     assert got == {w: i + 1 for i, w in enumerate(words)}
 
 
+def test_strings_of_several_prefixes_are_spread(spark):
+    """One odd value, or several schemes, leave no long shared prefix: values still fall into many even buckets."""
+    words = ["", "\x00", "ftp://", "\u00e9t\u00e9", "\U0001f600"]
+    words += [f"https://example.org/long/path/{i:05d}" for i in range(3000)] + [f"https://example.com/{i:04d}" for i in range(600)]
+    df = spark.createDataFrame([(w, 1) for w in [None, *words]], "v string, w long").repartition(7)
+    key = ordered.order_key(df, "v", 40)
+    assert len(ordered.range_edges(df, "v", 40)) > 25
+    most = df.groupBy(key.alias("k")).count().agg(F.max("count")).first()[0]
+    assert most < 3606 / 40 * 3
+    got = {r["v"]: r["cum_w"] for r in ordered.prefix_sums(df, "v", ["w"], n_buckets=40).collect()}
+    want = sorted(words, key=lambda w: w.encode())
+    assert got == {None: 1} | {w: i + 2 for i, w in enumerate(want)}
+    binary = df.select(F.col("v").cast("binary").alias("v"), "w")
+    got = {bytes(r["v"]).decode() if r["v"] is not None else None: r["cum_w"] for r in ordered.prefix_sums(binary, "v", ["w"], n_buckets=40).collect()}
+    assert got == {None: 1} | {w: i + 2 for i, w in enumerate(want)}
+
+
+@pytest.mark.parametrize("words", [[], [None], [""], ["a"], ["a"] * 3 + [None]])
+def test_few_strings(spark, words):
+    rows = [(w, 1) for w in sorted(set(words), key=lambda w: (w is not None, w or ""))]
+    df = spark.createDataFrame(rows, "v string, w long")
+    got = {r["v"]: r["cum_w"] for r in ordered.prefix_sums(df, "v", ["w"], n_buckets=5).collect()}
+    assert got == {w: i + 1 for i, (w, _) in enumerate(rows)}
+
+
 def test_mark_first_takes_exactly_k(spark):
     rows = [(i % 3, "x" if i % 2 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "a int, b string").repartition(9)
