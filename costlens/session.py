@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,11 +69,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scopes: list[list[str]] = []  # paths handed out inside each open scratch_scope, innermost last
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for intermediate tables."""
     import uuid
 
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what :func:`scratch_path` handed out inside it, once it ends without an error.
+
+    For work that has written its result elsewhere by then: nothing that is still lazy may read those folders later.  After
+    an error they stay, as a retry or a look at them may need them."""
+    scope: list[str] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+    for path in scope:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
