@@ -6,7 +6,8 @@
 3. Entries are written by range of (bucket, hash, doc_id), so an owner task holds one key range; ``doc_id`` in the
    range key splits the copies of one hot text over several owners, which count before they exchange anything.
 4. Hashes held by several entries form chains.  Only their texts are fetched and compared, byte by byte, by grouping
-   on the text itself, with copies folded before the shuffle.
+   on the text itself, with copies folded before the shuffle.  A bitmap of the chained ids (8 MB at most) keeps other
+   texts from being shuffled; where it lets some through, the exact join after it decides.
 
 Defined results: a null text is empty, and empty texts equal one another; of equal texts the one with the most code
 points in its original form, then the smallest ``doc_id`` stays; rows repeating a ``doc_id`` with equal text count in
@@ -24,6 +25,8 @@ from costlens.llm.common import id_text, saved
 #: Entries that a bucket holds before its directory doubles, and the bits a directory can use at most.
 CAPACITY = 4096
 MAX_DEPTH = 24
+#: Bits in one piece of the bitmap of chained ids (as Spark's bitmap functions make them), and pieces at most.
+PIECE_BITS, MAX_PIECES = 32768, 2048
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -71,12 +74,30 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     return saved(owned.repartitionByRange("bucket", "h", "doc_id").sortWithinPartitions("bucket", "h", "doc_id"), "dedup-index")
 
 
+def maybe_among(rows: DataFrame, members: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
+    """Rows whose ``doc_id`` may be among ``members`` (_member; read twice: pass a written table): none of those is lost,
+    and 32 bits a member keep most others away, up to two million members."""
+    pieces = min(max_pieces, 1 << (32 * members.count() // PIECE_BITS).bit_length())
+
+    def slot(c: str) -> tuple[Column, Column]:
+        h = F.hash(c).cast("long")
+        return F.pmod(F.shiftright(h, 15), F.lit(pieces)), F.pmod(h, F.lit(PIECE_BITS))
+
+    piece, bit = slot("_member")
+    dealt = members.select(piece.alias("_piece"), bit.alias("_bit")).repartition("_piece")
+    held = dealt.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    piece, bit = slot("doc_id")
+    byte = F.col("_bits").substr((F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(held), (piece == F.col("_piece")) & is_set).select(*rows.columns)
+
+
 def compared(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Chains of entries under one hash, split by the bytes of their texts: h, sha, keep_id, group_size of every
     class with two entries or more."""
     chains = index.groupBy("bucket", "h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    members = index.join(chains, "h", "left_semi").select(F.col("doc_id").alias("_member"))
-    texts = id_text(docs)
+    members = saved(index.join(chains, "h", "left_semi").select(F.col("doc_id").alias("_member")), "dedup-members")
+    texts = maybe_among(id_text(docs), members)
     fetched = texts.join(members.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(members["_member"]), "left_semi")
     norm = fetched.select(normalised(F.col("text")).alias("norm"))
     classes = norm.groupBy("norm").agg(F.count("*").alias("n")).filter("n > 1")

@@ -77,6 +77,17 @@ def test_exact_dedup_of_repeated_null_ids_and_nothing(spark):
     assert X.exact_dedup(docs.limit(0)).collect() == [] and X.drop_copies(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("pieces", [1, 4, X.MAX_PIECES])
+def test_bitmap_loses_no_member_and_keeps_others_away(spark, pieces):
+    rows = spark.range(-3000, 9000).selectExpr("id AS doc_id", "'t' AS text").unionByName(spark.sql("SELECT CAST(null AS bigint) AS doc_id, 'n' AS text"))
+    members = spark.sql("SELECT id * 11 - 3000 AS _member FROM range(1000) UNION ALL SELECT null UNION ALL SELECT 5").cache()
+    got = [r.doc_id for r in X.maybe_among(rows, members, pieces).collect()]
+    wanted = {r[0] for r in members.collect()}
+    assert len(got) == len(set(got)) and wanted & ({None} | set(range(-3000, 9000))) <= set(got)
+    assert len(got) < 1000 + 11000 * (0.05 if pieces > 1 else 0.1)
+    assert X.maybe_among(rows, members.limit(0), pieces).collect() == []
+
+
 def test_drop_copies_tells_documents_by_id_and_text(spark):
     """Null ids with several texts and ids with several texts keep each text; a copy goes though its id stays elsewhere."""
     rows = [(None, "one"), (None, "two"), (None, "t w o"), (None, None), (None, "w"), (5, "a"), (5, "b"), (5, "b "), (9, "q"), (9, "w"), (1, "w"), (2, "q")]
