@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from costlens.llm import bpe_transducer, decontaminate, exact_dedup, jaccard_join, toxicity
 from costlens.llm.common import read
 from costlens.llm.queries import tokenizer_file
-from costlens.session import scratch_path
+from costlens.session import scratch_path, scratch_scope
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn; each is written to the shared folder and read again by the next one."""
+    """Every stage in turn; each is written to the shared folder and read again by the next one.  A stage's own tables are
+    deleted once it is written, so at any time one stage's scratch and the stages' results are held."""
     docs = read(spark, sf_dir, "documents")
     path = scratch_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
         docs = spark.read.parquet(f"{path}/{k}")
     return docs

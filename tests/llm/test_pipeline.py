@@ -1,5 +1,6 @@
 """The pipeline's stages on the small tables, each against brute force on its own input."""
 
+import os
 import re
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 import corpus_pipeline
 from costlens.llm import toxicity
 from costlens.llm.queries import tokenizer_file
+from costlens.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,8 +103,12 @@ def test_run_is_the_stages_one_after_the_other(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, one in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(one(spark, docs, SF).collect(), one(spark, docs, SF).schema)
+    base = checkpoint_dir(spark)
+    held = set(os.listdir(base))
     got = corpus_pipeline.run(spark, SF)
     assert rows(got) == rows(docs) and got.count() > 0
+    new = {n for n in set(os.listdir(base)) - held if not n.startswith("pipeline-")}
+    assert not new, "a stage's own tables are still there"
 
 
 def test_empty_tables_pass_through(spark, docs):
