@@ -89,7 +89,14 @@ def maybe_among(rows: DataFrame, members: DataFrame, max_pieces: int = MAX_PIECE
     piece, bit = slot("doc_id")
     byte = F.col("_bits").substr((F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
     is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
-    return rows.join(F.broadcast(held), (piece == F.col("_piece")) & is_set).select(*rows.columns)
+    # a semi join: Spark moves the exact one after it below an inner join, and all texts would be shuffled first
+    return rows.join(F.broadcast(held), (piece == F.col("_piece")) & is_set, "left_semi")
+
+
+def chained_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose ``doc_id`` is among ``members`` (_member; a written table)."""
+    texts = maybe_among(id_text(docs), members)
+    return texts.join(members.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(members["_member"]), "left_semi")
 
 
 def compared(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -97,9 +104,7 @@ def compared(docs: DataFrame, index: DataFrame) -> DataFrame:
     class with two entries or more."""
     chains = index.groupBy("bucket", "h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     members = saved(index.join(chains, "h", "left_semi").select(F.col("doc_id").alias("_member")), "dedup-members")
-    texts = maybe_among(id_text(docs), members)
-    fetched = texts.join(members.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(members["_member"]), "left_semi")
-    norm = fetched.select(normalised(F.col("text")).alias("norm"))
+    norm = chained_texts(docs, members).select(normalised(F.col("text")).alias("norm"))
     classes = norm.groupBy("norm").agg(F.count("*").alias("n")).filter("n > 1")
     classes = classes.select(F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
     # texts that differ under one hash and one digest would come out as two classes of one key

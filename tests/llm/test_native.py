@@ -88,6 +88,16 @@ def test_bitmap_loses_no_member_and_keeps_others_away(spark, pieces):
     assert X.maybe_among(rows, members.limit(0), pieces).collect() == []
 
 
+def test_texts_pass_the_bitmap_before_they_are_shuffled(spark):
+    rows = spark.range(5000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    members = spark.range(0, 5000, 50).selectExpr("id AS _member").checkpoint()
+    found = X.chained_texts(rows, members)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 5000, 50))
+    tree = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exact, bitmap = (next(i for i, line in enumerate(tree) if "Join LeftSemi" in line and name in line) for name in ("_member", "_piece"))
+    assert exact < bitmap
+
+
 def test_drop_copies_tells_documents_by_id_and_text(spark):
     """Null ids with several texts and ids with several texts keep each text; a copy goes though its id stays elsewhere."""
     rows = [(None, "one"), (None, "two"), (None, "t w o"), (None, None), (None, "w"), (5, "a"), (5, "b"), (5, "b "), (9, "q"), (9, "w"), (1, "w"), (2, "q")]
