@@ -9,11 +9,14 @@ hundred million suffixes of ``length`` bytes are not shuffled; the array is spar
 2. *Unique leads go.*  The ``lead`` bytes from an anchor on lie in each of its windows.  Leads that occur once in the
    corpus (counted by their hash, with map-side sums) need no further look; a fixed-size bitmap of the others selects
    the anchors whose context (bytes of all their windows) is written.  Equal contexts are counted by grouping on bytes.
-3. *Sampled splitters* cut the contexts into ranges of the suffix's leading bytes.  A bucket sorts its suffixes by
+3. *Sampled splitters* cut the contexts into ranges of the suffix's leading bytes (Spark's range partitioning, whose
+   sample has a fixed bound); a task takes its range in order and closes a bucket at the first new lead after
+   ``bucket_rows`` rows, so its memory depends on neither the ranges nor their number.  A bucket sorts its suffixes by
    multikey quicksort, eight bytes a key, and so the reversed text left of the anchors; common prefix lengths of
    neighbours then give, for every distance of the window's start from the anchor, which windows are equal.
-4. *Across boundaries.*  A lead that spans a splitter (it holds more rows than a bucket) is in several buckets.  Its
-   windows are compared across them by 128-bit digests, summed up before the shuffle.
+4. *Across boundaries.*  Rows of one lead are ranged by the context's name, so a lead of any size is dealt over many
+   ranges.  A range's first and last lead may go on in its neighbours, and a lead may hold more rows than a bucket: the
+   windows of those are compared across ranges by 128-bit digests, summed up before the shuffle.
 5. Repeated windows are gathered per document, and the bytes they cover are cut out.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat a ``doc_id``
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import Bitmap, blocks, forget, id_text, on_workers, saved, small_batches
+from costlens.llm.common import BATCH_ROWS, Bitmap, blocks, forget, id_text, on_workers, saved, small_batches
 from costlens.llm.words import mix
 
 LENGTH = 200
-#: Contexts that a bucket holds, about.
-BUCKET_ROWS = 30_000
+#: Contexts that a bucket holds, about, and the ranges that they are dealt to at most (a range holds any number of buckets).
+BUCKET_ROWS, MOST_RANGES = 30_000, 20_000
 #: Texts are taken in pieces of at most this many bytes (overlapping by a window), so that positions fit their bits.
 PIECE = 1 << 24
 _POSITION = 26
@@ -255,42 +258,59 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return [place[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-FOUND = "context_id binary, runs array<int>"
+FOUND = "context_id binary, runs array<int>, left int, held long, context binary"
 
 
 def _found(ids: list[bytes], runs: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], names=["context_id", "runs"])
+    none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(runs, pa.list_(pa.int32())), *none], names=_FOUND)
 
 
-def _buckets(shape: Shape):
-    """Rows sorted by bucket: each bucket is joined as a whole when its last row is in."""
+def _passed_on(rows: list[tuple]) -> pa.RecordBatch:
+    ids, left, held, context = zip(*rows, strict=True)
+    cols = [pa.array(ids, pa.binary()), pa.nulls(len(rows), pa.list_(pa.int32())), pa.array(left, pa.int32()), pa.array(held, pa.int64()), pa.array(context, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=_FOUND)
 
-    def close(rows: list[tuple]) -> pa.RecordBatch | None:
-        leads: dict[bytes, int] = {}
-        for _, left, _, context in rows:
-            lead = context[left : left + shape.lead]
-            leads[lead] = leads.get(lead, 0) + 1
-        rows = [r for r in rows if leads[r[3][r[1] : r[1] + shape.lead]] > 1]
+
+_FOUND = ["context_id", "runs", "left", "held", "context"]
+
+
+def _buckets(shape: Shape, bucket_rows: int):
+    """Rows (context_id, left, held, context) in the order of their leads: the repeated windows of each bucket, and, with
+    null runs, the rows whose leads have to be compared across ranges."""
+
+    def close(rows: list[tuple]) -> list[pa.RecordBatch]:
         if not rows:
-            return None
+            return []
         flags = repeated_windows(np.array([r[1] for r in rows], np.int64), [r[3] for r in rows], np.array([r[2] for r in rows], np.int64), shape)
         runs = _runs(flags)
         some = [i for i, r in enumerate(rows) if r[2] == 1 and runs[i]]  # contexts held twice are repeated as a whole
-        return _found([rows[i][0] for i in some], [runs[i] for i in some]) if some else None
+        return [_found([rows[i][0] for i in some], [runs[i] for i in some])] if some else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        now, rows = None, []
+        bucket: list[tuple] = []
+        now, same, across = None, [], True  # the lead at hand, its rows, whether they are passed on
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "context_id", "left", "held", "context")]
-            for bucket, *row in zip(*cols, strict=True):
-                if bucket != now:
-                    if rows and (out := close(rows)):
-                        yield out
-                    now, rows = bucket, []
-                rows.append(tuple(row))
-        if rows and (out := close(rows)):
-            yield out
+            cols = [batch.column(c).to_pylist() for c in ("context_id", "left", "held", "context")]
+            for row in zip(*cols, strict=True):
+                lead = row[3][row[1] : row[1] + shape.lead]
+                if lead != now:
+                    if across and same:
+                        yield _passed_on(same)
+                    elif len(same) > 1:  # a lead with a single context has nothing to be compared with
+                        bucket += same
+                        if len(bucket) >= bucket_rows:
+                            yield from close(bucket)
+                            bucket = []
+                    now, same, across = lead, [], now is None
+                same.append(row)
+                if len(same) > bucket_rows or (across and len(same) >= BATCH_ROWS):
+                    yield _passed_on(same)
+                    same, across = [], True
+        if same:
+            yield _passed_on(same)
+        yield from close(bucket)
 
     return run
 
@@ -326,42 +346,20 @@ def _compared(bitmap: Bitmap):
     return run
 
 
-def _dealt(shape: Shape, splitters: list[bytes], hot: set[bytes]):
-    """The bucket of every context; -1 for a lead that spans a splitter."""
-    import bisect
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket = []
-            for left, context in zip(batch.column("left").to_pylist(), batch.column("context").to_pylist(), strict=True):
-                lead = context[left : left + shape.lead]
-                bucket.append(-1 if lead in hot else bisect.bisect_left(splitters, lead))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], names=[*batch.schema.names, "bucket"])
-
-    return run
-
-
 def repeated_contexts(contexts: DataFrame, shape: Shape, bucket_rows: int) -> DataFrame:
     """context_id, runs: repeated windows of the distinct contexts (context_id, left, held, context)."""
     lead = F.substring("context", F.col("left") + 1, F.lit(shape.lead))
     coded = contexts.withColumn("code", F.xxhash64(lead))
     # a lead with a single context has nothing to be compared with
-    several = coded.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
-    contexts = coded.mapInArrow(_compared(Bitmap(saved(several, "suffix-several"))), "context_id binary, left int, held long, context binary")
-    total = contexts.count()
-    buckets = max(1, math.ceil(total / bucket_rows))
-    # about eight sampled leads a bucket; every eighth is a splitter
-    part = max(1, total // (8 * buckets))
-    sample = contexts.filter(F.pmod(F.xxhash64("context_id"), F.lit(part)) == 0).select(lead.alias("lead"))
-    leads = sorted(bytes(r["lead"]) for r in sample.collect())
-    splitters = leads[8::8]
-    hot = {a for a, b in zip(splitters, splitters[1:], strict=False) if a == b}
-    splitters = sorted(set(splitters))
-    dealt = contexts.mapInArrow(_dealt(shape, splitters, hot), "context_id binary, left int, held long, context binary, bucket int")
-    local = dealt.filter("bucket >= 0").repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(shape), FOUND)
-    if not hot:
-        return local
-    across = dealt.filter("bucket < 0").mapInArrow(_window_digests(shape), "context_id binary, held long, place int, digest binary")
+    several = saved(coded.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
+    contexts = coded.mapInArrow(_compared(Bitmap(several.select("code"))), "context_id binary, left int, held long, context binary")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = min(MOST_RANGES, max(1, math.ceil(total / bucket_rows)))
+    ordered = contexts.repartitionByRange(ranges, lead, "context_id").sortWithinPartitions(lead, "context_id")
+    joined = saved(ordered.mapInArrow(_buckets(shape, bucket_rows), FOUND), "suffix-buckets")
+    local = joined.filter("runs is not null").select("context_id", "runs")
+    across = joined.filter("runs is null").select("context_id", "left", "held", "context")
+    across = across.mapInArrow(_window_digests(shape), "context_id binary, held long, place int, digest binary")
     across = saved(across, "suffix-across")
     again = across.groupBy("digest").agg(F.sum("held").alias("n")).filter("n > 1").select("digest")
     places = across.filter("held = 1").join(again, "digest").groupBy("context_id").agg(F.collect_list("place").alias("p"))
