@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.common import Bitmap, blocks, drop_ids, forget, id_text, on_workers, prefilter, saved, small_batches
+from costlens.llm.common import blocks, drop_ids, forget, id_text, looked_up, on_workers, prefilter, saved, small_batches
 from costlens.llm.words import distinct_by_doc, mix, shingles_of, words_of
 
 _U = np.uint64
 #: Documents of a region that one task takes whole; larger ones are split.
 REGION_ROWS = 4000
+#: Leaves of a range, about, and ranges at most (a range is sorted by Spark, which spills, and read as a stream).
+RANGE_ROWS, MOST_RANGES = 500_000, 20_000
 
 
 def small_union(percent: int) -> int:
@@ -125,16 +127,64 @@ def _leaf_rows(k: int, small: int, parent: int):
     return run
 
 
-def _maybe_shared(bitmap: Bitmap):
-    """Most leaves are one set's alone: they need not be shuffled to learn that."""
+def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves (key, set, top) in order: those of keys that another set of this range holds too, once each, with the range's
+    smallest set of the key as ``pivot``; all of the range's first and last key, which may go on in the next ranges.  For
+    these two there is one more row, with the smallest and ``last`` set that the range has of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = batch.filter(pa.array(bitmap.has(batch.column("key").to_numpy())))
-            if out.num_rows:
-                yield out
+    def rows(key, name, top, pivot, last=None) -> pa.RecordBatch:
+        end = pa.nulls(len(key), pa.int64()) if last is None else pa.array(last, pa.int64())
+        cols = [pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(top, pa.bool_()), pa.array(pivot, pa.int64()), end]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "set", "top", "pivot", "last"])
 
-    return run
+    key, name, top = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # the row before, if any
+    begins, pivot_before, first_key, first_pivot, first_last = True, 0, None, 0, 0
+    for batch in batches:
+        more = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "set", "top")]
+        key, name, top = np.concatenate([key, more[0]]), np.concatenate([name, more[1]]), np.concatenate([top, more[2]])
+        if not len(key):
+            continue
+        if first_key is None:
+            first_key, first_pivot = int(key[0]), int(name[0])
+            pivot_before = first_pivot
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        key, name, top = key[new], name[new], top[new]
+        start = np.concatenate([[begins], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+        pivot = np.where((at == 0) & (not begins), pivot_before, name[at])
+        # a key's first set counts once a second one follows; the last row waits for the next batch
+        goes = np.append(start[:-1] & (~start[1:] | (key[:-1] == first_key)), False)
+        goes[1:] |= ~start[1:]
+        if goes.any():
+            yield rows(key[goes], name[goes], top[goes], pivot[goes])
+        own = np.flatnonzero(key == first_key)
+        if len(own):
+            first_last = int(name[own[-1]])
+        begins, pivot_before = bool(start[-1]), int(pivot[-1])
+        key, name, top = key[-1:], name[-1:], top[-1:]
+    if first_key is None:
+        return
+    if begins:
+        yield rows(key, name, top, [pivot_before])
+    yield rows(key, [pivot_before], [False], [pivot_before], name)
+    if first_key != key[0]:
+        yield rows([first_key], [first_pivot], [False], [first_pivot], [first_last])
+
+
+MET = "key long, set long, top boolean, pivot long, last long"
+
+
+def met_leaves(leaf: DataFrame) -> DataFrame:
+    """Leaves (key, set, top) whose key several sets hold, once each, with the key's smallest set as ``pivot``.
+
+    One shuffle by ranges of (key, set), at every size and for keys of any number of sets: a key that spans ranges is
+    put together from one row a range, so the frame broadcast for it has two rows a range at most."""
+    ranges = min(MOST_RANGES, max(1, math.ceil(leaf.count() / RANGE_ROWS)))
+    ordered = leaf.select("key", "set", "top").repartitionByRange(ranges, "key", "set").sortWithinPartitions("key", "set")
+    rows = saved(ordered.mapInArrow(_met_in_order, MET), "jaccard-ranges")
+    edges = rows.filter("last is not null").groupBy("key").agg(F.min("set").alias("_first"), F.max("last").alias("_last"))
+    rows = rows.filter("last is null").join(F.broadcast(edges), "key", "left").filter("_first is null or _first <> _last")
+    return rows.select("key", "set", "top", F.coalesce("_first", "pivot").alias("pivot"))
 
 
 def _set_rows(k: int):
@@ -362,10 +412,7 @@ def candidate_regions(texts: DataFrame, classes: DataFrame, k: int, percent: int
     small = small_union(percent)
     parent = math.ceil(Fraction(percent * (small + 1), 100))
     leaf = saved(texts.mapInArrow(_leaf_rows(k, small, parent), "key long, set long, top boolean"), "jaccard-leaves")
-    shared = leaf.groupBy("key").agg(F.min("set").alias("pivot"), F.max("set").alias("_last")).filter("pivot <> _last")
-    shared = saved(shared.drop("_last"), "jaccard-shared")
-    some = leaf.mapInArrow(_maybe_shared(Bitmap(shared.select(F.col("key").alias("code")))), leaf.schema)
-    met = saved(some.join(shared, "key").distinct(), "jaccard-met-leaves")
+    met = saved(met_leaves(leaf), "jaccard-met-leaves")
     # copies write a set's leaves several times, so its own are counted by one copy's rows
     total = leaf.filter("top").groupBy("set").agg(F.count("*").alias("leaves"))
     held = met.groupBy("set").agg(F.count_if("top").alias("held"))
@@ -398,11 +445,15 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, region_rows
     sets = saved(sets.join(regions, "set", "left_semi").groupBy("set").agg(F.min("items").alias("items")), "jaccard-items")
     members = saved(regions.join(sets, "set").select("region", "set", "items"), "jaccard-members")
     labels = components(saved(region_links(members, percent, region_rows), "jaccard-links"))
-    named = rows.join(labels.withColumnRenamed("node", "set"), "set", "left")
-    root = F.coalesce("component", "set")
-    linked = saved(named.filter("n > 0").select("doc_id", "n", root.alias("root")), "jaccard-roots")
-    smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = linked.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # classes learn their component's id, then rows their class's; large components and classes are spread
+    root = F.coalesce("component", "set").alias("root")
+    named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "n", "doc_id", "copies", root)
+    named = saved(named, "jaccard-roots")
+    smallest = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "jaccard-components")
+    table = looked_up(named.select("set", "copies", "root"), smallest, "root", "classes", F.col("set"))
+    table = saved(table.select("set", "copies", "component_id"), "jaccard-found")
+    out = looked_up(rows.filter("n > 0"), table, "set", "copies", F.col("doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costlens.llm import jaccard_join as J
@@ -130,3 +131,43 @@ def test_join_region_equals_brute_force():
                 link = 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
                 assert not link or find(i) == find(j)
                 assert frozenset((i, j)) not in seen or link
+
+
+def leaf_batches(leaf, rng):
+    at = 0
+    while at < len(leaf):
+        part = leaf[at : at + rng.randint(1, 5)]
+        at += len(part)
+        cols = [pa.array([k for k, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64()), pa.array([(k + n) % 2 == 0 for k, n in part])]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "set", "top"])
+
+
+def test_leaves_in_order_in_any_ranges_and_batches():
+    rng = random.Random(1)
+    for _ in range(1000):
+        leaf = sorted((rng.randint(0, 8), rng.randint(0, 6)) for _ in range(rng.randint(0, 40)))
+        pairs = sorted(set(leaf))
+        cuts = [0, *sorted(rng.randint(0, len(pairs)) for _ in range(rng.randint(0, 4))), len(pairs)]
+        found = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            own = set(pairs[i:j])  # equal rows are in one range
+            for out in J._met_in_order(leaf_batches([x for x in leaf if x in own], rng)):
+                found += out.to_pylist()
+        ends = {}
+        for r in found:
+            if r["last"] is not None:
+                low, high = ends.get(r["key"], (r["set"], r["last"]))
+                ends[r["key"]] = min(low, r["set"]), max(high, r["last"])
+        got = [r for r in found if r["last"] is None]
+        got = [(r["key"], r["set"], r["top"], ends.get(r["key"], (r["pivot"], None))[0]) for r in got if len(set(ends.get(r["key"], (0, 1)))) > 1]
+        held = {k: [n for q, n in pairs if q == k] for k, _ in pairs}
+        assert sorted(got) == [(k, n, (k + n) % 2 == 0, held[k][0]) for k, n in pairs if len(held[k]) > 1]
+
+
+@pytest.mark.parametrize("rows", [7, 500_000])
+def test_keys_that_span_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(J, "RANGE_ROWS", rows)
+    leaf = [(k, n) for k in range(4) for n in range(60 if k == 2 else k + 1)] * 2
+    got = J.met_leaves(spark.createDataFrame([(k, n, n % 2 == 0) for k, n in leaf], "key long, set long, top boolean").repartition(3))
+    want = sorted((k, n, n % 2 == 0, 0) for k, n in set(leaf) if k > 0)
+    assert sorted(tuple(r) for r in got.collect()) == want
