@@ -15,8 +15,9 @@ hundred million suffixes of ``length`` bytes are not shuffled; the array is spar
    multikey quicksort, eight bytes a key, and so the reversed text left of the anchors; common prefix lengths of
    neighbours then give, for every distance of the window's start from the anchor, which windows are equal.
 4. *Across boundaries.*  Rows of one lead are ranged by the context's name, so a lead of any size is dealt over many
-   ranges.  A range's first and last lead may go on in its neighbours, and a lead may hold more rows than a bucket: the
-   windows of those are compared across ranges by 128-bit digests, summed up before the shuffle.
+   ranges.  A range's first and last lead may go on in its neighbours: those are dealt once more, each lead whole, to
+   buckets.  The windows of a lead that holds more rows than a bucket are compared across ranges by 128-bit digests,
+   summed up before the shuffle.
 5. Repeated windows are gathered per document, and the bytes they cover are cut out.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat a ``doc_id``
@@ -275,9 +276,9 @@ def _passed_on(rows: list[tuple]) -> pa.RecordBatch:
 _FOUND = ["context_id", "runs", "left", "held", "context"]
 
 
-def _buckets(shape: Shape, bucket_rows: int):
+def _buckets(shape: Shape, bucket_rows: int, whole: bool = False):
     """Rows (context_id, left, held, context) in the order of their leads: the repeated windows of each bucket, and, with
-    null runs, the rows whose leads have to be compared across ranges."""
+    null runs, the rows whose leads have to be compared across ranges (none if all leads are ``whole``, and fit)."""
 
     def close(rows: list[tuple]) -> list[pa.RecordBatch]:
         if not rows:
@@ -290,7 +291,7 @@ def _buckets(shape: Shape, bucket_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         bucket: list[tuple] = []
-        now, same, across = None, [], True  # the lead at hand, its rows, whether they are passed on
+        now, same, across = None, [], not whole  # the lead at hand, its rows, whether they are passed on
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("context_id", "left", "held", "context")]
             for row in zip(*cols, strict=True):
@@ -303,12 +304,14 @@ def _buckets(shape: Shape, bucket_rows: int):
                         if len(bucket) >= bucket_rows:
                             yield from close(bucket)
                             bucket = []
-                    now, same, across = lead, [], now is None
+                    now, same, across = lead, [], now is None and not whole
                 same.append(row)
-                if len(same) > bucket_rows or (across and len(same) >= BATCH_ROWS):
+                if not whole and (len(same) > bucket_rows or (across and len(same) >= BATCH_ROWS)):
                     yield _passed_on(same)
                     same, across = [], True
-        if same:
+        if whole:
+            bucket += same
+        elif same:
             yield _passed_on(same)
         yield from close(bucket)
 
@@ -358,7 +361,12 @@ def repeated_contexts(contexts: DataFrame, shape: Shape, bucket_rows: int) -> Da
     ordered = contexts.repartitionByRange(ranges, lead, "context_id").sortWithinPartitions(lead, "context_id")
     joined = saved(ordered.mapInArrow(_buckets(shape, bucket_rows), FOUND), "suffix-buckets")
     local = joined.filter("runs is not null").select("context_id", "runs")
-    across = joined.filter("runs is null").select("context_id", "left", "held", "context")
+    passed = joined.filter("runs is null").select("context_id", "left", "held", "context", F.xxhash64(lead).alias("code"))
+    # few leads have more rows than a bucket: Spark broadcasts them below its threshold, else it splits skewed keys
+    hot = saved(passed.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows).select("code"), "suffix-hot")
+    split = passed.join(hot, "code", "left_anti").repartition(ranges, "code").sortWithinPartitions(lead)
+    local = local.unionByName(split.drop("code").mapInArrow(_buckets(shape, bucket_rows, whole=True), FOUND).select("context_id", "runs"))
+    across = passed.join(hot, "code", "left_semi").drop("code")
     across = across.mapInArrow(_window_digests(shape), "context_id binary, held long, place int, digest binary")
     across = saved(across, "suffix-across")
     again = across.groupBy("digest").agg(F.sum("held").alias("n")).filter("n > 1").select("digest")
