@@ -8,9 +8,11 @@ Each round fits a tree to the logistic loss's gradients g = w (p - y) and hessia
 among those whose children both have a hessian of ``min_child``; a leaf's value is -rate G / (H + lambda).
 
 How it runs: features become bin numbers once, written to the shared folder in blocks of numpy bytes.  A level of a tree
-is one pass over the blocks: every task adds up its histograms, Spark's tree reduction adds them up, and the driver sees
-one histogram (nodes x features x bins), whatever the number of rows.  Blocks carry their margins, renewed once a tree, and
-are checkpointed every ``CUT`` trees, so a lost executor repeats at most that many cheap updates.
+is one pass over the blocks: every task adds up its histograms, of the lighter child of each split only (the other is what
+its parent has besides: sums are exact), and of the bins that exist.  Blocks lie in as many partitions as the cluster has
+cores, so the driver is sent so many histograms a level, or by Spark's tree reduction fewer, whatever the number of rows.
+Blocks carry their margins and gradients, renewed once a tree, and are checkpointed every ``CUT`` trees, so a lost executor
+repeats at most that many cheap updates.
 
 Gradients and hessians are rounded to integers before they are added (30 bits, fewer only when more than 2**31 rows
 would overflow a long), so sums have no order: the same rows give the same trees in any layout.  Ties between splits go to
@@ -81,7 +83,16 @@ class Tree:
         return at
 
     def nodes_of_bins(self, bins: np.ndarray) -> np.ndarray:
-        """Node of every column of ``bins`` (features x rows)."""
+        """Node of every column of ``bins`` (features x rows); by bits, as :meth:`TreeEnsemble.margins` does, where it can."""
+        plan = self.bit_plan()
+        if plan is not None:
+            ruled_out = np.zeros(bins.shape[1], np.uint16)
+            for f, i, left in plan[0]:
+                right = bins[f] > self.bin[i]
+                if self.missing_left[i]:
+                    right &= bins[f] != MAX_BINS
+                ruled_out |= right * left
+            return np.array(plan[1])[_FIRST_FREE[ruled_out]]
         rows = np.arange(bins.shape[1])
 
         def left(f, at):
@@ -91,22 +102,22 @@ class Tree:
         return self._walk(bins.shape[1], left)
 
     def bit_plan(self):
-        """((feature, threshold, missing left, bits of the leaves on its left) of every split, leaf values from left to
-        right), or none for a tree of more than 16 leaves."""
+        """((feature, node, bits of the leaves on its left) of every split, nodes of the leaves from left to right), or
+        none for a tree of more than 16 leaves."""
         if len(self.feature) > 31:
             return None
         splits, leaves = [], []
 
         def walk(i: int) -> int:
             if self.feature[i] < 0:
-                leaves.append(self.value[i])
+                leaves.append(i)
                 return 1 << (len(leaves) - 1)
             left = walk(2 * i + 1)
-            splits.append((int(self.feature[i]), float(self.threshold[i]), bool(self.missing_left[i]), np.uint16(left)))
+            splits.append((int(self.feature[i]), i, np.uint16(left)))
             return left | walk(2 * i + 2)
 
         walk(0)
-        return splits, np.array(leaves)
+        return splits, leaves
 
     def nodes_of_values(self, x: np.ndarray) -> np.ndarray:
         rows = np.arange(len(x))
@@ -144,12 +155,12 @@ class TreeEnsemble:
                     continue
                 splits, leaves = plan
                 ruled_out = np.zeros(len(part), np.uint16)
-                for f, threshold, missing_left, left in splits:
-                    right = columns[f] >= threshold  # missing values compare as false: left
-                    if some[f] and not missing_left:
+                for f, i, left in splits:
+                    right = columns[f] >= tree.threshold[i]  # missing values compare as false: left
+                    if some[f] and not tree.missing_left[i]:
                         right |= missing[f]
                     ruled_out |= right * left
-                out[at : at + SCORE_ROWS] += leaves[_FIRST_FREE[ruled_out]]
+                out[at : at + SCORE_ROWS] += tree.value[leaves][_FIRST_FREE[ruled_out]]
         return out
 
     def _add(self, df: DataFrame, out: str, function) -> DataFrame:
@@ -220,7 +231,7 @@ class TreeEnsemble:
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
     e = np.exp(-np.abs(m))
-    return np.where(m >= 0, 1 / (1 + e), e / (1 + e))
+    return np.where(m >= 0, 1.0, e) / (1 + e)
 
 
 def _known(name: str) -> Column:
@@ -282,48 +293,61 @@ def _to_blocks(cuts: list[np.ndarray]):
     return run
 
 
-def _block(row, width: int, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float, np.ndarray]:
-    """Bins, labels, weights (one number where all are alike), margins."""
+def _block(row, width: int, base: float, scale: float) -> tuple:
+    """Bins, labels, weights (one number where all are alike), margins, gradients, hessians."""
     y, w = np.frombuffer(row["y"], np.uint8), np.frombuffer(row["w"], np.float64)
     alike = float(w[0]) if (w == w[0]).all() else w
-    return np.frombuffer(row["bins"], np.uint8).reshape(width, len(y)), y, alike, np.full(len(y), base)
+    margin = np.full(len(y), base)
+    return np.frombuffer(row["bins"], np.uint8).reshape(width, len(y)), y, alike, margin, *_gradients(y, alike, margin, scale)
 
 
 def _gradients(y: np.ndarray, w: np.ndarray | float, margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Integers (as floats) that any order of adding keeps exact; ``scale``: units in a weight of 1."""
+    """Integers (30 bits and a sign) that any order of adding keeps exact; ``scale``: units in a weight of 1."""
     p = _sigmoid(margin)
-    return np.rint((p - y) * w * scale), np.rint(np.maximum(p * (1 - p), 1e-16) * w * scale)
+    g, h = np.rint((p - y) * w * scale), np.rint(np.maximum(p * (1 - p), 1e-16) * w * scale)
+    return g.astype(np.int32), h.astype(np.int32)
 
 
-def _histogram(block, tree: Tree, slots: np.ndarray, scale: float) -> np.ndarray:
-    """(2, nodes, features, bins) sums of g and h over one block; ``slots``: place of each open node, else -1."""
-    bins, y, w, margin = block
-    g, h = _gradients(y, w, margin, scale)
+def _histogram(block, tree: Tree, slots: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """(2, nodes, bins of all features in a row, ``sizes`` of each) sums of g and h over one block; ``slots``: place of each
+    node that is counted, else -1.  A feature's last bin holds its missing values."""
+    bins, _, _, _, g, h = block
     slot = slots[tree.nodes_of_bins(bins)]
-    inside = slot >= 0
-    if not inside.all():
+    inside = np.flatnonzero(slot >= 0)
+    if len(inside) < len(slot):
         bins, g, h, slot = bins[:, inside], g[inside], h[inside], slot[inside]
-    width, many = MAX_BINS + 1, int(slots.max()) + 1
-    out = np.zeros((2, many, len(bins), width), np.int64)
-    for f in range(len(bins)):
-        flat = slot * width + bins[f]
+    g, h, width, many = g.astype(np.float64), h.astype(np.float64), MAX_BINS + 1, int(slots.max()) + 1
+    out = np.empty((2, many, sum(sizes)), np.int64)
+    start = slot * width
+    at = 0
+    for f, size in enumerate(sizes):
+        flat = start + bins[f]
         for k, x in enumerate((g, h)):
-            out[k, :, f] = np.bincount(flat, weights=x, minlength=many * width).reshape(many, width)
+            sums = np.bincount(flat, weights=x, minlength=many * width).reshape(many, width)
+            out[k, :, at : at + size - 1], out[k, :, at + size - 1] = sums[:, : size - 1], sums[:, MAX_BINS]
+        at += size
     return out
 
 
-def _summed(blocks: RDD, tree: Tree, slots: np.ndarray, scale: float) -> np.ndarray:
+def _summed(blocks: RDD, tree: Tree, slots: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """(2, nodes, features, bins)."""
+
     def run(part):
         total = None
         for block in part:
-            one = _histogram(block, tree, slots, scale)
+            one = _histogram(block, tree, slots, sizes)
             total = one if total is None else np.add(total, one, out=total)
         if total is not None:
             yield total
 
     parts = blocks.mapPartitions(run)
     # few partitions are added up by the driver as they come, many by rounds of tasks
-    return parts.treeReduce(lambda a, b: a + b, 2) if blocks.getNumPartitions() > 32 else parts.reduce(lambda a, b: a + b)
+    held = parts.treeReduce(lambda a, b: a + b, 2) if blocks.getNumPartitions() > 32 else parts.reduce(lambda a, b: a + b)
+    out, at = np.zeros((2, held.shape[1], len(sizes), MAX_BINS + 1), np.int64), 0
+    for f, size in enumerate(sizes):
+        out[:, :, f, : size - 1], out[:, :, f, MAX_BINS] = held[:, :, at : at + size - 1], held[:, :, at + size - 1]
+        at += size
+    return out
 
 
 def best_splits(hist: np.ndarray, cuts: list[np.ndarray], unit: float, reg: float, min_child: float) -> list[dict | None]:
@@ -351,14 +375,31 @@ def best_splits(hist: np.ndarray, cuts: list[np.ndarray], unit: float, reg: floa
     return out
 
 
+def _sibling(i: int) -> int:
+    return i + 1 if i % 2 else i - 1
+
+
+def _lighter(tree: Tree, i: int) -> bool:
+    mine, other = tree.cover[i], tree.cover[_sibling(i)]
+    return bool(mine < other or (mine == other and i % 2))
+
+
 def grow(summed, cuts: list[np.ndarray], depth: int, unit: float, rate: float, reg: float, min_child: float, gamma: float) -> Tree:
-    """One tree; ``summed(tree, slots)`` gives the histogram of the open nodes."""
+    """One tree; ``summed(tree, slots)`` gives the histogram of the nodes with a slot."""
     tree = Tree.empty(depth)
-    open_nodes = [0]
+    open_nodes, parents, hist = [0], [], None
     for level in range(depth):
+        # of two children the lighter one is counted; integers, so the other is exactly the rest of their parent
+        counted = [i for i in open_nodes if level == 0 or _lighter(tree, i)]
         slots = np.full(len(tree.feature), -1)
-        slots[open_nodes] = np.arange(len(open_nodes))
-        hist = summed(tree, slots)
+        slots[counted] = np.arange(len(counted))
+        part = summed(tree, slots)
+        if level == 0:
+            hist = part
+        else:
+            own, place = dict(zip(counted, np.moveaxis(part, 1, 0))), {i: k for k, i in enumerate(parents)}
+            rest = lambda i: hist[:, place[(i - 1) // 2]] - own[_sibling(i)]  # noqa: B023, E731
+            hist = np.stack([own[i] if i in own else rest(i) for i in open_nodes], axis=1)
         if level == 0:
             G, H = int(hist[0, 0, 0].sum()) * unit, int(hist[1, 0, 0].sum()) * unit
             tree.value[0], tree.cover[0] = -rate * G / (H + reg), H
@@ -371,7 +412,7 @@ def grow(summed, cuts: list[np.ndarray], depth: int, unit: float, rate: float, r
             for child, (g, h) in ((2 * i + 1, s["left"]), (2 * i + 2, s["right"])):
                 tree.value[child], tree.cover[child] = -rate * g / (h + reg), h
                 following.append(child)
-        open_nodes = following
+        parents, open_nodes = open_nodes, following
         if not open_nodes:
             break
     return tree
@@ -412,14 +453,17 @@ def fit_trees(
     frame.select(*names, "_y", "_w").mapInArrow(_to_blocks(cuts), "bins binary, y binary, w binary").write.parquet(path)
     frame.unpersist()
     width, start = len(names), model.base
-    blocks, former = spark.read.parquet(path).rdd.map(lambda r: _block(r, width, start)).persist(StorageLevel.MEMORY_AND_DISK), None
+    stored, sizes = spark.read.parquet(path).rdd, [len(c) + 2 for c in cuts]
+    if stored.getNumPartitions() > spark.sparkContext.defaultParallelism:
+        stored = stored.coalesce(spark.sparkContext.defaultParallelism)
+    blocks, former = stored.map(lambda r: _block(r, width, start, scale)).persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         for t in range(rounds):
             now = blocks
-            model.trees.append(grow(lambda tree, slots: _summed(now, tree, slots, scale), cuts, depth, 1 / scale, rate, reg, min_child, gamma))  # noqa: B023
+            model.trees.append(grow(lambda tree, slots: _summed(now, tree, slots, sizes), cuts, depth, 1 / scale, rate, reg, min_child, gamma))  # noqa: B023
             if former is not None:  # the first level has computed the blocks that came from these
                 former.unpersist()
-            former, blocks = blocks, _renewed(blocks, model.trees[-1]).persist(StorageLevel.MEMORY_AND_DISK)
+            former, blocks = blocks, _renewed(blocks, model.trees[-1], scale).persist(StorageLevel.MEMORY_AND_DISK)
             if (t + 1) % CUT == 0:
                 blocks.checkpoint()
     finally:
@@ -429,5 +473,9 @@ def fit_trees(
     return model
 
 
-def _renewed(blocks: RDD, tree: Tree) -> RDD:
-    return blocks.map(lambda x: (*x[:3], x[3] + tree.value[tree.nodes_of_bins(x[0])]))
+def _renewed(blocks: RDD, tree: Tree, scale: float) -> RDD:
+    def run(x):
+        margin = x[3] + tree.value[tree.nodes_of_bins(x[0])]
+        return (*x[:3], margin, *_gradients(x[1], x[2], margin, scale))
+
+    return blocks.map(run)
