@@ -16,7 +16,8 @@ Two plans with the same answers:
   between are added from a frame of one row a key and bucket.  The answers, one a (key, ms), are joined to the rows;
   times that more than a thousandth of all rows share are broadcast.
 
-``auto`` takes ``halo`` unless the densest window of a key holds more rows than one task should (``target_rows``).
+``auto`` takes ``halo`` unless the densest window of a key holds more rows than one task should (``target_rows``), or than
+``DENSE``: a moving frame is added up anew for every row, so ``halo`` costs a row as much as its window holds.
 
 Null times are in no window and get null results; null amounts count as rows and add nothing; a window without amounts
 has a null sum; NaN and infinite amounts make just the sums of their own windows NaN or infinite."""
@@ -32,6 +33,10 @@ from costlens.operators.frames import and_, looked_up, materialize
 from costlens.operators.ordered import bucketize, range_edges
 
 
+#: Rows of a window beyond which adding it up for every row costs more than running totals.
+DENSE = 1000
+
+
 def densest(df: DataFrame, ms_col: str, by: Sequence[str], window_ms: int) -> int:
     """Rows of the fullest (key, window-long slot)."""
     slot = F.floor(F.col(ms_col) / F.lit(int(window_ms)))
@@ -129,7 +134,7 @@ def trailing_window(
         raise ValueError(f"unknown method {method!r}")
     if bucket_ms is None and method != "prefix":
         rows = densest(df, ms_col, by, w)
-        if method == "auto" and 3 * rows > 2 * target_rows:
+        if method == "auto" and (rows > DENSE or 3 * rows > 2 * target_rows):
             method = "prefix"
         bucket_ms = bucket_length(rows, w, target_rows)
     if method == "prefix":

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from costlens.operators import windows
 from costlens.operators.windows import trailing_window
 
 
@@ -115,3 +116,15 @@ def test_a_window_over_everything_by_prefix(spark):
     rows = [(i, i * 10, 1e6 + i / 4) for i in range(1000)]
     assert _win(spark, rows, 10**9, method="prefix") == {i: (i + 1, sum(a for _, _, a in rows[: i + 1])) for i in range(1000)}
     assert _win(spark, [], method="prefix") == {} and _win(spark, []) == {}
+
+
+def test_auto_adds_no_dense_window_up_for_every_row(spark, monkeypatch):
+    """A burst in one window: running totals, whatever a task could hold."""
+    taken = []
+    by_prefix = windows._by_prefix
+    monkeypatch.setattr(windows, "_by_prefix", lambda *a: taken.append(1) or by_prefix(*a))
+    rows = [(i, 2 * i, float(i % 7)) for i in range(1500)]
+    want = {i: (i + 1, sum(a for _, _, a in rows[: i + 1])) for i in range(1500)}
+    assert _win(spark, rows, 10_000) == want and taken
+    del taken[:]
+    assert _win(spark, rows[:900], 10_000) == {i: want[i] for i in range(900)} and not taken
