@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,14 @@ def test_served_equals_offline(spark, tmp_path):
     assert set(scores) == set(served)
     for rid, (p, flag) in served.items():
         assert abs(p - scores[rid]) < 1e-6 and flag == (scores[rid] >= t)
+
+
+def test_models_train_at_the_same_time(spark):
+    """Every one waits for the others to have begun; results come in the order asked for."""
+    begun = threading.Barrier(3, timeout=60)
+
+    def make(k):
+        begun.wait()
+        return spark.range(k).count()
+
+    assert models.train_together(spark, [lambda k=k: make(k) for k in (5, 6, 7)]) == [5, 6, 7]
