@@ -35,6 +35,9 @@ from costlens.llm.common import blocks, id_text, on_workers, remembered, small_b
 #: Bounds on what a worker remembers; beyond them it starts anew.
 MEMO_STATES = 60_000
 MEMO_PIECES = 900_000
+#: The same where an executor's workers share their memory with a chain of other operators.
+SMALL_STATES = 24_000
+SMALL_PIECES = 200_000
 #: Ids that the streaming decoder is fed at once.
 FEED = 1 << 16
 
@@ -178,15 +181,22 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Id bytes (little-endian uint32) of a piece of text."""
+    """Id bytes (little-endian uint32) of a piece of text: the newest half of ``limit``, and the half before them, from
+    which pieces that are met again come back."""
 
     def __init__(self, transducer: Transducer, limit: int = MEMO_PIECES):
         self.encode, self.limit = transducer.encode, limit
+        self.former: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.former = {}  # gone before the others are copied
+            self.former = dict(self)
             self.clear()
-        self[piece] = out = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        out = self.former.get(piece)
+        if out is None:
+            out = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        self[piece] = out
         return out
 
 
@@ -206,11 +216,11 @@ def plain_form(pattern: str):
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int = MEMO_STATES, pieces: int = MEMO_PIECES):
         import regex
 
         self.any, self.plain = regex.compile(pattern).findall, plain_form(pattern)
-        self.pieces = Pieces(Transducer(ranks))
+        self.pieces = Pieces(Transducer(ranks, states), pieces)
 
     def cut(self, text: str) -> list[str]:
         return self.plain(text) if self.plain and _PLAIN.fullmatch(text) else self.any(text)
@@ -293,19 +303,19 @@ class StreamDecoder:
         return "�" if self.moves.state else ""
 
 
-def coder(path: str, pattern: str) -> tuple[Encoder, Tables]:
+def coder(path: str, pattern: str, states: int = MEMO_STATES, pieces: int = MEMO_PIECES) -> tuple[Encoder, Tables]:
     """One pair per Python worker, which serves many tasks."""
 
     def make() -> tuple[Encoder, Tables]:
         ranks = read_ranks(path)
-        return Encoder(ranks, pattern), Tables({i: b for b, i in ranks.items()})
+        return Encoder(ranks, pattern, states, pieces), Tables({i: b for b, i in ranks.items()})
 
-    return remembered(("byte-level BPE", path, pattern), make)
+    return remembered(("byte-level BPE", path, pattern, states, pieces), make)
 
 
 def _token_lists(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = coder(path, pattern)
+        encode, _ = coder(path, pattern, SMALL_STATES, SMALL_PIECES)
         for block in blocks(batches):
             ids = [encode(t) for t in block.column("text").to_pylist()]
             upto = np.cumsum([0, *map(len, ids)]).astype(np.int32)

@@ -165,6 +165,42 @@ def test_small_bounds_change_nothing():
         assert t.encode(text.encode()) == LIBRARY.encode_ordinary(text)
 
 
+def test_pieces_remembered_stay_within_their_bound():
+    """Full memos keep the newer half; pieces that are met again are not encoded again."""
+    from costlens.llm import bpe_transducer as B
+
+    made = []
+
+    class Counted:
+        @staticmethod
+        def encode(piece):
+            made.append(piece)
+            return list(piece)
+
+    pieces = B.Pieces(Counted, limit=10)
+    for i in range(100):
+        assert pieces["often"] == np.array(list(b"often"), "<u4").tobytes()
+        assert pieces[f"{i}"] == np.array(list(b"%d" % i), "<u4").tobytes()
+        assert len(pieces) + len(pieces.former) <= 10
+    assert made.count(b"often") == 1
+
+
+def test_token_lists_take_the_small_memo(monkeypatch):
+    """Next to other operators' memory a worker's tables are small: at most a quarter of the pieces of the operator alone."""
+    import pyarrow as pa
+
+    from costlens.llm import bpe_transducer as B
+    from costlens.llm import common
+
+    monkeypatch.setattr(common, "_memos", {})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    out = list(B._token_lists(BYTES, public_tokenizers.PATTERN)(iter([batch])))
+    (encode, _), = common._memos.values()
+    assert out[0].column("ids").to_pylist() == [LIBRARY.encode_ordinary("some words")]
+    assert encode.pieces.limit <= B.MEMO_PIECES // 4 and encode.pieces.encode.__self__.limit <= B.MEMO_STATES // 2
+
+
+
 @given(st.lists(st.integers(0, 50255), max_size=60), st.integers(1, 7))
 @settings(max_examples=200, deadline=None)
 def test_streaming_decoder_on_any_ids_in_any_portions(ids, step):
