@@ -9,9 +9,11 @@ among those whose children both have a hessian of ``min_child``; a leaf's value
 
 How it runs: features become bin numbers once, written to the shared folder in blocks of numpy bytes.  A level of a tree
 is one pass over the blocks: every task adds up its histograms, of the lighter child of each split only (the other is what
-its parent has besides: sums are exact), and of the bins that exist.  Blocks lie in as many partitions as the cluster has
-cores, so the driver is sent so many histograms a level, or by Spark's tree reduction fewer, whatever the number of rows.
-Blocks carry their margins and gradients, renewed once a tree, and are checkpointed every ``CUT`` trees, so a lost executor
+its parent has besides: sums are exact), and of the bins that exist.  Blocks are dealt evenly to as many partitions as the
+cluster has cores, so the driver is sent so many histograms a level, or by Spark's tree reduction fewer, whatever the number
+of rows.  What a pass costs is mostly what it reads, so a block is small: bins, one byte of label and weight (where there
+are few), margins.  Margins are renewed every ``KEPT`` trees; a pass adds the trees since then and takes gradients for the
+rows that it counts.  Blocks are kept as they are, not compressed, and checkpointed every ``CUT`` trees, so a lost executor
 repeats at most that many cheap updates.
 
 Gradients and hessians are rounded to integers before they are added (30 bits, fewer only when more than 2**31 rows
@@ -42,9 +44,14 @@ from costlens.session import checkpoint_dir, scratch_path, ship_package
 
 #: Value bins of a feature at most; the bin after them holds missing values.
 MAX_BINS = 255
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 15
+#: Trees between two renewals of the margins.
+KEPT = 2
 #: Trees between two checkpoints of the margins.
 CUT = 25
+#: Copies (a power of 2) of a histogram that take neighbouring rows, which often share a bin, in turn.
+LANES = 4
+HELD = StorageLevel.MEMORY_AND_DISK_DESER  # serialized ones would be compressed and read anew at every pass
 #: Rows scored at once, and for 16 bits the place of the lowest one that is not set.
 SCORE_ROWS = 8192
 _FIRST_FREE = np.array([next((b for b in range(16) if not m >> b & 1), 15) for m in range(1 << 16)], np.uint8)
@@ -83,23 +90,18 @@ class Tree:
         return at
 
     def nodes_of_bins(self, bins: np.ndarray) -> np.ndarray:
-        """Node of every column of ``bins`` (features x rows); by bits, as :meth:`TreeEnsemble.margins` does, where it can."""
-        plan = self.bit_plan()
-        if plan is not None:
-            ruled_out = np.zeros(bins.shape[1], np.uint16)
-            for f, i, left in plan[0]:
-                right = bins[f] > self.bin[i]
-                if self.missing_left[i]:
-                    right &= bins[f] != MAX_BINS
-                ruled_out |= right * left
-            return np.array(plan[1])[_FIRST_FREE[ruled_out]]
-        rows = np.arange(bins.shape[1])
-
-        def left(f, at):
-            b = bins[f, rows]
-            return np.where(b == MAX_BINS, self.missing_left[at], b <= self.bin[at])
-
-        return self._walk(bins.shape[1], left)
+        """Node of every column of ``bins`` (features x rows): split by split, parents first, in the smallest integers."""
+        small = np.min_scalar_type(len(self.feature)).type
+        at = np.zeros(bins.shape[1], small)
+        for i in np.flatnonzero(self.feature >= 0):
+            f = bins[self.feature[i]]
+            right = f > np.uint8(self.bin[i])
+            if self.missing_left[i]:
+                right &= f != np.uint8(MAX_BINS)
+            further = right.view(np.uint8) + small(i + 1)  # children of i: i + 1 and i + 2 further
+            further *= (at == small(i)).view(np.uint8)
+            at += further
+        return at
 
     def bit_plan(self):
         """((feature, node, bits of the leaves on its left) of every split, nodes of the leaves from left to right), or
@@ -231,7 +233,7 @@ class TreeEnsemble:
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
     e = np.exp(-np.abs(m))
-    return np.where(m >= 0, 1.0, e) / (1 + e)
+    return np.maximum(e, m >= 0) / (1 + e)  # e is at most 1, which it gives way to where m is not negative
 
 
 def _known(name: str) -> Column:
@@ -293,49 +295,73 @@ def _to_blocks(cuts: list[np.ndarray]):
     return run
 
 
-def _block(row, width: int, base: float, scale: float) -> tuple:
-    """Bins, labels, weights (one number where all are alike), margins, gradients, hessians."""
+def _block(row, width: int, base: float) -> tuple:
+    """Bins; weights, negative for label 0, as a table and a byte a row that points into it, or all where they are many;
+    margins."""
     y, w = np.frombuffer(row["y"], np.uint8), np.frombuffer(row["w"], np.float64)
-    alike = float(w[0]) if (w == w[0]).all() else w
-    margin = np.full(len(y), base)
-    return np.frombuffer(row["bins"], np.uint8).reshape(width, len(y)), y, alike, margin, *_gradients(y, alike, margin, scale)
+    signed = np.where(y == 1, w, -w)
+    table, code = np.unique(signed, return_inverse=True)
+    held = (table, code.astype(np.uint8)) if len(table) <= 256 else (None, signed)
+    return np.frombuffer(row["bins"], np.uint8).reshape(width, len(y)), *held, np.full(len(y), base)
 
 
-def _gradients(y: np.ndarray, w: np.ndarray | float, margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+def _margins(bins: np.ndarray, margin: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
+    for tree in trees:
+        margin = margin + tree.value.take(tree.nodes_of_bins(bins).astype(np.intp))  # numpy is slow with other indices
+    return margin
+
+
+def _gradients(table: np.ndarray | None, held: np.ndarray, margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Integers (30 bits and a sign) that any order of adding keeps exact; ``scale``: units in a weight of 1."""
+    if table is None:
+        y, w = held > 0, np.abs(held)
+    else:
+        at = held.astype(np.intp)
+        y, w = (table > 0).astype(np.float64).take(at), np.abs(table).take(at)
     p = _sigmoid(margin)
-    g, h = np.rint((p - y) * w * scale), np.rint(np.maximum(p * (1 - p), 1e-16) * w * scale)
-    return g.astype(np.int32), h.astype(np.int32)
-
-
-def _histogram(block, tree: Tree, slots: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
-    """(2, nodes, bins of all features in a row, ``sizes`` of each) sums of g and h over one block; ``slots``: place of each
-    node that is counted, else -1.  A feature's last bin holds its missing values."""
-    bins, _, _, _, g, h = block
-    slot = slots[tree.nodes_of_bins(bins)]
-    inside = np.flatnonzero(slot >= 0)
-    if len(inside) < len(slot):
-        bins, g, h, slot = bins[:, inside], g[inside], h[inside], slot[inside]
-    g, h, width, many = g.astype(np.float64), h.astype(np.float64), MAX_BINS + 1, int(slots.max()) + 1
-    out = np.empty((2, many, sum(sizes)), np.int64)
-    start = slot * width
-    at = 0
+    h = 1 - p
+    h *= p
+    np.maximum(h, 1e-16, out=h)
+    g = np.subtract(p, y, out=p)
+    for x in (g, h):
+        x *= w
+        x *= scale
+        np.rint(x, out=x)
+    return g, h
+
+
+def _histogram(block, trees: Sequence[Tree], tree: Tree, slots: np.ndarray, sizes: Sequence[int], scale: float) -> np.ndarray:
+    """(2, nodes, bins of all features in a row, ``sizes`` of each) sums of g and h over one block; ``trees``: those that its
+    margins lack; ``slots``: place of each node that is counted, else -1.  A feature's last bin holds its missing values."""
+    bins, table, held, margin = block
+    width, many = MAX_BINS + 1, int(slots.max()) + 1
+    start = (np.arange(bins.shape[1]) & (LANES - 1)) * width
+    if slots[0] < 0:  # not the root: some rows only
+        node = tree.nodes_of_bins(bins)
+        inside = np.flatnonzero(np.logical_or.reduce([node == node.dtype.type(i) for i in np.flatnonzero(slots >= 0)]))
+        bins, held, margin = bins.take(inside, axis=1), held.take(inside), margin.take(inside)
+        start = start[: len(inside)] + (slots * (LANES * width)).take(node.take(inside).astype(np.intp))
+    g, h = _gradients(table, held, _margins(bins, margin, trees), scale)
+    both = np.empty(len(g), np.complex128)  # added at once; sums stay below 2**53, so they are exact
+    both.real, both.imag = g, h
+    out, at = np.empty((2, many, sum(sizes)), np.int64), 0
     for f, size in enumerate(sizes):
-        flat = start + bins[f]
-        for k, x in enumerate((g, h)):
-            sums = np.bincount(flat, weights=x, minlength=many * width).reshape(many, width)
-            out[k, :, at : at + size - 1], out[k, :, at + size - 1] = sums[:, : size - 1], sums[:, MAX_BINS]
+        sums = np.zeros(many * LANES * width, np.complex128)
+        np.add.at(sums, start + bins[f], both)
+        sums = sums.reshape(many, LANES, width).sum(axis=1)
+        for k, x in enumerate((sums.real, sums.imag)):
+            out[k, :, at : at + size - 1], out[k, :, at + size - 1] = x[:, : size - 1], x[:, MAX_BINS]
         at += size
     return out
 
 
-def _summed(blocks: RDD, tree: Tree, slots: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+def _summed(blocks: RDD, trees: Sequence[Tree], tree: Tree, slots: np.ndarray, sizes: Sequence[int], scale: float) -> np.ndarray:
     """(2, nodes, features, bins)."""
 
     def run(part):
         total = None
         for block in part:
-            one = _histogram(block, tree, slots, sizes)
+            one = _histogram(block, trees, tree, slots, sizes, scale)
             total = one if total is None else np.add(total, one, out=total)
         if total is not None:
             yield total
@@ -453,19 +479,23 @@ def fit_trees(
     frame.select(*names, "_y", "_w").mapInArrow(_to_blocks(cuts), "bins binary, y binary, w binary").write.parquet(path)
     frame.unpersist()
     width, start = len(names), model.base
-    stored, sizes = spark.read.parquet(path).rdd, [len(c) + 2 for c in cuts]
-    if stored.getNumPartitions() > spark.sparkContext.defaultParallelism:
-        stored = stored.coalesce(spark.sparkContext.defaultParallelism)
-    blocks, former = stored.map(lambda r: _block(r, width, start, scale)).persist(StorageLevel.MEMORY_AND_DISK), None
+    cores, sizes = spark.sparkContext.defaultParallelism, [len(c) + 2 for c in cuts]
+    stored = spark.read.parquet(path).repartition(min(cores, math.ceil(n / BLOCK_ROWS))).rdd
+    blocks, former, cut = stored.map(lambda r: _block(r, width, start)).persist(HELD), None, 0
     try:
         for t in range(rounds):
-            now = blocks
-            model.trees.append(grow(lambda tree, slots: _summed(now, tree, slots, sizes), cuts, depth, 1 / scale, rate, reg, min_child, gamma))  # noqa: B023
+            now, lacking = blocks, model.trees[t - t % KEPT : t]
+            model.trees.append(
+                grow(lambda tree, slots: _summed(now, lacking, tree, slots, sizes, scale), cuts, depth, 1 / scale, rate, reg, min_child, gamma)  # noqa: B023
+            )
             if former is not None:  # the first level has computed the blocks that came from these
                 former.unpersist()
-            former, blocks = blocks, _renewed(blocks, model.trees[-1], scale).persist(StorageLevel.MEMORY_AND_DISK)
-            if (t + 1) % CUT == 0:
-                blocks.checkpoint()
+                former = None
+            if (t + 1) % KEPT == 0:
+                former, blocks = blocks, _renewed(blocks, model.trees[-KEPT:]).persist(HELD)
+                if t + 1 - cut >= CUT:
+                    blocks.checkpoint()
+                    cut = t + 1
     finally:
         for rdd in (former, blocks):
             if rdd is not None:
@@ -473,9 +503,5 @@ def fit_trees(
     return model
 
 
-def _renewed(blocks: RDD, tree: Tree, scale: float) -> RDD:
-    def run(x):
-        margin = x[3] + tree.value[tree.nodes_of_bins(x[0])]
-        return (*x[:3], margin, *_gradients(x[1], x[2], margin, scale))
-
-    return blocks.map(run)
+def _renewed(blocks: RDD, trees: Sequence[Tree]) -> RDD:
+    return blocks.map(lambda x: (*x[:3], _margins(x[0], x[3], trees)))

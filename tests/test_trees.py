@@ -128,3 +128,33 @@ def test_depth_limit_and_least_child(spark):
     model = trees.fit_trees(frame(spark, x, y, w, 3), NAMES, "y", rounds=2, depth=1, min_child=40.0)
     for tree in model.trees:
         assert len(tree.feature) == 3 and (tree.feature[0] < 0 or (tree.cover[1:] >= 40.0).all())
+
+
+@pytest.mark.parametrize("weights", [2, 400])
+def test_blocks_are_small_and_their_histograms_are_plain_sums(weights):
+    n, width, scale = 1000, 2, 2.0**20
+    i = np.arange(n)
+    bins = np.stack([i * 37 % 101, np.where(i % 7 == 2, trees.MAX_BINS, i % 5)]).astype(np.uint8)
+    y, w = (i % 3 == 0).astype(np.uint8), 1.0 + i % weights / 64
+    block = trees._block({"bins": bins.tobytes(), "y": y.tobytes(), "w": w.tobytes()}, width, 0.25)
+    held = sum(x.nbytes for x in block if x is not None)
+    assert held <= (width + 9) * n + 64 or weights > 256  # bins, margin and one byte: a pass costs what it reads
+    done, tree = trees.Tree.empty(2), trees.Tree.empty(2)
+    done.feature[0], done.bin[0], done.missing_left[0], done.value[1:3] = 1, 2, False, (0.5, -0.75)
+    tree.feature[:2], tree.bin[:2] = (0, 1), (50, 3)
+    right = (bins[1] > 2) | (bins[1] == trees.MAX_BINS)
+    p = 1 / (1 + np.exp(-(0.25 + np.where(right, -0.75, 0.5))))
+    g, h = np.rint((p - y) * w * scale), np.rint(p * (1 - p) * w * scale)
+    node = np.where(bins[0] > 50, 2, np.where((bins[1] > 3) & (bins[1] != trees.MAX_BINS), 4, 3))
+    assert (tree.nodes_of_bins(bins) == node).all()
+    for counted in ([0], [4, 2]):
+        at = trees.Tree.empty(2) if counted == [0] else tree
+        slots = np.full(7, -1)
+        slots[counted] = np.arange(len(counted))
+        got = trees._histogram(block, [done], at, slots, [102, 6], scale)
+        for k, c in enumerate(counted):
+            rows = node == c if c else np.ones(n, bool)
+            for f, (first, values) in enumerate([(0, 101), (102, 5)]):
+                for m, x in enumerate((g, h)):
+                    want = [x[rows & (bins[f] == v)].sum() for v in [*range(values), trees.MAX_BINS]]
+                    assert list(got[m, k, first : first + values + 1]) == want
