@@ -247,10 +247,13 @@ def quantile_cuts(frame: DataFrame, features: Sequence[str], weight: str, max_bi
     qs = [i / buckets for i in range(1, buckets)]
     row = frame.agg(*[F.percentile_approx(c, qs, 2000).alias(f"e{i}") for i, c in enumerate(features)]).first()
     edges = [sorted({float(x) for x in (row[f"e{i}"] or [])}) for i in range(len(features))]
-    items = [F.struct(F.lit(i).alias("f"), F.col(c).alias("value"), count_le(F.col(c), edges[i]).alias("bucket")) for i, c in enumerate(features)]
-    long = frame.select(F.explode(F.array(*items)).alias("x"), weight).select("x.f", "x.value", "x.bucket", weight).filter("value is not null")
-    # -0.0 and 0.0 are one value
-    grouped = long.withColumn("value", F.col("value") + 0.0).groupBy("f", "bucket", "value").agg(F.sum(weight).alias("w")).persist()
+    grouped = None
+    for i, c in enumerate(features):
+        # values are added up before their bucket is looked up, a feature at a time: -0.0 and 0.0 are one value
+        own = frame.select((F.col(c) + 0.0).alias("value"), weight).filter("value is not null").groupBy("value").agg(F.sum(weight).alias("w"))
+        own = own.select(F.lit(i).alias("f"), count_le(F.col("value"), edges[i]).alias("bucket"), "value", "w")
+        grouped = own if grouped is None else grouped.union(own)
+    grouped = grouped.persist()
     try:
         totals = grouped.groupBy("f", "bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("value").alias("least")).collect()
         facts = []
