@@ -6,9 +6,11 @@ training cover (the sum of hessians) at each split.  A tree's output is a sum ov
 leaves of ``v_leaf * prod(path factors)``, and each leaf term only involves
 the <= depth features on its path, so Shapley values are computed per leaf
 term over those few features (other features are null players) and summed.
-Exact, and cheap for shallow trees.
+A leaf's part hangs only on which of those features take its path's steps, so
+it is worked out once for every such set, and rows look it up.  Exact, and
+cheap for shallow trees.
 
-The model's nodes are captured by the ``mapInPandas`` closure; rows stream
+The leaves' tables are captured by the ``mapInArrow`` closure; rows stream
 through in Arrow batches.  Output is long: (keys..., feature, contribution),
 with sum(contribution) + base = the model margin.
 """
@@ -20,13 +22,16 @@ from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from costlens.operators.trees import TreeEnsemble
 from costlens.session import ship_package
 
+#: Rows whose contributions are added up at once.
+BLOCK = 8192
 #: A split on the way to a leaf: feature, threshold, the leaf's side, side of missing values, share of the cover.
 Step = tuple[int, float, bool, bool, float]
 
@@ -48,56 +53,90 @@ def leaf_terms(model: TreeEnsemble) -> list[tuple[float, list[Step]]]:
     return terms
 
 
+def _leaf_table(v: float, path: list[Step]) -> tuple[list[int], np.ndarray, float]:
+    """(features on the path, their contributions for every set of features whose steps a row takes, base value).  Bit b of a
+    set stands for the b-th of the features."""
+    feats = sorted({step[0] for step in path})
+    r = [math.prod(step[4] for step in path if step[0] == f) for f in feats]
+    many = len(feats)
+    out = np.zeros((1 << many, many))
+    for taken in range(1 << many):
+        s = [float(taken >> b & 1) for b in range(many)]
+        for i in range(many):
+            others, acc = [b for b in range(many) if b != i], 0.0
+            for size in range(many):
+                wgt = math.factorial(size) * math.factorial(many - size - 1) / math.factorial(many)
+                for sub in combinations(others, size):
+                    acc += wgt * math.prod(s[b] if b in sub else r[b] for b in others)
+            out[taken, i] = v * acc * (s[i] - r[i])
+    return feats, out, v * math.prod(r)
+
+
+def shap_tables(terms) -> tuple[list[tuple], float]:
+    """For every leaf its path and table of contributions, from which all rows are read; and the base value."""
+    tables, base = [], 0.0
+    for v, path in terms:
+        feats, table, own = _leaf_table(v, path)
+        base += own
+        if feats:
+            tables.append((path, feats, np.ascontiguousarray(table.T)))
+    return tables, base
+
+
+def shap_rows(x: np.ndarray, tables) -> np.ndarray:
+    """n x d contributions.  A leaf's part of a row hangs only on which of its path's features take the path's steps, so it is
+    looked up; a split that leaves share is compared once."""
+    n, d = x.shape
+    phi = np.zeros((d, n))
+    for at in range(0, n, BLOCK):
+        columns = np.ascontiguousarray(x[at : at + BLOCK].T)
+        missing, many = np.isnan(columns), columns.shape[1]
+        part, sides = phi[:, at : at + BLOCK], {}
+        for path, feats, table in tables:
+            taken = {}
+            for f, thr, left, missing_left, _ in path:
+                key = (f, thr, missing_left)
+                if key not in sides:
+                    goes_left = columns[f] < thr  # missing values compare as false
+                    sides[key] = goes_left | missing[f] if missing_left else goes_left
+                same = sides[key] if left else ~sides[key]
+                taken[f] = taken[f] & same if f in taken else same
+            place = np.zeros(many, np.intp)
+            for b, f in enumerate(feats):
+                place += taken[f].astype(np.intp) << b
+            for b, f in enumerate(feats):
+                part[f] += table[b].take(place)
+    return phi.T
+
+
 def shap_matrix(x: np.ndarray, terms) -> tuple[np.ndarray, float]:
     """(n x d contributions, base value)."""
-    n, d = x.shape
-    phi = np.zeros((n, d))
-    base = 0.0
-    for v, path in terms:
-        feats = sorted({step[0] for step in path})
-        s = {f: np.ones(n) for f in feats}
-        r = {f: 1.0 for f in feats}
-        for f, thr, left, missing_left, frac in path:
-            goes_left = np.where(np.isnan(x[:, f]), missing_left, x[:, f] < thr)
-            s[f] = s[f] * (goes_left == left)
-            r[f] *= frac
-        base += v * math.prod(r.values())
-        D = len(feats)
-        for i in feats:
-            others = [f for f in feats if f != i]
-            acc = np.zeros(n)
-            for size in range(len(others) + 1):
-                wgt = math.factorial(size) * math.factorial(D - size - 1) / math.factorial(D)
-                for sub in combinations(others, size):
-                    term = np.full(n, wgt)
-                    for f in others:
-                        term = term * (s[f] if f in sub else r[f])
-                    acc += term
-            phi[:, i] += v * acc * (s[i] - r[i])
-    return phi, base
+    tables, base = shap_tables(terms)
+    return shap_rows(x, tables), base
 
 
 def tree_shap(model: TreeEnsemble, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, float]:
     """Long SHAP table for the rows of ``df`` (keys kept) and the base value."""
     ship_package(df.sparkSession)
-    terms, names = leaf_terms(model), model.features
-    _, base = shap_matrix(np.zeros((1, len(names))), terms)
+    names = model.features
+    tables, base = shap_tables(leaf_terms(model))
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("_x")
-    pre = df.select(*keys, values)
+    pre = df.select(*[F.col(f"`{c}`") for c in keys], values)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d = batch.num_rows, len(names)
+            if not n:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_x"]])
-            phi, _ = shap_matrix(x, terms)
-            out = pdf[list(keys)].loc[np.repeat(pdf.index.to_numpy(), len(names))].reset_index(drop=True)
-            out["feature"] = np.tile(names, len(pdf))
-            out["contribution"] = phi.ravel()
-            yield out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema.fields if f.name in keys)
-    out = pre.mapInPandas(run, f"{schema}, feature string, contribution double")
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            phi = shap_rows(x.reshape(n, d), tables)
+            rows = pa.array(np.repeat(np.arange(n), d))
+            feature = pa.DictionaryArray.from_arrays(np.tile(np.arange(d, dtype=np.int32), n), pa.array(names, pa.string())).cast(pa.string())
+            columns = [batch.column(i).take(rows) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, feature, pa.array(np.ascontiguousarray(phi).ravel())], names=[*keys, "feature", "contribution"])
+
+    own = [StructField("feature", StringType()), StructField("contribution", DoubleType())]
+    out = pre.mapInArrow(run, StructType([*pre.schema.fields[:-1], *own]))
     return out, base + model.base
 
 

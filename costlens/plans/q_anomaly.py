@@ -3,15 +3,14 @@
 Anomaly detectors run on the embeddings matrix (64 features; label = class 0
 as the rare positive), trained on the negatives of the first 80 % by vec_id
 and scored on the rest.  Attribution explains the class-weighted boosted trees
-of the transaction model on a capped sample (all positives + negatives up to
-2,000 rows) of its test part.
+of the transaction model on every row of its test part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens.operators import anomaly, explain, profile, sampling
+from costlens.operators import anomaly, explain, profile
 from costlens.operators.split import chronological_split
 from costlens.plans.q_models import parts, strategy_model
 from costlens.plans.q_split import KEYS
@@ -56,8 +55,7 @@ def q_error_by_class(spark, sf):
 def _shap(spark, sf):
     train, test = parts(spark, sf)
     model = strategy_model(spark, sf, "class_weight", train)
-    sample = sampling.capped_sample(test, KEYS[:-1], "label", cap=2000, seed=0)
-    return explain.tree_shap(model, sample, KEYS)
+    return explain.tree_shap(model, test, KEYS)
 
 
 @register("tree_shap")
