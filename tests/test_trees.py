@@ -110,6 +110,23 @@ def test_checkpoints_and_saving(spark, tmp_path, monkeypatch):
     assert max(abs(got[k] - 1 / (1 + math.exp(-m))) for k, m in enumerate(margins)) < 1e-12
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_one_task_trains_the_same_trees_as_a_job_a_level(spark, monkeypatch, weighted):
+    x, y, w = table(400)
+    df, weight = frame(spark, x, y, w, 3), "w" if weighted else None
+    jobs = []
+    monkeypatch.setattr(trees, "_summed", lambda *a, summed=trees._summed: jobs.append(1) or summed(*a))
+    own = trees.fit_trees(df, NAMES, "y", weight, rounds=5, depth=3)
+    assert not jobs  # a small table needs no job a level
+    monkeypatch.setattr(trees, "TASK_ROWS", 399)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    spread = trees.fit_trees(df, NAMES, "y", weight, rounds=5, depth=3)
+    assert len(jobs) > 5 and own.base == spread.base and len(own.trees) == 5
+    for a, b in zip(own.trees, spread.trees):
+        for c in ("feature", "threshold", "missing_left", "value", "cover"):
+            assert (getattr(a, c) == getattr(b, c)).all()
+
+
 def test_odd_tables(spark):
     schema = "id long, a double, b double, c double, y int, w double"
     empty = spark.createDataFrame([], schema)
